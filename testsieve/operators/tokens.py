@@ -78,17 +78,20 @@ def token_align(tokens: DataFrame, sections: DataFrame, gen_key: Sequence[str],
 
 def section_spans(tests: DataFrame, gen_key: Sequence[str], response: str = "response",
                   strip_ws: bool = False) -> DataFrame:
-    """Spans of each test's ``input_text`` / ``output_text`` in the response
-    (first occurrence at or after the test's own offset)."""
-    resp = F.regexp_replace(F.col(response), r"\s", "") if strip_ws else F.col(response)
-    out = []
-    for sec in ("input", "output"):
-        txt = F.regexp_replace(F.col(f"{sec}_text"), r"\s", "") if strip_ws else F.col(f"{sec}_text")
-        start = F.locate(txt, resp, 1) - 1
-        out.append(tests.select(*gen_key, "test_idx", F.lit(sec).alias("section"),
-                                start.alias("start"), (start + F.length(txt)).alias("end"))
-                   .filter(F.col("start") >= 0))
-    return out[0].unionByName(out[1])
+    """Spans of each test's ``input_text`` and ``output_text`` inside the
+    response: the input's first occurrence, then the output's first
+    occurrence after the input (1-based ``locate`` turned into 0-based spans)."""
+    sq = (lambda c: F.regexp_replace(c, r"\s", "")) if strip_ws else (lambda c: c)
+    t = tests.select(*gen_key, "test_idx", sq(F.col(response)).alias("_r"),
+                     sq(F.col("input_text")).alias("_i"), sq(F.col("output_text")).alias("_o"))
+    t = t.withColumn("_is", F.expr("locate(_i, _r, 1)") - 1)
+    t = t.withColumn("_ie", F.col("_is") + F.length("_i"))
+    t = t.withColumn("_os", F.expr("locate(_o, _r, _ie + 1)") - 1)
+    t = t.withColumn("_oe", F.col("_os") + F.length("_o"))
+    spans = t.select(*gen_key, "test_idx", F.inline(F.array(
+        F.struct(F.lit("input").alias("section"), F.col("_is").alias("start"), F.col("_ie").alias("end")),
+        F.struct(F.lit("output").alias("section"), F.col("_os").alias("start"), F.col("_oe").alias("end")))))
+    return spans.filter(F.col("start") >= 0)
 
 
 def all_tokens(tokens: DataFrame, gen_key: Sequence[str]) -> DataFrame:
@@ -130,9 +133,11 @@ def _greedy_align(pdf: pd.DataFrame, strip_ws: bool) -> pd.DataFrame:
                 idx += len(cur)
             if idx > n:
                 break
-    g = pdf.iloc[0]
-    return pd.DataFrame({"gen_id": [g.gen_id] * len(rows), "test_idx": [r[0] for r in rows],
-                         "section": [r[1] for r in rows], "pos": [r[2] for r in rows]})
+    gid = int(pdf["gen_id"].iloc[0])
+    return pd.DataFrame({"gen_id": pd.Series([gid] * len(rows), dtype="int64"),
+                         "test_idx": pd.Series([int(r[0]) for r in rows], dtype="int64"),
+                         "section": pd.Series([str(r[1]) for r in rows], dtype="object"),
+                         "pos": pd.Series([int(r[2]) for r in rows], dtype="int32")})
 
 
 def token_align_greedy(tokens: DataFrame, sections: DataFrame, strip_ws: bool = False) -> DataFrame:

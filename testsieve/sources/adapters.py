@@ -21,7 +21,7 @@ INPUT_TOKENS = 12
 
 
 def _vocab_at(idx):
-    return F.element_at(F.array(*[F.lit(t) for t in TOKEN_VOCAB]), F.pmod(idx, F.lit(len(TOKEN_VOCAB))) + 1)
+    return F.element_at(F.array(*[F.lit(t) for t in TOKEN_VOCAB]), (F.pmod(idx, F.lit(len(TOKEN_VOCAB))) + 1).cast("int"))
 
 
 def _dataset_col(fid):
