@@ -7,18 +7,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values that must equal the reference's for equal results.
-PY_BLOCK = r"(?s)```python\s*(.*?)```"          # fenced python block, DOTALL
-PY_BLOCK_RAW = r"(?s)```python(.*?)```"          # same, whitespace kept
-ANY_BLOCK = r"(?s)```[A-Za-z0-9_+-]*\s*(.*?)```"  # any fenced block
+PY_BLOCK = r"(?s)```python\s*(.*?)```"          # fenced python block, DOTALL, stripped after
+PY_BLOCK_RAW = r"(?s)```python(.*?)```"          # first-block variant, content kept as is
 DEF_NAME = r"def\s+(\w+)\s*\("                   # first function name
-DEF_SIGNATURE = r"(def\s+\w+\s*\([^)]*\)[^:]*:)"  # first signature text
-STOP_MARKERS = r"(?s)\n(class|def|#|if|print).*"  # solution truncation markers
-IMPORT_LINE = r"(?m)^\s*((?:from\s+\S+\s+)?import\s+.*?)\s*$"
+DEF_NAME_STRICT = r"def\s+([a-zA-Z_]\w*)\s*\("   # name variant that skips __init__
+DEF_SIGNATURE = r"def\s+[a-zA-Z_][a-zA-Z0-9_]*\s*\([^)]*\)"
+STOP_MARKERS = r"(?s)\n(class|def|#|if|print).*"  # cut at the first \nclass \ndef \n# \nif \nprint
+IMPORT_PLAIN = r"(?m)^\s*import\s+[a-zA-Z_][a-zA-Z0-9_]*(?:\s+as\s+[a-zA-Z_][a-zA-Z0-9_]*)?"
+IMPORT_FROM = r"(?m)^\s*from\s+[a-zA-Z_][a-zA-Z0-9_]*\s+import\s+[a-zA-Z_][a-zA-Z0-9_]*"
+IMPORT_TAIL = ["import matplotlib as plt", "import numpy as np", "import pandas as pd"]
 FIVE_STARS = r"(?s)\*{5}(.*?)\*{5}"
 CODE_TAGS = r"(?s)<code>(.*?)</code>"
-INPUT_SECTION = r"(?s)\*\*Input:\*\*\s*(.*?)\s*\*\*Output:\*\*"
-OUTPUT_SECTION = r"(?s)\*\*Output:\*\*\s*(.*?)\s*(?:\*\*Explanation:\*\*|\*\*Input:\*\*|\z)"
-TRIPLE_QUOTED = r'(?s)(""".*?"""|' + r"'''.*?''')"
+INPUT_SECTION = r"(?s)\*\*Input:\*\*(.*?)\*\*Output:\*\*"
+OUTPUT_SECTION = r"(?s)\*\*Output:\*\*(.*?)\*\*"
+TRIPLE_QUOTED = "(\"\"\"[\\s\\S]*?\"\"\"|'''[\\s\\S]*?''')"
+CAMEL_BOUNDARY = r"([a-z])([A-Z])"
+IMPORT_HEADER = ("from typing import *\nimport math\nfrom heapq import *\nimport itertools\nimport re\n"
+                 "import typing\nimport heapq\n_str=str\nimport re\n")
 
 
 def strip_ws(c: Column) -> Column:
@@ -46,11 +51,11 @@ def function_name(code: Column) -> Column:
 
 
 def function_name_not_init(code: Column) -> Column:
-    return F.get(F.filter(F.regexp_extract_all(code, F.lit(DEF_NAME), 1), lambda n: n != "__init__"), 0)
+    return F.get(F.filter(F.regexp_extract_all(code, F.lit(DEF_NAME_STRICT), 1), lambda n: ~n.contains("__init__")), 0)
 
 
 def function_signature(code: Column) -> Column:
-    return F.get(F.regexp_extract_all(code, F.lit(DEF_SIGNATURE), 1), 0)
+    return F.get(F.regexp_extract_all(code, F.lit(DEF_SIGNATURE), 0), 0)
 
 
 def between_markers(text: Column) -> Column:
@@ -63,7 +68,7 @@ def truncate_at_stop(text: Column) -> Column:
 
 
 def camel_to_snake(name: Column) -> Column:
-    return F.lower(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1_$2"))
+    return F.lower(F.regexp_replace(name, CAMEL_BOUNDARY, "$1_$2"))
 
 
 def normalize_key(name: Column) -> Column:
@@ -73,3 +78,8 @@ def normalize_key(name: Column) -> Column:
 def squash_ws(text: Column) -> Column:
     """Text without spaces and newlines (revision comparison)."""
     return F.regexp_replace(text, r"[ \n]", "")
+
+
+def keep_lines(text: Column, pred) -> Column:
+    """Lines of ``text`` (split on newline) for which ``pred(line)`` holds, joined by newline."""
+    return F.array_join(F.filter(F.split(text, "\n"), pred), "\n")
