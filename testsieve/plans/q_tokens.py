@@ -24,18 +24,20 @@ filt AS (
   WHERE NOT {PUNCT_SQL} OR nsig = 0)"""
 
 
-def _stats_sql(value: str, src: str) -> str:
+def _stats_sql(value: str, src: str, rnd: bool = True) -> str:
     parts = []
+    r = (lambda e: f"round({e}, 6)") if rnd else (lambda e: e)
     for s in ("input", "output"):
         v = f"CASE WHEN section = '{s}' THEN {value} END"
-        parts += [f"round(coalesce(avg({v}), 0.0), 6) AS {s}_mean", f"round(coalesce(max({v}), 0.0), 6) AS {s}_max",
-                  f"round(coalesce(min({v}), 0.0), 6) AS {s}_min", f"round(coalesce(sum({v}), 0.0), 6) AS {s}_sum",
-                  f"CAST(count({v}) AS DOUBLE) AS {s}_total", f"round(coalesce(var_pop({v}), 0.0), 6) AS {s}_variance"]
+        parts += [f"{r(f'coalesce(avg({v}), 0.0)')} AS {s}_mean", f"{r(f'coalesce(max({v}), 0.0)')} AS {s}_max",
+                  f"{r(f'coalesce(min({v}), 0.0)')} AS {s}_min", f"{r(f'coalesce(sum({v}), 0.0)')} AS {s}_sum",
+                  f"CAST(count({v}) AS DOUBLE) AS {s}_total", f"{r(f'coalesce(var_pop({v}), 0.0)')} AS {s}_variance"]
     return (f"SELECT dataset, llm, function_id, test_idx, is_valid, {', '.join(parts)} FROM {src} "
             "GROUP BY dataset, llm, function_id, test_idx, is_valid")
 
 
 FEAT_SQL = with_views("tokens_v") + f", {SCORED_SQL},\nfeat AS ({_stats_sql('entropy', 'filt')})\n"
+FEAT_RAW_SQL = with_views("tokens_v") + f", {SCORED_SQL},\nfeat AS ({_stats_sql('entropy', 'filt', False)})\n"
 PROB_FEAT_SQL = with_views("tokens_v") + f", {SCORED_SQL},\nfeat AS ({_stats_sql('prob', 'filt')})\n"
 
 
