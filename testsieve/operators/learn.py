@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .ranking import ordinal_within
+from .small import bounded
+
+MAX_FOLDS = 100
 
 SEED = 42
 VAR_SMOOTHING = 1e-9
@@ -40,32 +43,42 @@ def _fold_moments(df: DataFrame, features: Sequence[str], fold: str, by: Sequenc
     return df.groupBy(fold, *by).agg(*aggs)
 
 
-def _train_moments(m: DataFrame, features: Sequence[str], fold: str, by: Sequence[str] = (),
-                   classes: Sequence[int] = (0, 1)) -> DataFrame:
-    """Totals over all folds minus the fold itself = the training part of fold f.
-    With a class column, every (fold, class) pair gets a row even when the
-    fold holds no row of that class (grid made by a generator, not a join)."""
-    if by:
-        grid = m.select(fold).distinct().select(fold, F.explode(F.array(*[F.lit(c) for c in classes])).alias(by[0]))
-        m = grid.join(m, [fold, *by], "left")
-    w = Window.partitionBy(*by) if by else Window.partitionBy()
-    cols = ["_n"] + [f"{c}__{t}" for c in features for t in ("n", "s", "q")]
-    return m.select(fold, *by, *[(F.sum(F.coalesce(F.col(c), F.lit(0))).over(w) - F.coalesce(F.col(c), F.lit(0)))
-                                 .alias(c) for c in cols])
+def _collect_moments(df: DataFrame, features: Sequence[str], fold: str, by: Sequence[str], bound: int) -> list[dict]:
+    """The moments as a bounded list of dicts (k folds x classes rows)."""
+    rows = bounded(_fold_moments(df, features, fold, by), bound, "fold moments").collect()
+    return [r.asDict() for r in rows]
+
+
+def _sum_moments(rows: list[dict], features: Sequence[str]) -> dict:
+    keys = ["_n"] + [f"{c}__{t}" for c in features for t in ("n", "s", "q")]
+    return {k: sum((r[k] or 0) for r in rows) for k in keys}
+
+
+def _mean_var(m: dict, c: str, n_all: int | None = None) -> tuple[float | None, float | None]:
+    n, s, q = m[f"{c}__n"], m[f"{c}__s"], m[f"{c}__q"]
+    if not n:
+        return None, None
+    return s / n, (q - s * s / n) / (n_all if n_all else n)
 
 
 def impute_scale_oof(df: DataFrame, features: Sequence[str], fold: str = "fold") -> DataFrame:
     """Mean imputation then standardisation (population deviation, scale 1
-    when the deviation is 0), both fitted on the training folds only."""
-    tm = _train_moments(_fold_moments(df, features, fold), features, fold)
-    stats = []
-    for c in features:
-        n_nn, s, q, n = F.col(f"{c}__n"), F.col(f"{c}__s"), F.col(f"{c}__q"), F.col("_n")
-        mean = F.when(n_nn > 0, s / n_nn)
-        var = F.when(n_nn > 0, F.greatest((q - s * s / n_nn) / n, F.lit(0.0))).otherwise(F.lit(0.0))
-        std = F.sqrt(var)
-        stats += [mean.alias(f"{c}__mean"), F.when(std == 0, F.lit(1.0)).otherwise(std).alias(f"{c}__std")]
-    st = tm.select(fold, *stats)
+    when the deviation is 0), both fitted on the training folds only.
+    Fit = one aggregation to per-fold moments; the k-row parameter table is
+    broadcast back."""
+    rows = _collect_moments(df, features, fold, (), MAX_FOLDS)
+    spark = df.sparkSession
+    params = []
+    for r in rows:
+        train = _sum_moments([o for o in rows if o[fold] != r[fold]], features)
+        vals = [r[fold]]
+        for c in features:
+            mean, var = _mean_var(train, c, train["_n"])
+            std = math.sqrt(max(var, 0.0)) if var is not None else 0.0
+            vals += [mean, std if std != 0 else 1.0]
+        params.append(tuple(vals))
+    schema = f"{fold} int, " + ", ".join(f"`{c}__mean` double, `{c}__std` double" for c in features)
+    st = spark.createDataFrame(params, schema)
     out = df.join(F.broadcast(st), fold)  # k rows
     for c in features:
         out = out.withColumn(c, (F.coalesce(F.col(c), F.col(f"{c}__mean")) - F.col(f"{c}__mean")) / F.col(f"{c}__std"))
@@ -73,31 +86,36 @@ def impute_scale_oof(df: DataFrame, features: Sequence[str], fold: str = "fold")
 
 
 def gaussian_nb_oof(df: DataFrame, features: Sequence[str], label: str, fold: str = "fold",
-                    out: str = "y_prob") -> DataFrame:
+                    out: str = "y_prob", classes: Sequence[int] = (0, 1)) -> DataFrame:
     """Out-of-fold Gaussian naive Bayes, closed form: for held-out fold f the
     class priors, means and population variances come from the other folds;
     variances are smoothed by 1e-9 x the largest feature variance of the
-    training rows.  ``out`` = P(label = 1 | x)."""
-    cm = _train_moments(_fold_moments(df, features, fold, [label]), features, fold, [label])
-    allm = _train_moments(_fold_moments(df, features, fold), features, fold)
-    eps_terms = []
-    for c in features:
-        n, s, q = F.col(f"{c}__n"), F.col(f"{c}__s"), F.col(f"{c}__q")
-        eps_terms.append(F.when(n > 0, (q - s * s / n) / n))
-    eps = allm.select(fold, (F.greatest(*eps_terms) * VAR_SMOOTHING).alias("_eps")) if len(eps_terms) > 1 else \
-        allm.select(fold, (eps_terms[0] * VAR_SMOOTHING).alias("_eps"))
-    tot = allm.select(fold, F.col("_n").alias("_total"))
-    params = cm.join(eps, fold).join(tot, fold)
-    # a class without training rows gets NULL parameters
-    sel = [fold, label, F.when(F.col("_n") > 0, F.log(F.col("_n") / F.col("_total"))).alias("_logprior")]
-    for c in features:
-        n, s, q = F.col(f"{c}__n"), F.col(f"{c}__s"), F.col(f"{c}__q")
-        sel += [F.when(n > 0, s / n).alias(f"{c}__mu"),
-                F.when(n > 0, (q - s * s / n) / n + F.col("_eps")).alias(f"{c}__var")]
-    params = params.select(*sel)
-    # one row per fold with both classes side by side (k rows)
-    wide = params.groupBy(fold).pivot(label, [0, 1]).agg(
-        *[F.first(c).alias(c) for c in ["_logprior"] + [f"{f}__{t}" for f in features for t in ("mu", "var")]])
+    training rows.  ``out`` = P(label = 1 | x).
+
+    Fit: one pass over ``df`` to (fold, class) moments (k x classes rows);
+    the per-fold parameters follow from those sums, as Spark ML's own naive
+    Bayes does from its aggregated sums.  Transform: one broadcast join."""
+    rows = _collect_moments(df, features, fold, [label], MAX_FOLDS * len(classes))
+    spark = df.sparkSession
+    folds = sorted({r[fold] for r in rows})
+    params = []
+    for f in folds:
+        train = [r for r in rows if r[fold] != f]
+        total = _sum_moments(train, features)
+        variances = [_mean_var(total, c)[1] for c in features]
+        eps = VAR_SMOOTHING * max(v for v in variances if v is not None) if any(v is not None for v in variances) else 0.0
+        vals = [f]
+        for cls in classes:
+            cm = _sum_moments([r for r in train if r[label] == cls], features)
+            vals.append(math.log(cm["_n"] / total["_n"]) if cm["_n"] else None)
+            for c in features:
+                mu, var = _mean_var(cm, c)
+                vals += [mu, var + eps if var is not None else None]
+        params.append(tuple(vals))
+    schema = f"{fold} int, " + ", ".join(
+        f"`{cls}__logprior` double, " + ", ".join(f"`{cls}_{c}__mu` double, `{cls}_{c}__var` double" for c in features)
+        for cls in classes)
+    wide = spark.createDataFrame(params, schema)
     j = df.join(F.broadcast(wide), fold, "left")
 
     def loglik(cls: int) -> Column:
@@ -107,11 +125,12 @@ def gaussian_nb_oof(df: DataFrame, features: Sequence[str], label: str, fold: st
             ll = ll - 0.5 * F.log(2 * math.pi * var) - (F.col(c) - mu) * (F.col(c) - mu) / (2 * var)
         return ll
 
-    l0, l1 = loglik(0), loglik(1)
+    l0, l1 = loglik(classes[0]), loglik(classes[1])
     mx = F.greatest(l0, l1)
     p1 = F.exp(l1 - mx) / (F.exp(l0 - mx) + F.exp(l1 - mx))
     # a class absent from the training folds has no parameters: its probability is 0
-    p1 = F.when(F.col("1__logprior").isNull(), F.lit(0.0)).when(F.col("0__logprior").isNull(), F.lit(1.0)).otherwise(p1)
+    p1 = (F.when(F.col(f"{classes[1]}__logprior").isNull(), F.lit(0.0))
+          .when(F.col(f"{classes[0]}__logprior").isNull(), F.lit(1.0)).otherwise(p1))
     return j.select(*df.columns, p1.alias(out))
 
 
