@@ -30,34 +30,44 @@ def token_stats(token_rows: DataFrame, value: str = "entropy", by: Sequence[str]
     return token_rows.groupBy(*by).agg(*aggs)
 
 
-def _array_stats(vals: Column, prefix: str) -> list[Column]:
-    n = F.size(vals)
-    total = F.aggregate(vals, F.lit(0.0), lambda a, x: a + x)
-    mean = F.when(n > 0, total / n).otherwise(F.lit(0.0))
-    var = F.when(n > 0, F.aggregate(vals, F.lit(0.0), lambda a, x: a + (x - total / n) * (x - total / n)) / n) \
-        .otherwise(F.lit(0.0))
-    return [mean.alias(f"{prefix}_mean"),
-            F.coalesce(F.array_max(vals), F.lit(0.0)).alias(f"{prefix}_max"),
-            F.coalesce(F.array_min(vals), F.lit(0.0)).alias(f"{prefix}_min"),
-            total.alias(f"{prefix}_sum"), n.cast("double").alias(f"{prefix}_total"), var.alias(f"{prefix}_variance")]
-
-
 def token_stats_nested(gens: DataFrame, value: str = "entropy", tokens_col: str = "tokens",
                        keep: Sequence[str] = (*TEST_KEY, "is_valid"), punct_filter: bool = True) -> DataFrame:
     """Array form over one generation row: no explode and no shuffle — the
-    features are computed where the generation was read."""
-    from .tokens import punctuation_filter_nested
-    out = list(keep)
+    features are computed where the generation was read.
+
+    Each section's value array and its mean are materialised as columns
+    before the statistics: expressions inside a lambda are not shared, so a
+    mean referenced from the variance lambda would be recomputed per element.
+    Higher-order expressions count as expensive, so Catalyst keeps these
+    projections separate instead of inlining them."""
+    df = gens
     for s in ("input", "output"):
-        sec = F.filter(F.col(tokens_col), lambda t: t["section"] == s)
-        gens = gens.withColumn(f"_{s}", sec)
-        col = punctuation_filter_nested(f"_{s}") if punct_filter else F.col(f"_{s}")
+        df = df.withColumn(f"_{s}", F.filter(F.col(tokens_col), lambda t: t["section"] == s))
+        col = F.col(f"_{s}")
+        if punct_filter:
+            # punctuation-only tokens dropped unless that would empty the section
+            df = df.withColumn(f"_{s}_k", F.filter(col, lambda t: tf.is_signal_token(t["token"])))
+            col = F.when(F.size(f"_{s}_k") == 0, col).otherwise(F.col(f"_{s}_k"))
         if value == "entropy":
             vals = F.transform(col, lambda t: tf.entropy(t["top"]))
         else:
             vals = F.transform(col, lambda t: tf.prob_percent(t["logprob"]))
-        out += _array_stats(vals, s)
-    return gens.select(*out)
+        df = df.withColumn(f"_{s}_v", vals)
+    for s in ("input", "output"):
+        v = F.col(f"_{s}_v")
+        df = (df.withColumn(f"_{s}_n", F.size(v))
+                .withColumn(f"_{s}_sum", F.aggregate(v, F.lit(0.0), lambda a, x: a + x)))
+        df = df.withColumn(f"_{s}_mean", F.when(F.col(f"_{s}_n") > 0, F.col(f"_{s}_sum") / F.col(f"_{s}_n")))
+    out = list(keep)
+    for s in ("input", "output"):
+        v, n, mean = F.col(f"_{s}_v"), F.col(f"_{s}_n"), F.col(f"_{s}_mean")
+        sq = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+        out += [F.coalesce(mean, F.lit(0.0)).alias(f"{s}_mean"),
+                F.coalesce(F.array_max(v), F.lit(0.0)).alias(f"{s}_max"),
+                F.coalesce(F.array_min(v), F.lit(0.0)).alias(f"{s}_min"),
+                F.col(f"_{s}_sum").alias(f"{s}_sum"), n.cast("double").alias(f"{s}_total"),
+                F.when(n > 0, sq / n).otherwise(F.lit(0.0)).alias(f"{s}_variance")]
+    return df.select(*out)
 
 
 def feature_sets(features: DataFrame, sets: str = "all", key: Sequence[str] = TEST_KEY,

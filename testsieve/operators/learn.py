@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..session import checkpointed
 from .ranking import ordinal_within
 from .small import bounded
 
@@ -215,7 +216,7 @@ def oof_scores(df: DataFrame, features: Sequence[str], label: str, fold: str = "
     """Out-of-fold y_prob for every row: a driver loop over the k folds, each
     iteration a distributed fit on the other folds; results united.  The
     input is checkpointed once (lineage cut, survives executor loss)."""
-    base = df.checkpoint(eager=True)
+    base = checkpointed(df)
     parts = []
     for f in range(k):
         train = base.filter(F.col(fold) != f)

@@ -8,7 +8,7 @@ from ..operators import agreement as AG
 from ..operators import learn as L
 from ..operators import metrics as M
 from ..operators import selection as S
-from ..session import scratch_path
+from ..session import checkpointed, scratch_path
 from ..sources import adapters as A
 from .q_tokens import FEAT_RAW_SQL, features
 from .q_windows import N, SEL_SQL, T
@@ -208,7 +208,7 @@ def q_gaussian_nb_oof(spark, sf):
 # ------------------------------------------------------------------ rows only (fitted models)
 @query("train_classifiers")
 def q_train_classifiers(spark, sf):
-    df = learn_frame(spark, sf).checkpoint(eager=True)
+    df = checkpointed(learn_frame(spark, sf))
     train, test = df.filter(F.col("fold") != 0), df.filter(F.col("fold") == 0)
     out = None
     for name in L.MEMBERS:
@@ -220,7 +220,7 @@ def q_train_classifiers(spark, sf):
 
 @query("soft_vote")
 def q_soft_vote(spark, sf):
-    df = learn_frame(spark, sf).checkpoint(eager=True)
+    df = checkpointed(learn_frame(spark, sf))
     v = L.soft_vote(df.filter(F.col("fold") != 0), df.filter(F.col("fold") == 0), FEATS, "is_valid")
     return v.select("function_id", "test_idx", "is_valid", "y_prob")
 

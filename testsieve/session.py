@@ -47,15 +47,19 @@ def get_session(master: str | None = None, app: str = "testsieve",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``
+    (or already set on the SparkContext).
 
     On a cluster this setting points at shared storage and is used as is.
     Only when it is unset (local tests) do we create a scratch folder."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) \
+        or sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="testsieve-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 
@@ -63,3 +67,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A location under the shared checkpoint folder for written stage tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def checkpointed(df):
+    """Reliable checkpoint (lineage cut) into the shared checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
