@@ -139,3 +139,12 @@ def test_results_invariant_to_partitioning(spark, scores):
     a = {tuple(r) for r in S.select_threshold_topn(scores, 0.8, 3).collect()}
     b = {tuple(r) for r in S.select_threshold_topn(scores.repartition(5), 0.8, 3).collect()}
     assert a == b
+
+
+def test_group_kfold_balanced(spark):
+    rows = [(g, i) for g in range(23) for i in range(g % 7 + 1)]
+    df = spark.createDataFrame(rows, "function_id long, test_idx long")
+    f = S.group_kfold(df, 5, mode="balanced").toPandas()
+    assert (f.groupby("function_id").fold.nunique() == 1).all()
+    sizes = f.groupby("fold").size()
+    assert len(sizes) == 5 and sizes.max() - sizes.min() <= 7

@@ -16,7 +16,8 @@ from . import selection as sel
 
 
 def _sum_if(cond: Column) -> Column:
-    return F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
+    """Count of rows meeting ``cond`` (0, not NULL, on empty input)."""
+    return F.coalesce(F.sum(F.when(cond, 1).otherwise(0)), F.lit(0)).cast("bigint")
 
 
 def safe_div(a: Column, b: Column) -> Column:

@@ -32,23 +32,34 @@ def pass_at_k(samples: DataFrame, ks: Sequence[int] = (1, 10, 100)) -> DataFrame
     return rows.filter(F.col("_min_n") >= F.col("k")).select("k", F.round("pass_at_k", 4).alias("pass_at_k"))
 
 
-def merge_ties(scored_clusters: DataFrame, k: int) -> DataFrame:
-    """Clusters of equal (9-decimal) score form one choice group; groups in
-    score order; with G >= k groups the first k get one pick each, otherwise
-    every group gets one and the k - G spare picks are dealt round robin."""
+def _picks(group, n_groups, k):
+    """Picks of a choice group: with G >= k groups the first k get one each;
+    otherwise every group gets one and the k - G spare picks are dealt round
+    robin from the best group on."""
+    return F.when(n_groups >= k, F.when(group < k, 1).otherwise(0)).otherwise(
+        1 + F.greatest(F.lit(0), F.ceil((k - n_groups - group) / n_groups))).cast("int")
+
+
+def _choice_groups(scored_clusters: DataFrame) -> DataFrame:
+    """Clusters of equal (9-decimal) score form one choice group, numbered in
+    score order (0-based), with the number of groups of the task."""
     r = F.round(F.col("score"), 9)
     g = scored_clusters.withColumn("group", F.dense_rank().over(Window.partitionBy("task_id").orderBy(r.desc())) - 1)
-    g = g.withColumn("n_groups", F.max("group").over(Window.partitionBy("task_id")) + 1)
-    spare = F.lit(k) - F.col("n_groups")
-    picks = F.when(F.col("n_groups") >= k, F.when(F.col("group") < k, 1).otherwise(0)).otherwise(
-        1 + F.greatest(F.lit(0), F.ceil((spare - F.col("group")) / F.col("n_groups"))))
-    return g.withColumn("picks", picks.cast("int")).filter(F.col("picks") > 0)
+    return g.withColumn("n_groups", F.max("group").over(Window.partitionBy("task_id")) + 1)
+
+
+def merge_ties(scored_clusters: DataFrame, k: int) -> DataFrame:
+    """Choice groups and their picks for a budget of k choices."""
+    g = _choice_groups(scored_clusters)
+    return g.withColumn("picks", _picks(F.col("group"), F.col("n_groups"), F.lit(k))).filter(F.col("picks") > 0)
 
 
 def ranked_pass_at_k(scored_clusters: DataFrame, sol_truth: DataFrame, samples: DataFrame,
                      ks: Sequence[int] = (1, 2, 10)) -> DataFrame:
     """1 - prod_g ((n_g - c_g)/n_g)^picks_g over merged groups; tasks without
     clusters use their unranked pass@k; mean over ground-truth tasks, 4 decimals.
+    All k are evaluated in one pass: the groups are built once and the k
+    values are generated on the (small) per-group table.
 
     scored_clusters: (task_id, solutions, score) ; sol_truth: (task_id,
     solution_id, sol_freq, passed) ; samples: (task_id, passed) per sample."""
@@ -57,18 +68,13 @@ def ranked_pass_at_k(scored_clusters: DataFrame, sol_truth: DataFrame, samples:
     members = members.join(sol_truth, ["task_id", "solution_id"])
     per_cluster = members.groupBy("task_id", "cluster", "score").agg(
         F.sum("sol_freq").alias("n_g"), F.sum(F.when(F.col("passed"), F.col("sol_freq")).otherwise(0)).alias("c_g"))
-    unranked = pass_at_k_task(samples, ks)
-    out = None
-    for k in ks:
-        groups = (merge_ties(per_cluster, k).groupBy("task_id", "group", "picks")
-                  .agg(F.sum("n_g").alias("n_g"), F.sum("c_g").alias("c_g")))
-        wrong = F.when(F.col("n_g") - F.col("c_g") < 1, F.lit(0.0)).otherwise(
-            (F.col("n_g") - F.col("c_g")) / F.col("n_g"))
-        per_task = groups.groupBy("task_id").agg(F.product(F.pow(wrong, F.col("picks"))).alias("_wrong"))
-        ranked = per_task.select("task_id", (1 - F.col("_wrong")).alias("_p"))
-        all_tasks = unranked.select("task_id", F.col(f"pass_at_{k}").alias("_u"))
-        m = all_tasks.join(ranked, "task_id", "left").agg(
-            F.round(F.avg(F.coalesce(F.col("_p"), F.col("_u"))), 4).alias("pass_at_k"))
-        m = m.select(F.lit(k).alias("k"), "pass_at_k")
-        out = m if out is None else out.unionByName(m)
-    return out
+    groups = (_choice_groups(per_cluster).groupBy("task_id", "group", "n_groups")
+              .agg(F.sum("n_g").alias("n_g"), F.sum("c_g").alias("c_g")))
+    gk = groups.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
+    gk = gk.withColumn("picks", _picks(F.col("group"), F.col("n_groups"), F.col("k"))).filter(F.col("picks") > 0)
+    wrong = F.when(F.col("n_g") - F.col("c_g") < 1, F.lit(0.0)).otherwise((F.col("n_g") - F.col("c_g")) / F.col("n_g"))
+    ranked = gk.groupBy("task_id", "k").agg((1 - F.product(F.pow(wrong, F.col("picks")))).alias("_p"))
+    unranked = pass_at_k_task(samples, ks).select("task_id", F.inline(F.array(*[
+        F.struct(F.lit(k).alias("k"), F.col(f"pass_at_{k}").alias("_u")) for k in ks])))
+    return (unranked.join(ranked, ["task_id", "k"], "left").groupBy("k")
+            .agg(F.round(F.avg(F.coalesce(F.col("_p"), F.col("_u"))), 4).alias("pass_at_k")))

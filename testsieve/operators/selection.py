@@ -116,9 +116,31 @@ def md5_bucket(col: Column, k: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(col.cast("string")), 1, 8), 16, 10).cast("bigint"), F.lit(k)).cast("int")
 
 
-def group_kfold(df: DataFrame, k: int = 5, group: str = "function_id", out: str = "fold") -> DataFrame:
-    """A function never spans two folds: fold = hash(group) mod k."""
-    return df.withColumn(out, md5_bucket(F.col(group), k))
+def group_kfold(df: DataFrame, k: int = 5, group: str = "function_id", out: str = "fold",
+                mode: str = "hash", max_groups: int = 100_000) -> DataFrame:
+    """A function never spans two folds.
+
+    hash:     fold = md5(group) mod k — no driver round trip, any number of groups.
+    balanced: the library's assignment — groups by size (largest first, ties by
+              key) each go to the currently lightest fold.  Needs the group-size
+              table on the driver, so it is refused above ``max_groups`` groups;
+              the assignment (one row per group) is broadcast back."""
+    if mode == "hash":
+        return df.withColumn(out, md5_bucket(F.col(group), k))
+    if mode != "balanced":
+        raise ValueError(mode)
+    from .small import bounded_rows
+    sizes = bounded_rows(df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")), max_groups, "group sizes")
+    load = [0] * k
+    assign = []
+    for r in sorted(sizes, key=lambda r: (-r["_n"], r[group])):
+        f = min(range(k), key=lambda i: (load[i], i))
+        load[f] += r["_n"]
+        assign.append((r[group], f))
+    from pyspark.sql.types import IntegerType, StructField, StructType
+    schema = StructType(list(df.select(group).schema.fields) + [StructField(out, IntegerType())])
+    table = df.sparkSession.createDataFrame(assign, schema)
+    return df.join(F.broadcast(table), group)
 
 
 def stratified_kfold(df: DataFrame, k: int = 5, label: str = "y_true",

@@ -10,8 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def bounded(df: DataFrame, max_rows: int, what: str = "table") -> DataFrame:
+def bounded_rows(df: DataFrame, max_rows: int, what: str = "table") -> list:
+    """The rows of a table whose size is fixed by parameters; fails instead of
+    pulling an unbounded table to the driver."""
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         raise ValueError(f"{what}: more than {max_rows} rows; not a bounded side table")
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    return rows
+
+
+def bounded(df: DataFrame, max_rows: int, what: str = "table") -> DataFrame:
+    return df.sparkSession.createDataFrame(bounded_rows(df, max_rows, what), df.schema)
