@@ -25,13 +25,24 @@ def frames(spark):
 
 
 def _scores(frames, mode):
-    return {tuple(r.solutions): r.score for r in AG.consensus_score(AG.consensus_clusters(frames[3]), mode).collect()}
+    return {r.cluster_id: r.score for r in AG.consensus_score(AG.consensus_clusters(frames[3]), mode).collect()}
 
 
 def test_cluster_scores(frames):
-    assert _scores(frames, "plain") == pytest.approx({(1, 2): 3 ** 0.5 * 2, (3,): 2.0})
-    assert _scores(frames, "weighted") == pytest.approx({(1, 2): 3 ** 0.5 * 1.7, (3,): 0.2})
-    assert _scores(frames, "linear") == pytest.approx({(1, 2): 5.1, (3,): 0.2})
+    assert _scores(frames, "plain") == pytest.approx({1: 3 ** 0.5 * 2, 3: 2.0})
+    assert _scores(frames, "weighted") == pytest.approx({1: 3 ** 0.5 * 1.7, 3: 0.2})
+    assert _scores(frames, "linear") == pytest.approx({1: 5.1, 3: 0.2})
+    members = {r.solution_id: r.cluster_id for r in AG.cluster_members(frames[3]).collect()}
+    assert members == {1: 1, 2: 1, 3: 3}
+
+
+def test_fingerprint_separates_sets(spark):
+    # {1,2} vs {1,3} vs {2,3} vs {1,2,3}: same sizes must not merge
+    rows = [("t", s, t) for s, ts in {1: (1, 2), 2: (1, 3), 3: (2, 3), 4: (1, 2, 3), 5: (2, 1)}.items() for t in ts]
+    ex = spark.createDataFrame(rows, "task_id string, solution_id int, test_id int").withColumn("sol_freq", F.lit(1)) \
+        .withColumn("test_freq", F.lit(1)).withColumn("test_score", F.lit(0.5))
+    got = {r.solution_id: r.cluster_id for r in AG.cluster_members(ex).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
 
 
 def test_rank_best_and_one_shot(frames):
@@ -71,10 +82,13 @@ def test_pass_at_k_non_decreasing_in_k(spark):
 
 
 def _ranked(spark, clusters, truth, ks):
-    cl = spark.createDataFrame(clusters, "task_id string, solutions array<int>, score double")
+    cl = spark.createDataFrame([(t, sols[0], score) for t, sols, score in clusters],
+                               "task_id string, cluster_id int, score double")
+    mb = spark.createDataFrame([(t, s, sols[0]) for t, sols, _ in clusters for s in sols],
+                               "task_id string, solution_id int, cluster_id int")
     st = spark.createDataFrame(truth, "task_id string, solution_id int, sol_freq long, passed boolean")
     samples = st.select("task_id", "passed", F.explode(F.sequence(F.lit(1), "sol_freq")).alias("_")).drop("_")
-    return {r.k: r.pass_at_k for r in PK.ranked_pass_at_k(cl, st, samples, ks).collect()}
+    return {r.k: r.pass_at_k for r in PK.ranked_pass_at_k(cl, mb, st, samples, ks).collect()}
 
 
 def test_ranked_pass_at_k(spark):

@@ -60,21 +60,40 @@ def expand_pairs(pairs: DataFrame, sfreq: DataFrame, tfreq: DataFrame) -> DataFr
             .withColumn("expanded_pairs", F.col("sol_freq") * F.col("test_freq")))
 
 
-def consensus_clusters(expanded: DataFrame) -> DataFrame:
-    """Solutions of a task with the same set of passed tests form a cluster.
-    Per solution: its sorted test set and the set's summed multiplicity and
-    score; then a second grouping by (task, hash(set), set)."""
-    per_sol = expanded.groupBy("task_id", "solution_id").agg(
-        F.sort_array(F.collect_set("test_id")).alias("test_set"),
-        F.first("sol_freq").alias("sol_freq"),
+def solution_sets(expanded: DataFrame) -> DataFrame:
+    """Per (task, solution): an order-independent fingerprint of the set of
+    tests it passes — the set size and two xors of independent 64-bit hashes
+    (different sets agree with probability ~2^-128) — plus the set's summed
+    multiplicity and score.  An aggregation: no set is materialised, so a
+    solution passing millions of tests costs no more memory than one passing two."""
+    return expanded.groupBy("task_id", "solution_id").agg(
+        F.count(F.lit(1)).alias("set_size"),
+        F.bit_xor(F.xxhash64("test_id")).alias("_fp1"),
+        F.bit_xor(F.xxhash64(F.lit("second hash"), "test_id")).alias("_fp2"),
+        F.max("sol_freq").alias("sol_freq"),
         F.sum("test_freq").alias("set_tests"),
         F.sum("test_score").alias("set_score"))
-    per_sol = per_sol.withColumn("set_hash", F.xxhash64("test_set"))
-    return per_sol.groupBy("task_id", "set_hash", "test_set").agg(
-        F.sort_array(F.collect_list("solution_id")).alias("solutions"),
+
+
+_FP = ["task_id", "set_size", "_fp1", "_fp2"]
+
+
+def consensus_clusters(expanded: DataFrame) -> DataFrame:
+    """Solutions of a task with the same set of passed tests form a cluster,
+    named by its lowest solution id.  Grouping is on the set fingerprint."""
+    return solution_sets(expanded).groupBy(*_FP).agg(
+        F.min("solution_id").alias("cluster_id"),
         F.sum("sol_freq").alias("n_solutions"),
-        F.first("set_tests").alias("n_tests"),
-        F.first("set_score").alias("tests_score")).drop("set_hash")
+        F.max("set_tests").alias("n_tests"),
+        F.max("set_score").alias("tests_score")).drop("_fp1", "_fp2")
+
+
+def cluster_members(expanded: DataFrame) -> DataFrame:
+    """Membership (task, solution, cluster) as rows — the relational form of
+    the reference's per-cluster solution lists."""
+    sets = solution_sets(expanded)
+    ids = sets.groupBy(*_FP).agg(F.min("solution_id").alias("cluster_id"))
+    return sets.join(ids, _FP).select("task_id", "solution_id", "cluster_id")
 
 
 def consensus_score(clusters: DataFrame, mode: str = "plain") -> DataFrame:
@@ -93,16 +112,20 @@ def consensus_score(clusters: DataFrame, mode: str = "plain") -> DataFrame:
 
 
 def rank_clusters(scored: DataFrame) -> DataFrame:
-    """Clusters ordered by score (desc) per task; ties by the lowest solution id."""
-    w = Window.partitionBy("task_id").orderBy(F.col("score").desc(), F.element_at("solutions", 1).asc())
-    return scored.withColumn("rank", F.row_number().over(w))
+    """Clusters ordered by score (desc) per task; ties by the lowest solution
+    id.  Range-partitioned ordinals: a task with very many clusters is spread
+    over all tasks instead of being sorted in one."""
+    from .ranking import ordinal_within
+    r = ordinal_within(scored, "task_id", [F.col("score").desc(), F.col("cluster_id").asc()], out="_r",
+                       few_classes=False)
+    return r.withColumn("rank", (F.col("_r") + 1).cast("int")).drop("_r", "_r_n")
 
 
 def best_solution(ranked: DataFrame, solutions: DataFrame) -> DataFrame:
-    """The first solution of the top cluster; tasks without a cluster fall back
-    to their first sample."""
+    """The first (lowest) solution of the top cluster; tasks without a cluster
+    fall back to their first sample."""
     top = (ranked.filter(F.col("rank") == 1)
-           .select("task_id", F.element_at("solutions", 1).alias("solution_id"), F.lit("cluster").alias("source")))
+           .select("task_id", F.col("cluster_id").alias("solution_id"), F.lit("cluster").alias("source")))
     first = one_shot(solutions).withColumn("source", F.lit("first_sample"))
     return first.join(top.select("task_id"), "task_id", "left_anti").unionByName(top)
 

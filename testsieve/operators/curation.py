@@ -42,17 +42,23 @@ def relabel(tests: DataFrame, new_results: DataFrame, key=("function_id", "test_
 
 
 def prompt_assembly(functions: DataFrame, invalid_tests: DataFrame, instruction: str,
-                    fkey: str = "function_id", order_key: str = "test_idx") -> DataFrame:
-    """One prompt per function with invalid tests: instruction, description,
+                    fkey: str = "function_id", order_key: str = "test_idx",
+                    tests_per_prompt: int = 50) -> DataFrame:
+    """Prompts for the functions with invalid tests: instruction, description,
     the invalid tests in order (each with its observed and expected value),
-    then the implementation.  The list spans one function's invalid tests."""
+    then the implementation.  A function with more than ``tests_per_prompt``
+    invalid tests gets several prompts (``part`` 0, 1, ...) covering all of
+    them in order — a hot function is split, never dropped or truncated."""
+    from .ranking import ordinal_within
     piece = F.concat(F.col("text"), F.lit(" \n"),
                      F.when(F.col("actual").isNotNull(), F.concat(
                          F.lit("\nBy running the test cases, we can see that the actual output is: "), F.col("actual"),
                          F.lit(" but the expected output is: "), F.col("expected"), F.lit("\n"))).otherwise(F.lit("")))
-    tests = (invalid_tests.withColumn("_piece", piece).groupBy(fkey)
+    numbered = ordinal_within(invalid_tests, fkey, [order_key], out="_o", few_classes=False)
+    parts = (numbered.withColumn("part", F.floor(F.col("_o") / tests_per_prompt).cast("int"))
+             .withColumn("_piece", piece).groupBy(fkey, "part")
              .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order_key, "_piece"))),
                                            lambda s: s["_piece"]), "").alias("_tests")))
-    return functions.join(tests, fkey).select(fkey, F.concat(
+    return functions.join(parts, fkey).select(fkey, "part", F.concat(
         F.lit(instruction), F.lit("\nfunction description:\n"), F.col("description"), F.lit("\ngenerated tests:\n"),
         F.col("_tests"), F.lit("\nfunction implementation:\n"), F.col("solution")).alias("prompt"))

@@ -40,16 +40,16 @@ def drop_subprocess_tests(tests: DataFrame, text: str = "text") -> DataFrame:
 def validity_filter_by_prediction(prompts: DataFrame, functions: DataFrame, tests: DataFrame,
                                   prompt: str = "prompt", fkey: str = "function_id",
                                   order_key: str = "test_idx") -> DataFrame:
-    """For each prompt, the texts of the predicted-valid tests of the first
-    function (lowest ``fkey``) with that prompt; ``['No Tests']`` when none
-    matches.  The per-prompt list holds the tests of one function only.
-    Long prompts are joined on ``xxhash64`` plus equality."""
+    """For each prompt, the predicted-valid tests of the first function (lowest
+    ``fkey``) with that prompt, one row per test: (prompt, fkey, order_key,
+    test).  A prompt without a function gives one row with test 'No Tests'; a
+    matched function without a valid test gives one row with NULL test.  Rows,
+    not a list per prompt, so a function with millions of tests is never one
+    value.  Long prompts are joined on ``xxhash64`` plus equality."""
     first = (functions.withColumn("_h", F.xxhash64(prompt))
              .groupBy("_h", prompt).agg(F.min(fkey).alias(fkey)))
-    kept = tests.filter(F.col("prediction_is_valid") == 1)
-    lists = (kept.groupBy(fkey)
-             .agg(F.transform(F.sort_array(F.collect_list(F.struct(order_key, "text"))), lambda s: s["text"]).alias("tests")))
-    p = prompts.withColumn("_h", F.xxhash64(prompt))
-    out = (p.join(first, ["_h", prompt], "left").join(lists, fkey, "left"))
-    return out.select(prompt, F.when(F.col(fkey).isNull(), F.array(F.lit("No Tests")))
-                      .otherwise(F.coalesce(F.col("tests"), F.array().cast("array<string>"))).alias("tests"))
+    kept = tests.filter(F.col("prediction_is_valid") == 1).select(fkey, order_key, F.col("text").alias("_t"))
+    p = prompts.withColumn("_h", F.xxhash64(prompt)).join(first, ["_h", prompt], "left")
+    out = p.join(kept, fkey, "left")
+    return out.select(prompt, fkey, order_key,
+                      F.when(F.col(fkey).isNull(), F.lit("No Tests")).otherwise(F.col("_t")).alias("test"))

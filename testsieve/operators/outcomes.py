@@ -160,13 +160,14 @@ def category_counts_by_prediction(categorized: DataFrame, pred: str = "predictio
 
 
 def all_tests_pass(results: DataFrame, task: str = "task_id", case: str = "case_idx") -> DataFrame:
-    """Per task: did every case pass; failure messages 'Test i: msg' (1-based,
-    'Output mismatch' when empty) joined with '; ' in case order."""
-    failed = ~F.col("passed")
-    msg = F.when(failed, F.struct(F.col(case).alias("i"), F.concat(
-        F.lit("Test "), (F.col(case) + 1).cast("string"), F.lit(": "),
-        F.coalesce(F.nullif(F.col("error_msg"), F.lit("")), F.lit("Output mismatch"))).alias("m")))
-    a = results.groupBy(task).agg(F.bool_and("passed").alias("passed"),
-                                  F.sort_array(F.collect_list(msg)).alias("_msgs"))
-    return a.select(task, "passed", F.when(F.size("_msgs") > 0,
-                                           F.array_join(F.transform("_msgs", lambda s: s["m"]), "; ")).alias("error_message"))
+    """Per task: did every case pass; each failing case as a row with its
+    message 'Test i: msg' (1-based, 'Output mismatch' when empty).  The
+    reference joins these messages with '; ' in case order; rows keep a task
+    with millions of cases from becoming one value.  Tasks without a failure
+    get one row with NULL case and message."""
+    summary = results.groupBy(task).agg(F.bool_and("passed").alias("passed"))
+    fails = results.filter(~F.col("passed")).select(
+        task, F.col(case).alias("failed_case"),
+        F.concat(F.lit("Test "), (F.col(case) + 1).cast("string"), F.lit(": "),
+                 F.coalesce(F.nullif(F.col("error_msg"), F.lit("")), F.lit("Output mismatch"))).alias("error_message"))
+    return summary.join(fails, task, "left")

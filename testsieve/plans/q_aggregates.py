@@ -183,10 +183,11 @@ def q_category_counts_by_prediction(spark, sf):
 @query("all_tests_pass", with_views("outcomes_v") + """
 , r AS (SELECT test_idx // 8 AS task_id, test_idx % 8 AS case_idx, contains(output, 'OK') AS passed, output AS error_msg
         FROM outcomes_v)
-SELECT task_id, bool_and(passed) AS passed,
-       string_agg(CASE WHEN NOT passed THEN 'Test ' || CAST(case_idx + 1 AS VARCHAR) || ': '
-                       || coalesce(nullif(error_msg, ''), 'Output mismatch') END, '; ' ORDER BY case_idx) AS error_message
-FROM r GROUP BY task_id""")
+SELECT s.task_id, s.passed, f.failed_case, f.error_message
+FROM (SELECT task_id, bool_and(passed) AS passed FROM r GROUP BY task_id) s
+LEFT JOIN (SELECT task_id, case_idx AS failed_case, 'Test ' || CAST(case_idx + 1 AS VARCHAR) || ': '
+                  || coalesce(nullif(error_msg, ''), 'Output mismatch') AS error_message FROM r WHERE NOT passed) f
+  ON s.task_id = f.task_id""")
 def q_all_tests_pass(spark, sf):
     o = A.outcomes_v(spark, sf)
     r = o.select(F.floor(F.col("test_idx") / 8).cast("bigint").alias("task_id"),

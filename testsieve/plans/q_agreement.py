@@ -24,12 +24,14 @@ ex AS (SELECT pp.task_id, pp.solution_id, pp.test_id, sf.sol_freq, tf.test_freq,
                JOIN tf ON pp.task_id = tf.task_id AND pp.test_id = tf.test_id),
 ps AS (SELECT task_id, solution_id, list_sort(list(test_id)) AS test_set, first(sol_freq) AS sol_freq,
               CAST(sum(test_freq) AS BIGINT) AS set_tests, sum(test_score) AS set_score FROM ex GROUP BY task_id, solution_id),
-cl AS (SELECT task_id, test_set, list_sort(list(solution_id)) AS solutions, CAST(sum(sol_freq) AS BIGINT) AS n_solutions,
-              first(set_tests) AS n_tests, first(set_score) AS tests_score FROM ps GROUP BY task_id, test_set),
+cl AS (SELECT task_id, test_set, min(solution_id) AS cluster_id, CAST(len(test_set) AS BIGINT) AS set_size,
+              CAST(sum(sol_freq) AS BIGINT) AS n_solutions, first(set_tests) AS n_tests, first(set_score) AS tests_score
+       FROM ps GROUP BY task_id, test_set),
+mb AS (SELECT ps.task_id, ps.solution_id, cl.cluster_id FROM ps JOIN cl ON ps.task_id = cl.task_id AND ps.test_set = cl.test_set),
 sc AS (SELECT *, sqrt(n_solutions) * n_tests AS score FROM cl),
-rk AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, solutions[1]) AS rank FROM sc),
+rk AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, cluster_id) AS rank FROM sc),
 os AS (SELECT task_id, arg_min(solution_id, sample_idx) AS solution_id FROM solutions_v GROUP BY task_id),
-best AS (SELECT task_id, solutions[1] AS solution_id, 'cluster' AS source FROM rk WHERE rank = 1
+best AS (SELECT task_id, cluster_id AS solution_id, 'cluster' AS source FROM rk WHERE rank = 1
          UNION ALL SELECT task_id, solution_id, 'first_sample' FROM os WHERE task_id NOT IN (SELECT task_id FROM rk))
 """
 
@@ -47,6 +49,11 @@ def clusters(spark, sf, mode="plain"):
     return AG.consensus_score(AG.consensus_clusters(expanded), mode)
 
 
+def members(spark, sf):
+    *_, expanded = frames(spark, sf)
+    return AG.cluster_members(expanded)
+
+
 def best(spark, sf):
     sols = A.solutions_v(spark, sf)
     return AG.best_solution(AG.rank_clusters(clusters(spark, sf)), sols)
@@ -62,32 +69,38 @@ def q_expand_pairs(spark, sf):
     return frames(spark, sf)[5].select("task_id", "solution_id", "test_id", "sol_freq", "test_freq", "expanded_pairs")
 
 
-@query("consensus_clusters", AG_SQL + "SELECT task_id, test_set, solutions, n_solutions, n_tests FROM cl")
+@query("consensus_clusters", AG_SQL + "SELECT task_id, cluster_id, set_size, n_solutions, n_tests FROM cl")
 def q_consensus_clusters(spark, sf):
     *_, expanded = frames(spark, sf)
-    return AG.consensus_clusters(expanded).select("task_id", "test_set", "solutions", "n_solutions", "n_tests")
+    return AG.consensus_clusters(expanded).select("task_id", "cluster_id", "set_size", "n_solutions", "n_tests")
+
+
+@query("cluster_members", AG_SQL + "SELECT task_id, solution_id, cluster_id FROM mb")
+def q_cluster_members(spark, sf):
+    *_, expanded = frames(spark, sf)
+    return AG.cluster_members(expanded)
 
 
-@query("consensus_score", AG_SQL + "SELECT task_id, solutions, round(score, 6) AS score FROM sc")
+@query("consensus_score", AG_SQL + "SELECT task_id, cluster_id, round(score, 6) AS score FROM sc")
 def q_consensus_score(spark, sf):
-    return r6(clusters(spark, sf).select("task_id", "solutions", "score"))
+    return r6(clusters(spark, sf).select("task_id", "cluster_id", "score"))
 
 
 @query("consensus_score_weighted", AG_SQL +
-       "SELECT task_id, solutions, round(sqrt(n_solutions) * tests_score, 6) AS score FROM cl")
+       "SELECT task_id, cluster_id, round(sqrt(n_solutions) * tests_score, 6) AS score FROM cl")
 def q_consensus_score_weighted(spark, sf):
-    return r6(clusters(spark, sf, "weighted").select("task_id", "solutions", "score"))
+    return r6(clusters(spark, sf, "weighted").select("task_id", "cluster_id", "score"))
 
 
 @query("consensus_linear_weighted", AG_SQL +
-       "SELECT task_id, solutions, round(n_solutions * coalesce(tests_score, n_tests), 6) AS score FROM cl")
+       "SELECT task_id, cluster_id, round(n_solutions * coalesce(tests_score, n_tests), 6) AS score FROM cl")
 def q_consensus_linear_weighted(spark, sf):
-    return r6(clusters(spark, sf, "linear").select("task_id", "solutions", "score"))
+    return r6(clusters(spark, sf, "linear").select("task_id", "cluster_id", "score"))
 
 
-@query("rank_clusters", AG_SQL + "SELECT task_id, solutions, round(score, 6) AS score, rank FROM rk")
+@query("rank_clusters", AG_SQL + "SELECT task_id, cluster_id, round(score, 6) AS score, rank FROM rk")
 def q_rank_clusters(spark, sf):
-    return r6(AG.rank_clusters(clusters(spark, sf)).select("task_id", "solutions", "score", "rank"))
+    return r6(AG.rank_clusters(clusters(spark, sf)).select("task_id", "cluster_id", "score", "rank"))
 
 
 @query("best_solution", AG_SQL + "SELECT task_id, solution_id, source FROM best")

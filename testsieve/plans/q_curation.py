@@ -59,8 +59,9 @@ WITH t AS (SELECT d.doc_id // 10 AS function_id, d.doc_id AS test_idx, l.quality
 inv AS (SELECT function_id, test_idx, text || ' ' || chr(10) || chr(10) || 'By running the test cases, we can see that the actual output is: '
                || CAST(toxic AS VARCHAR) || ' but the expected output is: ' || CAST(is_valid AS VARCHAR) || chr(10) AS piece
         FROM t WHERE is_valid = 0),
-g AS (SELECT function_id, string_agg(piece, '' ORDER BY test_idx) AS tests FROM inv GROUP BY function_id)
-SELECT function_id, '{INSTRUCTION}' || chr(10) || 'function description:' || chr(10) || 'Function ' || CAST(function_id AS VARCHAR)
+n AS (SELECT *, CAST((row_number() OVER (PARTITION BY function_id ORDER BY test_idx) - 1) // 50 AS INTEGER) AS part FROM inv),
+g AS (SELECT function_id, part, string_agg(piece, '' ORDER BY test_idx) AS tests FROM n GROUP BY function_id, part)
+SELECT function_id, part, '{INSTRUCTION}' || chr(10) || 'function description:' || chr(10) || 'Function ' || CAST(function_id AS VARCHAR)
        || chr(10) || 'generated tests:' || chr(10) || tests || chr(10) || 'function implementation:' || chr(10)
        || 'def f(x):' || chr(10) || '    return x' AS prompt FROM g""")
 def q_prompt_assembly(spark, sf):

@@ -49,12 +49,13 @@ def q_drop_subprocess_tests(spark, sf):
 
 @query("validity_filter_by_prediction", """
 WITH f AS (SELECT text AS prompt, min(doc_id) AS function_id FROM documents GROUP BY text),
-t AS (SELECT doc_id AS function_id, i AS test_idx, string_split(text, chr(10))[i] AS line
+t AS (SELECT doc_id AS function_id, CAST(i - 1 AS INTEGER) AS test_idx, string_split(text, chr(10))[i] AS line
       FROM documents, range(1, len(string_split(text, chr(10))) + 1) r(i)),
-l AS (SELECT function_id, list(line ORDER BY test_idx) AS tests FROM t WHERE contains(line, ',') GROUP BY function_id),
+v AS (SELECT * FROM t WHERE contains(line, ',')),
 p AS (SELECT text AS prompt FROM documents UNION ALL SELECT text FROM benchmark)
-SELECT p.prompt, CASE WHEN f.function_id IS NULL THEN ['No Tests'] ELSE coalesce(l.tests, []) END AS tests
-FROM p LEFT JOIN f ON p.prompt = f.prompt LEFT JOIN l ON f.function_id = l.function_id""")
+SELECT md5(p.prompt) AS prompt_md5, f.function_id, v.test_idx,
+       CASE WHEN f.function_id IS NULL THEN 'No Tests' ELSE v.line END AS test
+FROM p LEFT JOIN f ON p.prompt = f.prompt LEFT JOIN v ON f.function_id = v.function_id""")
 def q_validity_filter_by_prediction(spark, sf):
     d = load(spark, sf, "documents", "doc_id", "text")
     functions = d.select(F.col("doc_id").alias("function_id"), F.col("text").alias("prompt"))
@@ -63,4 +64,5 @@ def q_validity_filter_by_prediction(spark, sf):
     tests = tests.withColumn("prediction_is_valid", F.when(F.col("text").contains(","), 1).otherwise(0))
     prompts = d.select(F.col("text").alias("prompt")).unionByName(
         load(spark, sf, "benchmark", "text").select(F.col("text").alias("prompt")))
-    return FL.validity_filter_by_prediction(prompts, functions, tests)
+    out = FL.validity_filter_by_prediction(prompts, functions, tests)
+    return out.select(F.md5("prompt").alias("prompt_md5"), "function_id", "test_idx", "test")

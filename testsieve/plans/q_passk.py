@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..operators import agreement as AG
 from ..operators import passk as PK
 from ..sources import adapters as A
-from .q_agreement import AG_SQL, clusters
+from .q_agreement import AG_SQL, clusters, members
 from .registry import query, r6
 
 
@@ -52,13 +52,14 @@ pk AS (SELECT kk.k, gr2.*, CAST(CASE WHEN ng >= kk.k THEN CASE WHEN grp < kk.k T
 
 
 @query("merge_ties", AG_SQL + MERGE_SQL.format(src="sc") + """
-SELECT task_id, solutions, grp AS "group", picks FROM pk WHERE k = 3 AND picks > 0""")
+SELECT task_id, cluster_id, grp AS "group", picks FROM pk WHERE k = 3 AND picks > 0""")
 def q_merge_ties(spark, sf):
-    return PK.merge_ties(clusters(spark, sf), 3).select("task_id", "solutions", "group", "picks")
+    return PK.merge_ties(clusters(spark, sf), 3).select("task_id", "cluster_id", "group", "picks")
 
 
 @query("ranked_pass_at_k", PK_SQL + """
-, mem AS (SELECT task_id, score, solutions[1] AS cid, unnest(solutions) AS solution_id FROM sc),
+, mem AS (SELECT mb.task_id, sc.score, mb.cluster_id AS cid, mb.solution_id FROM mb
+         JOIN sc ON mb.task_id = sc.task_id AND mb.cluster_id = sc.cluster_id),
 st AS (SELECT f.task_id, f.solution_id, f.sol_freq, g.passed FROM sf f
        JOIN ground_truth_v g ON f.task_id = g.task_id AND f.solution_id = g.solution_id),
 pc AS (SELECT m.task_id, m.cid, m.score, sum(st.sol_freq) AS n_g,
@@ -75,4 +76,4 @@ FROM u LEFT JOIN rt ON u.k = rt.k AND u.task_id = rt.task_id GROUP BY u.k""")
 def q_ranked_pass_at_k(spark, sf):
     sols = A.solutions_v(spark, sf)
     truth = AG.sol_freq(sols).join(A.ground_truth_v(spark, sf), ["task_id", "solution_id"])
-    return r6(PK.ranked_pass_at_k(clusters(spark, sf), truth, samples(spark, sf), (1, 2, 10)))
+    return r6(PK.ranked_pass_at_k(clusters(spark, sf), members(spark, sf), truth, samples(spark, sf), (1, 2, 10)))

@@ -122,12 +122,13 @@ def solutions_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tests_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tests(task_id, sample_idx, pos, test_id, text, score): a sample is the
     generation (task, event_id % 7); its tests are ordered by event_id."""
-    r = exec_rows_v(spark, sf_dir)
-    w = Window.partitionBy("task_id", "solution_id").orderBy("event_id")
+    from ..operators.ranking import ordinal_within
+    r = exec_rows_v(spark, sf_dir).withColumn("_sample", F.concat_ws("/", "task_id", F.col("solution_id").cast("string")))
+    r = ordinal_within(r, "_sample", ["event_id"], out="pos", few_classes=False)
     return r.select(
         "task_id",
         F.col("solution_id").alias("sample_idx"),
-        (F.row_number().over(w) - 1).alias("pos"),
+        F.col("pos").cast("int").alias("pos"),
         "test_id",
         F.concat(F.lit("assert candidate("), F.col("test_id").cast("string"), F.lit(")")).alias("text"),
         "score",
