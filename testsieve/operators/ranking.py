@@ -27,10 +27,11 @@ def ordinal_within(df: DataFrame, by: str, order: Sequence[str | Column], out: s
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, F.col(by), *order_cols).withColumn("_pid", F.spark_partition_id())
-    # The partition id is read twice below (counts, and the join back).  Under
-    # AQE two consumers of one shuffle may coalesce its partitions
-    # differently, so the tagged rows are stored once and both branches read
-    # the stored ids (a lost block is recomputed from the same shuffle output).
+    # The partition id is read twice below (counts, and the join back).  A
+    # range exchange samples its bounds each time it is evaluated (the seed
+    # depends on the RDD id), so two unshared evaluations may split the rows
+    # differently: the tagged rows are stored once and both branches read the
+    # stored ids (a lost block is recomputed from the same shuffle dependency).
     local = ranged.withColumn(
         "_local", F.row_number().over(Window.partitionBy("_pid", by).orderBy(*order_cols)) - 1
     ).persist(StorageLevel.MEMORY_AND_DISK)

@@ -29,7 +29,7 @@ cl AS (SELECT task_id, test_set, min(solution_id) AS cluster_id, CAST(len(test_s
        FROM ps GROUP BY task_id, test_set),
 mb AS (SELECT ps.task_id, ps.solution_id, cl.cluster_id FROM ps JOIN cl ON ps.task_id = cl.task_id AND ps.test_set = cl.test_set),
 sc AS (SELECT *, sqrt(n_solutions) * n_tests AS score FROM cl),
-rk AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, cluster_id) AS rank FROM sc),
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY task_id ORDER BY score DESC, cluster_id) AS INTEGER) AS rank FROM sc),
 os AS (SELECT task_id, arg_min(solution_id, sample_idx) AS solution_id FROM solutions_v GROUP BY task_id),
 best AS (SELECT task_id, cluster_id AS solution_id, 'cluster' AS source FROM rk WHERE rank = 1
          UNION ALL SELECT task_id, solution_id, 'first_sample' FROM os WHERE task_id NOT IN (SELECT task_id FROM rk))

@@ -52,7 +52,7 @@ pk AS (SELECT kk.k, gr2.*, CAST(CASE WHEN ng >= kk.k THEN CASE WHEN grp < kk.k T
 
 
 @query("merge_ties", AG_SQL + MERGE_SQL.format(src="sc") + """
-SELECT task_id, cluster_id, grp AS "group", picks FROM pk WHERE k = 3 AND picks > 0""")
+SELECT task_id, cluster_id, CAST(grp AS INTEGER) AS "group", picks FROM pk WHERE k = 3 AND picks > 0""")
 def q_merge_ties(spark, sf):
     return PK.merge_ties(clusters(spark, sf), 3).select("task_id", "cluster_id", "group", "picks")
 
