@@ -82,13 +82,20 @@ def test_pass_at_k_non_decreasing_in_k(spark):
 
 
 def _ranked(spark, clusters, truth, ks):
-    cl = spark.createDataFrame([(t, sols[0], score) for t, sols, score in clusters],
-                               "task_id string, cluster_id int, score double")
-    mb = spark.createDataFrame([(t, s, sols[0]) for t, sols, _ in clusters for s in sols],
-                               "task_id string, solution_id int, cluster_id int")
+    t = {s: (f, p) for _, s, f, p in truth}
+    per = [(task, sols[0], score, sum(t[s][0] for s in sols), sum(t[s][0] for s in sols if t[s][1]))
+           for task, sols, score in clusters]
+    pc = spark.createDataFrame(per, "task_id string, cluster_id int, score double, n_g long, c_g long")
     st = spark.createDataFrame(truth, "task_id string, solution_id int, sol_freq long, passed boolean")
     samples = st.select("task_id", "passed", F.explode(F.sequence(F.lit(1), "sol_freq")).alias("_")).drop("_")
-    return {r.k: r.pass_at_k for r in PK.ranked_pass_at_k(cl, mb, st, samples, ks).collect()}
+    return {r.k: r.pass_at_k for r in PK.ranked_pass_at_k(pc, samples, ks).collect()}
+
+
+def test_cluster_truth(frames, spark):
+    truth = spark.createDataFrame([("t", 1, True), ("t", 2, False), ("t", 3, True), ("t", 4, False)],
+                                  "task_id string, solution_id int, passed boolean")
+    got = {r.cluster_id: (r.n_g, r.c_g) for r in AG.cluster_truth(frames[3], truth).collect()}
+    assert got == {1: (3, 2), 3: (1, 1)}
 
 
 def test_ranked_pass_at_k(spark):

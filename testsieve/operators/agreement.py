@@ -96,6 +96,22 @@ def cluster_members(expanded: DataFrame) -> DataFrame:
     return sets.join(ids, _FP).select("task_id", "solution_id", "cluster_id")
 
 
+def cluster_truth(expanded: DataFrame, sol_truth: DataFrame, mode: str = "plain") -> DataFrame:
+    """Per cluster in one aggregation over the solution fingerprints: its
+    score, and n_g / c_g = solutions (with multiplicity) and correct ones
+    among them — the inputs of ranked pass@k.  sol_truth: (task_id,
+    solution_id, passed)."""
+    sets = solution_sets(expanded).join(sol_truth.select("task_id", "solution_id", "passed"),
+                                        ["task_id", "solution_id"], "left")
+    per = sets.groupBy(*_FP).agg(
+        F.min("solution_id").alias("cluster_id"),
+        F.sum("sol_freq").alias("n_solutions"),
+        F.max("set_tests").alias("n_tests"),
+        F.max("set_score").alias("tests_score"),
+        F.sum(F.when(F.col("passed"), F.col("sol_freq")).otherwise(0)).alias("c_g")).drop("_fp1", "_fp2")
+    return consensus_score(per, mode).withColumn("n_g", F.col("n_solutions"))
+
+
 def consensus_score(clusters: DataFrame, mode: str = "plain") -> DataFrame:
     """plain: sqrt(solutions) x tests;  weighted: sqrt(solutions) x summed test
     scores;  linear: solutions x summed scores (plain count when no score)."""

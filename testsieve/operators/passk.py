@@ -42,14 +42,16 @@ def _picks(group, n_groups, k):
 
 def _choice_groups(scored_clusters: DataFrame) -> DataFrame:
     """Clusters of equal (9-decimal) score form one choice group, numbered in
-    score order (0-based), with the number of groups of the task.  The dense
-    rank is the ordinal of the score among the task's distinct scores
-    (range-partitioned, so no task is sorted in one piece), joined back."""
-    from .ranking import ordinal_within
+    score order (0-based), with the number of groups of the task.  The window
+    runs over the task's distinct scores only (partial aggregation first): a
+    score is sqrt(solutions) x tests, so a task has no more distinct scores
+    than distinct (multiplicity, set weight) pairs, whatever its cluster count."""
     sc = scored_clusters.withColumn("_r9", F.round(F.col("score"), 9))
     distinct = sc.select("task_id", "_r9").distinct()
-    g = ordinal_within(distinct, "task_id", [F.col("_r9").desc()], out="_g", few_classes=False)
-    g = g.select("task_id", "_r9", F.col("_g").cast("int").alias("group"), F.col("_g_n").cast("int").alias("n_groups"))
+    w = Window.partitionBy("task_id")
+    g = distinct.select("task_id", "_r9",
+                        (F.row_number().over(w.orderBy(F.col("_r9").desc())) - 1).cast("int").alias("group"),
+                        F.count(F.lit(1)).over(w).cast("int").alias("n_groups"))
     return sc.join(g, ["task_id", "_r9"]).drop("_r9")
 
 
@@ -59,22 +61,16 @@ def merge_ties(scored_clusters: DataFrame, k: int) -> DataFrame:
     return g.withColumn("picks", _picks(F.col("group"), F.col("n_groups"), F.lit(k))).filter(F.col("picks") > 0)
 
 
-def ranked_pass_at_k(scored_clusters: DataFrame, members: DataFrame, sol_truth: DataFrame, samples: DataFrame,
-                     ks: Sequence[int] = (1, 2, 10)) -> DataFrame:
+def ranked_pass_at_k(per_cluster: DataFrame, samples: DataFrame, ks: Sequence[int] = (1, 2, 10)) -> DataFrame:
     """1 - prod_g ((n_g - c_g)/n_g)^picks_g over merged groups; tasks without
     clusters use their unranked pass@k; mean over ground-truth tasks, 4 decimals.
     All k are evaluated in one pass: the groups are built once and the k
     values are generated on the (small) per-group table.
 
-    scored_clusters: (task_id, cluster_id, score) ; members: (task_id,
-    solution_id, cluster_id) ; sol_truth: (task_id, solution_id, sol_freq,
-    passed) ; samples: (task_id, passed) per sample."""
-    per_cluster = (members.join(sol_truth, ["task_id", "solution_id"]).groupBy("task_id", "cluster_id")
-                   .agg(F.sum("sol_freq").alias("n_g"),
-                        F.sum(F.when(F.col("passed"), F.col("sol_freq")).otherwise(0)).alias("c_g"))
-                   .join(scored_clusters.select("task_id", "cluster_id", "score"), ["task_id", "cluster_id"]))
-    groups = (_choice_groups(per_cluster).groupBy("task_id", "group", "n_groups")
-              .agg(F.sum("n_g").alias("n_g"), F.sum("c_g").alias("c_g")))
+    per_cluster: (task_id, cluster_id, score, n_g, c_g) — see
+    ``agreement.cluster_truth`` ; samples: (task_id, passed) per sample."""
+    groups = (_choice_groups(per_cluster.select("task_id", "cluster_id", "score", "n_g", "c_g"))
+              .groupBy("task_id", "group", "n_groups").agg(F.sum("n_g").alias("n_g"), F.sum("c_g").alias("c_g")))
     gk = groups.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
     gk = gk.withColumn("picks", _picks(F.col("group"), F.col("n_groups"), F.col("k"))).filter(F.col("picks") > 0)
     wrong = F.when(F.col("n_g") - F.col("c_g") < 1, F.lit(0.0)).otherwise((F.col("n_g") - F.col("c_g")) / F.col("n_g"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..operators import agreement as AG
 from ..operators import passk as PK
 from ..sources import adapters as A
-from .q_agreement import AG_SQL, clusters, members
+from .q_agreement import AG_SQL, clusters, frames
 from .registry import query, r6
 
 
@@ -74,6 +74,6 @@ u AS (SELECT 1 AS k, task_id, pass_at_1 AS pu FROM pt UNION ALL SELECT 2, task_i
 SELECT u.k, round(round(avg(coalesce(rt.p, u.pu)), 4), 6) AS pass_at_k
 FROM u LEFT JOIN rt ON u.k = rt.k AND u.task_id = rt.task_id GROUP BY u.k""")
 def q_ranked_pass_at_k(spark, sf):
-    sols = A.solutions_v(spark, sf)
-    truth = AG.sol_freq(sols).join(A.ground_truth_v(spark, sf), ["task_id", "solution_id"])
-    return r6(PK.ranked_pass_at_k(clusters(spark, sf), members(spark, sf), truth, samples(spark, sf), (1, 2, 10)))
+    *_, expanded = frames(spark, sf)
+    per_cluster = AG.cluster_truth(expanded, A.ground_truth_v(spark, sf))
+    return r6(PK.ranked_pass_at_k(per_cluster, samples(spark, sf), (1, 2, 10)))
