@@ -102,12 +102,13 @@ def balance_classes(df: DataFrame, label: str = "is_valid", key: Sequence[str] =
     """Undersample every class to the size of the smallest, choosing rows by
     a seeded hash order (deterministic, no driver round trip)."""
     hkey = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
+    from .small import bounded_rows
+    sizes = bounded_rows(df.groupBy(label).agg(F.count(F.lit(1)).alias("_c")), 1000, "class sizes")
+    if not sizes:
+        return df
+    m = min(r["_c"] for r in sizes)
     ranked = ordinal_within(df.withColumn("_h", hkey), label, ["_h", *key], out="_ord")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    m = sizes.select(label, F.min("_c").over(Window.partitionBy()).alias("_m"))
-    # one row per class: a proven bound
-    return (ranked.join(F.broadcast(m), label)
-            .filter(F.col("_ord") < F.col("_m")).drop("_h", "_ord", "_ord_n", "_m"))
+    return ranked.filter(F.col("_ord") < m).drop("_h", "_ord", "_ord_n")
 
 
 # ---------------------------------------------------------------- folds

@@ -49,7 +49,6 @@ SELECT source AS task_id, arg_max(doc_id, doc_id) AS doc_id, arg_max(lang, doc_i
 FROM documents GROUP BY source""")
 def q_scan_jsonl_tasks(spark, sf):
     schema = "task_id string, doc_id long, lang string, n_chars long"
-    from pyspark.sql.types import _parse_datatype_string  # noqa: F401  (schema given as DDL below)
     t = R.parse_jsonl_tasks(_task_lines(spark, sf), spark.createDataFrame([], schema).schema)
     return t.select("task_id", "doc_id", "lang", "n_chars")
 
