@@ -109,3 +109,24 @@ def test_equal_scores_merge(spark):
     clusters = [("t", [1, 2], 2.0), ("t", [3], 2.0)]
     truth = [("t", 1, 1, True), ("t", 2, 1, False), ("t", 3, 1, False)]
     assert _ranked(spark, clusters, truth, (1,)) == pytest.approx({1: 1 / 3}, abs=1e-4)  # 4 decimals
+
+
+def test_fingerprint_clusters_are_exact_on_driver_data(spark):
+    from testsieve.plans.q_agreement import frames
+    *_, expanded = frames(spark, "/root/testdata/sf0.01")
+    assert AG.fingerprint_conflicts(expanded).count() == 0
+
+
+def test_clusters_and_ranked_pass_invariant_to_partitioning(spark):
+    from testsieve.plans.q_agreement import frames
+    from testsieve.sources import adapters as A
+    *_, expanded = frames(spark, "/root/testdata/sf0.001")
+    gt = A.ground_truth_v(spark, "/root/testdata/sf0.001")
+    a = {(r.task_id, r.cluster_id, r.n_solutions, r.n_tests) for r in AG.consensus_clusters(expanded).collect()}
+    b = {(r.task_id, r.cluster_id, r.n_solutions, r.n_tests) for r in AG.consensus_clusters(expanded.repartition(7)).collect()}
+    assert a == b and a
+    samples = A.solutions_v(spark, "/root/testdata/sf0.001").join(gt, ["task_id", "solution_id"]).select("task_id", "passed")
+    p1 = {r.k: r.pass_at_k for r in PK.ranked_pass_at_k(AG.cluster_truth(expanded, gt), samples).collect()}
+    p2 = {r.k: r.pass_at_k for r in PK.ranked_pass_at_k(AG.cluster_truth(expanded.repartition(5), gt),
+                                                          samples.repartition(3)).collect()}
+    assert p1 == p2

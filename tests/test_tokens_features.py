@@ -103,3 +103,33 @@ def test_greedy_alignment_skips_prefix(spark):
                                  "gen_id long, test_idx long, section string, sec_order int, text string")
     got = TK.token_align_greedy(toks, secs).orderBy("pos").collect()
     assert [(r.section, r.pos) for r in got][:4] == [("input", 2), ("input", 3), ("input", 4), ("input", 5)]
+
+
+def test_unsplittable_assertion_does_not_shift_features(spark):
+    """D1: the reference picks texts by a running index, so after a dropped
+    assertion the features slide onto the wrong test.  Here sections carry
+    their own test key: test 2 keeps its own tokens."""
+    resp = "assert f(1) == 1\nassert weird\nassert f(3) == 9"
+    toks = [(1, i, t) for i, t in enumerate(["assert", " f(1)", " ==", " 1", "\n", "assert", " weird", "\n",
+                                              "assert", " f(3)", " ==", " 9"])]
+    tdf = spark.createDataFrame(toks, "gen_id int, pos int, token string")
+    # test 1 could not be split: it has no input/output text, so it gets no span
+    tests = spark.createDataFrame([(1, 0, resp, "f(1)", "1"), (1, 2, resp, "f(3)", "9")],
+                                  "gen_id int, test_idx int, response string, input_text string, output_text string")
+    got = TK.token_align(tdf, TK.section_spans(tests, ["gen_id"]), ["gen_id"]).collect()
+    by_test = {}
+    for r in got:
+        by_test.setdefault((r.test_idx, r.section), []).append(r.token)
+    assert by_test[(2, "input")] == [" f(3)"] and by_test[(2, "output")] == [" 9"]
+    assert by_test[(0, "input")] == [" f(1)"] and by_test[(0, "output")] == [" 1"]
+
+
+def test_identical_inputs_use_their_own_offsets(spark):
+    resp = "assert f(1) == 1\nassert f(1) == 2"
+    toks = [(1, i, t) for i, t in enumerate(["assert", " f(1)", " ==", " 1", "\n", "assert", " f(1)", " ==", " 2"])]
+    tdf = spark.createDataFrame(toks, "gen_id int, pos int, token string")
+    tests = spark.createDataFrame([(1, 0, resp, "f(1)", "1", 0), (1, 1, resp, "f(1)", "2", 17)],
+                                  "gen_id int, test_idx int, response string, input_text string, output_text string, start int")
+    got = TK.token_align(tdf, TK.section_spans(tests, ["gen_id"], offset="start"), ["gen_id"]).collect()
+    pos = {(r.test_idx, r.section): r.pos for r in got}
+    assert pos == {(0, "input"): 1, (0, "output"): 3, (1, "input"): 6, (1, "output"): 8}

@@ -112,6 +112,21 @@ def cluster_truth(expanded: DataFrame, sol_truth: DataFrame, mode: str = "plain"
     return consensus_score(per, mode).withColumn("n_g", F.col("n_solutions"))
 
 
+def fingerprint_conflicts(expanded: DataFrame) -> DataFrame:
+    """Exactness check of the fingerprint clustering: within a cluster every
+    member passes the same tests, so each test of the cluster must be passed
+    by all of its members.  Returns the (task, cluster, test) triples where
+    that fails — empty unless two different sets collided.  Aggregations
+    only (no pairs of solutions are formed)."""
+    sets = solution_sets(expanded)
+    ids = sets.groupBy(*_FP).agg(F.min("solution_id").alias("cluster_id"), F.count(F.lit(1)).alias("_members"))
+    member = sets.join(ids, _FP).select("task_id", "solution_id", "cluster_id", "_members")
+    per_test = (expanded.select("task_id", "solution_id", "test_id").join(member, ["task_id", "solution_id"])
+                .groupBy("task_id", "cluster_id", "test_id")
+                .agg(F.count(F.lit(1)).alias("_passers"), F.max("_members").alias("_members")))
+    return per_test.filter(F.col("_passers") != F.col("_members")).select("task_id", "cluster_id", "test_id")
+
+
 def consensus_score(clusters: DataFrame, mode: str = "plain") -> DataFrame:
     """plain: sqrt(solutions) x tests;  weighted: sqrt(solutions) x summed test
     scores;  linear: solutions x summed scores (plain count when no score)."""

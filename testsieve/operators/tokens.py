@@ -77,14 +77,17 @@ def token_align(tokens: DataFrame, sections: DataFrame, gen_key: Sequence[str],
 
 
 def section_spans(tests: DataFrame, gen_key: Sequence[str], response: str = "response",
-                  strip_ws: bool = False) -> DataFrame:
+                  strip_ws: bool = False, offset: str | None = None) -> DataFrame:
     """Spans of each test's ``input_text`` and ``output_text`` inside the
-    response: the input's first occurrence, then the output's first
-    occurrence after the input (1-based ``locate`` turned into 0-based spans)."""
+    response: the input's first occurrence at or after the test's own
+    ``offset`` (0-based start of its text in the response; the start of the
+    response when not given), then the output's first occurrence after the
+    input (1-based ``locate`` turned into 0-based spans)."""
     sq = (lambda c: F.regexp_replace(c, r"\s", "")) if strip_ws else (lambda c: c)
-    t = tests.select(*gen_key, "test_idx", sq(F.col(response)).alias("_r"),
+    off = F.col(offset).cast("int") if offset else F.lit(0)
+    t = tests.select(*gen_key, "test_idx", sq(F.col(response)).alias("_r"), off.alias("_off"),
                      sq(F.col("input_text")).alias("_i"), sq(F.col("output_text")).alias("_o"))
-    t = t.withColumn("_is", F.expr("locate(_i, _r, 1)") - 1)
+    t = t.withColumn("_is", F.expr("locate(_i, _r, _off + 1)") - 1)
     t = t.withColumn("_ie", F.col("_is") + F.length("_i"))
     t = t.withColumn("_os", F.expr("locate(_o, _r, _ie + 1)") - 1)
     t = t.withColumn("_oe", F.col("_os") + F.length("_o"))
