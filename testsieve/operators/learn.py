@@ -198,30 +198,53 @@ def predict_proba(model: PipelineModel, df: DataFrame, name: str, out: str = "y_
     return p.select(*df.columns, prob.alias(out))
 
 
+def _fit_all(jobs, parallelism: int):
+    """Fit (train, features, label, name, n_train) jobs; like CrossValidator's
+    ``parallelism``, several fits are submitted at once from driver threads so
+    small fits do not leave the cluster idle."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return list(pool.map(lambda j: fit_member(*j), jobs))
+
+
 def soft_vote(train: DataFrame, test: DataFrame, features: Sequence[str], label: str,
-              members: Sequence[str] = ENSEMBLE, out: str = "y_prob") -> DataFrame:
+              members: Sequence[str] = ENSEMBLE, out: str = "y_prob", parallelism: int = 4) -> DataFrame:
     """Mean of the members' class-1 probabilities (members fitted on ``train``)."""
+    n_train = train.count()
+    models = _fit_all([(train, features, label, name, n_train) for name in members], parallelism)
     scored = test
     cols = []
-    n_train = train.count()
-    for i, name in enumerate(members):
-        m = fit_member(train, features, label, name, n_train)
+    for i, (name, m) in enumerate(zip(members, models)):
         scored = predict_proba(m, scored, name, f"_p{i}")
         cols.append(F.col(f"_p{i}"))
     return scored.withColumn(out, sum(cols[1:], cols[0]) / len(cols)).drop(*[f"_p{i}" for i in range(len(cols))])
 
 
 def oof_scores(df: DataFrame, features: Sequence[str], label: str, fold: str = "fold", k: int = 5,
-               members: Sequence[str] = ENSEMBLE) -> DataFrame:
-    """Out-of-fold y_prob for every row: a driver loop over the k folds, each
-    iteration a distributed fit on the other folds; results united.  The
-    input is checkpointed once (lineage cut, survives executor loss)."""
+               members: Sequence[str] = ENSEMBLE, parallelism: int = 4) -> DataFrame:
+    """Out-of-fold y_prob for every row: for each of the k folds the members
+    are fitted on the other folds (distributed fits, several in flight at
+    once) and vote on the held-out fold; results united.  The input is
+    checkpointed once (lineage cut, survives executor loss)."""
     base = checkpointed(df)
-    parts = []
+    counts = {r[fold]: r["n"] for r in base.groupBy(fold).agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(counts.values())
+    jobs, keys = [], []
     for f in range(k):
         train = base.filter(F.col(fold) != f)
-        test = base.filter(F.col(fold) == f)
-        parts.append(soft_vote(train, test, features, label, members))
+        for name in members:
+            jobs.append((train, features, label, name, total - counts.get(f, 0)))
+            keys.append((f, name))
+    models = dict(zip(keys, _fit_all(jobs, parallelism)))
+    parts = []
+    for f in range(k):
+        scored = base.filter(F.col(fold) == f)
+        cols = []
+        for i, name in enumerate(members):
+            scored = predict_proba(models[(f, name)], scored, name, f"_p{i}")
+            cols.append(F.col(f"_p{i}"))
+        parts.append(scored.withColumn("y_prob", sum(cols[1:], cols[0]) / len(cols))
+                     .drop(*[f"_p{i}" for i in range(len(cols))]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
