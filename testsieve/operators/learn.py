@@ -198,7 +198,7 @@ def predict_proba(model: PipelineModel, df: DataFrame, name: str, out: str = "y_
     return p.select(*df.columns, prob.alias(out))
 
 
-def _fit_all(jobs, parallelism: int):
+def fit_all(jobs, parallelism: int):
     """Fit (train, features, label, name, n_train) jobs; like CrossValidator's
     ``parallelism``, several fits are submitted at once from driver threads so
     small fits do not leave the cluster idle."""
@@ -211,7 +211,7 @@ def soft_vote(train: DataFrame, test: DataFrame, features: Sequence[str], label:
               members: Sequence[str] = ENSEMBLE, out: str = "y_prob", parallelism: int = 4) -> DataFrame:
     """Mean of the members' class-1 probabilities (members fitted on ``train``)."""
     n_train = train.count()
-    models = _fit_all([(train, features, label, name, n_train) for name in members], parallelism)
+    models = fit_all([(train, features, label, name, n_train) for name in members], parallelism)
     scored = test
     cols = []
     for i, (name, m) in enumerate(zip(members, models)):
@@ -235,7 +235,7 @@ def oof_scores(df: DataFrame, features: Sequence[str], label: str, fold: str = "
         for name in members:
             jobs.append((train, features, label, name, total - counts.get(f, 0)))
             keys.append((f, name))
-    models = dict(zip(keys, _fit_all(jobs, parallelism)))
+    models = dict(zip(keys, fit_all(jobs, parallelism)))
     parts = []
     for f in range(k):
         scored = base.filter(F.col(fold) == f)

@@ -210,10 +210,11 @@ def q_gaussian_nb_oof(spark, sf):
 def q_train_classifiers(spark, sf):
     df = checkpointed(learn_frame(spark, sf))
     train, test = df.filter(F.col("fold") != 0), df.filter(F.col("fold") == 0)
+    n_train = train.count()
+    models = L.fit_all([(train, FEATS, "is_valid", name, n_train) for name in L.MEMBERS], 4)
     out = None
-    for name in L.MEMBERS:
-        p = L.predict_proba(L.fit_member(train, FEATS, "is_valid", name), test, name)
-        p = p.select(F.lit(name).alias("model"), "function_id", "test_idx", "y_prob")
+    for name, m in zip(L.MEMBERS, models):
+        p = L.predict_proba(m, test, name).select(F.lit(name).alias("model"), "function_id", "test_idx", "y_prob")
         out = p if out is None else out.unionByName(p)
     return out
 
