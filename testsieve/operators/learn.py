@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..session import checkpointed
-from .ranking import ordinal_within
 from .small import bounded
 
 MAX_FOLDS = 100
@@ -269,20 +268,24 @@ def mann_whitney_u(df: DataFrame, features: Sequence[str], label: str = "is_vali
                    by: Sequence[str] = ("dataset", "llm")) -> DataFrame:
     """Two-sided Mann-Whitney U of valid (label 1) vs invalid per group and
     feature: U of the valid sample, tie-corrected z (with continuity
-    correction on the larger U, as the usual asymptotic test)."""
+    correction on the larger U, as the usual asymptotic test).
+
+    Mid-ranks depend only on per-value counts: rows collapse to (group,
+    value) counts first (ties merge in the partial aggregation), a weighted
+    running count over the distinct values gives each value's first rank,
+    and U sums n_valid(v) x midrank(v) — no per-row ranks, no join back."""
+    from .ranking import weight_before
     long = df.select(*by, label, F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
                                                      for c in features]))).filter(F.col("value").isNotNull())
     long = long.withColumn("_g", F.concat_ws("\u0001", *[F.col(b).cast("string") for b in by], F.col("feature")))
-    ranked = ordinal_within(long, "_g", ["value"], out="_o", few_classes=False)
-    ties = ranked.groupBy("_g", "value").agg(((F.min("_o") + F.max("_o")) / 2 + 1).alias("_mid"),
-                                             F.count(F.lit(1)).alias("_t"))
-    r = ranked.join(ties.select("_g", "value", "_mid"), ["_g", "value"])
-    per = r.groupBy("_g", *by, "feature").agg(
-        F.sum(F.when(F.col(label) == 1, F.col("_mid")).otherwise(0.0)).alias("_r1"),
-        F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("n1"),
-        F.sum(F.when(F.col(label) != 1, 1).otherwise(0)).alias("n2"))
-    tt = ties.groupBy("_g").agg(F.sum(F.pow(F.col("_t"), 3) - F.col("_t")).alias("_tie"))
-    j = per.join(tt, "_g")
+    counts = long.groupBy("_g", *by, "feature", "value").agg(
+        F.count(F.lit(1)).alias("_t"), F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_t1"))
+    ranked = weight_before(counts, "_g", ["value"], "_t", out="_before")
+    mid = F.col("_before") + (F.col("_t") + 1) / 2.0
+    per = ranked.groupBy("_g", *by, "feature").agg(
+        F.sum(F.col("_t1") * mid).alias("_r1"),
+        F.sum("_t1").alias("n1"), F.sum(F.col("_t") - F.col("_t1")).alias("n2"),
+        F.sum(F.pow(F.col("_t"), 3) - F.col("_t")).alias("_tie"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     u1 = F.col("_r1") - n1 * (n1 + 1) / 2
@@ -290,7 +293,7 @@ def mann_whitney_u(df: DataFrame, features: Sequence[str], label: str = "is_vali
     sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("_tie") / (n * (n - 1))))
     u = F.greatest(u1, n1 * n2 - u1)
     z = F.when(sigma > 0, (u - mu - 0.5) / sigma)
-    return j.select(*by, "feature", "n1", "n2", u1.alias("u"), z.alias("z"))
+    return per.select(*by, "feature", "n1", "n2", u1.alias("u"), z.alias("z"))
 
 
 @F.pandas_udf(DoubleType())

@@ -48,3 +48,27 @@ def ordinal_within(df: DataFrame, by: str, order: Sequence[str | Column], out: s
             .withColumn(out, (F.col("_off") + F.col("_local")).cast("bigint"))
             .withColumnRenamed("_class_n", f"{out}_n")
             .drop("_pid", "_local", "_off"))
+
+
+def weight_before(df: DataFrame, by: str, order: Sequence[str | Column], weight: str, out: str = "before",
+                  partitions: int | None = None) -> DataFrame:
+    """Sum of ``weight`` over the rows that precede each row inside its ``by``
+    class in ``order`` (a running count when weights are row counts), and the
+    class total as ``{out}_total``.  Same scheme as ``ordinal_within``: range
+    partitions, running sums inside a partition, offsets of the preceding
+    partitions; the tagged rows are stored once for both consumers."""
+    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, F.col(by), *order_cols).withColumn("_pid", F.spark_partition_id())
+    w = Window.partitionBy("_pid", by).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("_local", F.coalesce(F.sum(weight).over(w), F.lit(0))) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    sums = local.groupBy("_pid", by).agg(F.sum(weight).alias("_w"))
+    offsets = sums.select(
+        "_pid", by,
+        F.coalesce(F.sum("_w").over(Window.partitionBy(by).orderBy("_pid")
+                                    .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.sum("_w").over(Window.partitionBy(by)).alias(f"{out}_total"))
+    return (local.join(offsets, ["_pid", by])
+            .withColumn(out, F.col("_off") + F.col("_local"))
+            .drop("_pid", "_local", "_off"))
