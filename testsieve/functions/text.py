@@ -26,9 +26,13 @@ IMPORT_HEADER = ("from typing import *\nimport math\nfrom heapq import *\nimport
                  "import typing\nimport heapq\n_str=str\nimport re\n")
 
 
+# the ASCII whitespace of a regex \s: space, tab, newline, vertical tab, form feed, carriage return
+WHITESPACE = " \t\n\x0b\f\r"
+
+
 def strip_ws(c: Column) -> Column:
-    """Python ``str.strip()`` (ASCII whitespace)."""
-    return F.regexp_replace(c, r"\A\s+|\s+\z", "")
+    """Python ``str.strip()`` for ASCII whitespace — a character trim, no regex."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def code_blocks(text: Column) -> Column:

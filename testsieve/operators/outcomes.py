@@ -78,11 +78,12 @@ def unittest_summary(outputs: DataFrame, output: str = "output") -> DataFrame:
 def mutation_log_parse(logs: DataFrame, log: str = "log") -> DataFrame:
     """Counters of the last progress line of each log; logs without one give no row."""
     lines = F.filter(F.transform(F.split(F.col(log), "\n"), strip_ws), lambda l: l.rlike(PROGRESS_LINE))
-    last = F.element_at(lines, -1)
-    parsed = logs.withColumn("_last", F.when(F.size(lines) > 0, last)).filter(F.col("_last").isNotNull())
-    out = parsed.withColumn("step", F.regexp_extract("_last", PROGRESS_LINE, 1))
-    for i, s in enumerate(MUTANT_STATES, start=2):
-        out = out.withColumn(s, F.regexp_extract("_last", PROGRESS_LINE, i).cast("int"))
+    parsed = logs.withColumn("_last", F.try_element_at(lines, F.lit(-1))).filter(F.col("_last").isNotNull())
+    # the matched line is "<spinner> <step> 🎉 k ⏰ t 🤔 s 🙁 v 🔇 sk": one split reads every field
+    parts = F.split(F.col("_last"), r"\s+")
+    out = parsed.withColumn("step", F.get(parts, 1))
+    for i, s in enumerate(MUTANT_STATES):
+        out = out.withColumn(s, F.get(parts, 3 + 2 * i).cast("int"))
     return out.drop("_last")
 
 
