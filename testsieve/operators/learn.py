@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..session import checkpointed
-from .small import bounded
+from .small import bounded_rows
 
 MAX_FOLDS = 100
 
@@ -45,7 +45,7 @@ def _fold_moments(df: DataFrame, features: Sequence[str], fold: str, by: Sequenc
 
 def _collect_moments(df: DataFrame, features: Sequence[str], fold: str, by: Sequence[str], bound: int) -> list[dict]:
     """The moments as a bounded list of dicts (k folds x classes rows)."""
-    rows = bounded(_fold_moments(df, features, fold, by), bound, "fold moments").collect()
+    rows = bounded_rows(_fold_moments(df, features, fold, by), bound, "fold moments")
     return [r.asDict() for r in rows]
 
 
@@ -226,7 +226,8 @@ def oof_scores(df: DataFrame, features: Sequence[str], label: str, fold: str = "
     once) and vote on the held-out fold; results united.  The input is
     checkpointed once (lineage cut, survives executor loss)."""
     base = checkpointed(df)
-    counts = {r[fold]: r["n"] for r in base.groupBy(fold).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r[fold]: r["n"] for r in bounded_rows(base.groupBy(fold).agg(F.count(F.lit(1)).alias("n")),
+                                                      MAX_FOLDS, "fold sizes")}
     total = sum(counts.values())
     jobs, keys = [], []
     for f in range(k):
