@@ -207,7 +207,7 @@ def fit_all(jobs, parallelism: int):
 
 
 def soft_vote(train: DataFrame, test: DataFrame, features: Sequence[str], label: str,
-              members: Sequence[str] = ENSEMBLE, out: str = "y_prob", parallelism: int = 4) -> DataFrame:
+              members: Sequence[str] = ENSEMBLE, out: str = "y_prob", parallelism: int = 8) -> DataFrame:
     """Mean of the members' class-1 probabilities (members fitted on ``train``)."""
     n_train = train.count()
     models = fit_all([(train, features, label, name, n_train) for name in members], parallelism)
@@ -220,7 +220,7 @@ def soft_vote(train: DataFrame, test: DataFrame, features: Sequence[str], label:
 
 
 def oof_scores(df: DataFrame, features: Sequence[str], label: str, fold: str = "fold", k: int = 5,
-               members: Sequence[str] = ENSEMBLE, parallelism: int = 4) -> DataFrame:
+               members: Sequence[str] = ENSEMBLE, parallelism: int = 8) -> DataFrame:
     """Out-of-fold y_prob for every row: for each of the k folds the members
     are fitted on the other folds (distributed fits, several in flight at
     once) and vote on the held-out fold; results united.  The input is

@@ -211,7 +211,7 @@ def q_train_classifiers(spark, sf):
     df = checkpointed(learn_frame(spark, sf))
     train, test = df.filter(F.col("fold") != 0), df.filter(F.col("fold") == 0)
     n_train = train.count()
-    models = L.fit_all([(train, FEATS, "is_valid", name, n_train) for name in L.MEMBERS], 4)
+    models = L.fit_all([(train, FEATS, "is_valid", name, n_train) for name in L.MEMBERS], 8)
     out = None
     for name, m in zip(L.MEMBERS, models):
         p = L.predict_proba(m, test, name).select(F.lit(name).alias("model"), "function_id", "test_idx", "y_prob")
