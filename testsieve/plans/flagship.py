@@ -5,9 +5,10 @@ group folds -> out-of-fold Gaussian NB y_prob -> threshold/top-N selection
 per function -> precision / recall / F1 of the selection.
 
 Shuffles: none for the features (computed on the nested token arrays where a
-generation is read), one partial aggregation for the k-fold moments (k x 2
-rows, broadcast back), one top-N window with partial WindowGroupLimit, one
-cutoff join (AQE-sized), one final aggregation."""
+generation is read, stored once), one partial aggregation for the k-fold
+moments (k x 2 rows, broadcast back), one top-N window with partial
+WindowGroupLimit, one cutoff join (AQE-sized), one final aggregation.  The
+generations are scanned once."""
 
 from __future__ import annotations
 
@@ -26,16 +27,17 @@ KEY = ("dataset", "llm", "function_id")
 
 
 def scored_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The per-test features (key + 12 doubles) are read by the NB fit and by
+    # the scoring, and the scores feed both the cutoffs and the flags: the
+    # feature table is stored once, so the generations are scanned once
+    # (lost blocks are rebuilt from lineage); scoring from it is a projection
+    # with a broadcast k-row parameter table.
     feats = FE.token_stats_nested(A.generations_v(spark, sf_dir), "entropy")
-    folded = S.group_kfold(feats, 5)
+    folded = S.group_kfold(feats, 5).persist(StorageLevel.MEMORY_AND_DISK)
     nb = L.gaussian_nb_oof(folded, FEATS, "is_valid")
     return nb.select(*KEY, "test_idx", "fold", "y_prob", F.col("is_valid").alias("y_true"))
 
 
 def flagship(spark: SparkSession, sf_dir: str, threshold: float = 0.8, top_n: int = 3) -> DataFrame:
-    # the scored tests (key, y_prob, y_true: a few dozen bytes per test) feed
-    # both the per-function cutoffs and the flags: keep them instead of
-    # recomputing features and scores (lost blocks are rebuilt from lineage)
-    scored = scored_tests(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-    flagged = S.flag_selected(scored, threshold, top_n, by=KEY)
+    flagged = S.flag_selected(scored_tests(spark, sf_dir), threshold, top_n, by=KEY)
     return M.selection_prf(flagged)
