@@ -16,6 +16,7 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier)
@@ -43,6 +44,12 @@ def _fold_moments(df: DataFrame, features: Sequence[str], fold: str, by: Sequenc
     return df.groupBy(fold, *by).agg(*aggs)
 
 
+def _keep(df: DataFrame) -> DataFrame:
+    """The input is read twice (fit moments, then scoring): store it once
+    unless the caller already did, as Spark ML estimators do with their input."""
+    return df if df.is_cached else df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _collect_moments(df: DataFrame, features: Sequence[str], fold: str, by: Sequence[str], bound: int) -> list[dict]:
     """The moments as a bounded list of dicts (k folds x classes rows)."""
     rows = bounded_rows(_fold_moments(df, features, fold, by), bound, "fold moments")
@@ -66,6 +73,7 @@ def impute_scale_oof(df: DataFrame, features: Sequence[str], fold: str = "fold")
     when the deviation is 0), both fitted on the training folds only.
     Fit = one aggregation to per-fold moments; the k-row parameter table is
     broadcast back."""
+    df = _keep(df)
     rows = _collect_moments(df, features, fold, (), MAX_FOLDS)
     spark = df.sparkSession
     params = []
@@ -95,6 +103,7 @@ def gaussian_nb_oof(df: DataFrame, features: Sequence[str], label: str, fold: st
     Fit: one pass over ``df`` to (fold, class) moments (k x classes rows);
     the per-fold parameters follow from those sums, as Spark ML's own naive
     Bayes does from its aggregated sums.  Transform: one broadcast join."""
+    df = _keep(df)
     rows = _collect_moments(df, features, fold, [label], MAX_FOLDS * len(classes))
     spark = df.sparkSession
     folds = sorted({r[fold] for r in rows})
