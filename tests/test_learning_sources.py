@@ -114,3 +114,16 @@ def test_driver_contract(spark):
     df = E.entry(spark)
     rows = df.collect()
     assert len(rows) == 1 and {"precision", "recall", "f1"} <= set(df.columns)
+
+
+def test_oof_scores_cover_every_row_once(spark):
+    rng = np.random.default_rng(3)
+    n = 90
+    y = rng.integers(0, 2, size=n)
+    pdf = pd.DataFrame({"id": range(n), "a": y + rng.normal(size=n) * 0.5, "b": rng.normal(size=n),
+                        "y": y, "fold": np.arange(n) % 3})
+    df = spark.createDataFrame(pdf.astype({"y": "int32", "fold": "int32"}))
+    out = L.oof_scores(df, ["a", "b"], "y", k=3, members=("logistic_regression", "gaussian_nb")).toPandas()
+    assert sorted(out.id) == list(range(n))
+    assert out.y_prob.between(0, 1).all()
+    assert (out.set_index("id").fold.sort_index() == pdf.set_index("id").fold.sort_index()).all()
