@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import zipfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
-# Settings that matter at scale; a cluster's own spark-defaults win over these
-# because ``builder.config`` only applies when the session is first created.
+# Settings that matter at scale, for sessions that this module makes; what the
+# cluster's spark-defaults or the submit command set is left alone.
 _SCALE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -33,13 +36,17 @@ def get_session(master: str | None = None, app: str = "testsieve",
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    for k, v in _SCALE_CONF.items():
-        b = b.config(k, v)
+        if master.startswith("local"):
+            b = b.config("spark.driver.memory", os.environ.get("TESTSIEVE_DRIVER_MEM", "16g"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    b = b.config("spark.driver.memory", os.environ.get("TESTSIEVE_DRIVER_MEM", "16g"))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
+    given = set(SparkSession.getActiveSession().conf.getAll) if SparkSession.getActiveSession() else {
+        k for k, _ in SparkConf().getAll()}
+    for k, v in _SCALE_CONF.items():
+        if k not in given and k not in (extra or {}):
+            b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -50,12 +57,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``
     (or already set on the SparkContext).
 
-    On a cluster this setting points at shared storage and is used as is.
-    Only when it is unset (local tests) do we create a scratch folder."""
+    On a cluster this setting must point at shared storage and is used as is.
+    Only under a local master is a scratch folder made where it is unset."""
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) \
         or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="testsieve-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc.getCheckpointDir() is None:
@@ -73,3 +82,28 @@ def checkpointed(df):
     """Reliable checkpoint (lineage cut) into the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def run_path(spark: SparkSession, name: str) -> str:
+    """A location of this call alone under the shared checkpoint folder: two sessions,
+    or two runs of one query, never write to the same place."""
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers (once for each Spark context), so that
+    they can import it wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_testsieve_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    with tempfile.TemporaryDirectory() as d:
+        path = os.path.join(d, "testsieve_package.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for top, _, names in os.walk(here):
+                for n in names:
+                    if n.endswith(".py"):
+                        f = os.path.join(top, n)
+                        z.write(f, os.path.relpath(f, os.path.dirname(here)))
+        sc.addPyFile(path)
+    sc._testsieve_shipped = True
