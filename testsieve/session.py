@@ -94,16 +94,17 @@ def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers (once for each Spark context), so that
     they can import it wherever the driver was started."""
     sc = spark.sparkContext
-    if getattr(sc, "_testsieve_shipped", False):
+    if getattr(sc, "_testsieve_shipped", None):
         return
     here = os.path.dirname(os.path.abspath(__file__))
-    with tempfile.TemporaryDirectory() as d:
-        path = os.path.join(d, "testsieve_package.zip")
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-            for top, _, names in os.walk(here):
-                for n in names:
-                    if n.endswith(".py"):
-                        f = os.path.join(top, n)
-                        z.write(f, os.path.relpath(f, os.path.dirname(here)))
-        sc.addPyFile(path)
-    sc._testsieve_shipped = True
+    # executors fetch the file when they start, so it stays until the driver ends
+    folder = tempfile.TemporaryDirectory(prefix="testsieve-ship-")
+    path = os.path.join(folder.name, "testsieve_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for top, _, names in os.walk(here):
+            for n in names:
+                if n.endswith(".py"):
+                    f = os.path.join(top, n)
+                    z.write(f, os.path.relpath(f, os.path.dirname(here)))
+    sc.addPyFile(path)
+    sc._testsieve_shipped = folder
