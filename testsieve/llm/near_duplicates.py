@@ -6,7 +6,7 @@
 2. Representatives meet in the buckets of 32 bands of 4 signature values: a pair
    of similarity 0.75 shares no bucket with probability below 6e-6.
 3. Nothing emits all pairs of a bucket.  First every member meets only the
-   bucket's pivot.  Where the links found leave a bucket in several components,
+   bucket's pivot, its most central member.  Where the links found leave a bucket in several components,
    the members outside its largest component meet the others of other
    components; buckets in which even that is much go to an exact prefix-filter
    join instead (a pair at the threshold must share one of the rarest shingles
@@ -167,21 +167,27 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _across(members: DataFrame, key: str) -> DataFrame:
+def _across(members: DataFrame, key: str, able=None) -> DataFrame:
     """Pairs of one key in different components, from the members outside the key's
-    largest component (every such pair has one)."""
+    largest component (every such pair has one); ``able``: a further condition on
+    the places ``ix`` and ``iy`` of the key in either."""
+    at = ["at"] if able is not None else []
     sizes = members.groupBy(key, "comp").agg(F.count("*").alias("c"))
     main = sizes.groupBy(key).agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
     few = members.join(main, key).where("comp <> main").select(
-        key, F.col("id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    all_ = members.select(key, F.col("id").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-    return _pairs(few.join(all_, key).where((F.col("cx") != F.col("cy")) & _fits("nx", "ny")))
+        key, F.col("id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), *[F.col(c).alias("ix") for c in at])
+    all_ = members.select(key, F.col("id").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), *[F.col(c).alias("iy") for c in at])
+    meet = few.join(all_, key).where((F.col("cx") != F.col("cy")) & _fits("nx", "ny"))
+    return _pairs(meet if able is None else meet.where(able))
 
 
 def prefix_pairs(members: DataFrame, docs: DataFrame) -> DataFrame:
     """Exact candidates among ``members`` (id, n, comp) of different components: sets
     of similarity >= t share one of the first n - ceil(t n) + 1 elements of each
-    in any common order; the rarest shingles come first."""
+    in any common order; the rarest shingles come first.  At their first common
+    element, in places ix and iy, their intersection is at most
+    1 + min(nx - ix, ny - iy), which must reach the t / (1 + t) (nx + ny) that
+    the threshold asks for."""
     def rows(b: pa.RecordBatch):
         for i, n, c, t in zip(*(b.column(x).to_pylist() for x in ("id", "n", "comp", "text")), strict=True):
             s = shingle_set(t).view(np.int64)
@@ -198,7 +204,9 @@ def prefix_pairs(members: DataFrame, docs: DataFrame) -> DataFrame:
     # shingles of df 1 link nothing but take places of the prefix
     alone = sh.join(df, "sh").groupBy("id").agg(F.sum((F.col("df") == 1).cast("long")).alias("alone"))
     pre = pre.withColumn("at", F.row_number().over(order)).join(alone, "id").where(F.col("at") + F.col("alone") <= first)
-    return _across(C.written(pre.select("sh", "id", "n", "comp"), "prefixes"), "sh")
+    pre = pre.select("sh", "id", "n", "comp", (F.col("at") + F.col("alone")).alias("at"))
+    most = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) + 1
+    return _across(C.written(pre, "prefixes"), "sh", most * sum(THRESHOLD) >= (F.col("nx") + F.col("ny")) * THRESHOLD[0])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -275,10 +283,13 @@ def _renamed(docs: DataFrame, groups: DataFrame, odd: DataFrame) -> DataFrame:
 def _links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     sigs = reps.select("doc_id", "sig")
     bands = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
-    lead = F.struct(F.xxhash64("id", "key").alias("r"), F.col("id").alias("pid"), F.col("n").alias("pn"))
-    buckets = bands.groupBy("key").agg(F.min(lead).alias("p"), F.count("*").alias("size")).where("size > 1")
-    m = C.written(bands.join(buckets, "key").select("key", "id", "n", "p.pid", "p.pn"), "buckets")
-    first = _pairs(m.where(_fits("n", "pn")).select(F.col("id").alias("x"), F.col("pid").alias("y")))
+    buckets = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    m = C.written(bands.join(buckets, "key"), "buckets")
+    # the pivot is the member that meets most others over all its buckets: the middle of its group
+    meets = m.groupBy("id").agg(F.sum("size").alias("meets"))
+    lead = F.struct("meets", F.xxhash64("id").alias("r"), F.col("id").alias("pid"), F.col("n").alias("pn"))
+    pivots = m.join(meets, "id").groupBy("key").agg(F.max(lead).alias("p")).select("key", "p.pid", "p.pn")
+    first = _pairs(m.join(pivots, "key").where(_fits("n", "pn")).select(F.col("id").alias("x"), F.col("pid").alias("y")))
     links = C.written(confirm(bayes_prune(first, sigs), docs), "links")
 
     comp = components(links)
