@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from testsieve.sources.tables import load
 
-from . import decontamination, language, near_duplicates, piece_encoding, secret_spans
+from . import (
+    arrow_sequences, decontamination, html_region, language, licences, multiset_fingerprints, near_duplicates, piece_encoding,
+    secret_spans, site_quality,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,6 +34,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_html_region")
+def op1(spark, sf_dir):
+    pages = load(spark, sf_dir, "pages", "page_id", "url", "html")
+    return html_region.extract(pages, html_region.fit(pages))
+
+
 @query("op2_piece_encoding")
 def op2(spark, sf_dir):
     return piece_encoding.round_trip(load(spark, sf_dir, "documents", "doc_id", "text"), _tokenizer("piece_bpe_32k.model"))
@@ -43,6 +51,12 @@ def op3(spark, sf_dir):
     return language.identify(load(spark, sf_dir, "documents", "doc_id", "text"), parts)
 
 
+@query("op4_licences")
+def op4(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    return licences.scan(docs, licences.fit(docs))
+
+
 @query("op5_decontamination", sql=f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
@@ -69,6 +83,17 @@ def op6(spark, sf_dir):
     return secret_spans.find_secrets(docs, secret_spans.fit(docs))
 
 
+@query("op7_arrow_sequences")
+def op7(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    return arrow_sequences.read_documents(arrow_sequences.write_sequences(docs, _tokenizer("word_bpe_49k.json")))
+
+
+@query("op8_multiset_fingerprints")
+def op8(spark, sf_dir):
+    return multiset_fingerprints.edited_fingerprints(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query("op9_near_duplicates", sql=f"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\\x09-\\x0D\\x20]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
@@ -83,3 +108,11 @@ FROM c LEFT JOIN n ON n.doc_id = c.doc_id
 """)
 def op9(spark, sf_dir):
     return near_duplicates.near_duplicates(load(spark, sf_dir, "documents", "doc_id", "text")).drop("n_links")
+
+
+@query("op10_site_quality")
+def op10(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents", "doc_id", "text", "source")
+    labels = load(spark, sf_dir, "labels", "doc_id", "quality")
+    placed = site_quality.sites(docs, load(spark, sf_dir, "pages", "page_id", "url"))
+    return site_quality.score(placed, labels, site_quality.fit(docs, labels))
