@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,11 @@ from . import common as C
 LENGTH = 2048
 BATCH = 64  # sequences of a record batch
 END = 2
-CACHE = 500_000
+CACHE = 1_000_000  # words kept by a worker: at most about 200 MB
 CACHE_CHARS = 48
 _MARKS = ".,;:!?*#$%&|)\"]"
+# byte-level signs: printable bytes stand for themselves, the others for U+0100 on
+_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 _AS_IS = ("Σ", "İ", "<|")
 
 
@@ -47,13 +50,17 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        self.merges = self.library.model
         self.words = C.Recent(self._word, CACHE)
 
     def _word(self, w: str) -> bytes:
         stem = w.rstrip(_MARKS)
         if stem and stem != w and stem[-1].isascii() and stem[-1].isalpha():
             return self.words[stem] + self.words[w[len(stem):]]
-        return np.array(self.library.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
+        if w.isalpha() and max(w) < "\u0250" and w.islower() and is_normalized("NFC", w):
+            # nothing to normalise or to cut: the library's merges alone, on the signs of the bytes
+            return np.array([t.id for t in self.merges.tokenize(w.encode().decode("latin-1").translate(_SIGNS))], self.kind).tobytes()
+        return np.array(self.library.encode_batch_fast([w], add_special_tokens=False)[0].ids, self.kind).tobytes()
 
     def encode(self, text: str | None, end: int | None = None) -> bytes:
         out = []
