@@ -74,13 +74,8 @@ class Encoder:
         return b"".join(out)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return C.held(f"words {path}", lambda: Encoder(path))
 
 
 def _filesystem(uri: str):

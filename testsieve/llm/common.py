@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -93,6 +94,25 @@ class Recent(dict):
         return value
 
 
+_worker: dict = {}
+
+
+def held(key: str, make: Callable):
+    """What ``make()`` gives, made once in a Python worker and kept for its later tasks until
+    another ``key`` is asked for: a worker holds the model of one operator at a time."""
+    if key not in _worker:
+        _worker.clear()
+        gc.collect()
+        _worker[key] = make()
+    return _worker[key]
+
+
+def shared_model(spark: SparkSession, parts, make: Callable):
+    """A function without arguments for use in tasks that gives ``make(parts)`` of the worker."""
+    sent, key = spark.sparkContext.broadcast(parts), uuid.uuid4().hex
+    return lambda: held(key, lambda: make(sent.value))
+
+
 def fit_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     """At most about ``most`` rows (all if there are no more) by a fixed hash of
     ``key``: the bounded sample on which a classifier is fitted."""

@@ -124,15 +124,12 @@ def per_text(benchmark: DataFrame, index_words: int = INDEX_WORDS) -> Callable[[
     if not _small(items, index_words):
         return None
     rows = [(r["item_id"], r["text"]) for r in items.collect()]
-    shared = items.sparkSession.sparkContext.broadcast(rows)
-    made: dict = {}
+    index = C.shared_model(items.sparkSession, rows, Index)
 
     def judge(texts):
-        if "index" not in made:
-            made["index"] = Index(shared.value)
         for t in texts:
             h = word_hashes(t)
-            hit, found = made["index"].covered(h)
+            hit, found = index().covered(h)
             yield len(h), int(hit.sum()), sorted(found)
 
     return judge

@@ -186,13 +186,11 @@ def extract(pages: DataFrame, weights: list[tuple[str, str, bool, int]]) -> Data
     Null, empty and wordless pages give the empty text; a page without markup is one
     block; repeated rows give equal rows; other columns are ignored.  Without any
     labelled page the prior weights score."""
-    shared = pages.sparkSession.sparkContext.broadcast(weights)
-    made: dict = {}
+    scorer = C.shared_model(pages.sparkSession, weights, Scorer)
 
     def rows(b: pa.RecordBatch):
-        if "scorer" not in made:
-            made["scorer"] = Scorer(shared.value)
-        texts = [made["scorer"].extract(p) for p in b.column("html").to_pylist()]
+        s = scorer()
+        texts = [s.extract(p) for p in b.column("html").to_pylist()]
         yield {"page_id": b.column("page_id"), "url": b.column("url"), "text": texts, "n_chars": [len(t) for t in texts]}
 
     kind = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}

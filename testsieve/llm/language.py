@@ -27,7 +27,7 @@ UNKNOWN = "und"
 FIT_ROWS = 4_000
 WORDS, GRAMS = 100_000, 50_000
 LONGEST = 5
-CACHE = 400_000
+CACHE = 120_000  # unseen words kept by a worker: at most about 35 MB
 SMOOTH = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -50,7 +50,7 @@ class Model:
         self.langs = langs
         self.word = self._logs(word_counts, lambda w: 0)
         self.gram = self._logs(gram_counts, len)
-        self.rows = C.Recent(self._row, CACHE)
+        self.rows = C.Recent(self._unseen, CACHE)
 
     def _logs(self, counts, kind) -> dict[str, tuple[float, ...]]:
         at = {x: i for i, x in enumerate(self.langs)}
@@ -63,9 +63,7 @@ class Model:
         floor = {(k, x): math.log(total[k, x] + SMOOTH * (size[k] + 1)) for k in size for x in self.langs}
         return {g: tuple(math.log(n + SMOOTH) - floor[kind(g), x] for n, x in zip(v, self.langs, strict=True)) for g, v in found.items()}
 
-    def _row(self, word: str) -> tuple[float, ...]:
-        if word in self.word:
-            return self.word[word]
+    def _unseen(self, word: str) -> tuple[float, ...]:
         for n in range(LONGEST, 0, -1):
             known = [self.gram[g] for g in grams(word, n) if g in self.gram]
             if known:
@@ -76,8 +74,8 @@ class Model:
         found = Counter(words(text))
         if not self.langs or not any(c.isalpha() for w in found for c in w):
             return UNKNOWN, 0.0
-        rows = self.rows
-        total = np.fromiter(found.values(), float, len(found)) @ np.array([rows[w] for w in found])
+        known, unseen = self.word, self.rows
+        total = np.fromiter(found.values(), float, len(found)) @ np.array([known[w] if w in known else unseen[w] for w in found])
         odds = np.exp(total - total.max())
         best = int(odds.argmax())
         return self.langs[best], float(odds[best] / odds.sum())
@@ -136,13 +134,11 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 def predictor(spark, parts: tuple):
     """A function of texts to (language, score) for use in tasks."""
-    shared = spark.sparkContext.broadcast(parts)
-    made: dict = {}
+    model = C.shared_model(spark, parts, lambda p: Model(*p))
 
     def predict(texts: list[str | None]) -> list[tuple[str, float]]:
-        if "model" not in made:
-            made["model"] = Model(*shared.value)
-        return [made["model"].predict(t) for t in texts]
+        m = model()
+        return [m.predict(t) for t in texts]
 
     return predict
 

@@ -77,6 +77,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     signature and band keys (null for empty sets)."""
 
     def rows(b: pa.RecordBatch):
+        C.held("near duplicates", dict)  # frees a model that the worker holds
         cols: dict[str, list] = {"doc_id": b.column("doc_id"), "n_shingles": [], "fp": [], "sig": [], "bands": []}
         for t in b.column("text").to_pylist():
             s = shingle_set(t)

@@ -105,14 +105,11 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> list[tuple[bool, str, int]]:
 
 def finder(spark, counts: list[tuple[bool, str, int]]):
     """A function of one text to its spans (fixed, then added) for use in tasks."""
-    shared = spark.sparkContext.broadcast(counts)
-    made: dict = {}
+    model = C.shared_model(spark, counts, Model)
 
     def find(text: str | None) -> tuple[list[Span], list[Span]]:
-        if "model" not in made:
-            made["model"] = Model(shared.value)
         base = base_spans(text or "")
-        return base, made["model"].spans(text or "", base)
+        return base, model().spans(text or "", base)
 
     return find
 
