@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from testsieve.session import scratch_path
 
 U64 = np.uint64
+SLICE = 512
 # Random odd 64-bit multipliers that weight the words of a shingle by their place
 # (unrelated ones: in a progression, 1 + 9 = 3 + 7 would make different shingles equal).
 _PLACE = np.random.default_rng(5).integers(0, 2**64, 64, dtype=U64) | U64(1)
@@ -42,9 +43,10 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict[str, li
     out = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                for cols in fn(b):
+        for whole in batches:
+            # a few hundred rows at a time: what a task holds beside its batch stays small
+            for i in range(0, whole.num_rows, SLICE):
+                for cols in fn(whole.slice(i, SLICE)):
                     yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
