@@ -118,15 +118,7 @@ def test_revisions_and_relabel(spark):
     assert {(r.old_is_valid, r.is_valid): r["count"] for r in trans.collect()} == {(1, 0): 1, (0, 1): 1}
 
 
-def test_parsing_jobs(spark):
-    df = spark.createDataFrame([("assert f(1, 2) == 3",), ("assert f(1) == 2",), ("assert x < 3",), ("assert np.equal(a, b)",),
-                                ("assert (",)], "test string")
-    got = [(r.input_text, r.output_text, r.reject) for r in P.assertion_split(df).collect()]
-    assert got == [("(1, 2)", "3", None), ("1", "2", None), (None, None, "operator"), ("a", "b", None), (None, None, "parse")]
-    src = ("import unittest\nclass T(unittest.TestCase):\n    def setUp(self):\n        self.a = 1\n"
-           "    def test_x(self):\n        self.assertEqual(self.a, 1)\nclass U:\n    def test_y(self):\n        pass\n")
-    u = P.unittest_split(spark.createDataFrame([(1, src)], "id int, test string"), keep=["id"]).collect()
-    assert [(r.class_name, r.setup_code, r.test_code) for r in u] == [("T", "    self.a = 1", "    self.assertEqual(self.a, 1)")]
+def test_syntax_filter_reasons(spark):
     kept, report = P.syntax_quality_filter(spark.createDataFrame(
         [("t", "assert f(1) == 1", "f"), ("t", "assert (", "f"), ("t", "assert g(1)", "f")],
         "task_id string, test string, function_name string"))

@@ -96,15 +96,6 @@ def test_token_align_by_overlap(spark):
                                                    ("output", " 2")]
 
 
-def test_greedy_alignment_skips_prefix(spark):
-    toks = spark.createDataFrame([(1, 0, "x"), (1, 1, "assert"), (1, 2, " f"), (1, 3, "("), (1, 4, "1"), (1, 5, ")"),
-                                  (1, 6, " =="), (1, 7, " 2")], "gen_id long, pos int, token string")
-    secs = spark.createDataFrame([(1, 0, "input", 0, "f(1)"), (1, 0, "output", 1, "2")],
-                                 "gen_id long, test_idx long, section string, sec_order int, text string")
-    got = TK.token_align_greedy(toks, secs).orderBy("pos").collect()
-    assert [(r.section, r.pos) for r in got][:4] == [("input", 2), ("input", 3), ("input", 4), ("input", 5)]
-
-
 def test_unsplittable_assertion_does_not_shift_features(spark):
     """D1: the reference picks texts by a running index, so after a dropped
     assertion the features slide onto the wrong test.  Here sections carry

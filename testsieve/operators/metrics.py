@@ -125,7 +125,7 @@ def threshold_sweep(scores: DataFrame, thresholds: Sequence[float], ns: Sequence
 
 def feature_means_by_validity(features: DataFrame, by: Sequence[str] = ("dataset", "llm"),
                               cols: Sequence[str] = ("input_mean", "output_mean"), label: str = "is_valid") -> DataFrame:
-    return features.groupBy(*by, label).agg(*[F.round(F.avg(c), 4).alias(f"avg_{c}") for c in cols],
+    return features.groupBy(*by, label).agg(*[F.round(F.avg(c), 3).alias(f"avg_{c}") for c in cols],
                                             F.count(F.lit(1)).alias("tests"))
 
 

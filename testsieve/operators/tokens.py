@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,55 +103,3 @@ def all_tokens(tokens: DataFrame, gen_key: Sequence[str]) -> DataFrame:
         F.avg("entropy").alias("feature_mean"), F.max("entropy").alias("feature_max"),
         F.min("entropy").alias("feature_min"), F.sum("entropy").alias("feature_sum"),
         F.count(F.lit(1)).alias("feature_total"), F.var_pop("entropy").alias("feature_variance"))
-
-
-# ------------------------------------------------------- greedy (compat mode)
-def _greedy_align(pdf: pd.DataFrame, strip_ws: bool) -> pd.DataFrame:
-    """Reference-faithful scan over one generation.  pdf holds the response
-    tokens (kind='tok', pos, token) and the sections to match (kind='sec',
-    test_idx, section, text) of one generation."""
-    toks = pdf[pdf.kind == "tok"].sort_values("pos")
-    secs = pdf[pdf.kind == "sec"].sort_values(["test_idx", "sec_order"])
-    rows = []
-    it = iter(list(zip(toks.pos, toks.token)))
-    if not strip_ws:
-        for _, tk in it:
-            if "assert" in (tk or ""):
-                break
-    squash = (lambda s: s.replace(" ", "").replace("\n", "").replace("\r", "").replace("\t", "")) \
-        if strip_ws else (lambda s: s.replace('"', "'"))
-    for test_idx, section, text in zip(secs.test_idx, secs.section, secs.text):
-        target = squash(text or "")
-        n, idx = len(target), 0
-        for pos, token in it:
-            cur = squash(token or "")
-            if idx == 0:
-                cur = cur.lstrip()
-                if not strip_ws and not target.startswith("("):
-                    cur = cur.lstrip("(")
-            rest = target[idx:]
-            if (len(cur) > len(rest) and cur.startswith(rest)) or (len(cur) <= len(rest) and rest.startswith(cur)):
-                rows.append((test_idx, section, pos))
-                idx += len(cur)
-            if idx > n:
-                break
-    gid = int(pdf["gen_id"].iloc[0])
-    return pd.DataFrame({"gen_id": pd.Series([gid] * len(rows), dtype="int64"),
-                         "test_idx": pd.Series([int(r[0]) for r in rows], dtype="int64"),
-                         "section": pd.Series([str(r[1]) for r in rows], dtype="object"),
-                         "pos": pd.Series([int(r[2]) for r in rows], dtype="int32")})
-
-
-def token_align_greedy(tokens: DataFrame, sections: DataFrame, strip_ws: bool = False) -> DataFrame:
-    """Compatibility mode: the reference's sequential scan, one generation per
-    pandas group (a response is bounded; generations are spread by hash).
-    tokens: (gen_id, pos, token); sections: (gen_id, test_idx, section, sec_order, text)."""
-    t = tokens.select("gen_id", F.lit("tok").alias("kind"), "pos", "token",
-                      F.lit(None).cast("long").alias("test_idx"), F.lit(None).cast("string").alias("section"),
-                      F.lit(None).cast("int").alias("sec_order"), F.lit(None).cast("string").alias("text"))
-    s = sections.select("gen_id", F.lit("sec").alias("kind"), F.lit(None).cast("int").alias("pos"),
-                        F.lit(None).cast("string").alias("token"), F.col("test_idx").cast("long"), "section",
-                        F.col("sec_order").cast("int"), "text")
-    return (t.unionByName(s).groupBy("gen_id")
-            .applyInPandas(lambda pdf: _greedy_align(pdf, strip_ws),
-                           "gen_id long, test_idx long, section string, pos int"))

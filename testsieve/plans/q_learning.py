@@ -192,10 +192,10 @@ q AS (SELECT *, n // 5 AS q, n - (n // 5) * 5 AS rem FROM r),
 src AS (SELECT task_id, test_id, agreement, score, is_valid,
                CAST(CASE WHEN r < rem * (q + 1) THEN r // (q + 1) ELSE rem + (r - rem * (q + 1)) // greatest(q, 1) END AS INTEGER) AS fold
         FROM q)""" + nb_sql("src", NB_FEATS, "is_valid") + """
-, pd AS (SELECT is_valid, CASE WHEN y_prob > 0.5 THEN 1 ELSE 0 END AS pred FROM nb)""" + _prf_sql("pd", "is_valid", "pred"))
+, pd AS (SELECT is_valid, CASE WHEN y_prob >= 0.5 THEN 1 ELSE 0 END AS pred FROM nb)""" + _prf_sql("pd", "is_valid", "pred"))
 def q_agreement_nb(spark, sf):
     nb = L.gaussian_nb_oof(agreement_frame(spark, sf), NB_FEATS, "is_valid")
-    return r6(M.confusion(nb.withColumn("pred", F.when(F.col("y_prob") > 0.5, 1).otherwise(0)), "is_valid", "pred")
+    return r6(M.confusion(nb.withColumn("pred", F.when(F.col("y_prob") >= 0.5, 1).otherwise(0)), "is_valid", "pred")
               .select("tp", "fp", "fn", "tn", "accuracy", "precision", "recall", "f1"))
 
 

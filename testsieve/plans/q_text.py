@@ -239,19 +239,3 @@ def _tests(spark, sf):
 def q_syntax_quality_filter(spark, sf):
     """Report of kept/rejected tests per task and reason (parse needs Python's parser)."""
     return P.syntax_quality_filter(_tests(spark, sf))[1]
-
-
-@query("assertion_split")
-def q_assertion_split(spark, sf):
-    return P.assertion_split(_tests(spark, sf)).select("task_id", "line_no", "input_text", "output_text", "reject")
-
-
-@query("unittest_split")
-def q_unittest_split(spark, sf):
-    c = code_v(spark, sf)
-    src = F.concat(F.lit("import unittest\n\nclass Test"), F.col("w1"), F.lit("(unittest.TestCase):\n    def setUp(self):\n"
-                   "        self.x = 1\n\n    def test_first(self):\n        doc = '''"),
-                   F.regexp_replace(F.col("text"), r"['\\]", " "),
-                   F.lit("'''\n        self.assertEqual("), F.col("nm"), F.lit("(1), 1)\n\n    def test_second(self):\n"
-                   "        pass\n\nclass Plain:\n    def test_x(self):\n        pass\n"))
-    return P.unittest_split(c.select("doc_id", src.alias("test")), "test", ["doc_id"])

@@ -149,8 +149,8 @@ def q_entropy_rank_baseline(spark, sf):
 
 
 @query("feature_means_by_validity", FEAT_SQL + """
-SELECT dataset, llm, is_valid, round(round(avg(input_mean), 4), 6) AS avg_input_mean,
-       round(round(avg(output_mean), 4), 6) AS avg_output_mean, count(*) AS tests
+SELECT dataset, llm, is_valid, round(round(avg(input_mean), 3), 6) AS avg_input_mean,
+       round(round(avg(output_mean), 3), 6) AS avg_output_mean, count(*) AS tests
 FROM feat GROUP BY dataset, llm, is_valid""")
 def q_feature_means_by_validity(spark, sf):
     return r6(M.feature_means_by_validity(features(spark, sf)))
@@ -200,17 +200,3 @@ def q_token_align(spark, sf):
 @query("token_align_ws", with_views("tokens_v") + ALIGN_SQL.format(tok=r"regexp_replace(token, '\s', '', 'g')"))
 def q_token_align_ws(spark, sf):
     return _align(spark, sf, True)
-
-
-@query("token_align_greedy")
-def q_token_align_greedy(spark, sf):
-    """Reference-faithful sequential scan (compat mode): no SQL oracle."""
-    g = A.generations_v(spark, sf)
-    secs = g.select(F.col("test_idx").alias("gen_id"), "test_idx", F.inline(F.array(
-        F.struct(F.lit("input").alias("section"), F.lit(0).alias("sec_order"),
-                 F.array_join(F.transform(F.filter("tokens", lambda t: (t["pos"] < 12) & (t["pos"] > 0)),
-                                          lambda t: t["token"]), "").alias("text")),
-        F.struct(F.lit("output").alias("section"), F.lit(1).alias("sec_order"),
-                 F.array_join(F.transform(F.filter("tokens", lambda t: t["pos"] >= 12), lambda t: t["token"]), "").alias("text")))))
-    toks = A.tokens_v(spark, sf).select(F.col("test_idx").alias("gen_id"), "pos", "token")
-    return TK.token_align_greedy(toks, secs)

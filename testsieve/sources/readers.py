@@ -131,11 +131,11 @@ def name_override(tasks: DataFrame, overrides: DataFrame, key: str, name: str =
 def verified_tasks(tasks: DataFrame, solutions: DataFrame, tests: DataFrame, reference_runs: DataFrame,
                    key: str = "task_id") -> tuple[DataFrame, DataFrame]:
     """Tasks with a solution, at least one test and a reference run; returns
-    (kept tasks with their reference result, counts per result)."""
+    (those whose reference run passed, counts per result over all)."""
     t = (tasks.join(solutions.select(key).distinct(), key, "left_semi")
          .join(tests.select(key).distinct(), key, "left_semi")
          .join(reference_runs.select(key, "passed"), key, "inner"))
-    return t, t.groupBy("passed").agg(F.count(F.lit(1)).alias("count"))
+    return t.filter("passed"), t.groupBy("passed").agg(F.count(F.lit(1)).alias("count"))
 
 
 def assign_ids(df: DataFrame, function_key: str, order_key: str) -> DataFrame:
