@@ -130,3 +130,10 @@ def test_clusters_and_ranked_pass_invariant_to_partitioning(spark):
     p2 = {r.k: r.pass_at_k for r in PK.ranked_pass_at_k(AG.cluster_truth(expanded.repartition(5), gt),
                                                           samples.repartition(3)).collect()}
     assert p1 == p2
+
+
+def test_limit_counts_tests_not_positions(spark):
+    rows = [("t", 0, p, p, f"a{p}", 0.5) for p in (3, 10, 40, 41, 90, 95, 99)] + [("t", 1, 7, 3, "a3", 0.5)]
+    tests = spark.createDataFrame(rows, "task_id string, sample_idx int, pos long, test_id int, text string, score double")
+    assert {r.text: r["count"] for r in AG.test_frequency(tests, 5).collect()} == {"a3": 2, "a10": 1, "a40": 1, "a41": 1, "a90": 1}
+    assert AG.test_freq(tests).count() == 7

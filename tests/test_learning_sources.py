@@ -127,3 +127,12 @@ def test_oof_scores_cover_every_row_once(spark):
     assert sorted(out.id) == list(range(n))
     assert out.y_prob.between(0, 1).all()
     assert (out.set_index("id").fold.sort_index() == pdf.set_index("id").fold.sort_index()).all()
+
+
+def test_gaussian_nb_far_from_zero(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, i % 5, int(y), float(1e9 + 10 * y + rng.normal())) for i, y in enumerate(rng.integers(0, 2, 500))]
+    rows.append((500, 0, None, 0.0))  # no label: in no prior and no mean
+    df = spark.createDataFrame(rows, "id int, fold int, y int, x double")
+    got = L.gaussian_nb_oof(df, ["x"], "y").where("y is not null").collect()
+    assert len(got) == 500 and all((r.y_prob > 0.5) == (r.y == 1) for r in got)

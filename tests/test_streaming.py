@@ -22,3 +22,11 @@ def test_stream_scores_every_generation(spark, tmp_path):
     out = spark.read.parquet(sink)
     assert out.count() == gens.count()
     assert out.filter((F.col("prediction_y_prob") < 0) | (F.col("prediction_y_prob") > 1)).count() == 0
+
+    # later files of the same (dataset, llm) add to the scores of earlier batches
+    gens.limit(5).write.mode("append").parquet(src)
+    score_generations_stream(spark, src, model, sink, ckpt).awaitTermination(300)
+    spark.catalog.refreshByPath(sink)
+    out = spark.read.parquet(sink)
+    assert out.count() == gens.count() + 5
+    assert out.select("batch_id").distinct().count() == 2

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import prf
+from .selection import limit_tests_per_sample
 
 
 def dedupe_work(solutions: DataFrame, keys: Sequence[str] = ("task_id", "completion")) -> DataFrame:
@@ -31,18 +32,22 @@ def solution_frequency(solutions: DataFrame) -> DataFrame:
     return solutions.groupBy("task_id", "completion").agg(F.count(F.lit(1)).alias("count"))
 
 
-def test_frequency(tests: DataFrame, limit: int, key: str = "text") -> DataFrame:
-    """Occurrences of each test per task after keeping the first ``limit`` tests of every sample."""
-    return tests.filter(F.col("pos") < limit).groupBy("task_id", key).agg(F.count(F.lit(1)).alias("count"))
+def _limited(tests: DataFrame, limit: int | None) -> DataFrame:
+    return tests if limit is None else limit_tests_per_sample(tests, limit)
+
+
+def test_frequency(tests: DataFrame, limit: int | None = None, key: str = "text") -> DataFrame:
+    """Occurrences of each test per task; with ``limit``, among the first tests of every sample."""
+    return _limited(tests, limit).groupBy("task_id", key).agg(F.count(F.lit(1)).alias("count"))
 
 
 def sol_freq(solutions: DataFrame) -> DataFrame:
     return solutions.groupBy("task_id", "solution_id").agg(F.count(F.lit(1)).alias("sol_freq"))
 
 
-def test_freq(tests: DataFrame, limit: int) -> DataFrame:
+def test_freq(tests: DataFrame, limit: int | None = None) -> DataFrame:
     """Per (task, test_id): occurrences and summed validity score of the occurrences."""
-    return (tests.filter(F.col("pos") < limit).groupBy("task_id", "test_id")
+    return (_limited(tests, limit).groupBy("task_id", "test_id")
             .agg(F.count(F.lit(1)).alias("test_freq"), F.sum("score").alias("test_score")))
 
 

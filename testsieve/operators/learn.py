@@ -37,10 +37,10 @@ VAR_SMOOTHING = 1e-9
 
 # ---------------------------------------------------------------- fold stats
 def _fold_moments(df: DataFrame, features: Sequence[str], fold: str, by: Sequence[str] = ()) -> DataFrame:
-    """Per (fold, *by): count, and per feature non-null count, sum, sum of squares."""
+    """Per (fold, *by): count, and per feature non-null count, mean, population variance."""
     aggs = [F.count(F.lit(1)).alias("_n")]
     for c in features:
-        aggs += [F.count(c).alias(f"{c}__n"), F.sum(c).alias(f"{c}__s"), F.sum(F.col(c) * F.col(c)).alias(f"{c}__q")]
+        aggs += [F.count(c).alias(f"{c}__n"), F.avg(c).alias(f"{c}__m"), F.var_pop(c).alias(f"{c}__v")]
     return df.groupBy(fold, *by).agg(*aggs)
 
 
@@ -56,16 +56,25 @@ def _collect_moments(df: DataFrame, features: Sequence[str], fold: str, by: Sequ
     return [r.asDict() for r in rows]
 
 
-def _sum_moments(rows: list[dict], features: Sequence[str]) -> dict:
-    keys = ["_n"] + [f"{c}__{t}" for c in features for t in ("n", "s", "q")]
-    return {k: sum((r[k] or 0) for r in rows) for k in keys}
+def _merged_moments(rows: list[dict], features: Sequence[str]) -> dict:
+    """The moments of several row sets together: deviations are taken from the
+    common mean, so values far from 0 lose no digits."""
+    out = {"_n": sum(r["_n"] for r in rows)}
+    for c in features:
+        parts = [(r[f"{c}__n"], r[f"{c}__m"], r[f"{c}__v"]) for r in rows if r[f"{c}__n"]]
+        n = sum(k for k, _, _ in parts)
+        shift = parts[0][1] if parts else 0.0
+        mean = shift + sum(k * (m - shift) for k, m, _ in parts) / n if n else None
+        out |= {f"{c}__n": n, f"{c}__m": mean,
+                f"{c}__v": sum(k * (v + (m - mean) ** 2) for k, m, v in parts) / n if n else None}
+    return out
 
 
 def _mean_var(m: dict, c: str, n_all: int | None = None) -> tuple[float | None, float | None]:
-    n, s, q = m[f"{c}__n"], m[f"{c}__s"], m[f"{c}__q"]
+    n, mean, var = m[f"{c}__n"], m[f"{c}__m"], m[f"{c}__v"]
     if not n:
         return None, None
-    return s / n, (q - s * s / n) / (n_all if n_all else n)
+    return mean, var * n / (n_all if n_all else n)
 
 
 def impute_scale_oof(df: DataFrame, features: Sequence[str], fold: str = "fold") -> DataFrame:
@@ -78,7 +87,7 @@ def impute_scale_oof(df: DataFrame, features: Sequence[str], fold: str = "fold")
     spark = df.sparkSession
     params = []
     for r in rows:
-        train = _sum_moments([o for o in rows if o[fold] != r[fold]], features)
+        train = _merged_moments([o for o in rows if o[fold] != r[fold]], features)
         vals = [r[fold]]
         for c in features:
             mean, var = _mean_var(train, c, train["_n"])
@@ -101,7 +110,7 @@ def gaussian_nb_oof(df: DataFrame, features: Sequence[str], label: str, fold: st
     training rows.  ``out`` = P(label = 1 | x).
 
     Fit: one pass over ``df`` to (fold, class) moments (k x classes rows);
-    the per-fold parameters follow from those sums, as Spark ML's own naive
+    the per-fold parameters follow from those moments, as Spark ML's own naive
     Bayes does from its aggregated sums.  Transform: one broadcast join."""
     df = _keep(df)
     rows = _collect_moments(df, features, fold, [label], MAX_FOLDS * len(classes))
@@ -109,13 +118,13 @@ def gaussian_nb_oof(df: DataFrame, features: Sequence[str], label: str, fold: st
     folds = sorted({r[fold] for r in rows})
     params = []
     for f in folds:
-        train = [r for r in rows if r[fold] != f]
-        total = _sum_moments(train, features)
+        train = [r for r in rows if r[fold] != f and r[label] in classes]
+        total = _merged_moments(train, features)
         variances = [_mean_var(total, c)[1] for c in features]
         eps = VAR_SMOOTHING * max(v for v in variances if v is not None) if any(v is not None for v in variances) else 0.0
         vals = [f]
         for cls in classes:
-            cm = _sum_moments([r for r in train if r[label] == cls], features)
+            cm = _merged_moments([r for r in train if r[label] == cls], features)
             vals.append(math.log(cm["_n"] / total["_n"]) if cm["_n"] else None)
             for c in features:
                 mu, var = _mean_var(cm, c)

@@ -80,9 +80,8 @@ def entropy_rank_baseline(features: DataFrame, n: int, by: Sequence[str] = KEY,
 
 def limit_tests_per_sample(tests: DataFrame, limit: int, by: Sequence[str] = ("task_id", "sample_idx"),
                            pos: str = "pos") -> DataFrame:
-    """The first ``limit`` tests of each generated sample."""
-    return tests.filter(F.col(pos) < limit) if pos in tests.columns else \
-        top_n(tests, limit, by, [F.col(pos).asc()], "_rank").drop("_rank")
+    """The first ``limit`` tests of each generated sample, in the order of ``pos``."""
+    return top_n(tests, limit, by, [F.col(pos).asc()], "_rank").drop("_rank")
 
 
 def stride_downsample(tests: DataFrame, desired: int = 5, by: Sequence[str] = KEY,

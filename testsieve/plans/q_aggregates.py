@@ -213,7 +213,8 @@ def q_solution_frequency(spark, sf):
 
 
 @query("test_frequency", with_views("tests_v") +
-       "SELECT task_id, text, count(*) AS count FROM tests_v WHERE pos < 5 GROUP BY task_id, text")
+       """, kept AS (SELECT * FROM tests_v QUALIFY row_number() OVER (PARTITION BY task_id, sample_idx ORDER BY pos) <= 5)
+SELECT task_id, text, count(*) AS count FROM kept GROUP BY task_id, text""")
 def q_test_frequency(spark, sf):
     return AG.test_frequency(A.tests_v(spark, sf), 5)
 

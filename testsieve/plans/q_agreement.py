@@ -10,11 +10,9 @@ from ..sources import adapters as A
 from .registry import query, r6
 from .views import with_views
 
-LIMIT = 5  # tests kept per sample
-
-AG_SQL = with_views("solutions_v", "tests_v", "exec_v", "ground_truth_v") + f"""
+AG_SQL = with_views("solutions_v", "tests_v", "exec_v", "ground_truth_v") + """
 , sf AS (SELECT task_id, solution_id, count(*) AS sol_freq FROM solutions_v GROUP BY task_id, solution_id),
-tf AS (SELECT task_id, test_id, count(*) AS test_freq, sum(score) AS test_score FROM tests_v WHERE pos < {LIMIT}
+tf AS (SELECT task_id, test_id, count(*) AS test_freq, sum(score) AS test_score FROM tests_v
        GROUP BY task_id, test_id),
 pp AS (SELECT DISTINCT e.task_id, e.solution_id, e.test_id FROM exec_v e
        WHERE e.passed AND EXISTS (SELECT 1 FROM tf WHERE tf.task_id = e.task_id AND tf.test_id = e.test_id)),
@@ -38,7 +36,7 @@ best AS (SELECT task_id, cluster_id AS solution_id, 'cluster' AS source FROM rk
 
 def frames(spark, sf):
     sols, tests, ex = A.solutions_v(spark, sf), A.tests_v(spark, sf), A.exec_v(spark, sf)
-    sfreq, tfreq = AG.sol_freq(sols), AG.test_freq(tests, LIMIT)
+    sfreq, tfreq = AG.sol_freq(sols), AG.test_freq(tests)
     pairs = AG.passed_pairs(ex, tfreq)
     expanded = AG.expand_pairs(pairs, sfreq, tfreq)
     return sols, ex, sfreq, tfreq, pairs, expanded

@@ -78,7 +78,8 @@ def q_balance_classes(spark, sf):
 
 
 @query("limit_tests_per_sample", with_views("tests_v") + """
-SELECT task_id, sample_idx, pos, test_id FROM tests_v WHERE pos < 5""")
+SELECT task_id, sample_idx, pos, test_id FROM tests_v
+QUALIFY row_number() OVER (PARTITION BY task_id, sample_idx ORDER BY pos) <= 5""")
 def q_limit_tests_per_sample(spark, sf):
     return S.limit_tests_per_sample(A.tests_v(spark, sf), 5).select("task_id", "sample_idx", "pos", "test_id")
 

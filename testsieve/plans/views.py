@@ -41,7 +41,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                'def solution_' || CAST(solution_id AS VARCHAR) || '(): pass' AS completion
         FROM exec_rows_v"""),
     "tests_v": (("exec_rows_v",), """
-        SELECT task_id, solution_id AS sample_idx, CAST((event_id // 7) % 10 AS INTEGER) AS pos,
+        SELECT task_id, solution_id AS sample_idx, event_id // 7 AS pos,
                test_id, 'assert candidate(' || CAST(test_id AS VARCHAR) || ')' AS text, score
         FROM exec_rows_v"""),
     "ground_truth_v": (("exec_v",), """
