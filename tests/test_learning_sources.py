@@ -136,3 +136,11 @@ def test_gaussian_nb_far_from_zero(spark):
     df = spark.createDataFrame(rows, "id int, fold int, y int, x double")
     got = L.gaussian_nb_oof(df, ["x"], "y").where("y is not null").collect()
     assert len(got) == 500 and all((r.y_prob > 0.5) == (r.y == 1) for r in got)
+
+
+def test_jsonl_last_wins_in_file_order(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text(json.dumps({"task_id": "t", "response_code": "a"}) + "\n")
+    (tmp_path / "b.jsonl").write_text("".join(json.dumps({"task_id": t, "response_code": "b"}) + "\n" for t in ("t", *map(str, range(500)))))
+    (tmp_path / "c.jsonl").write_text(json.dumps({"task_id": "7", "response_code": "c"}) + "\n")
+    got = {r.task_id: r.code for r in R.parse_generated_code(R.read_jsonl_lines(spark, str(tmp_path))).collect()}
+    assert got["t"] == "b" and got["7"] == "c" and got["8"] == "b" and len(got) == 501

@@ -46,10 +46,13 @@ def read_generations(spark: SparkSession, path: str, dataset: str | None = None,
 
 # ------------------------------------------------------------------ JSONL
 def read_jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of JSONL files with a line-order column (file order, then offset order)."""
+    """Lines of JSONL files with a line-order column: file name, start of the split
+    in the file, and place in the split (splits are read largest first, so the
+    running id alone does not follow the files)."""
     return (spark.read.text(path)
-            .withColumn("_file", F.input_file_name())
-            .withColumn("line_no", F.monotonically_increasing_id()))
+            .select("value", F.col("_metadata.file_path").alias("_file"),
+                    F.struct("_metadata.file_path", "_metadata.file_block_start",
+                             F.monotonically_increasing_id().alias("id")).alias("line_no")))
 
 
 def latest_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
