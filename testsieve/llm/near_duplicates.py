@@ -194,18 +194,18 @@ def prefix_pairs(members: DataFrame, docs: DataFrame) -> DataFrame:
             s = shingle_set(t).view(np.int64)
             yield {"id": [i] * len(s), "n": [n] * len(s), "comp": [c] * len(s), "sh": s}
 
+    from pyspark.sql import Window
     ids = members.select(F.col("id").alias("doc_id")).distinct()
     texts = _only(docs, ids).withColumnRenamed("doc_id", "id").join(members.select("id", "n", "comp").distinct(), "id")
+    texts = texts.dropDuplicates(["id"])  # repeated rows would take a place each
     sh = C.written(C.map_rows(texts, rows, "id long, n long, comp long, sh long"), "shingles")
-    df = sh.groupBy("sh").agg(F.count("*").alias("df"))
-    from pyspark.sql import Window
-    order = Window.partitionBy("id").orderBy("df", "sh")  # within one document
+    # shingles of one component link nothing that is not joined yet: they come first
+    # in the order, take their places of the prefix and are left out
+    df = sh.groupBy("sh").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    one = Window.partitionBy("id")  # within one document
+    place = F.col("n") - F.count("*").over(one) + F.row_number().over(one.orderBy("df", "sh"))
     first = F.col("n") - F.ceil(F.col("n") * THRESHOLD[0] / THRESHOLD[1] - F.lit(1e-9)) + 1
-    pre = sh.join(df, "sh").where("df > 1")
-    # shingles of df 1 link nothing but take places of the prefix
-    alone = sh.join(df, "sh").groupBy("id").agg(F.sum((F.col("df") == 1).cast("long")).alias("alone"))
-    pre = pre.withColumn("at", F.row_number().over(order)).join(alone, "id").where(F.col("at") + F.col("alone") <= first)
-    pre = pre.select("sh", "id", "n", "comp", (F.col("at") + F.col("alone")).alias("at"))
+    pre = sh.join(df.select("sh", "df"), "sh").withColumn("at", place).where(F.col("at") <= first).select("sh", "id", "n", "comp", "at")
     most = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) + 1
     return _across(C.written(pre, "prefixes"), "sh", most * sum(THRESHOLD) >= (F.col("nx") + F.col("ny")) * THRESHOLD[0])
 
