@@ -36,6 +36,7 @@ BANDS, ROWS = 32, 4
 BATCH = 16
 MISS = 1e-6
 DIRECT_PAIRS = 1024  # a bucket with more pairs left than this goes to the prefix join
+SLOT_BITS = 22  # the table of shingle counts that tasks hold has 4 bytes for each slot: 16 MB
 BROADCAST_IDS = 1_000_000  # ids (8 bytes each) that may be broadcast; beyond it the join shuffles
 
 _SEEDS = np.random.default_rng(20240229).integers(0, 2**32, (2, BANDS * ROWS), dtype=np.uint64).astype(np.uint32)
@@ -174,7 +175,7 @@ def _across(members: DataFrame, key: str, able=None) -> DataFrame:
     the places ``ix`` and ``iy`` of the key in either."""
     at = ["at"] if able is not None else []
     sizes = members.groupBy(key, "comp").agg(F.count("*").alias("c"))
-    main = sizes.groupBy(key).agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
+    main = sizes.groupBy(key).agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
     few = members.join(main, key).where("comp <> main").select(
         key, F.col("id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), *[F.col(c).alias("ix") for c in at])
     all_ = members.select(key, F.col("id").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), *[F.col(c).alias("iy") for c in at])
@@ -182,32 +183,68 @@ def _across(members: DataFrame, key: str, able=None) -> DataFrame:
     return _pairs(meet if able is None else meet.where(able))
 
 
+def _slots(s: np.ndarray) -> np.ndarray:
+    return (s >> C.U64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _slot_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles fall into each of the 2 ** SLOT_BITS hash slots (a fixed
+    size, whatever the input); 0 for slots that hold shingles of one component alone."""
+
+    def rows(b: pa.RecordBatch):
+        s = np.frombuffer(b"".join(b.column("sh").to_pylist()), C.U64)
+        if not len(s):
+            return
+        slot, comp = _slots(s), np.repeat(b.column("comp").to_numpy(), b.column("n").to_numpy())
+        order = np.argsort(slot, kind="stable")
+        slot, comp = slot[order], comp[order]
+        at = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+        yield {"slot": slot[at], "c": np.diff(np.r_[at, len(slot)]), "lo": np.minimum.reduceat(comp, at), "hi": np.maximum.reduceat(comp, at)}
+
+    got = C.map_rows(sets.select("n", "comp", "sh"), rows, "slot long, c long, lo long, hi long").groupBy("slot").agg(
+        F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
+    got = got.select(F.col("slot").cast("int"), F.least("c", F.lit(2**31 - 1)).cast("int").alias("c")).toArrow()
+    out = np.zeros(1 << SLOT_BITS, np.int32)
+    out[got.column("slot").to_numpy()] = got.column("c").to_numpy()
+    return out
+
+
 def prefix_pairs(members: DataFrame, docs: DataFrame) -> DataFrame:
     """Exact candidates among ``members`` (id, n, comp) of different components: sets
     of similarity >= t share one of the first n - ceil(t n) + 1 elements of each
-    in any common order; the rarest shingles come first.  At their first common
-    element, in places ix and iy, their intersection is at most
-    1 + min(nx - ix, ny - iy), which must reach the t / (1 + t) (nx + ny) that
-    the threshold asks for."""
-    def rows(b: pa.RecordBatch):
-        for i, n, c, t in zip(*(b.column(x).to_pylist() for x in ("id", "n", "comp", "text")), strict=True):
-            s = shingle_set(t).view(np.int64)
-            yield {"id": [i] * len(s), "n": [n] * len(s), "comp": [c] * len(s), "sh": s}
+    in any common order.  The order is by the counts of the shingles' slots, then
+    by hash: frequent shingles come last, and those of one component, which link
+    nothing that is not joined yet, come first and are left out of the join.  At
+    their first common element, in places ix and iy, the intersection of two sets is
+    at most 1 + min(nx - ix, ny - iy), which must reach the t / (1 + t) (nx + ny)
+    that the threshold asks for."""
+
+    def set_rows(b: pa.RecordBatch):
+        sets = [shingle_set(t) for t in b.column("text").to_pylist()]
+        yield {"id": b.column("id"), "n": [len(s) for s in sets], "comp": b.column("comp"), "sh": [s.tobytes() for s in sets]}
 
-    from pyspark.sql import Window
     ids = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = _only(docs, ids).withColumnRenamed("doc_id", "id").join(members.select("id", "n", "comp").distinct(), "id")
-    texts = texts.dropDuplicates(["id"])  # repeated rows would take a place each
-    sh = C.written(C.map_rows(texts, rows, "id long, n long, comp long, sh long"), "shingles")
-    # shingles of one component link nothing that is not joined yet: they come first
-    # in the order, take their places of the prefix and are left out
-    df = sh.groupBy("sh").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    one = Window.partitionBy("id")  # within one document
-    place = F.col("n") - F.count("*").over(one) + F.row_number().over(one.orderBy("df", "sh"))
-    first = F.col("n") - F.ceil(F.col("n") * THRESHOLD[0] / THRESHOLD[1] - F.lit(1e-9)) + 1
-    pre = sh.join(df.select("sh", "df"), "sh").withColumn("at", place).where(F.col("at") <= first).select("sh", "id", "n", "comp", "at")
+    texts = _only(docs, ids).withColumnRenamed("doc_id", "id").join(members.select("id", "comp").distinct(), "id")
+    texts = texts.dropDuplicates(["id"])  # repeated rows have one set
+    sets = C.written(C.map_rows(texts, set_rows, "id long, n long, comp long, sh binary"), "sets")
+    counts = docs.sparkSession.sparkContext.broadcast(_slot_counts(sets))
+
+    def rows(b: pa.RecordBatch):
+        got, places = [], []
+        for raw in b.column("sh").to_pylist():
+            s = np.frombuffer(raw, C.U64)
+            often = counts.value[_slots(s)]
+            order = np.lexsort((s, often))[:len(s) + 1 - -(-len(s) * THRESHOLD[0] // THRESHOLD[1])]
+            at = np.flatnonzero(often[order])
+            got.append(s[order[at]].view(np.int64))
+            places.append(at + 1)
+        many = [len(x) for x in got]
+        yield {"sh": np.concatenate(got), "at": np.concatenate(places)} | {
+            c: np.repeat(b.column(c).to_numpy(), many) for c in ("id", "n", "comp")}
+
+    pre = C.written(C.map_rows(sets, rows, "sh long, id long, n long, comp long, at long"), "prefixes")
     most = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) + 1
-    return _across(C.written(pre, "prefixes"), "sh", most * sum(THRESHOLD) >= (F.col("nx") + F.col("ny")) * THRESHOLD[0])
+    return _across(pre, "sh", most * sum(THRESHOLD) >= (F.col("nx") + F.col("ny")) * THRESHOLD[0])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
