@@ -2,9 +2,14 @@
 
 Two second-order character models are trained from labelled samples: random strings
 (the values that the fixed patterns find) and ordinary identifiers (other runs of
-the same characters).  A run of at least ``RUN`` characters of two kinds (lower,
-upper, digit) outside the fixed spans is a secret if the log-likelihood ratio of
-the two models is at least ``LIMIT`` in all and ``PER_CHAR`` a character."""
+the same characters, each distinct one once).  Both back off: the random model to
+the smallest known alphabet that holds the string, the ordinary one to shorter contexts without case, and to a fixed chance of a change
+of kind.  Runs without the fixed spans are cut at ``=``, and into parts at ``/``,
+``-`` and ``_``; neighbouring parts of the largest sum are a secret if they have at
+least ``RUN`` characters of two kinds and the log-likelihood ratio of the two models
+is at least ``LIMIT`` in all and ``PER_CHAR`` a character.  Random strings of one
+kind of letters alone are told apart from words of unseen languages by no model
+here and are not found."""
 
 from __future__ import annotations
 
@@ -24,11 +29,19 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
-RUN = 20
-LIMIT, PER_CHAR = 20.0, 1.0
+_PARTS = re.compile(r"[A-Za-z0-9+]+")
+RUN = 8
+LIMIT, PER_CHAR = 8.0, 0.6
+JOIN, DROP = 1.0, 6.0  # what a cut between two parts costs; the loss that ends a stretch of parts
 FIT_ROWS = 40_000
-_ALPHABET = 66  # the characters of a run, and its end
 _CACHE = 100_000
+_LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+# The alphabets of random strings.
+ALPHABETS = (_DIGIT + "abcdef", _DIGIT + "ABCDEF", _LOWER + _DIGIT, _UPPER + _DIGIT, _UPPER + "234567",
+             _LOWER + _UPPER, _LOWER + _UPPER + _DIGIT, _LOWER + _UPPER + _DIGIT + "+")
+_ALPHABETS = [(a, set(a)) for a in ALPHABETS]
+END = 1 / 25  # the chance that a random string ends
+STAY, TURN = 0.8, 0.05  # the chances that the kind of character stays, or turns into another one (twice from lower to upper, as in camelCase)
 
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
 
@@ -41,17 +54,24 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
-def _outside(runs, spans: list[Span]):
-    """The matches that touch no span."""
-    return [m for m in runs if not any(s < m.end() and m.start() < e for s, _, e in spans)]
+def _outside(text: str, spans: list[Span]):
+    """(start, string) of the stretches of runs between the spans, without ``=``."""
+    for m in _RUN.finditer(text):
+        at, end = m.span()
+        for s, _, e in [x for x in spans if x[0] < end and at < x[2]] + [(end, 0, end)]:
+            for part in text[at:max(at, s)].split("="):
+                if len(part) >= RUN:
+                    yield at, part
+                at += len(part) + 1
+            at = e
 
 
 def samples(text: str) -> tuple[list[str], list[str]]:
-    """Labelled strings of a text: values of the fixed patterns, other runs."""
+    """Labelled strings of a text: values of the fixed patterns, parts of other runs."""
     spans = base_spans(text)
     secret = [m[2] for m in ASSIGN.finditer(text) if len(m[2]) >= 8] if spans else []
     secret += [text[s:e] for s, k, e in spans if k]
-    return secret, [m[0] for m in _outside(_RUN.finditer(text), spans)]
+    return secret, [p for _, s in _outside(text, spans) for p in _PARTS.findall(s)]
 
 
 def _steps(s: str):
@@ -60,46 +80,105 @@ def _steps(s: str):
     return [t[i:i + 3] for i in range(len(t) - 2)]
 
 
+def _kind(c: str) -> str:
+    return "l" if c in _LOWER else "u" if c in _UPPER else "d" if c in _DIGIT else "e" if c == " " else "+"
+
+
 class Model:
     def __init__(self, counts: list[tuple[bool, str, int]]):
-        n = {True: Counter(), False: Counter()}
-        before = {True: Counter(), False: Counter()}
+        random, before = Counter(), Counter()
+        letters, kinds = Counter(), Counter()
         for secret, step, k in counts:
-            n[secret][step] += k
-            before[secret][step[:2]] += k
-        self.able = bool(n[True]) and bool(n[False])
-        log = lambda secret, g: math.log((n[secret][g] + 0.5) / (before[secret][g[:2]] + 0.5 * _ALPHABET))
-        self.ratio = C.Recent(lambda g: log(True, g) - log(False, g), _CACHE)
+            if secret:
+                random[step] += k
+                before[step[:2]] += k
+                continue
+            kinds[_kind(step[1]), _kind(step[2])] += k
+            kinds[_kind(step[1])] += k
+            if step[2].isalpha():
+                t = step.lower()
+                for g in (t, t[1:], t[2:]):
+                    letters[g] += k
+                    letters[g[:-1], ""] += k
+        self.able = bool(kinds)
+        self._random = [random, before]
+        self._letters, self._kinds = letters, kinds
+        self.ordinary = C.Recent(lambda g: math.log(self._ordinary(g)), _CACHE)
+        self.part = C.Recent(self._part, 20_000)
+
+    def _secret(self, g: str) -> float:
+        n, before = self._random
+        return n[g] / before[g[:2]] if before[g[:2]] else 0.0
+
+    def _part(self, s: str) -> float:
+        """The log-likelihood ratio: the best of the known alphabets and the trained random model."""
+        steps, kinds = _steps(s), set(s)
+        chance = max([-math.log(len(a)) for a, have in _ALPHABETS if kinds <= have] or [-math.log(64)])
+        random = len(s) * (chance + math.log(1 - END)) + math.log(END / len(ALPHABETS))
+        trained = sum(math.log(0.9 * p + 0.1 / 64) for p in map(self._secret, steps))
+        return max(random, trained) - sum(self.ordinary[g] for g in steps)
+
+    def _ordinary(self, g: str) -> float:
+        a, b = _kind(g[1]), _kind(g[2])
+        n = self._kinds
+        turn = 0.5 * n[a, b] / max(1, n[a]) + 0.5 * (STAY if a == b else 0.3 if a == "e" else 2 * TURN if a + b == "lu" else TURN)
+        if b in "lu":
+            t, p, seen = g.lower(), 0.0, 0.0
+            for part, share in ((t, 0.7), (t[1:], 0.15), (t[2:], 0.1)):
+                if among := self._letters[part[:-1], ""]:
+                    p += share * self._letters[part] / among
+                    seen += share
+            return turn * (0.95 * p / (seen or 1.0) + 0.05 / 26)
+        return turn * (0.1 if b == "d" else 1.0)
 
     def score(self, s: str) -> float:
-        return sum(self.ratio[g] for g in _steps(s))
+        return self.part[s] if len(s) < 100 else self._part(s)
 
     def spans(self, text: str, base: list[Span]) -> list[Span]:
         """Spans that the models add to those of the fixed patterns."""
         if not self.able:
             return []
         out = []
-        for m in _outside((m for m in _RUN.finditer(text) if m.end() - m.start() >= RUN), base):
-            s = m[0]
-            kinds = any(c.islower() for c in s) + any(c.isupper() for c in s) + any(c.isdigit() for c in s)
-            if kinds > 1 and (v := self.score(s)) >= LIMIT and v >= PER_CHAR * len(s):
-                out.append((m.start(), 3, m.end()))
+        for at, s in _outside(text, base):
+            if s.isalpha() and (s.islower() or s.isupper()):
+                continue
+            found = [(m.start(), m.end(), self.score(m[0])) for m in _PARTS.finditer(s)]
+            i = 0
+            while i < len(found):
+                total = best = 0.0
+                last = i
+                for k in range(i, len(found)):
+                    total += found[k][2] - JOIN * (k > i)
+                    if total > best:
+                        best, last = total, k
+                    if total <= 0 or total < best - DROP:
+                        break
+                start, end = found[i][0], found[last][1]
+                v = s[start:end]
+                kinds = any(c.islower() for c in v) + any(c.isupper() for c in v) + any(c.isdigit() for c in v)
+                if kinds > 1 and len(v) >= RUN and best >= LIMIT and best >= PER_CHAR * len(v):
+                    out.append((at + start, 3, at + end))
+                i = last + 1
         return out
 
 
 def fit(docs: DataFrame, rows: int = FIT_ROWS) -> list[tuple[bool, str, int]]:
     """Step counts of both models over the labelled strings of about ``rows`` texts
-    (all if there are no more).  At most 2 * 66 ** 3 counts, whatever the corpus."""
+    (all if there are no more), each distinct string once, so that copies of one do not
+    make it ordinary.  At most 2 * 66 ** 3 counts, whatever the corpus."""
+    def strings(b: pa.RecordBatch):
+        found = {(secret, s) for t in b.column("text").to_pylist() for secret, x in zip((True, False), samples(t), strict=True) for s in x}
+        yield {"secret": [x[0] for x in found], "s": [x[1] for x in found]}
+
     def count(b: pa.RecordBatch):
         n: Counter = Counter()
-        for t in b.column("text").to_pylist():
-            for secret, strings in zip((True, False), samples(t), strict=True):
-                for s in strings:
-                    n.update((secret, g) for g in _steps(s))
+        for secret, s in zip(b.column("secret").to_pylist(), b.column("s").to_pylist(), strict=True):
+            n.update((secret, g) for g in _steps(s))
         yield {"secret": [k[0] for k in n], "step": [k[1] for k in n], "n": list(n.values())}
 
     texts = docs.where("text is not null").select(F.col("text").cast("string").alias("text"))
-    counts = C.map_rows(C.fit_sample(texts, "text", rows), count, "secret boolean, step string, n long")
+    distinct = C.map_rows(C.fit_sample(texts, "text", rows), strings, "secret boolean, s string").distinct()
+    counts = C.map_rows(distinct, count, "secret boolean, step string, n long")
     return [tuple(r) for r in counts.groupBy("secret", "step").agg(F.sum("n").alias("n")).collect()]
 
 
@@ -131,8 +210,8 @@ def redacted(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
 
 def find_secrets(docs: DataFrame, counts: list[tuple[bool, str, int]]) -> DataFrame:
     """``doc_id, text`` to ``doc_id, n_assign, n_access, n_hex, n_markov, base_sha256,
-    spans``: one row per input row; null is the empty text; without labelled
-    strings of both kinds the models add nothing."""
+    spans``: one row per input row; null is the empty text; without ordinary
+    strings the models add nothing."""
     find = finder(docs.sparkSession, counts)
 
     def rows(b: pa.RecordBatch):
