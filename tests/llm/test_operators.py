@@ -308,6 +308,52 @@ def test_licences(spark, docs, empty):
     assert LI.scan(docs, LI.fit(docs)).count() == docs.count() and LI.scan(empty, LI.fit(empty)).count() == 0
 
 
+WRAPPED = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights""",
+    "bsd": """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:""",
+    "apache-2": """Licensed to the Project under the Apache
+License, Version 2.0 (the "License"); you may not use this file except in
+compliance with the License.  You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0""",
+    "gpl-3": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.""",
+    "gpl-2": """This program is free software; you can redistribute it and/or modify it
+under the terms of the GNU General Public License as published by the Free
+Software Foundation; either version 2 of the License, or (at your option)""",
+    "agpl-3": """it under the terms of the GNU Affero General Public License as published
+by the Free Software Foundation, either version 3 of the License, or""",
+}
+
+
+def test_wrapped_licences(spark):
+    plain = [f"some words {i} of a text\nand line {i} with public words" for i in range(300)]
+    before = "Ünï words of a text before\nthat go on in a second line of the text\n\n"
+    after = "\n\nother words of the text\nfollow in the end"
+    rows = [(i, before + t + after) for i, t in enumerate(WRAPPED.values())]
+    rows += [(50, before + "\n".join(t.split()[0] + " words of the" for t in plain) + after), (51, "x\n" * 60 + "Released under the MIT License."),
+             (52, "the rights\nreserved for all of the version 3\nof the license of the text"), (53, "All rights\nreserved. all\nrights"),
+             (54, "\n".join(WRAPPED["mit"].split()))]
+    table = spark.createDataFrame(rows + [(100 + i, t) for i, t in enumerate(plain)], "doc_id long, text string")
+    got = {r.doc_id: r for r in LI.scan(table, LI.fit(table)).collect()}
+    texts = dict(rows)
+    for i, (family, notice) in enumerate(WRAPPED.items()):
+        assert got[i].families == got[i].family == family, (family, got[i])
+        for span in got[i].spans.split(","):
+            start, end = map(int, span.split(":")[1:])
+            assert len(before) <= start < end <= len(before + notice) and texts[i][start - 1] == texts[i][end] == "\n", span
+        assert got[i].n_licence == len(got[i].spans.split(","))
+    assert got[0].spans == f"mit:{len(before)}:{len(before) + WRAPPED['mit'].rindex(chr(10))}"
+    assert [got[i].families for i in range(50, 55)] == ["", "mit", "", "all-rights-reserved", "mit"]
+    assert got[53].spans == "all-rights-reserved:0:24"
+    assert sum(r.n_licence for i, r in got.items() if i >= 100) == 0
+
+
 def test_site_quality(spark, docs, empty):
     rng = random.Random(6)
     good = lambda: ". ".join("word%d and more of it" % rng.randrange(99) for _ in range(12)) + "."
