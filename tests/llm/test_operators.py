@@ -296,6 +296,36 @@ def test_html_region(spark, empty):
     assert H.extract(pages.limit(0), H.fit(pages.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("fitted", [True, False])
+def test_html_region_of_named_wrappers(fitted):
+    para = "<p>" + "Words of the text that stay. " * 12 + "</p>"
+    text = " ".join(("Words of the text that stay. " * 12).split())
+    side = "<nav><a href=x>Home</a> <a>News</a></nav>"
+    foot = "<div class='ad-box'><p>buy this cheap thing now</p></div><section class=comments><article class=comment><p>nice one, thank you all</p></article></section><footer>about me</footer>"
+    one = f"<article>{para * 3}</article>"
+    wrapped = {
+        "body": f"<html class=no-sidebar><body class='has-sidebar'>{side}{one}{foot}",
+        "main": f"<body>{side}<main class='search-results'>{para * 3}</main>{foot}",
+        "social": f"<body>{side}<div class='social-science'><div>{one}</div></div>{foot}",
+        "article": f"<body>{side}<article id=social-post>{para * 3}</article>{foot}",
+        "form": f"<body><form action=x>{side}{one}{foot}</form>",
+        "form without article": f"<body><form action=x>{side}<div class=text>{para * 3}</div>{foot}</form>",
+        "part without article": f"<body>{side}<div class='with-sidebar'>{para * 3}</div>{foot}",
+    }
+    pages = [f"<html><body>{side}{one}<div class='ad-box'><p>buy this now</p></div><footer>about me</footer>"] * 20 + list(wrapped.values())
+    counts = {}
+    for p in pages if fitted else []:
+        for kind, key, inside, n in H.labelled(p) or ():
+            counts[kind, key, inside] = counts.get((kind, key, inside), 0) + n
+    scorer = H.Scorer([(*k, n) for k, n in counts.items()])
+    for name, p in wrapped.items():
+        assert scorer.extract(p) == "\n".join([text] * 3), name
+    assert scorer.extract(f"<body><article><p>sum <math><mi>x</mi></math> and <object>y z</object> are here, all of them</p></article>{foot}") == (
+        "sum x and y z are here, all of them")
+    much = "<p>so many words of the readers</p>" * 30
+    assert "readers" not in scorer.extract(f"<body>{one}<div class=comments>{much}</div>")
+
+
 def test_licences(spark, docs, empty):
     rows = [(1, "word one.\nLicensed under the Apache License, Version 2.0.\nmore"), (2, "a licence to drive, all rights of way reserved for others"),
             (3, "Released under the MIT License."), (4, None), (5, "Copyright 2020 x. All rights reserved."),

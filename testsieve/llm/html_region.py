@@ -1,7 +1,8 @@
 """Main text of HTML pages by the maximum-scoring subsequence.
 
 A page is a sequence of words and tags.  A word scores between -1 and 1 by the
-elements around it (their names, classes and ids, and whether it is in a link);
+elements around it (their names, classes and ids, and whether it is in a link;
+of html, body and the page's wrappers only names that speak for content count);
 a tag costs up to 0.3, more for kinds of tags that stand outside content.
 The weights are fitted on labelled pages: those with exactly one <article> or
 <main>, whose words are content unless an element inside is named as something
@@ -30,7 +31,7 @@ TAG = 0.3  # the most that a tag costs, in words
 
 # HTML elements whose text is never shown as text, elements that hold
 # others, and elements that begin a new block.
-HIDDEN = "script style title noscript template svg iframe select textarea button object math"
+HIDDEN = "script style title noscript template svg iframe select textarea button"
 CONTAINERS = ("html body div article main section aside nav header footer form ul ol li dl dd dt table thead tbody tfoot tr td th "
               "figure figcaption blockquote details summary fieldset menu dialog address center head a")
 BLOCKS = CONTAINERS.removesuffix(" a") + " p h1 h2 h3 h4 h5 h6 pre hr caption legend option"
@@ -39,12 +40,13 @@ BLOCKS = CONTAINERS.removesuffix(" a") + " p h1 h2 h3 h4 h5 h6 pre hr caption le
 PRIOR = {
     5.0: "article main",
     1.5: "content post entry story text body articlebody maincontent",
-    -1.5: "header li a table form figcaption caption",
+    -1.5: "header li a table figcaption caption",
     -12.0: ("nav footer aside menu sidebar ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion "
            "cookie cookies consent notice notices comment comments reply replies respond disqus newsletter subscribe signup login "
            "breadcrumb breadcrumbs pagination pager share sharing social related recommended popup modal copyright widget toolbar masthead "
            "topbar navbar navigation skip search form dialog"),
 }
+MOST, ALL = 0.5, 0.9  # the share of a page's words that makes an element a wrapper: if a part of a longer class word speaks against it; in any case
 _PRIOR = {word: value for value, names in PRIOR.items() for word in names.split()}
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({'|'.join(HIDDEN.split())})\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>"
@@ -54,48 +56,100 @@ _PART = re.compile(r"[a-z]+")
 _CONTAINERS, _BLOCKS = set(CONTAINERS.split()), set(BLOCKS.split())
 
 
+class _Element:
+    __slots__ = ("around", "name", "names", "up", "whole", "words")
+
+    def __init__(self, name: str, attributes: str, up: _Element | None):
+        values = " ".join(" ".join(x) for x in _NAMES.findall(attributes)).lower()
+        parts = {name, *_PART.findall(values)}
+        self.name, self.up, self.words, self.around = name, up, 0, frozenset()
+        self.names = frozenset() if name in ("html", "body", "head") else frozenset(
+            parts - {"html", "body", "head", "div"} | ({"body"} & parts - {name}))
+        self.whole = {name, *values.split()}  # names that stand alone
+
+
+def _against(names) -> bool:
+    return any(_PRIOR.get(x, 0) < -5 for x in names)
+
+
+def _settle(elements: list[_Element], total: int) -> None:
+    """Sets the names that count around the words of each element: those of its
+    ancestors and its own.  Names that speak against content do not count for the
+    largest main element, for the largest article (at least half of that main, and not
+    itself named as comment, advert or the like), for what holds either, and for
+    elements with nearly ALL of the page's words, or with MOST of them if such names
+    are but parts of their classes and ids."""
+    for e in reversed(elements):
+        if e.up:
+            e.up.words += e.words
+    main = max((e for e in elements if e.name == "main"), key=lambda e: e.words, default=None)
+    article = max((e for e in elements if e.name == "article" and not _against(e.whole)), key=lambda e: e.words, default=None)
+    if main and article and 2 * article.words < main.words:
+        article = None
+    wrappers = set()
+    for e in (main, article):
+        while e and id(e) not in wrappers:
+            wrappers.add(id(e))
+            e = e.up
+    for e in elements:
+        named = e.whole - {"form", "dialog"}
+        if id(e) in wrappers or e.words > total * (ALL if _against(named) else MOST):
+            e.names = frozenset(x for x in e.names if _PRIOR.get(x, 0) >= 0)
+        e.around = e.up.around | e.names if e.up else e.names
+
+
 def tokens(page: str | None):
     """(kind, value) of a page: ("text", (words, raw text, names around it)) or
     ("tag", (name, whether a block begins))."""
-    open_: list[tuple[str, frozenset]] = []
-    around = frozenset()
+    found: list[tuple] = []
+    elements: list[_Element] = []
+    open_: list[_Element] = []
+    total = 0
     for m in _TOKEN.finditer(page or ""):
         if (text := m[5]) is not None:
-            yield "text", (len(text.split()), text, around)
+            n = len(text.split())
+            total += n
+            if open_:
+                open_[-1].words += n
+            found.append((n, text, open_[-1] if open_ else None))
             continue
         if m[3] is None:
             continue
         name = m[3].lower()
-        yield "tag", (name, name in _BLOCKS)
+        found.append((name, name in _BLOCKS))
         if name not in _CONTAINERS:
             continue
         if not m[2]:
-            if name in ("li", "a", "td", "th", "tr", "dt", "dd") and open_ and open_[-1][0] == name:
+            if name in ("li", "a", "td", "th", "tr", "dt", "dd") and open_ and open_[-1].name == name:
                 open_.pop()  # an unclosed one before
-            parts = {name} | {p for x in _NAMES.findall(m[4] or "") for p in _PART.findall(" ".join(x).lower())}
             if not m[0].endswith("/>"):
-                open_.append((name, frozenset(parts - {"html", "body", "head", "div"} | ({"body"} & parts - {name}))))
+                elements.append(_Element(name, m[4] or "", open_[-1] if open_ else None))
+                open_.append(elements[-1])
         else:
-            at = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None)
+            at = next((i for i in range(len(open_) - 1, -1, -1) if open_[i].name == name), None)
             if at is not None:
                 del open_[at:]
-        around = frozenset().union(*(x for _, x in open_))
+    _settle(elements, total)
+    for t in found:
+        yield ("tag", t) if len(t) == 2 else ("text", (t[0], t[1], t[2].around if t[2] else frozenset()))
 
 
 def labelled(page: str | None) -> list[tuple[str, str, bool, int]] | None:
     """(kind, key, inside, number) of the words by the names around them and of the tags
-    of a page with exactly one article or main element; else None."""
+    of a page with exactly one article or main element that holds content; else None."""
     if len(re.findall(r"<(?:article|main)\b", page or "", re.I)) != 1:
         return None
     found: Counter = Counter()
     depth = 0
     for kind, v in tokens(page):
         if kind == "text" and v[0]:
-            inside = bool(v[2] & {"article", "main"}) and not any(_PRIOR.get(x, 0) < -5 for x in v[2])
+            inside = bool(v[2] & {"article", "main"}) and not _against(v[2])
             found["word", " ".join(sorted(v[2])), inside] += v[0]
             depth = inside
         elif kind == "tag":
             found["tag", v[0], bool(depth)] += 1
+    if not any(kind == "word" and inside for kind, _, inside in found):
+        return None  # its one article is a comment or the like
     return [(*k, n) for k, n in found.items()]
 
 
