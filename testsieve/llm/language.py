@@ -6,9 +6,10 @@ with word boundaries) of which any is known, and scores their mean log frequency
 A text's language is the one with the largest sum; its score is the posterior
 probability under equal priors.
 
-The model is fitted on a bounded sample of labelled rows (``FIT_ROWS`` for each
-language) and holds at most ``WORDS`` words and ``GRAMS`` n-grams, so its size does
-not grow with the corpus; every text is scored whole."""
+The model is fitted on a bounded sample of distinct labelled texts (``FIT_ROWS`` for
+each language) and holds about ``WORDS`` words and ``GRAMS`` n-grams at most, the most
+frequent ones of each language in equal shares, so its size does not grow with the
+corpus; every text is scored whole."""
 
 from __future__ import annotations
 
@@ -85,15 +86,17 @@ def fit(labelled: DataFrame, rows_each: int = FIT_ROWS) -> tuple:
     """``text, lang`` to the parts of a model.  Rows without text or lang are left out;
     without any other row the model knows no language.
 
-    The sample takes about ``rows_each`` rows of each language by a hash of the text."""
+    The sample takes about ``rows_each`` distinct texts of each language by a hash of the
+    text; copies count once."""
     labelled = labelled.where("text is not null and lang is not null").select("text", "lang")
-    per = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    per = {r["lang"]: r["count"] for r in labelled.groupBy("lang").agg(
+        F.approx_count_distinct(F.xxhash64("text"), 0.01).alias("count")).collect()}
     if not per:
         return [], [], []
     share = F.lit(1.0)
     for lang, n in per.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, rows_each / n))).otherwise(share)
-    sample = labelled.where(F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1 << 30)) < share * (1 << 30))
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, rows_each / max(1, n)))).otherwise(share)
+    sample = labelled.where(F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["text", "lang"])
 
     def count(b: pa.RecordBatch):
         found: dict[str, Counter] = {}
@@ -115,8 +118,26 @@ def fit(labelled: DataFrame, rows_each: int = FIT_ROWS) -> tuple:
             yield {"g": list(c), "lang": [lang] * len(c), "n": list(c.values())}
 
     def most(df: DataFrame, k: int) -> list[tuple[str, str, int]]:
-        """All counts of the ``k`` most frequent entries."""
-        top = df.groupBy("g").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "g").limit(k)
+        """All counts of the most frequent entries of each language, about ``k`` at most: an equal
+        share each, and what a language does not need goes to the others."""
+        sizes: dict[str, dict[int, int]] = {}
+        for lang, n, entries in df.groupBy("lang", "n").agg(F.count("*").alias("entries")).collect():
+            sizes.setdefault(lang, {})[n] = entries
+        cut, left = F.lit(False), k
+        for i, lang in enumerate(sorted(sizes, key=lambda x: (sum(sizes[x].values()), x))):
+            room = share = left // (len(sizes) - i)
+            for n in sorted(sizes[lang], reverse=True):
+                if sizes[lang][n] > room:
+                    # of equal counts a part by hash
+                    tie = F.pmod(F.xxhash64(F.lit(5), "g"), F.lit(1 << 30)) < int(room / sizes[lang][n] * (1 << 30))
+                    cut = cut | ((F.col("lang") == lang) & ((F.col("n") > n) | ((F.col("n") == n) & tie)))
+                    room = 0
+                    break
+                room -= sizes[lang][n]
+            else:
+                cut = cut | (F.col("lang") == lang)
+            left -= share - room
+        top = df.where(cut).select("g").distinct()
         return [tuple(r) for r in df.join(F.broadcast(top), "g").select("g", "lang", "n").collect()]
 
     sums = C.map_rows(counts, count_grams, "g string, lang string, n long").groupBy("g", "lang").agg(F.sum("n").alias("n"))
