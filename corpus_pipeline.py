@@ -15,20 +15,18 @@ from testsieve.llm import decontamination, language, near_duplicates, piece_enco
 from testsieve.session import ship_package
 from testsieve.sources.tables import load
 
-LEAST_SCORE = 0.5  # no language has more of the posterior than the others together
-
 #: SQL cannot express trained models and the encoder; tests use brute-force versions.
 ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters or of no clear language."""
+    """Drops documents that ``op3_language`` calls ``und``: those without letters."""
     predict = language.predictor(spark, language.fit(language.training_rows(docs)))
 
-    def clear(texts):
-        return [lang != language.UNKNOWN and score >= LEAST_SCORE for lang, score in predict(texts)]
+    def known(texts):
+        return [lang != language.UNKNOWN for lang, _ in predict(texts)]
 
-    return C.filter_rows(docs, "text", clear)
+    return C.filter_rows(docs, "text", known)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,13 @@ from testsieve.llm import secret_spans
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+def test_short_texts_stay_in_the_language_stage(spark):
+    table = [(i, f"{a} {b} gemein", lang, "s", 1) for i, (a, b, lang) in enumerate([("wort", "haus", "de"), ("word", "house", "en"), ("mot", "maison", "fr")] * 20)]
+    table += [(100, "gemein", "en", "s", 1), (101, "Ωψ", "en", "s", 1), (102, "1 2 !", "en", "s", 1), (103, None, "en", "s", 1)]
+    got = corpus_pipeline.identify_language(spark, spark.createDataFrame(table, SCHEMA), "")
+    assert {r.doc_id for r in got.collect()} == {r[0] for r in table} - {102, 103}
+
+
 @pytest.mark.parametrize("rows", [0, 40])
 def test_stages_in_turn(spark, tmp_path, rows):
     clean = lambda i: " ".join(f"word{(i * 31 + k * 7) % 997} of" for k in range(40))
