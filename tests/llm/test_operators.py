@@ -177,6 +177,17 @@ def test_near_duplicates_awkward_rows(spark, docs, empty):
     assert sorted((r.doc_id, r.component_id) for r in N.near_duplicates(two).collect()) == [(1, 1), (1, 1), (2, 1)]
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    base = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
+    near = " ".join([*base[:-1], "zz"])
+    rows = [(1, " ".join(base), "s")] * 3 + [(2, near, "s"), (2, "quite another text of words", "s"), (3, near, "s"), (3, near, "s"), (4, None, "s"), (4, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r.doc_id, r.text or "") for r in N.deduplicated(docs).collect())
+    assert got == [(1, " ".join(base)), (2, "quite another text of words"), (4, ""), (4, "")]
+    pairs = spark.createDataFrame([(1, 3)], "a long, b long")
+    assert N.confirm(pairs, docs.where("doc_id <> 2")).count() == 1
+
+
 def test_bayes_bound():
     need = N.least_matches(0.75, 1e-6)
     assert need == sorted(need) and need[-1] / 128 < 0.75

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 from .components import components
@@ -142,7 +143,7 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` whose full shingle sets reach the threshold."""
     pairs = C.written(pairs.select("a", "b"), "survivors")
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = C.written(_only(docs, ids), "texts")
+    texts = C.written(_only(docs, ids).dropDuplicates(["doc_id"]), "texts")  # repeated rows have one set
 
     def rows(batch: pa.RecordBatch):
         last, sa, out_a, out_b = None, None, [], []
@@ -258,6 +259,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts are told apart by their sets.  A null doc_id takes part by its text: its
     component_id is the least known id of its group, and it is kept only if
     there is none (component_id null)."""
+    return _judged(docs).drop("fp")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` with the fingerprint of each row's set (null for the empty one)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = C.written(signatures(docs), "signatures")
     full = sig.where("fp is not null")
@@ -286,22 +292,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         named = named.join(least, "component").select("fp", F.col("least").alias("component"), "n_links")
     out = sig.select("doc_id", "n_shingles", "fp").join(named.select("fp", "component", "n_links"), "fp", "left")
     cid = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", cid.alias("component_id"),
+    return out.select("doc_id", "fp", "n_shingles", cid.alias("component_id"),
                       F.coalesce(F.col("doc_id") == cid, cid.isNull()).alias("kept"),
                       F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns) that stand for their near-duplicate group.
-    Repeated rows count once; texts without words all stay."""
-    kept = C.written(near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")), "kept")
-    repeated = kept.groupBy("kept_id").agg(F.count("*").alias("c")).where("c > 1").select("kept_id")
+    Repeated rows count once; of one id's texts each stays by its own set; texts without
+    words all stay."""
+    judged = C.written(_judged(docs).select(F.col("doc_id").alias("kept_id"), "fp", "kept"), "kept")
+    kept = judged.where("kept")
+    repeated = C.written(judged.groupBy("kept_id").agg(F.count("*").alias("c")).where("c > 1").select("kept_id"), "repeated")
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id"))
     if repeated.isEmpty():
-        return docs.join(kept, same, "left_semi")
-    repeated = C.written(repeated, "repeated")
-    once = docs.join(kept.join(repeated.withColumnRenamed("kept_id", "r"), F.col("kept_id").eqNullSafe(F.col("r")), "left_anti"), same, "left_semi")
-    return once.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+        return docs.join(kept.select("kept_id"), same, "left_semi")
+    once = docs.join(repeated, same, "left_anti").join(kept.select("kept_id"), same, "left_semi")
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t) for t in b.column(at).to_pylist()]
+            prints = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints, pa.binary())], names=[*b.schema.names, "_set"])
+
+    several = docs.join(repeated, same, "left_semi")
+    several = several.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_set", T.BinaryType())]))
+    mine = several["doc_id"].cast("long").eqNullSafe(F.col("kept_id")) & several["_set"].eqNullSafe(F.col("fp"))
+    several = several.join(kept.select("kept_id", "fp"), mine, "left_semi")
+    several = several.withColumn("_bare", F.when(F.col("_set").isNull(), F.col("text"))).dropDuplicates(["doc_id", "_set", "_bare"])
+    return once.unionByName(several.drop("_set", "_bare"))
 
 
 def _renamed(docs: DataFrame, groups: DataFrame, odd: DataFrame) -> DataFrame:
