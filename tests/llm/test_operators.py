@@ -425,6 +425,13 @@ def test_site_quality(spark, docs, empty):
     assert Q.score(withpath.limit(0), labels, Q.fit(empty, labels)).count() == 0
 
 
+def test_site_quality_fits_one_row_of_an_id(spark):
+    rows = [(i, f"word{i} and more. " * (1 + i % 5) if i % 3 else "BUY!!! " * (2 + i % 4)) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)], "doc_id long, quality int")
+    fits = [Q.fit(spark.createDataFrame(rows + rows[:1] * k, "doc_id long, text string"), labels) for k in (0, 300)]
+    assert all(np.allclose(a, b) for a, b in zip(*fits, strict=True))
+
+
 def test_recent_table_is_bounded_and_right():
     made = []
     t = C.Recent(lambda k: made.append(k) or k * 2, 10)

@@ -49,14 +49,15 @@ def _wide(x: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple:
     """Weights of the classifier from about ``rows`` labelled documents (all if there are no
-    more): (mean, spread, weights); without rows of both classes, of no effect."""
+    more), one row of each id: (mean, spread, weights); without rows of both classes, of no effect."""
     def features(b: pa.RecordBatch):
         yield {"x": [shape(t) for t in b.column("text").to_pylist()], "y": b.column("y")}
 
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("y"))
     known = C.written(C.fit_sample(known, "doc_id", rows), "labels")
     texts = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
-    got = C.map_rows(texts.join(F.broadcast(known), "doc_id").select("text", "y"), features, "x array<double>, y int").collect()
+    texts = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "y"), F.xxhash64("text")).alias("r"))
+    got = C.map_rows(texts.select("r.text", "r.y"), features, "x array<double>, y int").collect()
     x, y = np.array([r["x"] for r in got]).reshape(-1, 12), np.array([r["y"] for r in got], int)
     if len(set(y.tolist())) < 2:
         return np.zeros(34), np.ones(34), np.zeros((34, 2))
