@@ -85,11 +85,38 @@ def test_arrow_sequences_hold_the_library_s_ids(spark, docs, empty):
         stream.append(ids)
     assert sorted(want) == got
     first = manifest.orderBy("part").first()
-    ids, mask = A.sequence(first.path, 1)
-    assert mask.all() and ids.tolist() == np.concatenate(stream)[64:128].tolist()
+    flat, n = np.concatenate(stream), first.n_ids
+    for at in sorted({0, 1, A.BATCH - 1, A.BATCH, n // 64} & set(range(-(-n // 64)))):
+        ids, mask = A.sequence(first.path, at, first.batches)
+        assert ids[:n - 64 * at].tolist() == flat[64 * at:min(64 * at + 64, n)].tolist() and mask.to_pylist() == [64 * at + k < n for k in range(64)]
+        assert not ids.flags.owndata and ids.base is not None  # a view of the mapped file
+    with pytest.raises(IndexError):
+        A.sequence(first.path, -(-n // 64), first.batches)
     assert A.read_documents(A.write_sequences(empty, WORDS)).count() == 0
 
 
+def test_arrow_encoder_on_capitals_and_marks():
+    from tokenizers import Tokenizer
+
+    e, rng = A.Encoder(WORDS), random.Random(7)
+    marks = [chr(c) for c in range(0x300, 0x370)] + list("\u0591\u064b\u3099\u20d0\u1dc4")
+    capitals = [chr(c) for c in range(0x110000) if chr(c).lower() != chr(c)]
+    others = [" ", "\n", "a", "z", "é", "中", "Σ", "İ", "ı", "K", "<|", "<|endoftext|>", "ﬁ", "1", ".", "'s", "'S", "\t"]
+    texts = [c + rng.choice(marks) for c in capitals] + [c + m for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for m in marks]
+    texts += ["".join(rng.choice(rng.choice([marks, capitals, others, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdef"])) for _ in range(rng.randint(1, 9))) for _ in range(40_000)]
+    for text, want in zip(texts, Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(e.encode(text), e.kind).tolist() == want.ids, ascii(text)
+
+
+def test_arrow_sequences_spread_one_id(spark):
+    rows = [(None if i % 3 == 0 else i, f"text {i % 7}") for i in range(3000)]
+    manifest = A.write_sequences(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), WORDS)
+    files = manifest.collect()
+    assert len(files) > 4 and max(f.n_docs for f in files) < 1000  # the id of a third of the rows is in several files
+    got = sorted(((-1 if r.doc_id is None else r.doc_id), r.start) for r in A.read_documents(manifest).collect())
+    assert [g[0] for g in got] == sorted(-1 if i is None else i for i, _ in rows) and [g[1] for g in got] == sorted(g[1] for g in got)
+
+
 def test_multiset_fingerprints(spark, docs, empty):
     from pyspark.sql import functions as F
 

@@ -15,7 +15,7 @@ folder through ``pyarrow.fs``."""
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from unicodedata import is_normalized
 
 import numpy as np
@@ -37,6 +37,21 @@ _SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b
 _AS_IS = ("Σ", "İ", "<|")
 
 
+def _lowered(text: str) -> str:
+    """The text in lower case where the library makes the same of both, else as it is.
+
+    The library composes (NFC) before it lower-cases.  Of a composed text whose small
+    letters are composed as well, both orders give the same; a capital and a mark
+    with no sign in one, whose small letters have one, do not.  Special tokens and
+    capitals whose small form depends on their place stay too."""
+    low = text.lower()
+    if low.isascii() and text.isascii():
+        return low if "<|" not in text else text
+    if any(x in text for x in _AS_IS) or not (is_normalized("NFC", text) and is_normalized("NFC", low)):
+        return text
+    return low
+
+
 class Encoder:
     """The library's ids of whole texts, by words kept in a bounded table.
 
@@ -65,8 +80,7 @@ class Encoder:
     def encode(self, text: str | None, end: int | None = None) -> bytes:
         out = []
         if text:
-            # lower case is what the library makes; not of special tokens and of capitals whose small form depends on their place
-            low = text if any(x in text for x in _AS_IS) else text.lower()
+            low = _lowered(text)
             words = self.words
             out = [words[w] if len(w) <= CACHE_CHARS else self._word(w) for w in low.replace("\n", " ").split(" ") if w]
         if end is not None:
@@ -100,13 +114,14 @@ class Writer:
         self.stream = pa.ipc.new_stream(self.out, self.schema)
         self.buffer, self.ends, self.n = bytearray(), [], 0
         self.done = 0  # ids already in the file
+        self.batches: list[int] = []  # where each batch begins
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         self.buffer += ids
         self.n += len(ids) // self.size
         self.ends.append((doc_id, self.n - 1))
-        if len(self.buffer) >= BATCH * self.length * self.size:
-            self._write(len(self.buffer) // (self.length * self.size))
+        while len(self.buffer) >= BATCH * self.length * self.size:
+            self._write(BATCH)
 
     def _write(self, rows: int) -> None:
         length, take = self.length, rows * self.length
@@ -124,6 +139,7 @@ class Writer:
         del self.ends[:k]
         self.done += real
         fixed = lambda values, t: pa.FixedSizeListArray.from_arrays(pa.array(values, t), length)
+        self.batches.append(max(self.out.tell(), self.schema.serialize().size))  # the schema comes with the first
         self.stream.write_batch(pa.RecordBatch.from_arrays(
             [fixed(ids, self.schema.field("ids").type.value_type), fixed(np.arange(take) < real, pa.bool_()),
              pa.array(ends, self.schema.field("ends").type)], schema=self.schema))
@@ -138,10 +154,12 @@ class Writer:
 
 def write_sequences(docs: DataFrame, tokenizer: str, end: int = END, length: int = LENGTH) -> DataFrame:
     """Writes ``doc_id, text`` as Arrow stream files and returns their manifest:
-    ``part, path, n_ids, n_docs``, a row for each file.
+    ``part, path, n_ids, n_docs, batches``, a row for each file (``batches``: where the
+    record batches of ``BATCH`` sequences begin).
 
     Null texts are empty and give the end id alone; null ids come first; rows that
-    repeat an id are ordered by text; other columns are ignored.  Without rows there
+    repeat an id are ordered by a hash of their text, equal rows as they come, and one
+    id can reach over several files; other columns are ignored.  Without rows there
     are no files."""
     folder = C.run_folder(docs.sparkSession, "sequences")
 
@@ -160,29 +178,40 @@ def write_sequences(docs: DataFrame, tokenizer: str, end: int = END, length: int
         if writer is not None:
             n = writer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int32()), "path": [path],
-                                              "n_ids": pa.array([n], pa.int64()), "n_docs": pa.array([n_docs], pa.int64())})
+                                              "n_ids": pa.array([n], pa.int64()), "n_docs": pa.array([n_docs], pa.int64()),
+                                              "batches": pa.array([writer.batches], pa.list_(pa.int64()))})
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = src.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return C.written(dealt.mapInArrow(run, "part int, path string, n_ids long, n_docs long"), "manifest")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                      F.xxhash64("text").alias("digest"), F.monotonically_increasing_id().alias("row"))
+    order = ("doc_id", "digest", "row")  # an id or a text of many rows is dealt to several files
+    dealt = src.repartitionByRange(*order).sortWithinPartitions(*order)
+    return C.written(dealt.mapInArrow(run, "part int, path string, n_ids long, n_docs long, batches array<long>"), "manifest")
 
 
-def _batches(path: str) -> Iterator[pa.RecordBatch]:
+def _opened(path: str):
     files, p = _filesystem(path)
     from pyarrow import fs
 
-    source = pa.memory_map(p) if isinstance(files, fs.LocalFileSystem) else files.open_input_file(p)
-    with source, pa.ipc.open_stream(source) as stream:
+    return pa.memory_map(p) if isinstance(files, fs.LocalFileSystem) else files.open_input_file(p)
+
+
+def _batches(path: str) -> Iterator[pa.RecordBatch]:
+    with _opened(path) as source, pa.ipc.open_stream(source) as stream:
         yield from stream
 
 
-def sequence(path: str, at: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of sequence ``at`` of a file (of a local file, without a copy of the ids)."""
-    for b in _batches(path):
-        if at < b.num_rows:
-            return b.column("ids")[at].values.to_numpy(), b.column("mask")[at].values.to_numpy(zero_copy_only=False)
-        at -= b.num_rows
-    raise IndexError(at)
+def sequence(path: str, at: int, batches: Sequence[int]) -> tuple[np.ndarray, pa.BooleanArray]:
+    """Ids and mask of sequence ``at`` of a file, whose batches begin at ``batches`` (of
+    the manifest): one seek, and of a local file a view of its buffers, no copy."""
+    if not 0 <= at < len(batches) * BATCH:
+        raise IndexError(at)
+    source = _opened(path)
+    schema = pa.ipc.open_stream(source).schema
+    source.seek(batches[at // BATCH])
+    b = pa.ipc.read_record_batch(pa.ipc.read_message(source), schema)
+    if at % BATCH >= b.num_rows:
+        raise IndexError(at)
+    return b.column("ids")[at % BATCH].values.to_numpy(), b.column("mask")[at % BATCH].values
 
 
 def documents_of(path: str) -> Iterator[tuple[int | None, int, int]]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from testsieve.sources.tables import load
 
 from . import (
-    arrow_sequences, decontamination, html_region, language, licences, multiset_fingerprints, near_duplicates, piece_encoding,
+    arrow_sequences, decontamination, html_region, language, licences, multiset_fingerprints, near_duplicates, packing, piece_encoding,
     secret_spans, site_quality,
 )
 
@@ -116,3 +116,8 @@ def op10(spark, sf_dir):
     labels = load(spark, sf_dir, "labels", "doc_id", "quality")
     placed = site_quality.sites(docs, load(spark, sf_dir, "pages", "page_id", "url"))
     return site_quality.score(placed, labels, site_quality.fit(docs, labels))
+
+
+@query("op11_bounded_packing")
+def op11(spark, sf_dir):
+    return packing.pack(load(spark, sf_dir, "documents", "doc_id", "text"), _tokenizer("word_bpe_49k.json"))
