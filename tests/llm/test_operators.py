@@ -110,7 +110,11 @@ def test_arrow_encoder_on_capitals_and_marks():
 
 def test_arrow_sequences_spread_one_id(spark):
     rows = [(None if i % 3 == 0 else i, f"text {i % 7}") for i in range(3000)]
-    manifest = A.write_sequences(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), WORDS)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = A.write_sequences(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), WORDS)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     files = manifest.collect()
     assert len(files) > 4 and max(f.n_docs for f in files) < 1000  # the id of a third of the rows is in several files
     got = sorted(((-1 if r.doc_id is None else r.doc_id), r.start) for r in A.read_documents(manifest).collect())
