@@ -10,7 +10,7 @@ from testsieve.sources.tables import load
 
 from . import (
     arrow_sequences, decontamination, html_region, language, licences, multiset_fingerprints, near_duplicates, packing, piece_encoding,
-    secret_spans, site_quality,
+    prefix_trie, secret_spans, site_quality,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,35 @@ def op10(spark, sf_dir):
 @query("op11_bounded_packing")
 def op11(spark, sf_dir):
     return packing.pack(load(spark, sf_dir, "documents", "doc_id", "text"), _tokenizer("word_bpe_49k.json"))
+
+
+# crc32 of a decimal's characters: eight shifts a byte
+def _crc32(number: str) -> str:
+    bit = "lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    byte = f"lambda c, d: list_reduce(list_prepend(xor(c, d), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), {bit})"
+    codes = f"list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), {byte}), 4294967295)"
+
+
+@query("op12_prefix_trie", sql=f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))[:32] AS g FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, g) AS k FROM t),
+c AS (SELECT DISTINCT conv_id, {_crc32('conv_id')} % 4 AS h, conv_id - conv_id % 20 AS base FROM t),
+r AS (SELECT c.conv_id, k, g, role, text FROM c JOIN o ON o.conv_id = c.base AND k <= h
+      UNION ALL SELECT c.conv_id, h + k, g, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND k > h),
+s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS d, g, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM r),
+p AS (SELECT conv_id, d, w, string_agg(g, '') OVER (PARTITION BY conv_id ORDER BY d) AS g FROM s UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+n AS (SELECT g, d, any_value(w) AS w, min(conv_id) AS conv_id, count(*) AS n FROM p GROUP BY g, d),
+e AS (SELECT g, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends
+      FROM (SELECT conv_id, arg_max(g, d) AS g FROM p GROUP BY conv_id) GROUP BY g),
+k AS (SELECT g[:32 * (d - 1)] AS g, count(*) AS kids FROM n WHERE d > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN k USING (g)),
+b AS (SELECT g[:32 * a] AS g, sum((n - 1) * w) AS saved, count(*) FILTER (WHERE kids = 0) AS leaves
+      FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM m) GROUP BY ALL)
+SELECT m.conv_id, CAST(m.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAST(m.n AS BIGINT) AS n_convs, CAST(m.kids AS BIGINT) AS n_children,
+       CAST(b.leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM m JOIN b USING (g) LEFT JOIN e USING (g) LEFT JOIN n u ON m.d > 0 AND u.g = m.g[:32 * (m.d - 1)] AND u.d = m.d - 1
+""")
+def op12(spark, sf_dir):
+    return prefix_trie.prefix_trie(load(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
