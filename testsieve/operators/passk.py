@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.passk import pass_at_k as pass_at_k_col
+from .ranking import ordinal_within
 
 
 def task_counts(samples: DataFrame, passed: str = "passed") -> DataFrame:
@@ -42,16 +43,13 @@ def _picks(group, n_groups, k):
 
 def _choice_groups(scored_clusters: DataFrame) -> DataFrame:
     """Clusters of equal (9-decimal) score form one choice group, numbered in
-    score order (0-based), with the number of groups of the task.  The window
-    runs over the task's distinct scores only (partial aggregation first): a
-    score is sqrt(solutions) x tests, so a task has no more distinct scores
-    than distinct (multiplicity, set weight) pairs, whatever its cluster count."""
+    score order (0-based), with the number of groups of the task: the dense rank is
+    the ordinal among the task's distinct scores, which spread over ranges, so a
+    task of very many scores is no single task's work."""
     sc = scored_clusters.withColumn("_r9", F.round(F.col("score"), 9))
     distinct = sc.select("task_id", "_r9").distinct()
-    w = Window.partitionBy("task_id")
-    g = distinct.select("task_id", "_r9",
-                        (F.row_number().over(w.orderBy(F.col("_r9").desc())) - 1).cast("int").alias("group"),
-                        F.count(F.lit(1)).over(w).cast("int").alias("n_groups"))
+    g = ordinal_within(distinct, "task_id", [F.col("_r9").desc()], out="group", few_classes=False)
+    g = g.select("task_id", "_r9", F.col("group").cast("int").alias("group"), F.col("group_n").cast("int").alias("n_groups"))
     return sc.join(g, ["task_id", "_r9"]).drop("_r9")
 
 

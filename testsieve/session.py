@@ -90,6 +90,14 @@ def run_path(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
+def stored(df, name: str):
+    """``df`` written as a Parquet table under the shared checkpoint folder and read back:
+    the rows are computed once, and stay if an executor is lost."""
+    path = run_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers (once for each Spark context), so that
     they can import it wherever the driver was started."""
