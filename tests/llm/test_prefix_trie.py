@@ -67,8 +67,7 @@ def test_equal_to_brute_force(spark, seed):
     assert result(spark, rows + [(None, 0, "user", "of no conversation", "k", 1, "s", 1)]) == brute(rows)
 
 
-def test_one_conversation_a_third_of_all(spark, monkeypatch):
-    monkeypatch.setattr(T, "IDS", 3)
+def test_one_conversation_a_third_of_all(spark):
     rng = random.Random(9)
     rows = []
     for c in range(150):
@@ -95,3 +94,10 @@ def test_extents_are_those_of_a_scan():
             at, depth = np.array([i]), np.array([d])
             assert (r.left(at, depth)[0], r.right(at, depth)[0]) == (own[0], own[-1])
             assert r.smallest(np.array([own[0]]), np.array([own[-1]]))[0] == r.conv[own].min()
+
+
+def test_pieces_of_ids_in_order(monkeypatch):
+    monkeypatch.setattr(T, "IDS", 3)
+    r = T.Range(np.arange(20, 30), [b"a" * 16] * 10, np.ones(10, np.int64))
+    pieces = [x for cols in r.rows(0) if len(cols["kind"]) and cols["kind"][0] == 2 for x in zip(cols["no"], cols["ids"], strict=True)]
+    assert [n for n, _ in pieces] == [0, 1, 2, 3] and ",".join(x for _, x in pieces) == ",".join(map(str, range(20, 30)))

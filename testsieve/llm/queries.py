@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from testsieve.sources.tables import load
 
 from . import (
-    arrow_sequences, decontamination, html_region, language, licences, multiset_fingerprints, near_duplicates, packing, piece_encoding,
+    arrow_sequences, decontamination, html_region, language, licences, merkle_manifest, multiset_fingerprints, near_duplicates, packing, piece_encoding,
     prefix_trie, secret_spans, site_quality,
 )
 
@@ -153,3 +153,34 @@ FROM m JOIN b USING (g) LEFT JOIN e USING (g) LEFT JOIN n u ON m.d > 0 AND u.g =
 """)
 def op12(spark, sf_dir):
     return prefix_trie.prefix_trie(load(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
+_BEFORE = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+
+@query("op13_merkle_manifest", sql=f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, row_number() OVER () AS r, sha256({_BEFORE} || {_FIELD.format('text')}) AS leaf,
+           CASE WHEN {_crc32('doc_id')} % 2 = 0 THEN sha256({_BEFORE} || {_FIELD.format("replace(text, chr(10), '')")}) END AS changed FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i FROM d),
+s AS (SELECT source, 0 AS v, i, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM l
+      UNION ALL SELECT source, v + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM s WHERE n > 1 GROUP BY source, v, i // 3),
+u AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY CASE WHEN source IS NULL THEN 0 ELSE 1 END, encode(source)) - 1 AS i FROM s WHERE n = 1),
+t AS (SELECT 0 AS v, i, subroot AS h, count(*) OVER () AS n FROM u
+      UNION ALL SELECT v + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM t WHERE n > 1 GROUP BY v, i // 3),
+p AS (SELECT l.r, s.v, (l.i // CAST(3 ** s.v AS BIGINT)) AS own, coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (WHERE s.i < l.i // CAST(3 ** s.v AS BIGINT)), '') AS a,
+             coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (WHERE s.i > l.i // CAST(3 ** s.v AS BIGINT)), '') AS b
+      FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source AND s.n > 1 AND s.i // 3 = l.i // CAST(3 ** (s.v + 1) AS BIGINT) GROUP BY ALL
+      UNION ALL
+      SELECT l.r, 1000 + t.v, (u.i // CAST(3 ** t.v AS BIGINT)) AS own, coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (WHERE t.i < u.i // CAST(3 ** t.v AS BIGINT)), ''),
+             coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (WHERE t.i > u.i // CAST(3 ** t.v AS BIGINT)), '')
+      FROM l JOIN u ON u.source IS NOT DISTINCT FROM l.source JOIN t ON t.n > 1 AND t.i // 3 = u.i // CAST(3 ** (t.v + 1) AS BIGINT) GROUP BY ALL),
+q AS (SELECT r, string_agg(a || b, '' ORDER BY v) AS proof, list({{'a': a, 'b': b}} ORDER BY v) AS steps FROM p GROUP BY r),
+f AS (SELECT l.doc_id, l.source, l.leaf, sha256(coalesce(proof, '')) AS proof_sha256, 1 AS k, coalesce(len(steps), 0) AS m, steps, coalesce(changed, leaf) AS h FROM l LEFT JOIN q USING (r)
+      UNION ALL SELECT doc_id, source, leaf, proof_sha256, k + 1, m, steps, sha256(steps[k].a || h || steps[k].b) FROM f WHERE k <= m)
+SELECT f.doc_id, f.leaf, u.subroot, t.h AS root, f.proof_sha256, f.h AS folded_root, f.h = t.h AS verified
+FROM f JOIN u ON u.source IS NOT DISTINCT FROM f.source JOIN t ON t.n = 1 WHERE f.k = f.m + 1
+""")
+def op13(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents", *merkle_manifest.FIELDS)
+    return merkle_manifest.proofs(merkle_manifest.build(docs))
