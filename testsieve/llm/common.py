@@ -15,6 +15,8 @@ from testsieve.session import scratch_path
 
 U64 = np.uint64
 SLICE = 512
+BATCH_BYTES = 4 << 20  # of a batch that goes to a Python worker (a longer text is a batch of its own)
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 # Random odd 64-bit multipliers that weight the words of a shingle by their place
 # (unrelated ones: in a progression, 1 + 9 = 3 + 7 would make different shingles equal).
 _PLACE = np.random.default_rng(5).integers(0, 2**64, 64, dtype=U64) | U64(1)
@@ -25,11 +27,19 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of Arrow batches, where the session leaves them open: ten thousand
+    texts a batch, Spark's bound by rows, are a large part of an executor's memory."""
+    if _BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage with files that survive the loss of any executor."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = run_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -40,6 +50,7 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict[str, li
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    bounded_batches(df.sparkSession)
     out = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,6 +116,7 @@ def held(key: str, make: Callable):
     if key not in _worker:
         _worker.clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
         _worker[key] = make()
     return _worker[key]
 
@@ -128,6 +140,7 @@ def fit_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
 
 def filter_rows(df: DataFrame, column: str, keep: Callable[[list], list[bool]]) -> DataFrame:
     """The rows of ``df``, all columns as they are, for whose ``column`` values ``keep`` is true."""
+    bounded_batches(df.sparkSession)
     at = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,9 @@ of L words the k-grams with k = L // 2 + 1 are hashed and the least hash of ever
 L - k + 1 consecutive ones is kept, on both sides: two texts that share a window
 keep the same fingerprint inside it, so the join on fingerprints misses none.
 Hits are extended along their diagonal (same offset between document and item);
-words inside an equal run of at least L words are hit.
+words inside an equal run of at least L words are hit.  Where a document and an item
+repeat their fingerprints, so that their places would meet in products, the pair's
+windows are compared instead, in time that grows with the two texts' words.
 
 Benchmarks of up to ``INDEX_WORDS`` words (the size is counted first) are sent to
 the tasks as one index; beyond it documents and items meet in a shuffled join on
@@ -25,6 +27,7 @@ from . import common as C
 
 SPAN = 13
 SHARE = 20  # contaminated: n_hit * SHARE >= n_words
+ITEMS = 256  # of a shuffled join, that meet a text together
 INDEX_WORDS = 2_000_000  # about 40 MB of index in a Python worker
 
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -55,14 +58,14 @@ def item_span(n: int) -> int:
 
 
 class Index:
-    """Fingerprints of benchmark items, sorted, with the items' word hashes."""
+    """Fingerprints of benchmark items, sorted by (fingerprint, item), with the items' word hashes."""
 
-    def __init__(self, items: list[tuple[str, str]]):
+    def __init__(self, items: list[tuple[str | None, str]]):
         self.ids, self.words = [], []
         fp, item, at = [], [], []
         for i, text in items:
             h = word_hashes(text)
-            if i is None or not len(h):
+            if not len(h):
                 continue
             f, p = fingerprints(h, item_span(len(h)))
             fp.append(f)
@@ -72,8 +75,12 @@ class Index:
             self.words.append(h)
         cat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
         fp, item, at = cat(fp, C.U64), cat(item, np.int64), cat(at, np.int64)
-        order = np.argsort(fp, kind="stable")
-        self.fp, self.item, self.at = fp[order], item[order], at[order]
+        order = np.lexsort((at, item, fp))
+        fp, item, self.at = fp[order], item[order], at[order]
+        # one entry for a fingerprint and an item: its places are at[begin:begin + n]
+        self.begin = np.flatnonzero(np.r_[True, (fp[1:] != fp[:-1]) | (item[1:] != item[:-1])]) if len(fp) else np.empty(0, np.int64)
+        self.fp, self.item = fp[self.begin], item[self.begin]
+        self.n = np.diff(np.r_[self.begin, len(fp)])
         self.spans = sorted({item_span(len(h)) for h in self.words})
 
     def covered(self, h: np.ndarray) -> tuple[np.ndarray, set[str]]:
@@ -81,28 +88,64 @@ class Index:
         hit, found = np.zeros(len(h), bool), set()
         for span in self.spans:
             f, p = fingerprints(h, span)
-            lo, hi = np.searchsorted(self.fp, f, "left"), np.searchsorted(self.fp, f, "right")
-            have = np.flatnonzero(hi > lo)
-            n = (hi - lo)[have]
-            entry = np.repeat(lo[have], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            item = self.item[entry]
-            diagonal = np.repeat(p[have], n) - self.at[entry]
-            for i, d in np.unique(np.stack([item, diagonal], 1), axis=0).tolist():
+            lo = np.searchsorted(self.fp, f, "left")
+            if not (lo < len(self.fp)).any() or not (self.fp[np.minimum(lo, len(self.fp) - 1)] == f).any():
+                continue
+            f, which = np.unique(f, return_inverse=True)
+            places, first = p[np.argsort(which, kind="stable")], np.r_[0, np.cumsum(np.bincount(which))]
+            lo, n = np.searchsorted(self.fp, f, "left"), np.searchsorted(self.fp, f, "right")
+            n -= lo
+            mine = np.repeat(np.arange(len(f)), n)
+            entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            by_item = np.argsort(self.item[entry], kind="stable")
+            mine, entry = mine[by_item], entry[by_item]
+            windows = None
+            for a, b in _groups(self.item[entry]):
+                i = int(self.item[entry[a]])
                 words = self.words[i]
-                need = item_span(len(words))
-                a, b = max(0, -d), min(len(words), len(h) - d)
-                if b - a < need:
-                    continue
-                same = np.r_[False, words[a:b] == h[d + a:d + b], False]
-                edge = np.flatnonzero(same[1:] != same[:-1]).reshape(-1, 2)
-                for s, e in edge[edge[:, 1] - edge[:, 0] >= need].tolist():
-                    hit[d + a + s:d + a + e] = True
-                    found.add(self.ids[i])
+                ends = self._diagonals(words, h, places, first, mine[a:b], entry[a:b])
+                if ends is None:
+                    windows = C.window_hashes(h, span) if windows is None else windows
+                    starts = np.flatnonzero(np.isin(windows, C.window_hashes(words, span)))
+                    ends = np.stack([starts, starts + span], 1)
+                if len(ends):
+                    step = np.zeros(len(h) + 1, np.int64)
+                    np.add.at(step, ends[:, 0], 1)
+                    np.add.at(step, ends[:, 1], -1)
+                    hit |= np.cumsum(step[:-1]) > 0
+                    if self.ids[i] is not None:
+                        found.add(self.ids[i])
         return hit, found
 
+    def _diagonals(self, words, h, places, first, mine, entry) -> np.ndarray | None:
+        """(start, end) of the equal runs of at least a window along the diagonals of shared
+        fingerprints; None if these are too many to follow one by one."""
+        need, most = item_span(len(words)), 4 * (len(h) + len(words))
+        if ((first[mine + 1] - first[mine]) * self.n[entry]).sum() > most:
+            return None
+        diagonals = np.unique(np.concatenate([(places[first[m]:first[m + 1], None] - self.at[None, self.begin[e]:self.begin[e] + self.n[e]]).ravel()
+                                              for m, e in zip(mine.tolist(), entry.tolist(), strict=True)]))
+        if len(diagonals) * min(len(words), len(h)) > 16 * most:
+            return None
+        out = []
+        for d in diagonals.tolist():
+            a, b = max(0, -d), min(len(words), len(h) - d)
+            if b - a < need:
+                continue
+            same = np.r_[False, words[a:b] == h[d + a:d + b], False]
+            edge = np.flatnonzero(same[1:] != same[:-1]).reshape(-1, 2)
+            out.append(edge[edge[:, 1] - edge[:, 0] >= need] + d + a)
+        return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+
+
+def _groups(sorted_: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of the runs of equal values."""
+    at = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1], True]) if len(sorted_) else np.zeros(1, np.int64)
+    return list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    return benchmark.where("item_id is not null and text is not null").select(
+    return benchmark.where("text is not null").select(
         F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
 
 
@@ -139,9 +182,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, index_words: int = INDE
     """``doc_id, text`` against ``item_id, text`` to ``doc_id, n_words, n_hit, n_items,
     items_sha256, contaminated``: one row per input row.
 
-    Null texts have no words.  Items without id or words have no windows; rows
-    that repeat an item's id count as one item.  Tables without rows are allowed;
-    other columns are ignored."""
+    Null texts have no words, and items without words no windows.  Windows of an item
+    without id hit like any other; it is no item of ``n_items``.  Rows that repeat an
+    item's id count as one item.  Ties do not arise: a word is hit or not.  Very long
+    and repetitive texts take time and memory in proportion to their words.  Tables
+    without rows are allowed; other columns are ignored."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     judge = per_text(benchmark, index_words)
     if judge is None:
@@ -187,29 +232,29 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
                     yield {"fp": f, name: [i] * len(f)}
         return rows
 
-    of_items = C.map_rows(items, prints("item_id", lambda n: [item_span(n)] if n else []), "fp long, item_id string").distinct()
+    items = items.distinct().withColumn("item", F.md5(F.to_json(F.struct("item_id", "text"))))
+    of_items = C.map_rows(items, prints("item", lambda n: [item_span(n)] if n else []), "fp long, item string").distinct()
     of_docs = C.map_rows(texts, prints("digest", lambda n: [s for s in spans if s <= n]), "fp long, digest string")
-    pairs = of_docs.join(of_items, "fp").select("digest", "item_id").distinct()
+    pairs = of_docs.join(of_items, "fp").select("digest", "item").distinct()
+    # a text meets its items a few hundred at a time
+    some = F.pmod(F.xxhash64("item"), F.lit(max(1, items.count() // ITEMS)))
+    together = pairs.join(items, "item").groupBy("digest", some.alias("some")).agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
 
     def extend(b: pa.RecordBatch):
-        out: dict[str, list] = {"digest": [], "item_id": [], "s": [], "e": []}
-        for d, i, t, it in zip(*(b.column(c).to_pylist() for c in ("digest", "item_id", "text", "item")), strict=True):
-            hit, _ = Index([(i, it)]).covered(word_hashes(t))
+        for d, t, its in zip(b.column("digest").to_pylist(), b.column("text").to_pylist(), b.column("items").to_pylist(), strict=True):
+            hit, found = Index([(x["item_id"], x["text"]) for x in its]).covered(word_hashes(t))
             edge = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8))).reshape(-1, 2)
-            for s, e in edge.tolist():
-                for c, v in zip(out, (d, i, s, e), strict=True):
-                    out[c].append(v)
-        yield out
-
-    spans_hit = C.written(C.map_rows(
-        pairs.join(items.withColumnRenamed("text", "item"), "item_id").join(texts, "digest"), extend,
-        "digest string, item_id string, s long, e long"), "hit-spans")
+            yield {"digest": [d] * len(edge), "item_id": [None] * len(edge), "s": edge[:, 0], "e": edge[:, 1]}
+            yield {"digest": [d] * len(found), "item_id": sorted(found), "s": [None] * len(found), "e": [None] * len(found)}
+
+    result = C.written(C.map_rows(together.join(texts, "digest"), extend, "digest string, item_id string, s long, e long"), "hit-spans")
+    spans_hit, items_hit = result.where("s is not null"), result.where("item_id is not null")
     # length of the union of a text's spans: what each adds beyond those that start before it
     before = Window.partitionBy("digest").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     added = F.greatest(F.lit(0), F.col("e") - F.greatest("s", F.coalesce(F.max("e").over(before), F.lit(0))))
     n_hit = spans_hit.select("digest", "s", "e").distinct().withColumn("added", added).groupBy("digest").agg(
         F.sum("added").alias("n_hit"))
-    found = spans_hit.select("digest", "item_id").distinct().groupBy("digest").agg(
+    found = items_hit.select("digest", "item_id").distinct().groupBy("digest").agg(
         F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item_id")), ",").alias("ids"))
 
     def count(b: pa.RecordBatch):

@@ -60,7 +60,7 @@ def op4(spark, sf_dir):
 @query("op5_decontamination", sql=f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
-      FROM benchmark WHERE item_id IS NOT NULL),
+      FROM benchmark),
 iw AS (SELECT DISTINCT item_id, least(len(w), 13) AS span,
               unnest(list_transform(range(1, len(w) - least(len(w), 13) + 2), lambda p: array_to_string(w[p:p + least(len(w), 13) - 1], ' '))) AS g
        FROM i WHERE len(w) > 0),

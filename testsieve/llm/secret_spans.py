@@ -21,6 +21,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import common as C
 
@@ -55,15 +56,25 @@ def base_spans(text: str) -> list[Span]:
 
 
 def _outside(text: str, spans: list[Span]):
-    """(start, string) of the stretches of runs between the spans, without ``=``."""
+    """(start, string) of the stretches of runs between the spans (in order), without ``=``."""
+    k, past = 0, 0  # the next span, and the furthest end of those passed
     for m in _RUN.finditer(text):
         at, end = m.span()
-        for s, _, e in [x for x in spans if x[0] < end and at < x[2]] + [(end, 0, end)]:
-            for part in text[at:max(at, s)].split("="):
-                if len(part) >= RUN:
-                    yield at, part
-                at += len(part) + 1
-            at = e
+        while k < len(spans) and spans[k][0] < end:
+            s, _, e = spans[k]
+            k += 1
+            if past < s:
+                yield from _cut(text, max(at, past), s)
+            past = max(past, e)
+        if past < end:
+            yield from _cut(text, max(at, past), end)
+
+
+def _cut(text: str, at: int, end: int):
+    for part in text[at:end].split("=") if at < end else ():
+        if len(part) >= RUN:
+            yield at, part
+        at += len(part) + 1
 
 
 def samples(text: str) -> tuple[list[str], list[str]]:
@@ -210,8 +221,10 @@ def redacted(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
 
 def find_secrets(docs: DataFrame, counts: list[tuple[bool, str, int]]) -> DataFrame:
     """``doc_id, text`` to ``doc_id, n_assign, n_access, n_hex, n_markov, base_sha256,
-    spans``: one row per input row; null is the empty text; without ordinary
-    strings the models add nothing."""
+    spans``: one row per input row, repeated rows and null ids included; null is the empty
+    text; without ordinary strings the models add nothing.  Spans that start at one place
+    are listed in the order of ``KINDS``; very long texts, and texts of very many spans,
+    take time in proportion to both.  Other columns are ignored; an empty table stays empty."""
     find = finder(docs.sparkSession, counts)
 
     def rows(b: pa.RecordBatch):
@@ -228,14 +241,15 @@ def find_secrets(docs: DataFrame, counts: list[tuple[bool, str, int]]) -> DataFr
 
 def redact(docs: DataFrame, counts: list[tuple[bool, str, int]]) -> DataFrame:
     """All rows and columns of ``docs`` with the secrets in ``text`` replaced; where the
-    table has ``n_chars`` it follows the changed texts."""
+    table has a whole number ``n_chars`` it follows the changed texts."""
     find = finder(docs.sparkSession, counts)
-    names = docs.columns
+    C.bounded_batches(docs.sparkSession)
+    names = [c for c in docs.columns if c != "n_chars" or isinstance(docs.schema[c].dataType, IntegralType)]
+    docs_columns, text_at = docs.columns, docs.columns.index("text")
 
     def run(batches):
         for b in batches:
-            at = names.index("text")
-            texts, n = b.column(at).to_pylist(), b.column(names.index("n_chars")).to_pylist() if "n_chars" in names else []
+            texts, n = b.column(text_at).to_pylist(), b.column(docs_columns.index("n_chars")).to_pylist() if "n_chars" in names else []
             for i, t in enumerate(texts):
                 spans = [s for part in find(t) for s in part] if t else []
                 if spans:
