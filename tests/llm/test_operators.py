@@ -149,10 +149,59 @@ def test_ranges_of_ids_do_not_change_the_next_document(spark, monkeypatch):
     docs = spark.createDataFrame(rows, SCHEMA)
     want = sorted(M.edited_fingerprints(docs).collect())
     monkeypatch.setattr(M, "RANGE_ROWS", 40)
-    assert len(M._ranges(docs)) > 5
+    assert len(M._ranges(docs)[0]) > 5
     assert sorted(M.edited_fingerprints(docs).collect()) == want
 
 
+def test_rows_of_one_id_spread_over_ranges(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(M, "RANGE_ROWS", 50)
+    ids = [None if i % 3 == 0 else 77 if i % 3 == 1 else i for i in range(1500)]
+    rows = [(i, f"text {k}.\nline {k}") for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = docs.withColumn("digest", F.md5("text"))
+    assert max(r["count"] for r in keyed.withColumn("place", M._place(docs)).groupBy("place").count().collect()) < 200
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()), reverse=True)
+    after = {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
+    got = M.with_next(docs).collect()
+    assert len(got) == len(rows) and all(r.next_text == after[r.text] for r in got)
+
+
+def test_fingerprints_and_likeness_equal_a_plain_version(spark):
+    import re
+    import struct
+
+    import xxhash
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    texts = ["", "\n\n", "one", *("\n".join(rng.choice(["a", "b. c", "d! e f", "é", "ü? x"]) for _ in range(rng.randint(0, 30))) for _ in range(40))]
+
+    def plain(t):
+        parts = [p for p in re.split(r"\n|(?<=[.!?]) ", t) if p]
+        total = [0] * 20
+        for p in parts:
+            for i in range(10):
+                h = xxhash.xxh64_intdigest(p.encode(), xxhash.xxh64_intdigest(struct.pack("<i", i), 42))
+                for half in range(2):
+                    total[2 * i + half] = (total[2 * i + half] + (h >> 8 * half & M._MASK)) % 2**60
+        return len(parts), total
+
+    def lanes(n, words):
+        return [(2 * (w >> 20 * j & 0xFFFFF) - 255 * n + 2**20) % 2**21 - 2**20 for w in words for j in range(3)]
+
+    table = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("fp", M.fingerprint(F.col("t")))
+    got = {r.i: (r.n, r.words) for r in table.select("i", "fp.*").collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+    pairs = table.join(table.select(F.col("i").alias("k"), F.col("fp").alias("fq")), F.col("k") == (F.col("i") + 1) % len(texts))
+    for r in pairs.select("i", "k", M.likeness(M._lanes(F.col("fp")), M._lanes(F.col("fq"))).alias("x")).collect():
+        a, b = lanes(*got[r.i]), lanes(*got[r.k])
+        dot = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True))
+        both = dot(a, a) + dot(b, b)
+        assert abs(r.x - (max(0.0, min(1.0, 2 * dot(a, b) / both)) if both else 1.0)) < 1e-9
+
+
 def brute_components(texts):
     sets = {}
     for i, t in texts:
@@ -455,6 +504,72 @@ def test_html_region(spark, empty):
     assert H.extract(pages.limit(0), H.fit(pages.limit(0))).count() == 0
 
 
+def test_html_nested_and_unclosed_elements():
+    import time
+    import tracemalloc
+
+    scorer = H.Scorer([])
+    deep = "".join(f"<div class='c{k % 9}x layer{k}'>" for k in range(25_000)) + "<p>some words in the middle</p>" + "</div>" * 25_000
+    loose = "<article>" + "<section><p>words here</p></main></table>" * 25_000
+    for page, text in ((deep, "some words in the middle"), (loose, "\n".join(["words here"] * 25_000))):
+        assert len(page) > 700_000
+        tracemalloc.start()
+        began = time.time()
+        assert scorer.extract(page) == text
+        assert H.labelled(page) is None or page is loose
+        assert time.time() - began < 10 and tracemalloc.get_traced_memory()[1] < 300e6
+        tracemalloc.stop()
+
+
+def test_html_region_is_the_best_of_all(monkeypatch):
+    """The linear scan against all regions, and summed weights against sets of names."""
+    rng = random.Random(11)
+    tags = ["div", "p", "article", "section class=content", "div class=ad", "nav", "ul", "li", "a", "h2", "main", "div id=comments", "b"]
+    best = lambda s: max((sum(s[a:b]) for a in range(len(s)) for b in range(a, len(s) + 1)), default=0)
+    for _ in range(300):
+        page = ""
+        for _ in range(rng.randint(1, 25)):
+            t = rng.choice(tags)
+            page += rng.choice([f"<{t}>", f"</{t.split()[0]}>", f"w{rng.randint(0, 99)} " * rng.randint(1, 9), "<br>"])
+        scorer = H.Scorer([("tag", "p", True, 3), ("tag", "li", False, 5)])
+        found, elements = H.tokens(page)
+        scorer.extract(page)
+        H._walk(elements, lambda x: scorer.weights.get(x, 0.0), lambda x: -scorer.weights.get(x, 0.0))
+        for e in elements:
+            names, up = set(), e
+            while up:
+                names |= up.names
+                up = up.up
+            assert abs(e.score - sum(scorer.weights.get(x, 0.0) for x in names)) < 1e-9
+        blocks, sums, score, cost, piece = [], [], 0.0, 0.0, ""
+        for t in [*found, ("p", True)]:
+            if len(t) == 3:
+                score += t[0] * np.tanh((0.5 + (t[2].score if t[2] else 0.0)) / 2)
+                piece += t[1]
+            elif t[1]:
+                if piece.split():
+                    blocks.append((score, " ".join(piece.split())))
+                    sums += [-cost, score]
+                    score, cost = 0.0, 0.0
+                piece = ""
+            elif t[0] == "br":
+                piece += " "
+            if len(t) == 2:
+                cost += scorer.cost.get(t[0], H.TAG / 2)
+        text, high = scorer.extract(page), best(sums)
+        regions = {"\n".join(t for s, t in blocks[a // 2:(b + 1) // 2] if s > 0) for a in range(0, len(sums)) for b in range(a, len(sums) + 1)
+                   if sum(sums[a:b]) > high - 1e-9}
+        assert text in regions | ({""} if high <= 1e-9 else set()), (page, text, regions)
+
+
+def test_html_parts_of_class_names():
+    para, much = "<p>" + "Words of the text that stay. " * 9 + "</p>", "<p>other words, which are many too, of this part</p>"
+    scorer = H.Scorer([])
+    for name, stays in (("social-history", True), ("menu-of-the-day", True), ("ad-box", False), ("post-comments", False), ("related", False), ("share-buttons", False)):
+        text = scorer.extract(f"<body><article>{para}<div class='{name}'>{much}</div>{para}</article>")
+        assert ("many too" in text) == stays and text.count("stay.") == 18, name
+
+
 @pytest.mark.parametrize("fitted", [True, False])
 def test_html_region_of_named_wrappers(fitted):
     para = "<p>" + "Words of the text that stay. " * 12 + "</p>"

@@ -42,3 +42,20 @@ def test_stages_in_turn(spark, tmp_path, rows):
         assert seen["secrets"][105].n_chars == len(seen["secrets"][105].text)
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in got.collect()} == set(seen["pieces"])
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_stages_keep_columns_of_any_name(spark, tmp_path, repeated):
+    extra = ["kept_id", "fp", "kept", "_set", "_bare", "found", "digest", "bands", "sig", "spans", "ids", "row"]
+    words = lambda i: " ".join(f"word{(i * 31 + k * 7) % 997} of" for k in range(40))
+    table = [(i % 20 if repeated else i, words(i % 30), "en", "s", "many", *extra) for i in range(40)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars string, " + ", ".join(f"{c} string" for c in extra))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "no words of these")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    at = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = C.written(stage(spark, at, str(tmp_path)), name)
+        assert at.columns == docs.columns
+        rows = at.collect()
+        assert all(list(r[5:]) == extra for r in rows) and {r.text for r in rows} == {t[1] for t in table}
+    assert corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).count() == len(rows)

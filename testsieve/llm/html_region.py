@@ -13,6 +13,7 @@ out."""
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter
 
@@ -25,6 +26,7 @@ from . import common as C
 from .logistic import fit_softmax
 
 FIT_ROWS = 5_000
+FIT_DEPTH = 200  # pages of deeper nesting are not taken for the fit
 SIGNATURES = 5_000
 DECAY = 1e-4
 TAG = 0.3  # the most that a tag costs, in words
@@ -46,6 +48,11 @@ PRIOR = {
            "breadcrumb breadcrumbs pagination pager share sharing social related recommended popup modal copyright widget toolbar masthead "
            "topbar navbar navigation skip search form dialog"),
 }
+# Words that leave a class such as "ad-box" or "post-comments" what its other
+# part says; beside any other word ("social-history") that part tells of the content.
+BESIDE = ("area banner bar block bottom box btn button buttons col column container content desktop fixed form global group heading icon icons id inner "
+          "inline item items js left link links list main mobile modal module new outer page panel post primary results right row secondary section site "
+          "slot sticky tab text title top unit user widget wrap wrapper")
 MOST, ALL = 0.5, 0.9  # the share of a page's words that makes an element a wrapper: if a part of a longer class word speaks against it; in any case
 _PRIOR = {word: value for value, names in PRIOR.items() for word in names.split()}
 _TOKEN = re.compile(
@@ -53,16 +60,21 @@ _TOKEN = re.compile(
     r"|<[/!?][^>]*>|<[a-zA-Z][^>]*\Z|([^<]+|<)", re.S | re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
-_CONTAINERS, _BLOCKS = set(CONTAINERS.split()), set(BLOCKS.split())
+_CONTAINERS, _BLOCKS, _BESIDE = set(CONTAINERS.split()), set(BLOCKS.split()), set(BESIDE.split())
+_UNCLOSED = {"li", "a", "td", "th", "tr", "dt", "dd"}
 
 
 class _Element:
-    __slots__ = ("around", "name", "names", "up", "whole", "words")
+    __slots__ = ("depth", "name", "names", "score", "up", "whole", "words")
 
     def __init__(self, name: str, attributes: str, up: _Element | None):
         values = " ".join(" ".join(x) for x in _NAMES.findall(attributes)).lower()
-        parts = {name, *_PART.findall(values)}
-        self.name, self.up, self.words, self.around = name, up, 0, frozenset()
+        parts = {name}
+        for value in values.split():
+            found = _PART.findall(value)
+            told = {x for x in found if _against((x,))}
+            parts.update(found if told.issuperset(x for x in found if x not in _BESIDE) else (x for x in found if x not in told))
+        self.name, self.up, self.words, self.score, self.depth = name, up, 0, 0.0, up.depth + 1 if up else 1
         self.names = frozenset() if name in ("html", "body", "head") else frozenset(
             parts - {"html", "body", "head", "div"} | ({"body"} & parts - {name}))
         self.whole = {name, *values.split()}  # names that stand alone
@@ -73,8 +85,8 @@ def _against(names) -> bool:
 
 
 def _settle(elements: list[_Element], total: int) -> None:
-    """Sets the names that count around the words of each element: those of its
-    ancestors and its own.  Names that speak against content do not count for the
+    """Sets the names of each element that count around its words and those of the elements
+    in it.  Names that speak against content do not count for the
     largest main element, for the largest article (at least half of that main, and not
     itself named as comment, advert or the like), for what holds either, and for
     elements with nearly ALL of the page's words, or with MOST of them if such names
@@ -95,15 +107,39 @@ def _settle(elements: list[_Element], total: int) -> None:
         named = e.whole - {"form", "dialog"}
         if id(e) in wrappers or e.words > total * (ALL if _against(named) else MOST):
             e.names = frozenset(x for x in e.names if _PRIOR.get(x, 0) >= 0)
-        e.around = e.up.around | e.names if e.up else e.names
 
 
-def tokens(page: str | None):
-    """(kind, value) of a page: ("text", (words, raw text, names around it)) or
-    ("tag", (name, whether a block begins))."""
+def _walk(elements: list[_Element], enter, leave) -> None:
+    """Calls ``enter(name)`` for the first of the open elements that bears a name, ``leave(name)``
+    when the last one ends, and sets each element's ``score`` to what ``enter`` and ``leave``
+    have summed up to: work in proportion to the names, whatever the nesting."""
+    total, path, borne = 0.0, [], Counter()
+    for e in elements:  # in the order of their beginning
+        while path and path[-1] is not e.up:
+            for x in path.pop().names:
+                borne[x] -= 1
+                if not borne[x]:
+                    total += leave(x)
+        path.append(e)
+        for x in e.names:
+            borne[x] += 1
+            if borne[x] == 1:
+                total += enter(x)
+        e.score = total
+
+
+def tokens(page: str | None) -> tuple[list[tuple], list[_Element]]:
+    """The tokens of a page, (words, raw text, element or None) of a text and (name,
+    whether a block begins) of a tag, and its elements in the order of their beginning."""
     found: list[tuple] = []
     elements: list[_Element] = []
     open_: list[_Element] = []
+    places: dict[str, list[int]] = {}  # of the open elements by name
+
+    def close(at: int) -> None:
+        while len(open_) > at:
+            places[open_.pop().name].pop()
+
     total = 0
     for m in _TOKEN.finditer(page or ""):
         if (text := m[5]) is not None:
@@ -120,34 +156,39 @@ def tokens(page: str | None):
         if name not in _CONTAINERS:
             continue
         if not m[2]:
-            if name in ("li", "a", "td", "th", "tr", "dt", "dd") and open_ and open_[-1].name == name:
-                open_.pop()  # an unclosed one before
+            if name in _UNCLOSED and open_ and open_[-1].name == name:
+                close(len(open_) - 1)  # an unclosed one before
             if not m[0].endswith("/>"):
                 elements.append(_Element(name, m[4] or "", open_[-1] if open_ else None))
+                places.setdefault(name, []).append(len(open_))
                 open_.append(elements[-1])
-        else:
-            at = next((i for i in range(len(open_) - 1, -1, -1) if open_[i].name == name), None)
-            if at is not None:
-                del open_[at:]
+        elif places.get(name):
+            close(places[name][-1])
     _settle(elements, total)
-    for t in found:
-        yield ("tag", t) if len(t) == 2 else ("text", (t[0], t[1], t[2].around if t[2] else frozenset()))
+    return found, elements
 
 
 def labelled(page: str | None) -> list[tuple[str, str, bool, int]] | None:
     """(kind, key, inside, number) of the words by the names around them and of the tags
-    of a page with exactly one article or main element that holds content; else None."""
+    of a page with exactly one article or main element that holds content, of at most
+    ``FIT_DEPTH`` nested elements; else None."""
     if len(re.findall(r"<(?:article|main)\b", page or "", re.I)) != 1:
         return None
+    all_, elements = tokens(page)
+    if max((e.depth for e in elements), default=0) > FIT_DEPTH:
+        return None
+    around: dict[int, frozenset] = {}
+    for e in elements:
+        around[id(e)] = around[id(e.up)] | e.names if e.up else e.names
     found: Counter = Counter()
-    depth = 0
-    for kind, v in tokens(page):
-        if kind == "text" and v[0]:
-            inside = bool(v[2] & {"article", "main"}) and not _against(v[2])
-            found["word", " ".join(sorted(v[2])), inside] += v[0]
-            depth = inside
-        elif kind == "tag":
-            found["tag", v[0], bool(depth)] += 1
+    depth = False
+    for t in all_:
+        if len(t) == 2:
+            found["tag", t[0], depth] += 1
+        elif t[0]:
+            names = around[id(t[2])] if t[2] else frozenset()
+            depth = bool(names & {"article", "main"}) and not _against(names)
+            found["word", " ".join(sorted(names)), depth] += t[0]
     if not any(kind == "word" and inside for kind, _, inside in found):
         return None  # its one article is a comment or the like
     return [(*k, n) for k, n in found.items()]
@@ -177,7 +218,6 @@ class Scorer:
             w = w[:, 1] - w[:, 0]
             self.weights = dict(zip(names, w[:-1].tolist(), strict=True)) | {"": float(w[-1])}
         self.cost = {t: TAG * (out + 1) / (out + inside + 2) for t, (out, inside) in tags.items()}
-        self.word = C.Recent(lambda around: float(np.tanh((self.weights[""] + sum(self.weights.get(x, 0.0) for x in around)) / 2)), 10_000)
 
     def extract(self, page: str | None) -> str:
         # blocks: [score, pieces]; sums between them decide the region
@@ -195,16 +235,19 @@ class Scorer:
                 score = cost = 0.0
             pieces.clear()
 
-        for kind, v in tokens(page):
-            if kind == "text":
-                score += v[0] * self.word[v[2]]
-                pieces.append(v[1])
+        found, elements = tokens(page)
+        weight, bias = self.weights, self.weights[""]
+        _walk(elements, lambda x: weight.get(x, 0.0), lambda x: -weight.get(x, 0.0))
+        for t in found:
+            if len(t) == 3:
+                score += t[0] * math.tanh((bias + (t[2].score if t[2] else 0.0)) / 2)
+                pieces.append(t[1])
             else:
-                if v[1]:
+                if t[1]:
                     flush()
-                elif v[0] == "br":
+                elif t[0] == "br":
                     pieces.append(" ")
-                cost += self.cost.get(v[0], TAG / 2)
+                cost += self.cost.get(t[0], TAG / 2)
         flush()
         best, region, total, first = 0.0, (0, 0), 0.0, 0
         for i, s in enumerate(scores):
@@ -238,8 +281,9 @@ def extract(pages: DataFrame, weights: list[tuple[str, str, bool, int]]) -> Data
     """``page_id, url, html`` to ``page_id, url, text, n_chars``: one row per input row.
 
     Null, empty and wordless pages give the empty text; a page without markup is one
-    block; repeated rows give equal rows; other columns are ignored.  Without any
-    labelled page the prior weights score."""
+    block; repeated rows give equal rows; of regions with equal sums the first is taken; other
+    columns are ignored; an empty table stays empty.  Very long and deeply nested pages take
+    time in proportion to their length.  Without any labelled page the prior weights score."""
     scorer = C.shared_model(pages.sparkSession, weights, Scorer)
 
     def rows(b: pa.RecordBatch):

@@ -1,7 +1,7 @@
 """Homomorphic multiset fingerprints of documents, by DataFrame functions alone.
 
 A paragraph is a line, or in it a stretch that ends after a sentence mark.  It is
-hashed to 20 words of three 8-bit values, one for every 20 bits; a document's
+hashed, by ten 64-bit functions, to 20 words of three 8-bit values, one for every 20 bits; a document's
 fingerprint is the number of its paragraphs and the sum of their words modulo
 2 ** 60.  Order does not matter, and adding or subtracting a paragraph's words
 inserts or deletes it.  Read as 60 lanes modulo 2 ** 20 and centred, the sums of
@@ -10,6 +10,8 @@ two documents are random projections of their paragraph counts, so
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ HASHES = 10  # 64-bit hashes of a paragraph, two words each
 LANES = 3
 _MASK = sum(0xFF << 20 * j for j in range(LANES))
 _MODULUS = (1 << 60) - 1
-RANGE_ROWS, RANGES = 2_000, 10_000  # rows of a range of ids; most ranges
+RANGE_ROWS, RANGES = 2_000, 100_000  # rows of a range of ids; most ranges (their bounds: 0.8 MB)
 
 
 def _paragraphs(text: Column) -> Column:
@@ -26,8 +28,10 @@ def _paragraphs(text: Column) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    """``struct(n, words)`` of a text; null is the empty text, with no paragraph."""
-    hashed = F.transform(_paragraphs(text), lambda p: F.array(*[F.xxhash64(p, F.lit(i)) for i in range(HASHES)]))
+    """``struct(n, words)`` of a text; null is the empty text, with no paragraph.  The number
+    comes first in the hash: it seeds the paragraph's, so that two paragraphs which
+    collide under one of the functions do not under the others."""
+    hashed = F.transform(_paragraphs(text), lambda p: F.array(*[F.xxhash64(F.lit(i), p) for i in range(HASHES)]))
     zero = F.array_repeat(F.lit(0).cast("long"), 2 * HASHES)
     words = F.aggregate(hashed, zero, lambda total, h: F.transform(total, lambda a, k: (
         a + F.call_function("shiftright", F.get(h, F.call_function("shiftright", k, F.lit(1))), k.bitwiseAND(F.lit(1)) * 8)
@@ -73,15 +77,46 @@ def likeness(x: Column, y: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * _dot(x, y) / both)))
 
 
-def _ranges(docs: DataFrame) -> list[int]:
-    """Bounds that cut the ids into ranges of about ``RANGE_ROWS`` rows: at most
-    ``RANGES`` of them, whatever the table's size."""
-    n = docs.count()
-    k = min(RANGES, n // RANGE_ROWS)
+def _ranges(docs: DataFrame) -> tuple[list[int], dict[int, int], int]:
+    """Bounds that cut the ids into ranges of about ``RANGE_ROWS`` rows, at most ``RANGES`` of
+    them; how many such ranges an id alone fills; how many the null ids fill."""
+    n, known = docs.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    k = min(RANGES, known // RANGE_ROWS)
+    size = max(RANGE_ROWS, known // max(1, k))
+    nulls = min((n - known) // size, (1 << 20) - 1)
     if k < 1:
-        return []
+        return [], {}, nulls
     at = F.percentile_approx("doc_id", [i / (k + 1) for i in range(1, k + 1)], 10 * k + 1000)
-    return sorted(set(docs.agg(at.alias("at")).first()["at"] or []))
+    found = Counter(docs.agg(at.alias("at")).first()["at"])
+    return sorted(found), {i: m + 1 for i, m in found.items() if m > 1}, nulls
+
+
+def _array(values: list[int]) -> Column:
+    """A constant array of any length."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _below(values: list[int], x: Column) -> Column:
+    """How many of the ascending ``values`` are less than ``x``, by bisection."""
+    if not values:
+        return F.lit(0)
+    held, steps = _array(values), [1 << i for i in range(len(values).bit_length() - 1, -1, -1)]
+    return F.aggregate(F.lit(steps), F.lit(0), lambda t, s: t + F.when(
+        (t + s <= len(values)) & (F.get(held, F.least(t + s, F.lit(len(values))) - 1) < x), s).otherwise(0))
+
+
+def _place(docs: DataFrame) -> Column:
+    """A number of a row's range, ascending by (doc_id, digest), null ids first; an id of many
+    rows is cut by the digest."""
+    bounds, hot, nulls = _ranges(docs)
+    share = F.conv(F.substring("digest", 1, 8), 16, 10).cast("double") / (1 << 32)
+    ids = sorted(hot)
+    at = _below(ids, F.col("doc_id"))
+    parts = F.when(F.get(_array(ids), at) == F.col("doc_id"), F.get(_array([hot[i] for i in ids]), at)).otherwise(1) if ids else F.lit(1)
+    number = lambda place, parts: place.cast("long") * (1 << 20) + F.floor(share * parts)
+    # an id's own range, after those of the smaller ids in its range of ids
+    place = 2 * _below(bounds, F.col("doc_id")) + (F.when(parts > 1, 1).otherwise(0) if ids else 0)
+    return F.when(F.col("doc_id").isNull(), number(F.lit(-1), F.lit(max(1, nulls)))).otherwise(number(place, parts))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -90,13 +125,10 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Rows meet by ranges of ids, one shuffle for all; a range's last row finds its
     neighbour in a copy of the first row of the range below.  Null ids come last;
-    rows with one id are ordered by the hash of their texts."""
-    bounds = _ranges(docs)
+    rows with one id are ordered by the hash of their texts, and spread by it if there
+    are many; only equal rows (of one id and text) always share a range."""
     keyed = docs.withColumn("digest", F.md5(F.coalesce("text", F.lit(""))))
-    # the number of bounds below the id; null ids before all
-    place = F.lit(-1) if not bounds else F.coalesce(
-        F.aggregate(F.lit(bounds).cast("array<bigint>"), F.lit(0), lambda t, b: t + F.when(b < F.col("doc_id"), 1).otherwise(0)), F.lit(-1))
-    keyed = keyed.withColumn("place", place)
+    keyed = keyed.withColumn("place", _place(docs))
     first = keyed.groupBy("place").agg(F.max(F.struct("doc_id", "digest")).alias("first"))
     order = Window.orderBy("place")  # a row for each range
     first = first.select(

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -298,30 +299,30 @@ def _judged(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (all columns) that stand for their near-duplicate group.
-    Repeated rows count once; of one id's texts each stays by its own set; texts without
-    words all stay."""
-    judged = C.written(_judged(docs).select(F.col("doc_id").alias("kept_id"), "fp", "kept"), "kept")
+    """The rows of ``docs`` (all columns, whatever their names) that stand for their
+    near-duplicate group.  Repeated rows count once; of one id's texts each stays by its own
+    set; texts without words all stay."""
+    kept_id, fp, own, bare = (f"{c}_{uuid.uuid4().hex}" for c in ("kept_id", "fp", "set", "bare"))  # beside any column of the table
+    judged = C.written(_judged(docs).select(F.col("doc_id").alias(kept_id), F.col("fp").alias(fp), "kept"), "kept")
     kept = judged.where("kept")
-    repeated = C.written(judged.groupBy("kept_id").agg(F.count("*").alias("c")).where("c > 1").select("kept_id"), "repeated")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id"))
+    repeated = C.written(judged.groupBy(kept_id).agg(F.count("*").alias("c")).where("c > 1").select(kept_id), "repeated")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id))
     if repeated.isEmpty():
-        return docs.join(kept.select("kept_id"), same, "left_semi")
-    once = docs.join(repeated, same, "left_anti").join(kept.select("kept_id"), same, "left_semi")
+        return docs.join(kept.select(kept_id), same, "left_semi")
+    once = docs.join(repeated, same, "left_anti").join(kept.select(kept_id), same, "left_semi")
     at = docs.columns.index("text")
 
     def run(batches):
         for b in batches:
             sets = [shingle_set(t) for t in b.column(at).to_pylist()]
             prints = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints, pa.binary())], names=[*b.schema.names, "_set"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints, pa.binary())], names=[*b.schema.names, own])
 
     several = docs.join(repeated, same, "left_semi")
-    several = several.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_set", T.BinaryType())]))
-    mine = several["doc_id"].cast("long").eqNullSafe(F.col("kept_id")) & several["_set"].eqNullSafe(F.col("fp"))
-    several = several.join(kept.select("kept_id", "fp"), mine, "left_semi")
-    several = several.withColumn("_bare", F.when(F.col("_set").isNull(), F.col("text"))).dropDuplicates(["doc_id", "_set", "_bare"])
-    return once.unionByName(several.drop("_set", "_bare"))
+    several = several.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(own, T.BinaryType())]))
+    several = several.join(kept.select(kept_id, fp), same & F.col(own).eqNullSafe(F.col(fp)), "left_semi")
+    several = several.withColumn(bare, F.when(F.col(own).isNull(), F.col("text"))).dropDuplicates(["doc_id", own, bare])
+    return once.unionByName(several.drop(own, bare))
 
 
 def _renamed(docs: DataFrame, groups: DataFrame, odd: DataFrame) -> DataFrame:
