@@ -3,6 +3,10 @@ filter, statistics; plus the relational/nested feature forms agreeing."""
 
 import math
 
+import itertools
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,42 +89,63 @@ def test_nested_and_relational_features_agree(spark):
             assert a[k][c] == pytest.approx(b[k][c], abs=1e-9)
 
 
+RESPONSE = "g int, tokens array<struct<pos:int,token:string>>, tests array<struct<test_idx:int,input_text:string,output_text:string>>"
+
+
+def aligned(spark, tokens, tests, **kw):
+    df = spark.createDataFrame([(1, list(enumerate(tokens)), tests)], RESPONSE)
+    rows = TK.token_align(df, ["g"], **kw).collect()
+    return {r.test_idx: ([t.pos for t in r.input_tokens], [t.pos for t in r.output_tokens]) for r in rows}
+
+
 def test_token_align_by_overlap(spark):
-    toks = spark.createDataFrame([(1, 0, "assert"), (1, 1, " f"), (1, 2, "("), (1, 3, "1"), (1, 4, ")"),
-                                  (1, 5, " =="), (1, 6, " 2")], "gen_id int, pos int, token string")
-    tests = spark.createDataFrame([(1, 0, "assert f(1) == 2", "f(1)", "2")],
-                                  "gen_id int, test_idx int, response string, input_text string, output_text string")
-    spans = TK.section_spans(tests, ["gen_id"])
-    got = TK.token_align(toks, spans, ["gen_id"]).orderBy("section", "pos").collect()
-    assert [(r.section, r.token) for r in got] == [("input", " f"), ("input", "("), ("input", "1"), ("input", ")"),
-                                                   ("output", " 2")]
+    got = aligned(spark, ["assert", " f", "(", "1", ")", " ==", " 2"], [(0, "f(1)", "2")])
+    assert got == {0: ([1, 2, 3, 4], [6])}
 
 
 def test_unsplittable_assertion_does_not_shift_features(spark):
     """D1: the reference picks texts by a running index, so after a dropped
-    assertion the features slide onto the wrong test.  Here sections carry
-    their own test key: test 2 keeps its own tokens."""
-    resp = "assert f(1) == 1\nassert weird\nassert f(3) == 9"
-    toks = [(1, i, t) for i, t in enumerate(["assert", " f(1)", " ==", " 1", "\n", "assert", " weird", "\n",
-                                              "assert", " f(3)", " ==", " 9"])]
-    tdf = spark.createDataFrame(toks, "gen_id int, pos int, token string")
-    # test 1 could not be split: it has no input/output text, so it gets no span
-    tests = spark.createDataFrame([(1, 0, resp, "f(1)", "1"), (1, 2, resp, "f(3)", "9")],
-                                  "gen_id int, test_idx int, response string, input_text string, output_text string")
-    got = TK.token_align(tdf, TK.section_spans(tests, ["gen_id"]), ["gen_id"]).collect()
-    by_test = {}
-    for r in got:
-        by_test.setdefault((r.test_idx, r.section), []).append(r.token)
-    assert by_test[(2, "input")] == [" f(3)"] and by_test[(2, "output")] == [" 9"]
-    assert by_test[(0, "input")] == [" f(1)"] and by_test[(0, "output")] == [" 1"]
-
-
-def test_identical_inputs_use_their_own_offsets(spark):
-    resp = "assert f(1) == 1\nassert f(1) == 2"
-    toks = [(1, i, t) for i, t in enumerate(["assert", " f(1)", " ==", " 1", "\n", "assert", " f(1)", " ==", " 2"])]
-    tdf = spark.createDataFrame(toks, "gen_id int, pos int, token string")
-    tests = spark.createDataFrame([(1, 0, resp, "f(1)", "1", 0), (1, 1, resp, "f(1)", "2", 17)],
-                                  "gen_id int, test_idx int, response string, input_text string, output_text string, start int")
-    got = TK.token_align(tdf, TK.section_spans(tests, ["gen_id"], offset="start"), ["gen_id"]).collect()
-    pos = {(r.test_idx, r.section): r.pos for r in got}
-    assert pos == {(0, "input"): 1, (0, "output"): 3, (1, "input"): 6, (1, "output"): 8}
+    assertion the features slide onto the wrong test.  Here a test keeps its own key."""
+    toks = ["assert", " f(1)", " ==", " 1", "\n", "assert", " weird", "\n", "assert", " f(3)", " ==", " 9"]
+    assert aligned(spark, toks, [(0, "f(1)", "1"), (1, None, None), (2, "f(3)", "9"), (3, "f(8)", "1")]) == {0: ([1], [3]), 2: ([9], [11])}
+
+
+def test_repeated_tests_align_with_their_repetition(spark):
+    toks = ["Sure: f(1)", "assert", " f(1)", " ==", " 1", "\n", "assert", " f(1)", " ==", " 1"]
+    assert aligned(spark, toks, [(0, "f(1)", "1"), (1, "f(1)", "1"), (2, "f(1)", "1")]) == {0: ([2], [4]), 1: ([7], [9])}
+    assert aligned(spark, toks, [(0, "f(1)", "1")], marker=None) == {0: ([0], [2])}  # the first 1 behind is that of " f(1)"
+    assert aligned(spark, ["no", "marker"], [(0, "no", "marker")]) == {} and aligned(spark, [], []) == {}
+
+
+@pytest.mark.parametrize("strip_ws", [False, True])
+def test_token_align_equals_a_plain_fold(spark, strip_ws):
+    rng = random.Random(5)
+    squeeze = (lambda x: re.sub(r"\s", "", x)) if strip_ws else (lambda x: x)
+    rows = []
+    for g in range(40):
+        tokens = ["assert", *(rng.choice(["a", "b", " a", "(", " ", "\n", "ab ", "é"]) for _ in range(rng.choice([0, 5, 60, 3000])))]
+        text = "".join(tokens)
+        tests = []
+        for k in range(rng.randint(0, 6)):
+            cut = sorted(rng.randrange(len(text)) for _ in range(3))
+            tests.append((k, rng.choice([text[cut[0]:cut[0] + rng.randint(0, 6)], "zz", None, "a b"]), rng.choice([text[cut[1]:cut[1] + 2], "a", None])))
+        rows.append((g, list(enumerate(tokens)), tests))
+    want = {}
+    for g, tokens, tests in rows:
+        pieces = [squeeze(t) for _, t in tokens]
+        text, cur = "".join(pieces), len(pieces[0])
+        stops = list(itertools.accumulate(map(len, pieces)))
+        for k, i, o in tests:
+            if i is None or o is None:
+                continue
+            i, o = squeeze(i), squeeze(o)
+            a = text.find(i, cur)
+            b = text.find(o, a + len(i)) if a >= 0 else -1
+            if b >= 0:
+                over = lambda s, e: [p for p, (x, t) in enumerate(zip(stops, pieces, strict=True)) if x - len(t) < e and x > s]
+                want[g, k] = (over(a, a + len(i)), over(b, b + len(o)))
+                cur = b + len(o)
+    got = TK.token_align(spark.createDataFrame(rows, RESPONSE), ["g"], strip_ws=strip_ws)
+    assert {(r.g, r.test_idx): ([t.pos for t in r.input_tokens], [t.pos for t in r.output_tokens]) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan

@@ -1,9 +1,8 @@
 """Bounded side tables.
 
 A model fitted on aggregates (fold moments, class priors) has a size fixed by
-its parameters — k folds x classes rows — not by the data.  ``bounded``
-materialises such a table once, checks the bound, and returns it as a local
-relation that joins by broadcast without re-running the aggregation."""
+its parameters — k folds x classes rows — not by the data.  ``bounded_rows``
+reads such a table once and checks the bound."""
 
 from __future__ import annotations
 
@@ -17,7 +16,3 @@ def bounded_rows(df: DataFrame, max_rows: int, what: str = "table") -> list:
     if len(rows) > max_rows:
         raise ValueError(f"{what}: more than {max_rows} rows; not a bounded side table")
     return rows
-
-
-def bounded(df: DataFrame, max_rows: int, what: str = "table") -> DataFrame:
-    return df.sparkSession.createDataFrame(bounded_rows(df, max_rows, what), df.schema)

@@ -5,8 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions import tokens as tf
 
@@ -27,13 +30,6 @@ def punctuation_filter(tokens: DataFrame, by: Sequence[str] = (*TEST_KEY, "secti
     return tokens.withColumn("_nsig", n_sig).filter(sig | (F.col("_nsig") == 0)).drop("_nsig")
 
 
-def punctuation_filter_nested(tokens_col: str = "tokens"):
-    """Array form for nested token lists: no explode, no shuffle."""
-    c = F.col(tokens_col)
-    kept = F.filter(c, lambda t: tf.is_signal_token(t["token"]))
-    return F.when(F.size(kept) == 0, c).otherwise(kept)
-
-
 def digit_token_filter(tokens: DataFrame) -> DataFrame:
     """Keep only tokens containing a digit (used for one benchmark)."""
     return tokens.filter(tf.has_digit(F.col("token")))
@@ -47,53 +43,86 @@ def perplexity(tokens: DataFrame, by: Sequence[str] = (*TEST_KEY, "section")) ->
 
 
 # ------------------------------------------------------------------ alignment
-def token_spans(tokens: DataFrame, gen_key: Sequence[str], strip_ws: bool = False) -> DataFrame:
-    """Character span [start, end) of every token in its response text.
-    Running sum of token lengths per generation (one response: bounded)."""
-    tok = F.regexp_replace(F.col("token"), r"\s", "") if strip_ws else F.col("token")
-    w = Window.partitionBy(*gen_key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (tokens.withColumn("_len", F.length(tok))
-            .withColumn("end", F.sum("_len").over(w))
-            .withColumn("start", F.col("end") - F.col("_len")).drop("_len"))
-
-
-def token_align(tokens: DataFrame, sections: DataFrame, gen_key: Sequence[str], strip_ws: bool = False) -> DataFrame:
-    """Attach tokens to test sections by character overlap.
-
-    tokens:   gen_key + (pos, token, ...)         one row per response token
-    sections: gen_key + (test_idx, section, start, end) character spans of a
-              test's input/output text inside the response
-    Range join with the generation as equi key: Spark plans a hash/sort-merge
-    join on ``gen_key`` with the overlap as residual filter, never a nested loop.
-    """
-    t = token_spans(tokens, gen_key, strip_ws).alias("t")
-    s = sections.alias("s")
-    cond = [F.col(f"t.{k}") == F.col(f"s.{k}") for k in gen_key]
-    cond += [F.col("t.start") < F.col("s.end"), F.col("t.end") > F.col("s.start")]
-    keep = [F.col(f"t.{k}") for k in gen_key] + [F.col("s.test_idx"), F.col("s.section")] + \
-           [F.col(f"t.{c}") for c in tokens.columns if c not in gen_key]
-    return t.join(s, cond, "inner").select(*keep)
-
-
-def section_spans(tests: DataFrame, gen_key: Sequence[str], response: str = "response",
-                  strip_ws: bool = False, offset: str | None = None) -> DataFrame:
-    """Spans of each test's ``input_text`` and ``output_text`` inside the
-    response: the input's first occurrence at or after the test's own
-    ``offset`` (0-based start of its text in the response; the start of the
-    response when not given), then the output's first occurrence after the
-    input (1-based ``locate`` turned into 0-based spans)."""
-    sq = (lambda c: F.regexp_replace(c, r"\s", "")) if strip_ws else (lambda c: c)
-    off = F.col(offset).cast("int") if offset else F.lit(0)
-    t = tests.select(*gen_key, "test_idx", sq(F.col(response)).alias("_r"), off.alias("_off"),
-                     sq(F.col("input_text")).alias("_i"), sq(F.col("output_text")).alias("_o"))
-    t = t.withColumn("_is", F.expr("locate(_i, _r, _off + 1)") - 1)
-    t = t.withColumn("_ie", F.col("_is") + F.length("_i"))
-    t = t.withColumn("_os", F.expr("locate(_o, _r, _ie + 1)") - 1)
-    t = t.withColumn("_oe", F.col("_os") + F.length("_o"))
-    spans = t.select(*gen_key, "test_idx", F.inline(F.array(
-        F.struct(F.lit("input").alias("section"), F.col("_is").alias("start"), F.col("_ie").alias("end")),
-        F.struct(F.lit("output").alias("section"), F.col("_os").alias("start"), F.col("_oe").alias("end")))))
-    return spans.filter(F.col("start") >= 0)
+def _squeezed(c, strip_ws: bool):
+    return F.regexp_replace(c, r"\s", "") if strip_ws else c
+
+
+def test_spans(responses: DataFrame, tokens: str = "tokens", tests: str = "tests", strip_ws: bool = False,
+               marker: str | None = "assert", out: str = "spans") -> DataFrame:
+    """Add ``out``: for each test of a response that is found, in order, a struct of
+    ``test_idx`` and the character spans [input_start, input_end) and [output_start,
+    output_end) of its texts in the response (the concatenated tokens).
+
+    An ordered fold with one cursor per response: it starts behind the first token that
+    holds ``marker`` (without such a token nothing is found; None starts at the front),
+    a test's input is the first occurrence at or after the cursor, its output the first
+    one after the input, and the cursor moves behind the output.  So repeated tests
+    align with their own repetition.  A test whose texts are null (it could not be
+    split) or not found is left out and leaves the cursor where it is.  All positions
+    count characters of the same text: with ``strip_ws`` that without white space."""
+    piece = F.transform(tokens, lambda t: _squeezed(F.coalesce(t["token"], F.lit("")), strip_ws))
+    df = responses.withColumn("_pieces", piece).withColumn("_text", F.array_join("_pieces", ""))
+    if marker is None:
+        start = F.lit(0)
+    else:
+        at = F.array_position(F.transform("_pieces", lambda x: F.contains(x, F.lit(marker))), True).cast("int")
+        start = F.when(at > 0, F.length(F.array_join(F.slice("_pieces", F.lit(1), at), "")))
+    # an empty text (in white space only) is at once where the search begins
+    locate = lambda part, after: F.when(F.length(part) == 0, after).otherwise(F.call_function("locate", part, F.col("_text"), after + 1) - 1)
+    empty = F.array().cast("array<struct<test_idx:bigint,input_start:int,input_end:int,output_start:int,output_end:int>>")
+
+    def step(state, test):
+        i, o = _squeezed(test["input_text"], strip_ws), _squeezed(test["output_text"], strip_ws)
+        i_at = locate(i, state["cursor"])
+        i_end = i_at + F.length(i)
+        o_at = locate(o, i_end)
+        found = F.struct(test["test_idx"].cast("bigint").alias("test_idx"), i_at.alias("input_start"), i_end.alias("input_end"),
+                         o_at.alias("output_start"), (o_at + F.length(o)).alias("output_end"))
+        here = (i_at >= 0) & (o_at >= i_end)
+        return F.struct(F.when(here, o_at + F.length(o)).otherwise(state["cursor"]).alias("cursor"),
+                        F.when(here, F.concat(state["spans"], F.array(found))).otherwise(state["spans"]).alias("spans"))
+
+    first = F.struct(start.cast("int").alias("cursor"), empty.alias("spans"))
+    return df.withColumn(out, F.aggregate(tests, first, step, lambda s: s["spans"])).drop("_text")
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _token_ranges(lengths: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """For spans of characters: first token and number of tokens that overlap, in turn."""
+    out = []
+    for n, a, b in zip(lengths, starts, ends, strict=True):
+        stop = np.cumsum(n)
+        first = np.searchsorted(stop, a, "right")
+        last = np.searchsorted(stop - n, b, "left")
+        out.append(np.stack([first, np.maximum(last - first, 0)], 1).ravel().astype(np.int32))
+    return pd.Series(out)
+
+
+def token_align(responses: DataFrame, gen_key: Sequence[str], tokens: str = "tokens", tests: str = "tests",
+                strip_ws: bool = False, marker: str | None = "assert") -> DataFrame:
+    """The tests of every response with the tokens that overlap their input and output
+    text: gen_key + (test_idx, input_tokens, output_tokens), a row for each test that
+    is found (see ``test_spans``).
+
+    responses: gen_key + ``tokens`` (array of structs with ``token``) + ``tests`` (array of
+    structs test_idx, input_text, output_text, in order).
+    The token lists stay nested: no token row is made, shuffled or joined; only the
+    search for token numbers by character position is an Arrow function."""
+    df = test_spans(responses, tokens, tests, strip_ws, marker)
+    flat = lambda a, b: F.flatten(F.transform("spans", lambda s: F.array(s[a], s[b])))
+    df = df.withColumn("_ranges", _token_ranges(F.transform("_pieces", F.length), flat("input_start", "output_start"), flat("input_end", "output_end")))
+    some = lambda k, at: F.slice(tokens, F.get("_ranges", 4 * at + 2 * k) + 1, F.get("_ranges", 4 * at + 2 * k + 1))
+    per = F.transform("spans", lambda s, at: F.struct(s["test_idx"].alias("test_idx"), some(0, at).alias("input_tokens"), some(1, at).alias("output_tokens")))
+    return df.where(F.size("spans") > 0).select(*gen_key, F.inline(per))
+
+
+def aligned_tokens(aligned: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Token rows of ``token_align``: keep + (section, the token's fields)."""
+    def named(section):
+        return F.transform(f"{section}_tokens", lambda t: F.struct(F.lit(section).alias("section"), t.alias("t")))
+
+    both = F.concat(named("input"), named("output"))
+    return aligned.select(*keep, F.inline(both)).select(*keep, "section", "t.*")
 
 
 def all_tokens(tokens: DataFrame, gen_key: Sequence[str]) -> DataFrame:

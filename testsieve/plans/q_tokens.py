@@ -130,17 +130,6 @@ def q_feature_sets_naive(spark, sf):
     return r6(df.drop("is_valid"))
 
 
-@query("drop_untokenized", with_views("tokens_v") + r"""
-, d AS (SELECT function_id, test_idx, section FROM tokens_v WHERE regexp_matches(token, '\d')),
-kept AS (SELECT DISTINCT function_id, test_idx FROM d)
-SELECT function_id, test_idx FROM kept""")
-def q_drop_untokenized(spark, sf):
-    from ..operators import filters as FL
-    tok = TK.digit_token_filter(A.tokens_v(spark, sf))
-    tests = A.generations_v(spark, sf).select("function_id", "test_idx")
-    return FL.drop_untokenized(tests, tok, ("function_id", "test_idx"), "function_id").select("function_id", "test_idx")
-
-
 @query("entropy_rank_baseline", FEAT_SQL + """
 SELECT function_id, test_idx, round(output_mean, 6) AS output_mean FROM (
   SELECT *, row_number() OVER (PARTITION BY function_id ORDER BY output_mean, test_idx) AS rn FROM feat) WHERE rn <= 3""")
@@ -164,39 +153,47 @@ def q_clipped_percentiles(spark, sf):
 
 
 # ------------------------------------------------------------------ alignment
-ALIGN_SQL = """
-, t AS (SELECT test_idx AS gen_id, pos, {tok} AS tk FROM tokens_v),
-sp AS (SELECT gen_id, pos, sum(length(tk)) OVER (PARTITION BY gen_id ORDER BY pos
-                                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e, length(tk) AS l FROM t),
-r AS (SELECT gen_id, string_agg(tk, '' ORDER BY pos) AS resp,
-             coalesce(string_agg(CASE WHEN pos < 12 THEN tk END, '' ORDER BY pos), '') AS itx,
-             coalesce(string_agg(CASE WHEN pos >= 12 THEN tk END, '' ORDER BY pos), '') AS otx FROM t GROUP BY gen_id),
-r2 AS (SELECT *, strpos(resp, itx) - 1 AS i_s FROM r),
-r3 AS (SELECT *, i_s + length(itx) AS i_e,
-              CASE WHEN strpos(substr(resp, i_s + length(itx) + 1), otx) = 0 THEN -1
-                   ELSE strpos(substr(resp, i_s + length(itx) + 1), otx) - 1 + i_s + length(itx) END AS o_s FROM r2),
-s AS (SELECT gen_id, 'input' AS section, i_s AS st, i_e AS en FROM r3 WHERE i_s >= 0
-      UNION ALL SELECT gen_id, 'output', o_s, o_s + length(otx) FROM r3 WHERE o_s >= 0)
-SELECT sp.gen_id AS test_idx, s.section, sp.pos FROM sp JOIN s ON sp.gen_id = s.gen_id AND sp.e - sp.l < s.en AND sp.e > s.st"""
-
-
-def _align(spark, sf, strip_ws):
-    g = A.generations_v(spark, sf)
-    texts = g.select(
-        F.col("test_idx").alias("gen_id"), "test_idx",
-        F.array_join(F.transform("tokens", lambda t: t["token"]), "").alias("response"),
-        F.array_join(F.transform(F.filter("tokens", lambda t: t["pos"] < 12), lambda t: t["token"]), "").alias("input_text"),
-        F.array_join(F.transform(F.filter("tokens", lambda t: t["pos"] >= 12), lambda t: t["token"]), "").alias("output_text"))
-    spans = TK.section_spans(texts, ["gen_id"], strip_ws=strip_ws)
-    toks = A.tokens_v(spark, sf).select(F.col("test_idx").alias("gen_id"), "pos", "token")
-    return TK.token_align(toks, spans, ["gen_id"], strip_ws=strip_ws).select("test_idx", "section", "pos")
-
-
-@query("token_align", with_views("tokens_v") + ALIGN_SQL.format(tok="token"))
+# The fold over a response's tests: cur is the cursor, ok whether the test was found.
+def _aligned_sql(squeeze: str) -> str:
+    q = lambda c: squeeze.format(c)
+    return with_views("response_tokens_v", "response_tests_v").replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+tk AS (SELECT response_id, pos, {q('token')} AS tk, sum(length({q('token')})) OVER (PARTITION BY response_id ORDER BY pos) AS e FROM response_tokens_v),
+tx AS (SELECT response_id, string_agg(tk, '' ORDER BY pos) AS r, min(e) AS begin FROM tk GROUP BY response_id),
+ts AS (SELECT response_id, n, test_idx, {q('input_text')} AS i, {q('output_text')} AS o FROM response_tests_v),
+f AS (SELECT response_id, -1 AS n, CAST(begin AS BIGINT) AS cur, false AS ok, CAST(0 AS BIGINT) AS i_s, CAST(0 AS BIGINT) AS i_e, CAST(0 AS BIGINT) AS o_s FROM tx
+      UNION ALL
+      SELECT response_id, n, CASE WHEN ok THEN o_s + length(o) ELSE cur END, ok, i_s, i_e, o_s FROM (
+        SELECT *, coalesce(ia > 0 AND strpos(substr(r, cur + ia + length(i)), o) > 0, false) AS ok, cur + ia - 1 AS i_s, cur + ia - 1 + length(i) AS i_e,
+               cur + ia - 2 + length(i) + strpos(substr(r, cur + ia + length(i)), o) AS o_s
+        FROM (SELECT f.response_id, ts.n, f.cur, ts.i, ts.o, tx.r, strpos(substr(tx.r, f.cur + 1), ts.i) AS ia
+              FROM f JOIN ts ON ts.response_id = f.response_id AND ts.n = f.n + 1 JOIN tx ON tx.response_id = f.response_id))),
+s AS (SELECT f.response_id, test_idx, unnest([{{'section': 'input', 's': i_s, 'e': i_e}}, {{'section': 'output', 's': o_s, 'e': o_s + length(o)}}]) AS x
+      FROM f JOIN ts ON ts.response_id = f.response_id AND ts.n = f.n WHERE ok),
+aligned AS (SELECT s.response_id, test_idx, x.section AS section, pos, tk FROM s JOIN tk ON tk.response_id = s.response_id AND e - length(tk) < x.e AND e > x.s)
+"""
+
+
+_AS_IS, _NO_SPACE = "{0}", r"regexp_replace({0}, '\s', '', 'g')"
+
+
+def _align(spark, sf, strip_ws=False):
+    return TK.token_align(A.responses_v(spark, sf), ["function_id", "response_id"], strip_ws=strip_ws)
+
+
+@query("token_align", _aligned_sql(_AS_IS) + "SELECT response_id, test_idx, section, pos FROM aligned")
 def q_token_align(spark, sf):
-    return _align(spark, sf, False)
+    return TK.aligned_tokens(_align(spark, sf), ["response_id", "test_idx"]).drop("token")
 
 
-@query("token_align_ws", with_views("tokens_v") + ALIGN_SQL.format(tok=r"regexp_replace(token, '\s', '', 'g')"))
+@query("token_align_ws", _aligned_sql(_NO_SPACE) + "SELECT response_id, test_idx, section, pos FROM aligned")
 def q_token_align_ws(spark, sf):
-    return _align(spark, sf, True)
+    return TK.aligned_tokens(_align(spark, sf, True), ["response_id", "test_idx"]).drop("token")
+
+
+@query("drop_untokenized", _aligned_sql(_AS_IS) + """
+SELECT function_id, test_idx FROM response_tests_v SEMI JOIN aligned USING (test_idx)""")
+def q_drop_untokenized(spark, sf):
+    from ..operators import filters as FL
+    tests = A.responses_v(spark, sf).select("function_id", F.inline("tests"))
+    tokens = TK.aligned_tokens(_align(spark, sf), ["function_id", "test_idx"])
+    return FL.drop_untokenized(tests, tokens, ("function_id", "test_idx"), "function_id").select("function_id", "test_idx")

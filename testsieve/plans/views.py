@@ -24,6 +24,16 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                list_transform(range(4), lambda j: {{'token': {_VOCAB}[((g.test_idx * 3 + t.p * 5 + j) % 16) + 1],
                                                     'logprob': abs(CAST(g.embedding[4 * t.p + j + 1] AS DOUBLE)) * -10.0}}) AS top
         FROM generations_v g, range(16) t(p)"""),
+    "response_tokens_v": ((), f"""
+        SELECT vec_id AS response_id, vec_id % 50 AS function_id, CAST(t.p AS INTEGER) AS pos,
+               CASE WHEN t.p = 0 THEN 'Tests: assert' ELSE {_VOCAB}[((vec_id * 3 + ((t.p - 1) % 16) * 5) % 16) + 1] END AS token
+        FROM embeddings, range(33) t(p)"""),
+    "response_tests_v": ((), f"""
+        SELECT vec_id AS response_id, vec_id % 50 AS function_id, vec_id * 8 + t.n AS test_idx, t.n,
+               CASE WHEN (vec_id + t.n) % 7 = 3 THEN 'not in it'
+                    ELSE array_to_string(list_transform(range(3), lambda j: {_VOCAB}[((vec_id * 3 + ((t.n % 4) * 4 + j) * 5) % 16) + 1]), '') END AS input_text,
+               CASE WHEN (vec_id + t.n) % 11 <> 5 THEN {_VOCAB}[((vec_id * 3 + ((t.n % 4) * 4 + 3) * 5) % 16) + 1] END AS output_text
+        FROM embeddings, range(8) t(n)"""),
     "scores_v": ((), """
         SELECT user_id AS function_id, event_id AS test_idx, least(value / 100.0, 1.0) AS y_prob,
                CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END AS y_true

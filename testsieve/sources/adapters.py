@@ -76,6 +76,28 @@ def tokens_v(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.inline("tokens"))
 
 
+def responses_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses of several tests, one for each ``embeddings`` row: an introduction that ends in
+    ``assert`` and the row's tokens twice (numbered anew), with eight tests of four tokens
+    (three of input, one of output): each of the first four comes again as its copy.  The
+    input of some is not in the response, the output of some is null."""
+    g = generations_v(spark, sf_dir)
+    intro = F.struct(F.lit(0).alias("pos"), F.lit("Tests: assert").alias("token"))
+    row = F.transform("tokens", lambda t: t["token"])
+    twice = F.transform(F.concat(row, row), lambda t, i: F.struct((i + 1).alias("pos"), t.alias("token")))
+
+    def test(n):
+        k = F.pmod(n, F.lit(4))
+        odd = F.col("test_idx") + n
+        return F.struct((F.col("test_idx") * 8 + n).alias("test_idx"),
+                        F.when(F.pmod(odd, F.lit(7)) == 3, F.lit("not in it")).otherwise(F.array_join(F.slice(row, 4 * k + 1, F.lit(3)), "")).alias("input_text"),
+                        F.when(F.pmod(odd, F.lit(11)) != 5, F.element_at(row, 4 * k + 4)).alias("output_text"))
+
+    # two steps: inside a lambda ``tokens`` would be the alias of the same select
+    return (g.withColumn("tests", F.transform(F.sequence(F.lit(0), F.lit(7)), test))
+            .select("dataset", "llm", "function_id", F.col("test_idx").alias("response_id"), F.concat(F.array(intro), twice).alias("tokens"), "tests"))
+
+
 # --------------------------------------------------------------------- scores
 def scores_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events", "user_id", "event_id", "value", "event_type")
