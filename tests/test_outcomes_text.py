@@ -128,6 +128,6 @@ def test_syntax_filter_reasons(spark):
 def test_mann_whitney_golden(spark):
     rows = [("d", "l", 1, 1.0), ("d", "l", 1, 2.0), ("d", "l", 1, 2.0), ("d", "l", 0, 2.0), ("d", "l", 0, 3.0)]
     df = spark.createDataFrame(rows, "dataset string, llm string, is_valid int, x double")
-    r = L.with_p_value(L.mann_whitney_u(df, ["x"])).first()
+    r = L.mann_whitney_u(df, ["x"]).first()
     assert r.u == 1.0 and (r.n1, r.n2) == (3, 2)
     assert 0.0 < r.p <= 1.0

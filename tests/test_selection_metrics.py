@@ -1,13 +1,17 @@
 """FIXTURES §4 selection goldens, metric arithmetic, and properties of the
 selection / fold operators checked against brute force."""
 
+import itertools
+import math
 import random
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from testsieve.operators import learn as L
 from testsieve.operators import metrics as M
 from testsieve.operators import selection as S
 
@@ -149,3 +153,80 @@ def test_group_kfold_balanced(spark):
     assert (f.groupby("function_id").fold.nunique() == 1).all()
     sizes = f.groupby("fold").size()
     assert len(sizes) == 5 and sizes.max() - sizes.min() <= 7
+
+
+def greedy(sizes, k):
+    load, out = [0] * k, {}
+    for g in sorted(sizes, key=lambda g: (-sizes[g], g)):
+        out[g] = load.index(min(load))
+        load[out[g]] += sizes[g]
+    return out
+
+
+def test_deal_equals_the_greedy_rule():
+    rng = random.Random(8)
+    for _ in range(400):
+        k = rng.randint(1, 7)
+        sizes = {g: rng.choice([1, 1, 2, 3, rng.randint(1, 9), rng.randint(1, 60)]) for g in range(rng.randint(0, 80))}
+        histogram = Counter(sizes.values())
+        runs, got = dict(S._deal(list(histogram.items()), k)), {}
+        for size in histogram:
+            for nth, g in enumerate(sorted(g for g in sizes if sizes[g] == size)):
+                first, folds = [r for r in runs[size] if r[0] <= nth][-1]
+                got[g] = folds[(nth - first) % len(folds)]
+        assert got == greedy(sizes, k)
+
+
+def test_group_kfold_balanced_of_a_million_groups(spark):
+    # ids 0 .. 999,999 once, some of them again, and one that holds a third of the rows
+    df = (spark.range(1_000_000).withColumnRenamed("id", "function_id")
+          .unionByName(spark.range(0, 300_000, 3).withColumnRenamed("id", "function_id"))
+          .unionByName(spark.range(500_000).select(F.lit(77).cast("long").alias("function_id"))))
+    folds = S.group_kfold(df, 5, mode="balanced")
+    per = folds.groupBy("fold").count().collect()
+    assert folds.count() == 1_600_000 and sorted(r["fold"] for r in per) == list(range(5))
+    assert sorted(r["count"] for r in per) == [274_999, 275_000, 275_000, 275_000, 500_001]
+    assert folds.groupBy("function_id").agg(F.count_distinct("fold").alias("c")).where("c > 1").count() == 0
+
+
+def test_group_kfold_balanced_null_group(spark):
+    rows = [(None, i) for i in range(5)] + [(g, i) for g in range(4) for i in range(g + 1)]
+    got = S.group_kfold(spark.createDataFrame(rows, "function_id int, i int"), 2, mode="balanced").collect()
+    assert len(got) == len(rows) and len({r.fold for r in got if r.function_id is None}) == 1
+
+
+def test_clipped_percentiles_of_one_class_spread(spark):
+    rng = np.random.default_rng(3)
+    values = np.round(rng.normal(50, 40, 4000), 1)
+    df = spark.createDataFrame([(0 if i % 3 else 1, float(v)) for i, v in enumerate(values)] + [(0, None), (2, None), (None, 7.0)], "is_valid int, x double")
+    got = M.clipped_percentiles(df, "x", 90.0, ps=(0.0, 0.25, 0.5, 0.999, 1.0))
+    rows = {r["is_valid"]: [r[c] for c in ("p0", "p25", "p50", "p99", "p100")] for r in got.collect()}
+    for label, keep in ((0, [v for i, v in enumerate(values) if i % 3]), (1, values[::3])):
+        assert rows[label] == pytest.approx(np.percentile(np.minimum(keep, 90.0), [0, 25, 50, 99.9, 100]).tolist())
+    assert rows[2] == [None] * 5 and rows[None] == [7.0] * 5
+    assert "percentile" not in got._jdf.queryExecution().executedPlan().toString().lower()
+
+
+@pytest.mark.parametrize("n1, n2, u, p", [(3, 4, 0, 0.0571), (4, 4, 0, 0.0286), (5, 5, 2, 0.0317), (5, 5, 3, 0.0556), (8, 8, 13, 0.0499), (8, 8, 14, 0.0650),
+                                          (2, 8, 0, 0.0444), (6, 7, 6, 0.0350), (1, 5, 0, 0.3333)])
+def test_mann_whitney_exact_p(spark, n1, n2, u, p):
+    """Published tables of the exact two-sided p."""
+    order = None
+    for x in itertools.combinations(range(n1 + n2), n1):  # any samples with this U
+        if sum(r - i for i, r in enumerate(x)) == u:
+            order = set(x)
+            break
+    df = spark.createDataFrame([("d", "l", int(i in order), float(i)) for i in range(n1 + n2)], "dataset string, llm string, is_valid int, x double")
+    r = L.mann_whitney_u(df, ["x"]).first()
+    assert (r.u, round(r.p, 4)) == (u, p)
+
+
+def test_mann_whitney_normal_tail(spark):
+    z = [0.0, -1.0, 0.1, 1.0, 1.959964, 3.0, 4.2, 4.25, 5.0, 8.0, 20.0, None]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(z)], "i int, z double").orderBy("i").select(L.normal_two_sided(F.col("z"))).collect()]
+    assert got[-1] is None
+    assert got[:-1] == pytest.approx([1.0 if x <= 0 else math.erfc(x / math.sqrt(2)) for x in z[:-1]], rel=1e-9, abs=1e-15)
+    big = spark.createDataFrame([("d", "l", i % 2, float(i * 37 % 101)) for i in range(101)] + [("d", "one", 1, 3.0), ("d", "same", 1, 2.0), ("d", "same", 0, 2.0)],
+                                "dataset string, llm string, is_valid int, x double")
+    p = {r.llm: r.p for r in L.mann_whitney_u(big, ["x"]).collect()}
+    assert 0 < p["l"] <= 1 and p["one"] is None and p["same"] is None

@@ -15,7 +15,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
@@ -24,7 +23,6 @@ from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..session import checkpointed
 from .small import bounded_rows
@@ -283,16 +281,23 @@ def holdout_eval(path: str, holdout: DataFrame, name: str = "logistic_regression
 
 
 # ---------------------------------------------------------------- Mann-Whitney
+EXACT_SMALL, EXACT_LARGE = 8, 1000  # sizes of the smaller and larger sample up to which untied samples get the exact p
+
+
 def mann_whitney_u(df: DataFrame, features: Sequence[str], label: str = "is_valid",
                    by: Sequence[str] = ("dataset", "llm")) -> DataFrame:
     """Two-sided Mann-Whitney U of valid (label 1) vs invalid per group and
     feature: U of the valid sample, tie-corrected z (with continuity
-    correction on the larger U, as the usual asymptotic test).
+    correction on the larger U, as the usual asymptotic test) and p.
 
     Mid-ranks depend only on per-value counts: rows collapse to (group,
     value) counts first (ties merge in the partial aggregation), a weighted
     running count over the distinct values gives each value's first rank,
-    and U sums n_valid(v) x midrank(v) — no per-row ranks, no join back."""
+    and U sums n_valid(v) x midrank(v) — no per-row ranks, no join back.
+
+    p is exact where no values tie and the smaller sample has at most ``EXACT_SMALL``
+    and the larger at most ``EXACT_LARGE`` values, else the normal tail of z; null where a
+    sample is empty or all values are equal."""
     from .ranking import weight_before
     long = df.select(*by, label, F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
                                                      for c in features]))).filter(F.col("value").isNotNull())
@@ -309,17 +314,44 @@ def mann_whitney_u(df: DataFrame, features: Sequence[str], label: str = "is_vali
     n = n1 + n2
     u1 = F.col("_r1") - n1 * (n1 + 1) / 2
     mu = n1 * n2 / 2
-    sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("_tie") / (n * (n - 1))))
+    sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("_tie") / (n * F.greatest(n - 1, F.lit(1.0)))))
     u = F.greatest(u1, n1 * n2 - u1)
     z = F.when(sigma > 0, (u - mu - 0.5) / sigma)
-    return per.select(*by, "feature", "n1", "n2", u1.alias("u"), z.alias("z"))
-
-
-@F.pandas_udf(DoubleType())
-def two_sided_p(z: pd.Series) -> pd.Series:
-    """p = min(1, 2 * (1 - Phi(z))) on Arrow batches."""
-    return z.map(lambda v: float("nan") if v is None or v != v else min(1.0, math.erfc(v / math.sqrt(2.0))))
-
-
-def with_p_value(mw: DataFrame) -> DataFrame:
-    return mw.withColumn("p", two_sided_p(F.col("z")))
+    per = per.select(*by, "feature", "n1", "n2", u1.alias("u"), z.alias("z"), F.col("_tie"))
+    small, large = F.least("n1", "n2"), F.greatest("n1", "n2")
+    per = per.withColumn("_exact", (F.col("_tie") == 0) & (small > 0) & (small <= EXACT_SMALL) & (large <= EXACT_LARGE))
+    return with_exact_tail(per, "_exact").withColumn("p", F.coalesce("_tail", normal_two_sided(F.col("z")))).drop("_tie", "_exact", "_tail")
+
+
+def normal_two_sided(z: Column) -> Column:
+    """min(1, 2 * (1 - Phi(z))) = erfc(z / sqrt 2): the series of erf below 3, the
+    continued fraction of erfc from there on."""
+    x = z / math.sqrt(2.0)
+    series = F.aggregate(F.sequence(F.lit(0), F.lit(90)), F.struct(x.alias("term"), F.lit(0.0).alias("sum")),
+                         lambda s, i: F.struct((s["term"] * 2 * x * x / (2 * i + 3)).alias("term"), (s["sum"] + s["term"]).alias("sum")),
+                         lambda s: s["sum"])
+    fraction = F.aggregate(F.sequence(F.lit(80), F.lit(1), F.lit(-1)), F.lit(1.0), lambda f, i: F.lit(1.0) + i / (2 * x * x) / f)
+    tail = F.exp(-x * x) / math.sqrt(math.pi)
+    return F.when(x <= 0, F.lit(1.0)).when(x < 3, 1 - 2 * tail * series).when(x.isNotNull(), tail / (x * fraction))
+
+
+def with_exact_tail(per: DataFrame, where: str) -> DataFrame:
+    """Add ``_tail`` where ``where``: twice the chance (at most 1) that the U of samples of ``n1`` and
+    ``n2`` untied values is as far from its mean as ``u``, by counting.
+
+    The number of rank orders of each U is a coefficient of the Gaussian binomial
+    prod (1 - q^(large+i)) / (1 - q^i), i = 1 .. small, which is multiplied out up to the
+    smaller U: each factor is one pass over an array."""
+    small, large = F.least("n1", "n2").cast("int"), F.greatest("n1", "n2").cast("int")
+    u = F.least(F.col("u"), F.col("n1") * F.col("n2") - F.col("u")).cast("int")
+    c = F.when(F.col(where), F.transform(F.sequence(F.lit(0), u), lambda j: F.when(j == 0, F.lit(1.0)).otherwise(0.0)))
+    df = per.withColumn("_c", c)
+    for i in range(1, EXACT_SMALL + 1):
+        less = F.transform("_c", lambda x, j: x - F.when(j >= large + i, F.get("_c", j - large - i)).otherwise(0.0))
+        df = df.withColumn("_d", F.when(small >= i, less))
+        sums = F.aggregate("_d", F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(
+            x + F.coalesce(F.get(acc, F.size(acc) - i), F.lit(0.0)))))
+        df = df.withColumn("_c", F.when(small >= i, sums).otherwise(F.col("_c")))
+    orders = F.aggregate(F.sequence(F.lit(1), F.greatest(small, F.lit(1))), F.lit(1.0), lambda a, i: a * (large + i) / i)
+    tail = F.least(F.lit(1.0), 2 * F.aggregate("_c", F.lit(0.0), lambda a, x: a + x) / orders)
+    return df.withColumn("_tail", F.when(F.col(where), tail)).drop("_c", "_d")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import selection as sel
+from .ranking import weight_before
 
 
 def _sum_if(cond: Column) -> Column:
@@ -131,10 +132,23 @@ def feature_means_by_validity(features: DataFrame, by: Sequence[str] = ("dataset
 
 def clipped_percentiles(features: DataFrame, col: str = "output_mean", cap: float = 100.0,
                         label: str = "is_valid", ps: Sequence[float] = (0.5, 0.75)) -> DataFrame:
-    """min(x, cap) then exact percentiles (linear interpolation) per class."""
-    x = F.least(F.col(col), F.lit(cap))
-    return features.groupBy(label).agg(
-        *[F.percentile(x, p).alias(f"p{int(p * 100)}") for p in ps])
+    """min(x, cap) then exact percentiles (linear interpolation) per class.
+
+    Selection by rank: rows become counts of their values (map-side), running counts
+    over ranges of values give each value its ranks, and a percentile reads the two
+    values at the ranks around it.  No class's values meet in one buffer.  Nulls count for
+    no rank; a class without values gives nulls."""
+    x = F.when(F.col(col).isNotNull(), F.least(F.col(col), F.lit(cap)))
+    counts = features.select(F.col(label), x.alias("_x")).groupBy(label, "_x").agg(F.count("_x").alias("_n"))
+    r = weight_before(counts, label, ["_x"], "_n", out="_before")
+    aggs, out = [F.max("_before_total").alias("_total")], [F.col(label)]
+    for i, p in enumerate(ps):
+        at = F.lit(p) * (F.col("_before_total") - 1)
+        holds = lambda rank: (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n"))
+        aggs += [F.max(F.when(holds(F.floor(at)), F.col("_x"))).alias(f"_lo{i}"), F.max(F.when(holds(F.ceil(at)), F.col("_x"))).alias(f"_hi{i}")]
+        at = F.lit(p) * (F.col("_total") - 1)
+        out.append((F.col(f"_lo{i}") + (at - F.floor(at)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"p{int(p * 100)}"))
+    return r.groupBy(label).agg(*aggs).select(*out)
 
 
 def reviewer_baseline(tests: DataFrame, judged: str = "judged_valid", truth: str = "is_valid") -> DataFrame:

@@ -116,31 +116,55 @@ def md5_bucket(col: Column, k: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(col.cast("string")), 1, 8), 16, 10).cast("bigint"), F.lit(k)).cast("int")
 
 
-def group_kfold(df: DataFrame, k: int = 5, group: str = "function_id", out: str = "fold",
-                mode: str = "hash", max_groups: int = 100_000) -> DataFrame:
+def group_kfold(df: DataFrame, k: int = 5, group: str = "function_id", out: str = "fold", mode: str = "hash") -> DataFrame:
     """A function never spans two folds.
 
     hash:     fold = md5(group) mod k — no driver round trip, any number of groups.
-    balanced: the library's assignment — groups by size (largest first, ties by
-              key) each go to the currently lightest fold.  Needs the group-size
-              table on the driver, so it is refused above ``max_groups`` groups;
-              the assignment (one row per group) is broadcast back."""
+    balanced: the size-balancing rule — groups by size (largest first, ties by
+              key, null first) each go to the fold with the fewest rows so far
+              (the first such).  Only the histogram of group sizes is dealt in
+              order: n rows have at most sqrt(2 n) distinct sizes, and groups of
+              equal size follow a cycle (``_deal``), so a group finds its fold by
+              its ordinal among the groups of its size."""
     if mode == "hash":
         return df.withColumn(out, md5_bucket(F.col(group), k))
     if mode != "balanced":
         raise ValueError(mode)
-    from .small import bounded_rows
-    sizes = bounded_rows(df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")), max_groups, "group sizes")
-    load = [0] * k
-    assign = []
-    for r in sorted(sizes, key=lambda r: (-r["_n"], r[group])):
-        f = min(range(k), key=lambda i: (load[i], i))
-        load[f] += r["_n"]
-        assign.append((r[group], f))
-    from pyspark.sql.types import IntegerType, StructField, StructType
-    schema = StructType(list(df.select(group).schema.fields) + [StructField(out, IntegerType())])
-    table = df.sparkSession.createDataFrame(assign, schema)
-    return df.join(F.broadcast(table), group)
+    from ..session import stored
+    sizes = stored(df.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_size")), "group-sizes")
+    histogram = [(r["_size"], r["c"]) for r in sizes.groupBy("_size").agg(F.count(F.lit(1)).alias("c")).collect()]
+    dealt = df.sparkSession.createDataFrame(_deal(histogram, k), "_size long, _runs array<struct<first:long,folds:array<int>>>")
+    numbered = ordinal_within(sizes, "_size", ["_group"], out="_nth", few_classes=False).join(dealt, "_size")
+    run = F.element_at(F.filter("_runs", lambda r: r["first"] <= F.col("_nth")), -1)
+    fold = F.get(run["folds"], F.pmod(F.col("_nth") - run["first"], F.size(run["folds"])).cast("int"))
+    folds = numbered.select("_group", fold.alias(out))
+    return df.join(folds, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+
+
+def _deal(histogram: Sequence[tuple[int, int]], k: int) -> list[tuple[int, list[tuple[int, list[int]]]]]:
+    """For every group size the runs (first ordinal, folds in turn) of the groups of that size,
+    when all groups go, largest first, to the fold with the least load (the first such).
+
+    ``c`` groups of size ``s`` go to the folds in the order of (load + j * s, fold): fold i takes
+    part from level load // s on, and in a level the folds come by (load % s, i).  So there
+    are at most k runs, each a cycle over the folds that have joined."""
+    load, out = [0] * k, []
+    for s, c in sorted(histogram, reverse=True):
+        turn = sorted(range(k), key=lambda i: (load[i] % s, i))
+        joins = sorted({x // s for x in load})
+        before, runs, before_load = 0, [], list(load)
+        for t, level in enumerate(joins):
+            if before >= c:
+                break
+            active = [i for i in turn if before_load[i] // s <= level]
+            runs.append((before, active))
+            levels = joins[t + 1] - level if t + 1 < len(joins) else c
+            n = min(c - before, levels * len(active))
+            for place, i in enumerate(active):
+                load[i] += s * (n // len(active) + (place < n % len(active)))
+            before += n
+        out.append((s, runs))
+    return out
 
 
 def stratified_kfold(df: DataFrame, k: int = 5, label: str = "y_true",

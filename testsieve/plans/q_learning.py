@@ -143,27 +143,58 @@ def q_threshold_sweep(spark, sf):
 MW_FEATS = ("input_mean", "output_mean")
 
 
-@query("mann_whitney_u", FEAT_RAW_SQL + """
-, lg AS (SELECT dataset, llm, is_valid, 'input_mean' AS feature, input_mean AS value FROM feat
-         UNION ALL SELECT dataset, llm, is_valid, 'output_mean', output_mean FROM feat),
-rk AS (SELECT *, rank() OVER (PARTITION BY dataset, llm, feature ORDER BY value) AS rmin,
-              count(*) OVER (PARTITION BY dataset, llm, feature, value) AS t FROM lg),
+# erfc(x), x = z / sqrt(2): the series of erf below 3, the continued fraction above
+_NORMAL_P = """CASE WHEN z <= 0 THEN 1.0 WHEN z / sqrt(2) < 3 THEN 1 - 2 / sqrt(pi()) * exp(-z * z / 2) * list_sum(list_transform(range(100),
+    lambda i: exp((2 * i + 1) * ln(z / sqrt(2)) + 2 * i * ln(2) + lgamma(i + 1) - lgamma(2 * i + 2))))
+  ELSE exp(-z * z / 2) / sqrt(pi()) / (z / sqrt(2)) / list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(80, 0, -1), lambda i: i::DOUBLE)),
+    lambda f, i: 1 + i / (z * z) / f) END"""
+
+
+def _mw_sql(by: str) -> str:
+    same = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in [*by.split(", "), "feature"])
+    return FEAT_RAW_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+, lg AS (SELECT {by}, is_valid, 'input_mean' AS feature, input_mean AS value FROM feat
+         UNION ALL SELECT {by}, is_valid, 'output_mean', output_mean FROM feat),
+rk AS (SELECT *, rank() OVER (PARTITION BY {by}, feature ORDER BY value) AS rmin,
+              count(*) OVER (PARTITION BY {by}, feature, value) AS t FROM lg),
 mid AS (SELECT *, rmin + (t - 1) / 2.0 AS m FROM rk),
-ag AS (SELECT dataset, llm, feature, sum(CASE WHEN is_valid = 1 THEN m ELSE 0 END) AS r1,
+ag AS (SELECT {by}, feature, sum(CASE WHEN is_valid = 1 THEN m ELSE 0 END) AS r1,
               CAST(sum(CASE WHEN is_valid = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n1,
-              CAST(sum(CASE WHEN is_valid <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS n2 FROM mid GROUP BY dataset, llm, feature),
-ti AS (SELECT dataset, llm, feature, sum(t * t * t - t) AS tie FROM (SELECT DISTINCT dataset, llm, feature, value, t FROM rk)
-       GROUP BY dataset, llm, feature),
-u AS (SELECT a.*, ti.tie, a.r1 - a.n1 * (a.n1 + 1) / 2.0 AS u1, (a.n1 + a.n2) AS n FROM ag a
-      JOIN ti ON a.dataset = ti.dataset AND a.llm = ti.llm AND a.feature = ti.feature),
-s AS (SELECT *, sqrt(n1 * n2 / 12.0 * ((n + 1) - tie / (n * (n - 1)))) AS sigma FROM u)
-SELECT dataset, llm, feature, n1, n2, round(u1, 6) AS u,
-       round(CASE WHEN sigma > 0 THEN (greatest(u1, n1 * n2 - u1) - n1 * n2 / 2.0 - 0.5) / sigma END, 6) AS z FROM s""")
-def q_mann_whitney_u(spark, sf):
-    mw = L.mann_whitney_u(features(spark, sf), MW_FEATS)
+              CAST(sum(CASE WHEN is_valid <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS n2 FROM mid GROUP BY {by}, feature),
+ti AS (SELECT {by}, feature, sum(t * t * t - t) AS tie FROM (SELECT DISTINCT {by}, feature, value, t FROM rk)
+       GROUP BY {by}, feature),
+u AS (SELECT a.*, ti.tie, a.r1 - a.n1 * (a.n1 + 1) / 2.0 AS u1, (a.n1 + a.n2) AS n FROM ag a JOIN ti ON {same('a', 'ti')}),
+s AS (SELECT *, sqrt(n1 * n2 / 12.0 * ((n + 1) - tie / (n * greatest(n - 1, 1)))) AS sigma FROM u),
+z AS (SELECT *, CASE WHEN sigma > 0 THEN (greatest(u1, n1 * n2 - u1) - n1 * n2 / 2.0 - 0.5) / sigma END AS z,
+             tie = 0 AND least(n1, n2) BETWEEN 1 AND 8 AND greatest(n1, n2) <= 1000 AS exact FROM s),
+most AS (SELECT coalesce(max(n), 0) AS n FROM z WHERE exact),
+-- rank orders by (sizes, U): a value of one sample is put after all of the other, or the other way round
+c AS (SELECT 0 AS a, 0 AS b, 0 AS u, 1.0::DOUBLE AS k
+      UNION ALL
+      SELECT a, b, u, sum(k) FROM (SELECT a + 1 AS a, b, u + b AS u, k FROM c UNION ALL SELECT a, b + 1, u, k FROM c), most
+      WHERE a <= 8 AND a + b <= most.n GROUP BY a, b, u),
+w AS (SELECT {", ".join("z." + x for x in by.split(", "))}, z.feature, least(1.0, 2 * sum(k) FILTER (WHERE c.u <= least(z.u1, z.n1 * z.n2 - z.u1)) / sum(k)) AS tail
+      FROM z JOIN c ON z.exact AND c.a = least(z.n1, z.n2) AND c.b = greatest(z.n1, z.n2) GROUP BY ALL)
+SELECT {", ".join("z." + x for x in by.split(", "))}, z.feature, n1, n2, round(u1, 6) AS u, round(z, 6) AS z,
+       round(CASE WHEN exact THEN w.tail WHEN z IS NOT NULL THEN {_NORMAL_P} END, 6) AS p
+FROM z LEFT JOIN w ON {same('z', 'w')}"""
+
+
+def _mann_whitney(spark, sf, *by):
+    mw = L.mann_whitney_u(features(spark, sf), MW_FEATS, by=by)
     return r6(mw.withColumn("n1", F.col("n1").cast("bigint")).withColumn("n2", F.col("n2").cast("bigint")))
 
 
+@query("mann_whitney_u", _mw_sql("dataset, llm"))
+def q_mann_whitney_u(spark, sf):
+    return _mann_whitney(spark, sf, "dataset", "llm")
+
+
+@query("mann_whitney_u_by_function", _mw_sql("function_id"))
+def q_mann_whitney_u_by_function(spark, sf):
+    return _mann_whitney(spark, sf, "function_id")
+
+
 # agreement_nb: features (agreement, token score), label = the first sample's result
 NB_FEATS = ["agreement", "score"]
 

@@ -91,6 +91,17 @@ def q_group_kfold(spark, sf):
     return S.group_kfold(A.scores_v(spark, sf), 5).select("function_id", "test_idx", "fold")
 
 
+@query("group_kfold_balanced", with_views("scores_v").replace("WITH ", "WITH RECURSIVE ", 1) + """
+, g AS (SELECT function_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, function_id NULLS FIRST) AS i FROM scores_v GROUP BY function_id),
+d AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS function_id, CAST(NULL AS INTEGER) AS fold, [0::BIGINT, 0, 0, 0, 0] AS load
+      UNION ALL
+      SELECT i, function_id, f - 1, list_transform(load, lambda x, j: CASE WHEN j = f THEN x + n ELSE x END)
+      FROM (SELECT g.i, g.function_id, g.n, d.load, CAST(list_position(d.load, list_min(d.load)) AS INTEGER) AS f FROM d JOIN g ON g.i = d.i + 1))
+SELECT s.function_id, s.test_idx, d.fold FROM scores_v s JOIN d ON d.i > 0 AND d.function_id IS NOT DISTINCT FROM s.function_id""")
+def q_group_kfold_balanced(spark, sf):
+    return S.group_kfold(A.scores_v(spark, sf), 5, mode="balanced").select("function_id", "test_idx", "fold")
+
+
 @query("stratified_kfold", with_views("scores_v") + """
 , r AS (SELECT function_id, test_idx, y_true,
                row_number() OVER (PARTITION BY y_true ORDER BY function_id, test_idx) - 1 AS r,
