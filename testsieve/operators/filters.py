@@ -45,11 +45,11 @@ def validity_filter_by_prediction(prompts: DataFrame, functions: DataFrame, test
     test).  A prompt without a function gives one row with test 'No Tests'; a
     matched function without a valid test gives one row with NULL test.  Rows,
     not a list per prompt, so a function with millions of tests is never one
-    value.  Long prompts are joined on ``xxhash64`` plus equality."""
-    first = (functions.withColumn("_h", F.xxhash64(prompt))
-             .groupBy("_h", prompt).agg(F.min(fkey).alias(fkey)))
+    value.  Prompts meet by 16 bytes of their hash, hot ones over many tasks."""
+    from .joins import spread_join, text_key
+    first = functions.select(text_key(prompt).alias("_key"), fkey).groupBy("_key").agg(F.min(fkey).alias(fkey))
     kept = tests.filter(F.col("prediction_is_valid") == 1).select(fkey, order_key, F.col("text").alias("_t"))
-    p = prompts.withColumn("_h", F.xxhash64(prompt)).join(first, ["_h", prompt], "left")
-    out = p.join(kept, fkey, "left")
+    p = spread_join(prompts.withColumn("_key", text_key(prompt)), first, "_key").drop("_key")
+    out = spread_join(p, kept, fkey)
     return out.select(prompt, fkey, order_key,
                       F.when(F.col(fkey).isNull(), F.lit("No Tests")).otherwise(F.col("_t")).alias("test"))

@@ -4,27 +4,31 @@
   partial aggregates.  Statistics of "all folds but f" are the totals minus
   fold f, so one aggregation pass serves every fold; the per-fold table has
   k x classes rows (a proven bound) and is broadcast back to the rows.
-* Spark ML members (seeded), soft vote, out-of-fold loop, full fit + save,
-  hold-out evaluation.
+* ``fit_linear``: logistic regression and linear SVM of all folds together, one
+  pass over the rows a Newton step.
+* Other members by Spark ML (seeded) on shared scaling; soft vote, out-of-fold
+  scores, the voted path, full fit + save, hold-out evaluation.
 * ``mann_whitney_u``: mid-ranks with ties without sorting a whole group in
-  one task (range-partitioned ordinals).
+  one task (range-partitioned running sums), exact p of small samples.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
-from pyspark import StorageLevel
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier)
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import stored
 from .small import bounded_rows
 
 MAX_FOLDS = 100
@@ -42,12 +46,6 @@ def _fold_moments(df: DataFrame, features: Sequence[str], fold: str, by: Sequenc
     return df.groupBy(fold, *by).agg(*aggs)
 
 
-def _keep(df: DataFrame) -> DataFrame:
-    """The input is read twice (fit moments, then scoring): store it once
-    unless the caller already did, as Spark ML estimators do with their input."""
-    return df if df.is_cached else df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def _collect_moments(df: DataFrame, features: Sequence[str], fold: str, by: Sequence[str], bound: int) -> list[dict]:
     """The moments as a bounded list of dicts (k folds x classes rows)."""
     rows = bounded_rows(_fold_moments(df, features, fold, by), bound, "fold moments")
@@ -77,21 +75,13 @@ def _mean_var(m: dict, c: str, n_all: int | None = None) -> tuple[float | None,
 
 def impute_scale_oof(df: DataFrame, features: Sequence[str], fold: str = "fold") -> DataFrame:
     """Mean imputation then standardisation (population deviation, scale 1
-    when the deviation is 0), both fitted on the training folds only.
+    when the deviation is 0), both fitted on the training folds only (a feature
+    without known training values: mean 0, scale 1).
     Fit = one aggregation to per-fold moments; the k-row parameter table is
     broadcast back."""
-    df = _keep(df)
-    rows = _collect_moments(df, features, fold, (), MAX_FOLDS)
+    df = stored(df, "scaled")  # read twice: for the moments, then for the rows
     spark = df.sparkSession
-    params = []
-    for r in rows:
-        train = _merged_moments([o for o in rows if o[fold] != r[fold]], features)
-        vals = [r[fold]]
-        for c in features:
-            mean, var = _mean_var(train, c, train["_n"])
-            std = math.sqrt(max(var, 0.0)) if var is not None else 0.0
-            vals += [mean, std if std != 0 else 1.0]
-        params.append(tuple(vals))
+    params = [(f, *(v for both in zip(s.mean, s.std, strict=True) for v in both)) for f, s in fold_scaling(df, features, fold).items()]
     schema = f"{fold} int, " + ", ".join(f"`{c}__mean` double, `{c}__std` double" for c in features)
     st = spark.createDataFrame(params, schema)
     out = df.join(F.broadcast(st), fold)  # k rows
@@ -110,7 +100,7 @@ def gaussian_nb_oof(df: DataFrame, features: Sequence[str], label: str, fold: st
     Fit: one pass over ``df`` to (fold, class) moments (k x classes rows);
     the per-fold parameters follow from those moments, as Spark ML's own naive
     Bayes does from its aggregated sums.  Transform: one broadcast join."""
-    df = _keep(df)
+    df = stored(df, "nb")  # read twice: for the moments, then for the scores
     rows = _collect_moments(df, features, fold, [label], MAX_FOLDS * len(classes))
     spark = df.sparkSession
     folds = sorted({r[fold] for r in rows})
@@ -150,6 +140,136 @@ def gaussian_nb_oof(df: DataFrame, features: Sequence[str], label: str, fold: st
     return j.select(*df.columns, p1.alias(out))
 
 
+# ---------------------------------------------------------------- linear members, all folds at once
+class Scaling(NamedTuple):
+    """Of the rows outside a fold: means of the known values and population deviations after
+    imputation (1 where it is 0), by feature, and the number of rows."""
+    mean: list[float]
+    std: list[float]
+    n: int
+
+
+def fold_scaling(df: DataFrame, features: Sequence[str], fold: str = "fold") -> dict[int, Scaling]:
+    """The scaling of every fold's training rows from one aggregation to per-fold moments."""
+    rows = _collect_moments(df, features, fold, (), MAX_FOLDS)
+    out = {}
+    for r in rows:
+        train = _merged_moments([o for o in rows if o[fold] != r[fold]], features)
+        both = [_mean_var(train, c, train["_n"]) for c in features]
+        out[r[fold]] = Scaling([m if m is not None else 0.0 for m, _ in both],
+                               [math.sqrt(v) if v is not None and v > 0 else 1.0 for _, v in both], train["_n"])
+    return out
+
+
+LINEAR = ("logistic_regression", "linear_svm")
+STEPS = 100  # most passes over the rows
+
+
+def _logistic(f: np.ndarray, s: np.ndarray):
+    """Loss, its derivative and second derivative by the margin f; s is -1 or 1."""
+    p = 1.0 / (1.0 + np.exp(-np.clip(f, -700, 700)))
+    return np.logaddexp(0.0, -s * f), p - (s > 0), p * (1.0 - p)
+
+
+def _squared_hinge(f: np.ndarray, s: np.ndarray):
+    short = np.maximum(0.0, 1.0 - s * f)
+    return short**2, -2.0 * s * short, np.where(short > 0, 2.0, 0.0)
+
+
+_LOSS = {"logistic_regression": _logistic, "linear_svm": _squared_hinge}
+
+
+def _linear_sums(df: DataFrame, features: Sequence[str], label: str, fold: str,
+                 models: list[tuple[str, int, Scaling, list[float]]]) -> list[tuple[float, np.ndarray, np.ndarray, int, int]]:
+    """(loss, gradient, Hessian, rows, rows of label 1) of every model (member, held-out fold,
+    scaling, weights with the intercept first) over the rows outside its fold: one pass
+    over ``df`` for all, a row of sums for each model and task, added up by Spark."""
+    d = len(features) + 1
+    upper = np.triu_indices(d)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(models), 3 + d + len(upper[0])))
+        for b in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns[2:]], 1) if len(features) else np.empty((b.num_rows, 0))
+            y, folds = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for k, (name, held, scaling, w) in enumerate(models):
+                rows = folds != held
+                z = (np.where(np.isnan(x[rows]), scaling.mean, x[rows]) - scaling.mean) / scaling.std
+                z = np.concatenate([np.ones((len(z), 1)), z], 1)
+                s = np.where(y[rows] == 1, 1.0, -1.0)
+                loss, first, second = _LOSS[name](z @ np.array(w), s)
+                sums[k] += np.concatenate([[len(s), (s > 0).sum(), loss.sum()], z.T @ first, ((z * second[:, None]).T @ z)[upper]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(models)), sums.shape[1])), pa.array(np.tile(np.arange(sums.shape[1]), len(models))),
+                                          pa.array(sums.ravel())], names=["model", "at", "part"])
+
+    rows = df.where(F.col(label).isNotNull()).select(F.col(label).cast("int"), F.col(fold).cast("int"), *(F.col(c).cast("double") for c in features))
+    found = rows.mapInArrow(run, "model long, at long, part double").groupBy("model", "at").agg(F.sum("part").alias("sum"))
+    sums = np.zeros((len(models), 3 + d + len(upper[0])))
+    for r in found.collect():  # as many rows as the models have parameters and pairs of them
+        sums[r["model"], r["at"]] = r["sum"]
+    out = []
+    for row in sums:
+        h = np.zeros((d, d))
+        h[upper] = row[3 + d:]
+        out.append((row[2], row[3:3 + d], h + np.triu(h, 1).T, int(row[0]), int(row[1])))
+    return out
+
+
+def fit_linear(df: DataFrame, features: Sequence[str], label: str, fold: str, scaling: dict[int, Scaling],
+               members: Sequence[str] = LINEAR, tolerance: float = 1e-10) -> dict[tuple[str, int], list[float]]:
+    """Weights (intercept first) of the linear members for every fold in ``scaling``, fitted on the
+    rows outside it with an L2 penalty of C = 1 on the summed loss (logistic, or squared
+    hinge for the support vector machine), the intercept free.
+
+    Newton's method with halved steps where the objective rises; each pass over ``df``
+    serves all members and folds.  Training rows of one class alone give an infinite
+    intercept (probability 0 or 1)."""
+    d = len(features) + 1
+    penalty = np.r_[0.0, np.ones(d - 1)]
+    keys = [(m, f) for m in members for f in scaling]
+    weight, best = {k: np.zeros(d) for k in keys}, dict.fromkeys(keys, math.inf)
+    step, trial, done = {}, {k: np.zeros(d) for k in keys}, {}
+    for _ in range(STEPS):
+        left = [k for k in keys if k not in done]
+        if not left:
+            break
+        got = _linear_sums(df, features, label, fold, [(m, f, scaling[f], trial[m, f].tolist()) for m, f in left])
+        for k, (loss, gradient, hessian, n, ones) in zip(left, got, strict=True):
+            if ones in (0, n):
+                done[k] = [math.inf if n and ones else -math.inf, *[0.0] * (d - 1)]
+                continue
+            objective = loss + 0.5 * (penalty * trial[k] ** 2).sum()
+            if objective > best[k] + 1e-12 * abs(best[k]) and np.abs(step[k]).max() > tolerance:
+                step[k] = step[k] / 2
+            else:
+                weight[k], best[k] = trial[k], objective
+                step[k] = -np.linalg.solve(hessian + np.diag(penalty + 1e-9), gradient + penalty * trial[k])
+                if np.abs(step[k]).max() <= tolerance * (1 + np.abs(weight[k]).max()):
+                    done[k] = (weight[k] + step[k]).tolist()
+            trial[k] = weight[k] + step[k]
+    return done | {k: weight[k].tolist() for k in keys if k not in done}
+
+
+def linear_oof(df: DataFrame, features: Sequence[str], label: str, fold: str = "fold", members: Sequence[str] = LINEAR,
+               scaling: dict[int, Scaling] | None = None) -> DataFrame:
+    """``df`` with a column ``p_<member>``: the probability of label 1 by the member fitted on the
+    other folds (the sigmoid of the margin).  ``df`` is read once for the scaling and
+    once a step; pass a stored table."""
+    scaling = scaling or fold_scaling(df, features, fold)
+    fitted = fit_linear(df, features, label, fold, scaling, members)
+    names = [f"_w_{m}" for m in members]
+    rows = [(f, s.mean, s.std, *(fitted[m, f] for m in members)) for f, s in scaling.items()]
+    table = df.sparkSession.createDataFrame(rows, f"_fold int, _mean array<double>, _std array<double>, {', '.join(f'{n} array<double>' for n in names)}")
+    out = df.join(F.broadcast(table), F.col(fold) == F.col("_fold"), "left")  # k rows
+    for m, n in zip(members, names, strict=True):
+        margin = F.get(n, 0)
+        for i, c in enumerate(features):
+            mean = F.get("_mean", i)
+            margin = margin + F.get(n, i + 1) * (F.coalesce(F.col(c).cast("double"), mean) - mean) / F.get("_std", i)
+        out = out.withColumn(f"p_{m}", score_to_probability(margin))
+    return out.drop("_fold", "_mean", "_std", *names)
+
+
 # ---------------------------------------------------------------- Spark ML
 def member(name: str, n_train: int | None = None):
     """Model registry: the reference's model names that Spark ML provides.
@@ -185,7 +305,11 @@ def score_to_probability(raw: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-raw))
 
 
-def _pipeline(features: Sequence[str], label: str, name: str, n_train: int | None = None) -> Pipeline:
+def fit_member(train: DataFrame, features: Sequence[str], label: str, name: str, n_train: int | None = None) -> PipelineModel:
+    """One member with its own imputer and scaler, as a pipeline that can be saved."""
+    t = train.withColumn(label, F.col(label).cast("double"))
+    if n_train is None and name in LINEAR:
+        n_train = t.count()
     est = member(name, n_train)
     if name == "mlp":
         est = est.setLayers([len(features), 16, 2])
@@ -193,78 +317,99 @@ def _pipeline(features: Sequence[str], label: str, name: str, n_train: int | Non
     stages = [Imputer(inputCols=list(features), outputCols=[f"_imp_{c}" for c in features], strategy="mean"),
               VectorAssembler(inputCols=[f"_imp_{c}" for c in features], outputCol="_raw"),
               StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True), est]
-    return Pipeline(stages=stages)
+    return Pipeline(stages=stages).fit(t)
 
 
-def fit_member(train: DataFrame, features: Sequence[str], label: str, name: str,
-               n_train: int | None = None) -> PipelineModel:
-    t = train.withColumn(label, F.col(label).cast("double"))
-    if n_train is None and name in ("logistic_regression", "linear_svm"):
-        n_train = t.count()
-    return _pipeline(features, label, name, n_train).fit(t)
-
-
-def predict_proba(model: PipelineModel, df: DataFrame, name: str, out: str = "y_prob") -> DataFrame:
+def predict_proba(model, df: DataFrame, name: str, out: str = "y_prob") -> DataFrame:
     p = model.transform(df)
     if name == "linear_svm":
         prob = score_to_probability(vector_to_array("rawPrediction")[1])
     else:
-        prob = vector_to_array("probability")[1]
+        # a model that has seen label 0 alone has a probability for that one only
+        prob = F.coalesce(F.get(vector_to_array("probability"), 1), F.lit(0.0))
     return p.select(*df.columns, prob.alias(out))
 
 
-def fit_all(jobs, parallelism: int):
-    """Fit (train, features, label, name, n_train) jobs; like CrossValidator's
+def scaled(df: DataFrame, features: Sequence[str], s: Scaling) -> DataFrame:
+    """``df`` with the imputed and scaled features as a vector, by parameters at hand."""
+    columns = [((F.coalesce(F.col(c).cast("double"), F.lit(m)) - m) / d) for c, m, d in zip(features, s.mean, s.std, strict=True)]
+    return df.withColumn("_features", array_to_vector(F.array(*columns)))
+
+
+def _fit_scaled(job):
+    train, features, label, name = job
+    est = member(name)
+    if name == "mlp":
+        est = est.setLayers([len(features), 16, 2])
+    return est.setLabelCol(label).setFeaturesCol("_features").fit(train.withColumn(label, F.col(label).cast("double")))
+
+
+def fit_all(jobs: list[tuple], parallelism: int) -> list:
+    """Fit (scaled train, features, label, name) jobs; like CrossValidator's
     ``parallelism``, several fits are submitted at once from driver threads so
     small fits do not leave the cluster idle."""
     from concurrent.futures import ThreadPoolExecutor
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        return list(pool.map(lambda j: fit_member(*j), jobs))
+        return list(pool.map(_fit_scaled, jobs))
+
+
+def member_scores(df: DataFrame, features: Sequence[str], label: str, fold: str = "fold", folds: Sequence[int] | None = None,
+                  members: Sequence[str] = ENSEMBLE, parallelism: int = 8) -> DataFrame:
+    """The rows of the held-out ``folds`` (default: all) with ``p_<member>``, the probability by
+    each member fitted on the other folds.
+
+    The rows are stored once; one aggregation gives every fold's imputation and scaling,
+    shared by all members; the linear members of all folds are fitted together, one
+    pass a step; the others by Spark ML on the scaled rows, several at once."""
+    base = stored(df, "members")
+    scaling = fold_scaling(base, features, fold)
+    scaling = {f: s for f, s in scaling.items() if folds is None or f in folds}
+    linear = [m for m in members if m in LINEAR]
+    others = [m for m in members if m not in LINEAR]
+    scored = linear_oof(base, features, label, fold, linear, scaling) if linear and scaling else base
+    known = base.where(F.col(label).isNotNull())
+    jobs = [(scaled(known.where(F.col(fold) != f), features, s), features, label, m) for f, s in scaling.items() for m in others]
+    models = dict(zip(((f, m) for f in scaling for m in others), fit_all(jobs, parallelism), strict=True))
+    if not others:
+        return scored.where(F.col(fold).isin(list(scaling)))
+    out = scored.where("false").withColumns({f"p_{m}": F.lit(None).cast("double") for m in others})
+    for f, s in scaling.items():
+        part = scaled(scored.where(F.col(fold) == f), features, s)
+        for m in others:
+            part = predict_proba(models[f, m], part, m, f"p_{m}")
+        out = out.unionByName(part.drop("_features"))
+    return out
+
+
+def _vote(members: Sequence[str]) -> Column:
+    cols = [F.col(f"p_{m}") for m in members]
+    return sum(cols[1:], cols[0]) / len(cols)
 
 
 def soft_vote(train: DataFrame, test: DataFrame, features: Sequence[str], label: str,
               members: Sequence[str] = ENSEMBLE, out: str = "y_prob", parallelism: int = 8) -> DataFrame:
     """Mean of the members' class-1 probabilities (members fitted on ``train``)."""
-    n_train = train.count()
-    models = fit_all([(train, features, label, name, n_train) for name in members], parallelism)
-    scored = test
-    cols = []
-    for i, (name, m) in enumerate(zip(members, models)):
-        scored = predict_proba(m, scored, name, f"_p{i}")
-        cols.append(F.col(f"_p{i}"))
-    return scored.withColumn(out, sum(cols[1:], cols[0]) / len(cols)).drop(*[f"_p{i}" for i in range(len(cols))])
+    both = test.withColumn("_part", F.lit(0)).unionByName(train.withColumn("_part", F.lit(1)))
+    scored = member_scores(both, features, label, "_part", [0], members, parallelism)
+    return scored.select(*test.columns, _vote(members).alias(out))
 
 
-def oof_scores(df: DataFrame, features: Sequence[str], label: str, fold: str = "fold", k: int = 5,
+def oof_scores(df: DataFrame, features: Sequence[str], label: str, fold: str = "fold", k: int | None = None,
                members: Sequence[str] = ENSEMBLE, parallelism: int = 8) -> DataFrame:
-    """Out-of-fold y_prob for every row: for each of the k folds the members
-    are fitted on the other folds (distributed fits, several in flight at
-    once) and vote on the held-out fold; results united.  The input is
-    checkpointed once (lineage cut, survives executor loss)."""
-    base = checkpointed(df)
-    counts = {r[fold]: r["n"] for r in bounded_rows(base.groupBy(fold).agg(F.count(F.lit(1)).alias("n")),
-                                                      MAX_FOLDS, "fold sizes")}
-    total = sum(counts.values())
-    jobs, keys = [], []
-    for f in range(k):
-        train = base.filter(F.col(fold) != f)
-        for name in members:
-            jobs.append((train, features, label, name, total - counts.get(f, 0)))
-            keys.append((f, name))
-    models = dict(zip(keys, fit_all(jobs, parallelism)))
-    parts = []
-    for f in range(k):
-        scored = base.filter(F.col(fold) == f)
-        cols = []
-        for i, name in enumerate(members):
-            scored = predict_proba(models[(f, name)], scored, name, f"_p{i}")
-            cols.append(F.col(f"_p{i}"))
-        parts.append(scored.withColumn("y_prob", sum(cols[1:], cols[0]) / len(cols))
-                     .drop(*[f"_p{i}" for i in range(len(cols))]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Out-of-fold y_prob for every row: the vote of the members fitted on the other folds
+    (``member_scores``); ``k``: folds 0 .. k - 1 alone."""
+    scored = member_scores(df, features, label, fold, None if k is None else range(k), members, parallelism)
+    return scored.select(*df.columns, _vote(members).alias("y_prob"))
+
+
+def voted_selection(df: DataFrame, features: Sequence[str], label: str, threshold: float, top_n: int, fold: str = "fold",
+                    by: Sequence[str] = ("function_id",), members: Sequence[str] = ENSEMBLE) -> DataFrame:
+    """The path from features to kept tests: out-of-fold vote, then every test at or above the
+    threshold and at least ``top_n`` of each function.  All rows, with ``y_prob``, ``y_true``
+    and ``selected``; scores are stored, since cutoffs and flags both read them."""
+    from . import selection
+    scored = stored(oof_scores(df, features, label, fold, members=members).withColumnRenamed(label, "y_true"), "voted")
+    return selection.flag_selected(scored, threshold, top_n, by=by)
 
 
 def fit_full_pipeline(train: DataFrame, features: Sequence[str], label: str, path: str,

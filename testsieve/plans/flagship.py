@@ -12,7 +12,6 @@ generations are scanned once."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,13 +27,11 @@ KEY = ("dataset", "llm", "function_id")
 
 def scored_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The per-test features (key + 12 doubles) are read by the NB fit and by
-    # the scoring, and the scores feed both the cutoffs and the flags: the
-    # feature table is stored once, so the generations are scanned once
-    # (lost blocks are rebuilt from lineage); scoring from it is a projection
-    # with a broadcast k-row parameter table.
+    # the scoring, and the scores feed both the cutoffs and the flags: the fit
+    # stores the feature table, so the generations are scanned once; scoring
+    # from it is a projection with a broadcast k-row parameter table.
     feats = FE.token_stats_nested(A.generations_v(spark, sf_dir), "entropy")
-    folded = S.group_kfold(feats, 5).persist(StorageLevel.MEMORY_AND_DISK)
-    nb = L.gaussian_nb_oof(folded, FEATS, "is_valid")
+    nb = L.gaussian_nb_oof(S.group_kfold(feats, 5), FEATS, "is_valid")
     return nb.select(*KEY, "test_idx", "fold", "y_prob", F.col("is_valid").alias("y_true"))
 
 

@@ -25,22 +25,19 @@ def q_join_prompt_last(spark, sf):
 @query("join_scores_last", """
 WITH f AS (SELECT 'doc' AS kind, doc_id AS id, text AS prompt FROM documents
            UNION ALL SELECT 'bench', item_id, text FROM benchmark),
-s AS (SELECT text AS prompt, arg_max(doc_id, doc_id) AS last_id,
-             arg_max(len(list_filter(string_split(text, chr(10)), lambda l: contains(l, ','))), doc_id) AS n
-      FROM documents GROUP BY text)
-SELECT f.kind, f.id, s.last_id, CAST(coalesce(s.n, 0) AS INTEGER) AS n_tests FROM f LEFT JOIN s ON f.prompt = s.prompt""")
+s AS (SELECT text AS prompt, max(doc_id) AS last_id FROM documents GROUP BY text),
+t AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS test_idx, ls[i] AS test FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), range(1, len(ls) + 1) r(i)
+      WHERE contains(ls[i], ','))
+SELECT f.kind, f.id, s.last_id, t.test_idx, md5(t.test) AS test FROM f LEFT JOIN s ON f.prompt = s.prompt LEFT JOIN t ON t.doc_id = s.last_id""")
 def q_join_scores_last(spark, sf):
     d = load(spark, sf, "documents", "doc_id", "text")
     b = load(spark, sf, "benchmark", "item_id", "text")
     functions = d.select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("prompt")) \
         .unionByName(b.select(F.lit("bench").alias("kind"), F.col("item_id").alias("id"), F.col("text").alias("prompt")))
-    scored = d.select(F.col("doc_id").alias("function_id"), F.col("text").alias("prompt"),
-                      F.struct(F.col("doc_id").alias("last_id"),
-                               F.filter(F.split("text", "\n"), lambda l: l.contains(",")).alias("lines")).alias("tests"))
-    scored = scored.withColumn("tests", F.array("tests"))
-    out = J.join_scores_last(functions, scored, tests="tests")
-    return out.select("kind", "id", F.get("tests", 0)["last_id"].alias("last_id"),
-                      F.coalesce(F.size(F.get("tests", 0)["lines"]), F.lit(0)).alias("n_tests"))
+    scored = d.select(F.col("doc_id").alias("function_id"), F.col("text").alias("prompt"))
+    tests = d.select(F.col("doc_id").alias("function_id"), F.posexplode(F.split("text", "\n")).alias("test_idx", "test")).where(F.contains("test", F.lit(",")))
+    out = J.join_scores_last(functions, scored, tests.withColumn("test", F.md5("test")))
+    return out.select("kind", "id", F.col("last_function_id").alias("last_id"), "test_idx", "test")
 
 
 @query("predict_join", with_views("scores_v") + f", {SEL_SQL}\n" + """

@@ -8,7 +8,7 @@ from ..operators import agreement as AG
 from ..operators import learn as L
 from ..operators import metrics as M
 from ..operators import selection as S
-from ..session import checkpointed, scratch_path
+from ..session import run_path, stored
 from ..sources import adapters as A
 from .q_tokens import FEAT_RAW_SQL, features
 from .q_windows import N, SEL_SQL, T
@@ -26,24 +26,18 @@ def learn_frame(spark, sf):
 
 
 def nb_sql(src: str, feats, label: str) -> str:
-    """Closed-form out-of-fold Gaussian NB in SQL (oracle of ``gaussian_nb_oof``)."""
-    mom = ", ".join(f"count({c}) AS {c}__n, sum({c}) AS {c}__s, sum({c} * {c}) AS {c}__q" for c in feats)
-    tsum = ", ".join(f"coalesce(sum(m.{c}__{t}), 0) AS {c}__{t}" for c in feats for t in ("n", "s", "q"))
-    asum = ", ".join(f"sum({c}__{t}) AS {c}__{t}" for c in feats for t in ("n", "s", "q"))
-    var = lambda c: f"({c}__q - {c}__s * {c}__s / {c}__n) / {c}__n"
-    eps = f"greatest({', '.join(var(c) for c in feats)})" if len(feats) > 1 else var(feats[0])
-    par = ", ".join(f"CASE WHEN t.{c}__n > 0 THEN t.{c}__s / t.{c}__n END AS {c}__mu, "
-                    f"CASE WHEN t.{c}__n > 0 THEN (t.{c}__q - t.{c}__s * t.{c}__s / t.{c}__n) / t.{c}__n + a.eps END AS {c}__var"
-                    for c in feats)
-    ll = lambda p: p + ".lp" + "".join(f" - 0.5 * ln(2 * pi() * {p}.{c}__var) - (x.{c} - {p}.{c}__mu) * (x.{c} - {p}.{c}__mu) / (2 * {p}.{c}__var)"
+    """Out-of-fold Gaussian NB in SQL (oracle of ``gaussian_nb_oof``): means and population
+    variances over the rows outside each fold; rows without label are scored only."""
+    stat = ", ".join(f"avg(x.{c}) AS {c}__mu, var_pop(x.{c}) AS {c}__v" for c in feats)
+    eps = f"greatest({', '.join(f'var_pop(x.{c})' for c in feats)})" if len(feats) > 1 else f"var_pop(x.{feats[0]})"
+    ll = lambda p: p + ".lp" + "".join(f" - 0.5 * ln(2 * pi() * ({p}.{c}__v + {p}.eps)) - (x.{c} - {p}.{c}__mu) * (x.{c} - {p}.{c}__mu) / (2 * ({p}.{c}__v + {p}.eps))"
                                        for c in feats)
     return f"""
-, nb_g AS (SELECT f.fold, c.cls FROM (SELECT DISTINCT fold FROM {src}) f, (VALUES (0), (1)) c(cls)),
-nb_m AS (SELECT fold, {label} AS cls, count(*) AS n, {mom} FROM {src} GROUP BY fold, {label}),
-nb_t AS (SELECT g.fold, g.cls, coalesce(sum(m.n), 0) AS n, {tsum} FROM nb_g g
-         LEFT JOIN nb_m m ON m.fold <> g.fold AND m.cls = g.cls GROUP BY g.fold, g.cls),
-nb_a AS (SELECT fold, n AS total, {eps} * 1e-9 AS eps FROM (SELECT fold, sum(n) AS n, {asum} FROM nb_t GROUP BY fold)),
-nb_p AS (SELECT t.fold, t.cls, CASE WHEN t.n > 0 THEN ln(t.n / a.total) END AS lp, {par} FROM nb_t t JOIN nb_a a ON t.fold = a.fold),
+, nb_f AS (SELECT DISTINCT fold FROM {src}),
+nb_a AS (SELECT f.fold, count(x.fold) AS total, {eps} * 1e-9 AS eps FROM nb_f f LEFT JOIN {src} x ON x.fold <> f.fold AND x.{label} IN (0, 1) GROUP BY f.fold),
+nb_p AS (SELECT f.fold, c.cls, CASE WHEN count(x.fold) > 0 THEN ln(count(x.fold) / any_value(a.total)) END AS lp, any_value(a.eps) AS eps, {stat}
+         FROM nb_f f CROSS JOIN (VALUES (0), (1)) c(cls) JOIN nb_a a ON a.fold = f.fold
+         LEFT JOIN {src} x ON x.fold <> f.fold AND x.{label} = c.cls GROUP BY f.fold, c.cls),
 nb_s AS (SELECT x.*, {ll('p0')} AS l0, {ll('p1')} AS l1 FROM {src} x
          LEFT JOIN nb_p p0 ON p0.fold = x.fold AND p0.cls = 0 LEFT JOIN nb_p p1 ON p1.fold = x.fold AND p1.cls = 1),
 nb AS (SELECT *, CASE WHEN l1 IS NULL THEN 0.0 WHEN l0 IS NULL THEN 1.0
@@ -205,7 +199,8 @@ def agreement_frame(spark, sf):
     agr = AG.test_agreement(ex, t).join(t, ["task_id", "test_id"])
     lab = ex.filter(F.col("solution_id") == 0).select("task_id", "test_id",
                                                       F.when(F.col("passed"), 1).otherwise(0).alias("is_valid"))
-    return S.stratified_kfold(agr.join(lab, ["task_id", "test_id"]), 5, "is_valid", ("task_id", "test_id"))
+    # a test that the first sample was not run on has no label: it is scored, not counted
+    return S.stratified_kfold(agr.join(lab, ["task_id", "test_id"], "left"), 5, "is_valid", ("task_id", "test_id"))
 
 
 @query("agreement_nb", with_views("exec_v", "tests_v") + """
@@ -215,8 +210,8 @@ tp AS (SELECT task_id, test_id, count(*) AS c FROM pp GROUP BY task_id, test_id)
 tt AS (SELECT task_id, test_id, avg(score) AS score FROM tests_v GROUP BY task_id, test_id),
 ag AS (SELECT tt.task_id, tt.test_id, tt.score, CASE WHEN nsol.n IS NULL THEN tt.score ELSE coalesce(tp.c, 0) / nsol.n END AS agreement
        FROM tt LEFT JOIN nsol ON tt.task_id = nsol.task_id LEFT JOIN tp ON tt.task_id = tp.task_id AND tt.test_id = tp.test_id),
-lb AS (SELECT ag.*, CASE WHEN e.passed THEN 1 ELSE 0 END AS is_valid FROM ag
-       JOIN exec_v e ON e.task_id = ag.task_id AND e.test_id = ag.test_id AND e.solution_id = 0),
+lb AS (SELECT ag.*, CASE WHEN e.passed THEN 1 WHEN NOT e.passed THEN 0 END AS is_valid FROM ag
+       LEFT JOIN exec_v e ON e.task_id = ag.task_id AND e.test_id = ag.test_id AND e.solution_id = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY is_valid ORDER BY task_id, test_id) - 1 AS r,
              count(*) OVER (PARTITION BY is_valid) AS n FROM lb),
 q AS (SELECT *, n // 5 AS q, n - (n // 5) * 5 AS rem FROM r),
@@ -236,23 +231,37 @@ def q_gaussian_nb_oof(spark, sf):
     return r6(L.gaussian_nb_oof(learn_frame(spark, sf), FEATS, "is_valid").select("function_id", "test_idx", "fold", "y_prob"))
 
 
+# ------------------------------------------------------------------ linear members
+# Newton's method for one scaled feature and an intercept, all folds in one recursion.
+@query("logistic_oof", LEARN_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """
+, st AS (SELECT f.fold, avg(x.output_mean) AS m, CASE WHEN var_pop(x.output_mean) > 0 THEN sqrt(var_pop(x.output_mean)) ELSE 1.0 END AS d
+         FROM (SELECT DISTINCT fold FROM fd) f JOIN fd x ON x.fold <> f.fold GROUP BY f.fold),
+z AS (SELECT st.fold AS held, (fd.output_mean - st.m) / st.d AS z, fd.is_valid AS y FROM st JOIN fd ON fd.fold <> st.fold),
+w AS (SELECT fold AS held, 0 AS i, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM st
+      UNION ALL
+      SELECT held, i + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM (
+        SELECT w.held, w.i, w.a, w.b, sum(p - y) AS ga, sum((p - y) * z) + w.b AS gb, sum(p * (1 - p)) AS haa, sum(p * (1 - p) * z) AS hab, sum(p * (1 - p) * z * z) + 1 AS hbb
+        FROM (SELECT w.held, w.i, w.a, w.b, z.z, z.y, 1 / (1 + exp(-(w.a + w.b * z.z))) AS p FROM w JOIN z ON z.held = w.held WHERE w.i < 20) w
+        GROUP BY w.held, w.i, w.a, w.b))
+SELECT function_id, test_idx, fd.fold, round(1 / (1 + exp(-(w.a + w.b * (output_mean - st.m) / st.d))), 6) AS y_prob
+FROM fd JOIN st ON st.fold = fd.fold JOIN w ON w.held = fd.fold AND w.i = 20""")
+def q_logistic_oof(spark, sf):
+    df = stored(learn_frame(spark, sf), "learn")
+    return r6(L.linear_oof(df, ["output_mean"], "is_valid", members=("logistic_regression",))
+              .select("function_id", "test_idx", "fold", F.col("p_logistic_regression").alias("y_prob")))
+
+
 # ------------------------------------------------------------------ rows only (fitted models)
 @query("train_classifiers")
 def q_train_classifiers(spark, sf):
-    df = checkpointed(learn_frame(spark, sf))
-    train, test = df.filter(F.col("fold") != 0), df.filter(F.col("fold") == 0)
-    n_train = train.count()
-    models = L.fit_all([(train, FEATS, "is_valid", name, n_train) for name in L.MEMBERS], 8)
-    out = None
-    for name, m in zip(L.MEMBERS, models):
-        p = L.predict_proba(m, test, name).select(F.lit(name).alias("model"), "function_id", "test_idx", "y_prob")
-        out = p if out is None else out.unionByName(p)
-    return out
+    p = L.member_scores(learn_frame(spark, sf), FEATS, "is_valid", folds=[0], members=L.MEMBERS)
+    return p.select("function_id", "test_idx", F.inline(F.array(*(
+        F.struct(F.lit(m).alias("model"), F.col(f"p_{m}").alias("y_prob")) for m in L.MEMBERS)))).select("model", "function_id", "test_idx", "y_prob")
 
 
 @query("soft_vote")
 def q_soft_vote(spark, sf):
-    df = checkpointed(learn_frame(spark, sf))
+    df = stored(learn_frame(spark, sf), "learn")
     v = L.soft_vote(df.filter(F.col("fold") != 0), df.filter(F.col("fold") == 0), FEATS, "is_valid")
     return v.select("function_id", "test_idx", "is_valid", "y_prob")
 
@@ -262,10 +271,20 @@ def q_oof_scores(spark, sf):
     return L.oof_scores(learn_frame(spark, sf), FEATS, "is_valid").select("function_id", "test_idx", "fold", "is_valid", "y_prob")
 
 
+@query("voted_path")
+def q_voted_path(spark, sf):
+    """Features, balanced folds, out-of-fold vote, selection, and its counts and scores."""
+    df = S.group_kfold(features(spark, sf), 5, mode="balanced")
+    sel = L.voted_selection(df, FEATS, "is_valid", T, 5, by=("dataset", "llm", "function_id"))
+    kept = sel.groupBy("dataset", "llm").agg(F.count(F.lit(1)).alias("tests"), F.sum("selected").alias("kept"),
+                                             F.sum(F.col("selected") * F.col("y_true")).alias("kept_valid"))
+    return kept.crossJoin(F.broadcast(M.selection_prf(sel)))  # one row
+
+
 @query("fit_full_pipeline")
 def q_fit_full_pipeline(spark, sf):
-    df = features(spark, sf).filter(F.col("llm") == "gpt-4o")
-    path = scratch_path(spark, "models/gpt-4o")
+    df = stored(features(spark, sf).filter(F.col("llm") == "gpt-4o"), "train")
+    path = run_path(spark, "models/gpt-4o")
     L.fit_full_pipeline(df, FEATS, "is_valid", path)
     return L.holdout_eval(path, df).groupBy("dataset", "llm").agg(
         F.count(F.lit(1)).alias("rows"), F.round(F.avg("y_prob"), 6).alias("mean_y_prob"))
@@ -273,11 +292,9 @@ def q_fit_full_pipeline(spark, sf):
 
 @query("holdout_eval")
 def q_holdout_eval(spark, sf):
-    df = features(spark, sf)
-    train = df.filter((F.col("dataset") == "HumanEval") & (F.col("llm") == "gpt-4o"))
-    hold = df.filter((F.col("dataset") == "MBPP") & (F.col("llm") == "gpt-4o"))
-    path = scratch_path(spark, "models/humaneval-gpt-4o")
-    L.fit_full_pipeline(train, FEATS, "is_valid", path)
-    scored = L.holdout_eval(path, hold)
+    df = stored(features(spark, sf).filter(F.col("llm") == "gpt-4o"), "features")
+    path = run_path(spark, "models/humaneval-gpt-4o")
+    L.fit_full_pipeline(df.filter(F.col("dataset") == "HumanEval"), FEATS, "is_valid", path)
+    scored = L.holdout_eval(path, df.filter(F.col("dataset") == "MBPP"))
     sel = S.flag_selected(scored.withColumnRenamed("is_valid", "y_true"), T, 3)
     return sel.select("function_id", "test_idx", "y_true", "y_prob", "selected")

@@ -1,18 +1,17 @@
 """Queries: scans, sources and sinks.
 
-JSONL sources are exercised on JSON lines that Spark derives from the
-driver's tables (``to_json``), parsed by the same functions the path-based
-readers use.  Stage tables are written under the shared checkpoint folder."""
+JSONL sources are files: lines that Spark derives from the driver's tables are
+written as several files of unequal size, with blank and broken lines among them,
+and read back.  All folders are new for each run, under the shared checkpoint folder."""
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType as T_
 
 from ..functions import text as T
 from ..operators import joins as J
-from ..session import scratch_path
+from ..session import run_path
 from ..sources import adapters as A
 from ..sources import readers as R
 from ..sources import sinks as K
@@ -24,33 +23,58 @@ from .registry import query, r6
 from .views import with_views
 
 
-def _stage(spark, sf, name):
-    return scratch_path(spark, f"stage/{hashlib.md5(sf.encode()).hexdigest()[:10]}/{name}")
-
-
 @query("scan_generations", with_views("tokens_v") + """
-SELECT function_id, test_idx, is_valid, CAST(count(*) AS INTEGER) AS n_tokens FROM tokens_v
+SELECT function_id, test_idx, is_valid, CAST(count(*) AS INTEGER) AS n_tokens, CAST(test_idx % 2 AS INTEGER) AS test_type,
+       'Write f_' || CAST(function_id AS VARCHAR) AS prompt, 'def f_' || CAST(function_id AS VARCHAR) || '(x): return x' AS solution,
+       'assert f_' || CAST(function_id AS VARCHAR) || '(' || CAST(test_idx AS VARCHAR) || ') == 1' AS testcase FROM tokens_v
 WHERE dataset = 'HumanEval' AND llm = 'gpt-4o' GROUP BY function_id, test_idx, is_valid""")
 def q_scan_generations(spark, sf):
-    path = _stage(spark, sf, "generations")
-    K.write_partitioned(A.generations_v(spark, sf), path, ("dataset", "llm"))
+    path = run_path(spark, "generations")
+    name = F.concat(F.lit("f_"), F.col("function_id").cast("string"))
+    whole = A.generations_v(spark, sf).withColumns({
+        "prompt": F.concat(F.lit("Write "), name), "solution": F.concat(F.lit("def "), name, F.lit("(x): return x")),
+        "test_type": F.pmod("test_idx", F.lit(2)).cast("int"),
+        "testcases": F.array(F.concat(F.lit("assert "), name, F.lit("("), F.col("test_idx").cast("string"), F.lit(") == 1")))})
+    K.write_snapshot(whole.select(*R.GENERATIONS.names), path, ("dataset", "llm"))
     g = R.read_generations(spark, path, "HumanEval", "gpt-4o")
-    return g.select("function_id", "test_idx", "is_valid", F.size("tokens").alias("n_tokens"))
+    return g.select("function_id", "test_idx", "is_valid", F.size("tokens").alias("n_tokens"), "test_type", "prompt", "solution",
+                    F.explode("testcases").alias("testcase"))
+
+
+def _jsonl(spark, name, lines, order):
+    """The path of files that hold ``lines`` (``value``) in ``order``: ranges of it that double in
+    length, so the files are of unequal size; a broken line before every 50th, a blank one
+    before every 60th."""
+    path = run_path(spark, name)
+    broken = F.when(F.pmod(order, F.lit(50)) == 7, F.concat(F.substring("value", 1, 12), F.lit("\n"))).otherwise("")
+    blank = F.when(F.pmod(order, F.lit(60)) == 9, F.lit(" \n")).otherwise("")
+    size = F.floor(F.log2(F.col(order) + 2))
+    (lines.withColumn("_size", size).repartitionByRange(6, "_size").sortWithinPartitions("_size", order)
+     .select(F.concat(broken, blank, "value").alias("value")).write.text(path))
+    return path
 
 
-def _task_lines(spark, sf):
+def _task_file(spark, sf):
     d = load(spark, sf, "documents", "doc_id", "source", "lang", "n_chars")
-    return d.select(F.to_json(F.struct(F.col("source").alias("task_id"), "doc_id", "lang", "n_chars")).alias("value"),
-                    F.col("doc_id").alias("line_no"))
+    lines = d.select(F.to_json(F.struct(F.col("source").alias("task_id"), "doc_id", "lang", "n_chars")).alias("value"), "doc_id")
+    return _jsonl(spark, "tasks", lines, "doc_id")
+
+
+_TASK = "task_id string, doc_id long, lang string, n_chars long"
 
 
 @query("scan_jsonl_tasks", """
 SELECT source AS task_id, arg_max(doc_id, doc_id) AS doc_id, arg_max(lang, doc_id) AS lang, arg_max(n_chars, doc_id) AS n_chars
 FROM documents GROUP BY source""")
 def q_scan_jsonl_tasks(spark, sf):
-    schema = "task_id string, doc_id long, lang string, n_chars long"
-    t = R.parse_jsonl_tasks(_task_lines(spark, sf), spark.createDataFrame([], schema).schema)
-    return t.select("task_id", "doc_id", "lang", "n_chars")
+    return R.scan_jsonl_tasks(spark, _task_file(spark, sf), T_.fromDDL(_TASK))[0].select("task_id", "doc_id", "lang", "n_chars")
+
+
+@query("scan_jsonl_rejects", """
+SELECT '{"task_id":"' AS start, count(*) AS n FROM documents WHERE doc_id % 50 = 7""")
+def q_scan_jsonl_rejects(spark, sf):
+    bad = R.scan_jsonl_tasks(spark, _task_file(spark, sf), T_.fromDDL(_TASK))[1]
+    return bad.groupBy(F.col("value").alias("start")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("scan_problems", CODE_SQL + r"""
@@ -65,8 +89,8 @@ def q_scan_problems(spark, sf):
     cases = F.transform(F.split("text", "\n"), lambda l: F.struct(
         l.alias("input"), F.nullif(F.regexp_extract(l, ",([^,]*)$", 1), F.lit("")).alias("output")))
     lines = c.select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("nm").alias("function_name"),
-                                        cases.alias("public_test_cases"))).alias("value"))
-    return R.parse_problems(lines)
+                                        cases.alias("public_test_cases"))).alias("value"), "doc_id")
+    return R.scan_problems(spark, _jsonl(spark, "problems", lines, "doc_id"))
 
 
 @query("scan_generated_code", CODE_SQL + r"""
@@ -87,8 +111,8 @@ def q_scan_generated_code(spark, sf):
     rec = F.struct(F.concat(F.lit("t"), F.pmod("doc_id", F.lit(40)).cast("string")).alias("task_id"),
                    F.when(F.pmod("doc_id", F.lit(4)) == 1, F.col("code")).alias("response_code"),
                    F.col("resp").alias("response"))
-    lines = c.select(F.to_json(rec).alias("value"), F.col("doc_id").alias("line_no"))
-    return R.parse_generated_code(lines)
+    lines = c.select(F.to_json(rec).alias("value"), "doc_id")
+    return R.scan_generated_code(spark, _jsonl(spark, "generated", lines, "doc_id"))
 
 
 @query("normalize_benchmark", CODE_SQL + """
@@ -144,12 +168,15 @@ def q_name_override(spark, sf):
 , t AS (SELECT DISTINCT task_id FROM solutions_v),
 k AS (SELECT t.task_id, g.passed FROM t JOIN ground_truth_v g ON g.task_id = t.task_id AND g.solution_id = 0
       WHERE t.task_id IN (SELECT task_id FROM tests_v))
-SELECT passed, count(*) AS count FROM k GROUP BY passed""")
+SELECT 'result' AS kind, CAST(passed AS VARCHAR) AS name, count(*) AS count FROM k GROUP BY passed
+UNION ALL SELECT 'kept', task_id, 1 FROM k WHERE passed""")
 def q_verified_tasks(spark, sf):
     sols = A.solutions_v(spark, sf)
     tasks = sols.select("task_id").distinct()
     ref = A.ground_truth_v(spark, sf).filter(F.col("solution_id") == 0)
-    return R.verified_tasks(tasks, sols, A.tests_v(spark, sf), ref)[1]
+    kept, counts = R.verified_tasks(tasks, sols, A.tests_v(spark, sf), ref)
+    return counts.select(F.lit("result").alias("kind"), F.col("passed").cast("string").alias("name"), "count").unionByName(
+        kept.select(F.lit("kept").alias("kind"), F.col("task_id").alias("name"), F.lit(1).cast("long").alias("count")))
 
 
 @query("assign_ids", with_views("corpus_v") + """
@@ -175,9 +202,9 @@ def q_sink_scored(spark, sf):
     p = p.select(_ds(F.col("function_id")).alias("dataset"),
                  F.when(F.pmod("function_id", F.lit(5)) < 3, F.lit("gpt-4o")).otherwise(F.lit("codeqwen")).alias("llm"),
                  "function_id", "test_idx", "prediction_is_valid", "prediction_y_prob")
-    path = _stage(spark, sf, "scored")
+    path = run_path(spark, "scored")
     K.sink_scored(p, path)
-    return r6(spark.read.parquet(path).select("dataset", "llm", "function_id", "test_idx", "prediction_is_valid",
+    return r6(K.read_snapshot(spark, path).select("dataset", "llm", "function_id", "test_idx", "prediction_is_valid",
                                               "prediction_y_prob"))
 
 
@@ -189,6 +216,6 @@ def q_sink_curated(spark, sf):
     cur = _curated(spark, sf).join(d, F.col("test_idx") == d.doc_id).select(
         F.lit("documents").alias("dataset"), F.col("lang").alias("llm"), "function_id", "test_idx", "changed",
         F.md5("text").alias("text_md5"))
-    path = _stage(spark, sf, "curated")
+    path = run_path(spark, "curated")
     K.sink_curated(cur, path)
-    return spark.read.parquet(path).select("dataset", "llm", "function_id", "test_idx", "changed", "text_md5")
+    return K.read_snapshot(spark, path).select("dataset", "llm", "function_id", "test_idx", "changed", "text_md5")

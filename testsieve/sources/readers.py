@@ -1,7 +1,7 @@
 """Readers: generations (partitioned parquet), JSONL tasks / problems /
 generated code, benchmark normalisation, id subsets, exclusions, overrides
-(SURVEY §2.1).  Path-based readers are thin: each calls a DataFrame-level
-parser that the tests and the registered queries use directly."""
+(SURVEY §2.1).  Path-based readers call DataFrame-level parsers, so that lines
+from elsewhere (a stream, a table) are parsed by the same rules."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType, Str
                                StructType)
 
 from ..functions import text as T
+from . import sinks
 
 TOP = StructType([StructField("token", StringType()), StructField("logprob", DoubleType())])
 TOKEN = StructType([StructField("pos", IntegerType()), StructField("token", StringType()),
@@ -20,9 +21,12 @@ TOKEN = StructType([StructField("pos", IntegerType()), StructField("token", Stri
                     StructField("top", ArrayType(TOP))])
 GENERATIONS = StructType([
     StructField("function_id", LongType()), StructField("test_idx", LongType()),
+    StructField("prompt", StringType()), StructField("solution", StringType()),
+    StructField("test_type", IntegerType()), StructField("testcases", ArrayType(StringType())),
     StructField("is_valid", IntegerType()), StructField("tokens", ArrayType(TOKEN)),
     StructField("dataset", StringType()), StructField("llm", StringType()),
 ])
+ASSERTIONS, UNIT_TESTS = 0, 1  # values of test_type
 PROBLEM = StructType([
     StructField("id", StringType()), StructField("function_name", StringType()),
     StructField("public_test_cases", ArrayType(StructType([StructField("input", StringType()),
@@ -34,25 +38,48 @@ GENERATED = StructType([StructField("task_id", StringType()), StructField("respo
 
 # ------------------------------------------------------------------ generations
 def read_generations(spark: SparkSession, path: str, dataset: str | None = None, llm: str | None = None) -> DataFrame:
-    """Generations stored ``partitionBy('dataset', 'llm')``; the filters on the
-    partition columns prune directories before any file is opened."""
-    df = spark.read.schema(GENERATIONS).parquet(path)
-    if dataset is not None:
-        df = df.filter(F.col("dataset") == dataset)
-    if llm is not None:
-        df = df.filter(F.col("llm") == llm)
-    return df
+    """Generations stored as a snapshot table by (dataset, llm): prompt, solution, kind and
+    texts of the tests, tokens with their alternatives.  Folders of other datasets and
+    models are not opened."""
+    only = {c: v for c, v in (("dataset", dataset), ("llm", llm)) if v is not None}
+    return sinks.read_snapshot(spark, path, GENERATIONS, **only)
 
 
 # ------------------------------------------------------------------ JSONL
-def read_jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of JSONL files with a line-order column: file name, start of the split
-    in the file, and place in the split (splits are read largest first, so the
-    running id alone does not follow the files)."""
+def read_jsonl_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Lines of JSONL files (blank ones left out) with a line-order column: file name,
+    start of the split in the file, and place in the split (splits are read largest
+    first, so the running id alone does not follow the files)."""
     return (spark.read.text(path)
             .select("value", F.col("_metadata.file_path").alias("_file"),
                     F.struct("_metadata.file_path", "_metadata.file_block_start",
-                             F.monotonically_increasing_id().alias("id")).alias("line_no")))
+                             F.monotonically_increasing_id().alias("id")).alias("line_no"))
+            .where(F.trim("value") != ""))
+
+
+def parsed(lines: DataFrame, schema: StructType, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(the other columns and ``record``, the rejects with their text): lines that are no JSON
+    object or do not fit the schema are rejects, not nulls among the records."""
+    whole = StructType([*schema.fields, StructField("_bad", StringType())])
+    rows = lines.withColumn("record", F.from_json(F.col(value), whole, {"columnNameOfCorruptRecord": "_bad"}))
+    bad = F.coalesce(F.col("record._bad").isNotNull(), F.lit(True))
+    good = rows.where(~bad).drop(value).withColumn("record", F.struct(*(F.col(f"record.`{f.name}`") for f in schema.fields)))
+    return good, rows.where(bad).drop("record")
+
+
+def scan_jsonl_tasks(spark: SparkSession, path: str | Sequence[str], schema: StructType, key: str = "task_id") -> tuple[DataFrame, DataFrame]:
+    """Records of JSONL files by ``key`` (the last duplicate, in the order of files and lines, wins)
+    and the rejected lines."""
+    good, bad = parsed(read_jsonl_lines(spark, path), schema)
+    return latest_per_key(good.select("record.*", "line_no"), key, "line_no").drop("line_no"), bad
+
+
+def scan_problems(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    return parse_problems(read_jsonl_lines(spark, path))
+
+
+def scan_generated_code(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    return parse_generated_code(read_jsonl_lines(spark, path))
 
 
 def latest_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -66,13 +93,15 @@ def latest_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
 def parse_jsonl_tasks(lines: DataFrame, schema: StructType, value: str = "value", order: str = "line_no",
                       key: str = "task_id") -> DataFrame:
     """JSON records keyed by ``key``; the last duplicate wins."""
-    rows = lines.select(F.from_json(F.col(value), schema).alias("_j"), F.col(order)).select("_j.*", order)
+    rows = parsed(lines, schema, value)[0].select("record.*", order)
     return latest_per_key(rows, key, order)
 
 
-def parse_problems(lines: DataFrame, value: str = "value") -> DataFrame:
-    """One row per public test case holding both input and output, trimmed."""
-    p = lines.select(F.from_json(F.col(value), PROBLEM).alias("_p")).select("_p.*")
+def parse_problems(lines: DataFrame, value: str = "value", order: str = "line_no") -> DataFrame:
+    """One row per public test case holding both input and output, trimmed; of problems
+    with one id the last by ``order`` wins (all stay where lines have no such column)."""
+    good = parsed(lines, PROBLEM, value)[0]
+    p = latest_per_key(good.select("record.*", order), "id", order) if order in lines.columns else good.select("record.*")
     cases = p.select("id", "function_name", F.posexplode_outer("public_test_cases").alias("case_idx", "case"))
     return (cases.filter(F.col("case.input").isNotNull() & F.col("case.output").isNotNull())
             .select(F.col("id").alias("task_id"), "function_name", "case_idx",
@@ -92,7 +121,7 @@ def choose_generated_code(response_code: Column, response: Column) -> Column:
 
 def parse_generated_code(lines: DataFrame, value: str = "value", order: str = "line_no") -> DataFrame:
     """task_id -> code; rows without code are dropped; the last task_id wins."""
-    g = lines.select(F.from_json(F.col(value), GENERATED).alias("_g"), F.col(order)).select("_g.*", order)
+    g = parsed(lines, GENERATED, value)[0].select("record.*", order)
     g = g.select("task_id", choose_generated_code(F.col("response_code"), F.col("response")).alias("code"), order)
     g = g.filter(F.col("code").isNotNull() & (F.col("code") != "") & F.col("task_id").isNotNull() & (F.col("task_id") != ""))
     return latest_per_key(g, "task_id", order).drop(order)
