@@ -4,7 +4,9 @@ the shared folder and read again as the next one's input.
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and
 returns a DataFrame.  All stages but the last return the columns of their input.
 Rows are handled as the operators state: null and empty texts have no letter and
-leave at the first stage; an empty table passes through."""
+leave at the first stage; rows that repeat an id stay or go each by its own text, equal
+rows count once; further columns stay, whatever their names; an empty table passes
+through."""
 
 from __future__ import annotations
 
@@ -45,10 +47,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text, with digests of the ids and of the decoded text."""
+    """The ids of every text, with digests of the ids and of the decoded text.  The workers'
+    tables are small: executors also hold what the stages before have used."""
     import public_tokenizers
 
-    return piece_encoding.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)
+    return piece_encoding.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True, chunks=100_000)
 
 
 STAGES = [

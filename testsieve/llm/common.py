@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import pickle
+import threading
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -107,24 +111,49 @@ class Recent(dict):
         return value
 
 
+IDLE = 15  # seconds after which a Python worker gives back the model that no task asks for
 _worker: dict = {}
+_watch: dict = {"used": 0.0, "thread": None}
+
+
+def _release() -> None:
+    """Gives the memory of the held model back to the system."""
+    _worker.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def _release_when_idle() -> None:
+    while True:
+        time.sleep(IDLE / 3)
+        if _worker and time.monotonic() - _watch["used"] > IDLE:
+            _release()
 
 
 def held(key: str, make: Callable):
     """What ``make()`` gives, made once in a Python worker and kept for its later tasks until
-    another ``key`` is asked for: a worker holds the model of one operator at a time."""
-    if key not in _worker:
-        _worker.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        _worker[key] = make()
-    return _worker[key]
+    another ``key`` is asked for or none for ``IDLE`` seconds: a worker holds the model of one
+    operator at a time, and none while others work in its place."""
+    _watch["used"] = time.monotonic()
+    value = _worker.get(key)
+    if value is None:
+        _release()
+        value = _worker[key] = make()
+        if _watch["thread"] is None or not _watch["thread"].is_alive():
+            _watch["thread"] = threading.Thread(target=_release_when_idle, daemon=True)
+            _watch["thread"].start()
+    return value
 
 
 def shared_model(spark: SparkSession, parts, make: Callable):
-    """A function without arguments for use in tasks that gives ``make(parts)`` of the worker."""
-    sent, key = spark.sparkContext.broadcast(parts), uuid.uuid4().hex
-    return lambda: held(key, lambda: make(sent.value))
+    """A function without arguments for use in tasks that gives ``make(parts)`` of the worker.
+    The parts travel as bytes, so a worker does not keep them beside the model."""
+    sent, key = spark.sparkContext.broadcast(pickle.dumps(parts)), uuid.uuid4().hex
+    return lambda: held(key, lambda: make(pickle.loads(sent.value)))
 
 
 def fit_sample(rows: DataFrame, key: str, most: int) -> DataFrame:

@@ -28,7 +28,7 @@ UNKNOWN = "und"
 FIT_ROWS = 4_000
 WORDS, GRAMS = 100_000, 50_000
 LONGEST = 5
-CACHE = 120_000  # unseen words kept by a worker: at most about 35 MB
+CACHE = 120_000  # unseen words kept by a worker: at most about 25 MB
 SMOOTH = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -49,11 +49,12 @@ class Model:
 
     def __init__(self, langs: list[str], word_counts: list[tuple[str, str, int]], gram_counts: list[tuple[str, str, int]]):
         self.langs = langs
-        self.word = self._logs(word_counts, lambda w: 0)
-        self.gram = self._logs(gram_counts, len)
+        self.word, self.word_logs = self._logs(word_counts, lambda w: 0)
+        self.gram, self.gram_logs = self._logs(gram_counts, len)
         self.rows = C.Recent(self._unseen, CACHE)
 
-    def _logs(self, counts, kind) -> dict[str, tuple[float, ...]]:
+    def _logs(self, counts, kind) -> tuple[dict[str, int], np.ndarray]:
+        """Number of each entry, and a row of log frequencies for each number."""
         at = {x: i for i, x in enumerate(self.langs)}
         total: Counter = Counter()
         found: dict[str, list[float]] = {}
@@ -62,21 +63,28 @@ class Model:
             total[kind(g), lang] += n
         size = Counter(kind(g) for g in found)
         floor = {(k, x): math.log(total[k, x] + SMOOTH * (size[k] + 1)) for k in size for x in self.langs}
-        return {g: tuple(math.log(n + SMOOTH) - floor[kind(g), x] for n, x in zip(v, self.langs, strict=True)) for g, v in found.items()}
+        logs = np.empty((len(found), len(at)))
+        for i, (g, v) in enumerate(found.items()):
+            logs[i] = [math.log(n + SMOOTH) - floor[kind(g), x] for n, x in zip(v, self.langs, strict=True)]
+        return {g: i for i, g in enumerate(found)}, logs
 
-    def _unseen(self, word: str) -> tuple[float, ...]:
+    def _unseen(self, word: str) -> bytes:
         for n in range(LONGEST, 0, -1):
             known = [self.gram[g] for g in grams(word, n) if g in self.gram]
             if known:
-                return tuple(sum(x) / len(known) for x in zip(*known, strict=True))
-        return (0.0,) * len(self.langs)
+                return self.gram_logs[known].mean(axis=0).tobytes()
+        return bytes(8 * len(self.langs))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = Counter(words(text))
         if not self.langs or not any(c.isalpha() for w in found for c in w):
             return UNKNOWN, 0.0
-        known, unseen = self.word, self.rows
-        total = np.fromiter(found.values(), float, len(found)) @ np.array([known[w] if w in known else unseen[w] for w in found])
+        at = np.array([self.word.get(w, -1) for w in found])
+        n = np.fromiter(found.values(), float, len(found))
+        total = n[at >= 0] @ self.word_logs[at[at >= 0]]
+        if (at < 0).any():
+            unseen = b"".join([self.rows[w] for w, i in zip(found, at.tolist(), strict=True) if i < 0])
+            total = total + n[at < 0] @ np.frombuffer(unseen).reshape(-1, len(self.langs))
         odds = np.exp(total - total.max())
         best = int(odds.argmax())
         return self.langs[best], float(odds[best] / odds.sum())
