@@ -255,7 +255,7 @@ def linear_oof(df: DataFrame, features: Sequence[str], label: str, fold: str = "
     """``df`` with a column ``p_<member>``: the probability of label 1 by the member fitted on the
     other folds (the sigmoid of the margin).  ``df`` is read once for the scaling and
     once a step; pass a stored table."""
-    scaling = scaling or fold_scaling(df, features, fold)
+    scaling = fold_scaling(df, features, fold) if scaling is None else scaling
     fitted = fit_linear(df, features, label, fold, scaling, members)
     names = [f"_w_{m}" for m in members]
     rows = [(f, s.mean, s.std, *(fitted[m, f] for m in members)) for f, s in scaling.items()]
@@ -366,7 +366,7 @@ def member_scores(df: DataFrame, features: Sequence[str], label: str, fold: str
     scaling = {f: s for f, s in scaling.items() if folds is None or f in folds}
     linear = [m for m in members if m in LINEAR]
     others = [m for m in members if m not in LINEAR]
-    scored = linear_oof(base, features, label, fold, linear, scaling) if linear and scaling else base
+    scored = linear_oof(base, features, label, fold, linear, scaling) if linear else base
     known = base.where(F.col(label).isNotNull())
     jobs = [(scaled(known.where(F.col(fold) != f), features, s), features, label, m) for f, s in scaling.items() for m in others]
     models = dict(zip(((f, m) for f in scaling for m in others), fit_all(jobs, parallelism), strict=True))

@@ -30,12 +30,7 @@ SELECT function_id, test_idx, is_valid, CAST(count(*) AS INTEGER) AS n_tokens, C
 WHERE dataset = 'HumanEval' AND llm = 'gpt-4o' GROUP BY function_id, test_idx, is_valid""")
 def q_scan_generations(spark, sf):
     path = run_path(spark, "generations")
-    name = F.concat(F.lit("f_"), F.col("function_id").cast("string"))
-    whole = A.generations_v(spark, sf).withColumns({
-        "prompt": F.concat(F.lit("Write "), name), "solution": F.concat(F.lit("def "), name, F.lit("(x): return x")),
-        "test_type": F.pmod("test_idx", F.lit(2)).cast("int"),
-        "testcases": F.array(F.concat(F.lit("assert "), name, F.lit("("), F.col("test_idx").cast("string"), F.lit(") == 1")))})
-    K.write_snapshot(whole.select(*R.GENERATIONS.names), path, ("dataset", "llm"))
+    K.write_snapshot(A.generations_v(spark, sf).select(*R.GENERATIONS.names), path, ("dataset", "llm"))
     g = R.read_generations(spark, path, "HumanEval", "gpt-4o")
     return g.select("function_id", "test_idx", "is_valid", F.size("tokens").alias("n_tokens"), "test_type", "prompt", "solution",
                     F.explode("testcases").alias("testcase"))

@@ -59,11 +59,16 @@ def generations_v(spark: SparkSession, sf_dir: str) -> DataFrame:
             top.alias("top"),
         )
 
+    name = F.concat(F.lit("f_"), fid.cast("string"))
     return e.select(
         _dataset_col(fid).alias("dataset"),
         _llm_col(fid).alias("llm"),
         fid.alias("function_id"),
         F.col("vec_id").alias("test_idx"),
+        F.concat(F.lit("Write "), name).alias("prompt"),
+        F.concat(F.lit("def "), name, F.lit("(x): return x")).alias("solution"),
+        F.pmod("vec_id", F.lit(2)).cast("int").alias("test_type"),
+        F.array(F.concat(F.lit("assert "), name, F.lit("("), F.col("vec_id").cast("string"), F.lit(") == 1"))).alias("testcases"),
         F.when(F.col("label") < 7, 1).otherwise(0).alias("is_valid"),
         F.transform(F.sequence(F.lit(0), F.lit(TOKENS_PER_TEST - 1)), tok).alias("tokens"),
     )

@@ -3,21 +3,19 @@
 The reference has no streaming; this module only runs the existing batch
 operators on a file stream: per-test features from the nested token arrays
 (stateless, narrow) and a saved feature pipeline (``fit_full_pipeline``),
-written with ``foreachBatch`` into a scored table partitioned by (dataset, llm,
-batch_id).  Exactly-once comes from the checkpoint location, which repeats a batch
-under its id, and the overwrite of that batch's partitions alone."""
+written with ``foreachBatch`` into a scored table partitioned by (batch_id, dataset,
+llm).  Exactly-once comes from the checkpoint location, which repeats a batch
+under its id, and the overwrite of that batch's folder alone."""
 
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import features as FE
 from ..operators import learn as L
 from ..sources.readers import GENERATIONS
-from ..sources.sinks import write_partitioned
 
 
 def score_generations_stream(spark: SparkSession, source_dir: str, model_path: str, sink_path: str,
@@ -29,7 +27,8 @@ def score_generations_stream(spark: SparkSession, source_dir: str, model_path: s
 
     def write(batch: DataFrame, epoch: int) -> None:
         scored = L.predict_proba(model, batch, name, "prediction_y_prob")
-        write_partitioned(scored.withColumn("batch_id", F.lit(epoch)), sink_path, ("dataset", "llm", "batch_id"))
+        (scored.sortWithinPartitions("dataset", "llm").write.mode("overwrite").partitionBy("dataset", "llm")
+         .parquet(f"{sink_path}/batch_id={epoch}"))
 
     w = feats.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="30 seconds")
