@@ -11,6 +11,7 @@ from .q_aggregates import cat_tests
 from .registry import query
 from .views import with_views
 
+PART = 2  # tests of a prompt: small, so that functions of several prompts occur
 INSTRUCTION = "Categorize each invalid test below."  # the prompt text is a parameter
 
 
@@ -59,7 +60,7 @@ WITH t AS (SELECT d.doc_id // 10 AS function_id, d.doc_id AS test_idx, l.quality
 inv AS (SELECT function_id, test_idx, text || ' ' || chr(10) || chr(10) || 'By running the test cases, we can see that the actual output is: '
                || CAST(toxic AS VARCHAR) || ' but the expected output is: ' || CAST(is_valid AS VARCHAR) || chr(10) AS piece
         FROM t WHERE is_valid = 0),
-n AS (SELECT *, CAST((row_number() OVER (PARTITION BY function_id ORDER BY test_idx) - 1) // 50 AS INTEGER) AS part FROM inv),
+n AS (SELECT *, CAST((row_number() OVER (PARTITION BY function_id ORDER BY test_idx) - 1) // {PART} AS INTEGER) AS part FROM inv),
 g AS (SELECT function_id, part, string_agg(piece, '' ORDER BY test_idx) AS tests FROM n GROUP BY function_id, part)
 SELECT function_id, part, '{INSTRUCTION}' || chr(10) || 'function description:' || chr(10) || 'Function ' || CAST(function_id AS VARCHAR)
        || chr(10) || 'generated tests:' || chr(10) || tests || chr(10) || 'function implementation:' || chr(10)
@@ -73,4 +74,4 @@ def q_prompt_assembly(spark, sf):
     funcs = inv.select("function_id").distinct().select(
         "function_id", F.concat(F.lit("Function "), F.col("function_id").cast("string")).alias("description"),
         F.lit("def f(x):\n    return x").alias("solution"))
-    return C.prompt_assembly(funcs, inv, INSTRUCTION)
+    return C.prompt_assembly(funcs, inv, INSTRUCTION, tests_per_prompt=PART)
