@@ -1,23 +1,26 @@
 """Secret spans: fixed patterns, and character Markov models for what they miss.
 
-Two second-order character models are trained from labelled samples: random strings
-(the values that the fixed patterns find) and ordinary identifiers (other runs of
-the same characters, each distinct one once).  Both back off: the random model to
-the smallest known alphabet that holds the string, the ordinary one to shorter contexts without case, and to a fixed chance of a change
-of kind.  Runs without the fixed spans are cut at ``=``, and into parts at ``/``,
-``-`` and ``_``; neighbouring parts of the largest sum are a secret if they have at
-least ``RUN`` characters of two kinds and the log-likelihood ratio of the two models
-is at least ``LIMIT`` in all and ``PER_CHAR`` a character.  Random strings of one
-kind of letters alone are told apart from words of unseen languages by no model
-here and are not found."""
+Second-order character models are trained from labelled samples.  Random strings: the
+values that the fixed patterns find, and drawn strings of the alphabets that keys are
+written in (``labelled_random``); there is a model for each alphabet, and a string's
+likelihood is their mean.  Ordinary identifiers: other runs of the same characters, each
+distinct one once, and identifiers made of neighbouring ones (camel case, with a number).
+All models back off to shorter contexts where the samples say little.  Runs without the
+fixed spans are cut at ``=``, and into parts at ``/``, ``-`` and ``_``; neighbouring parts
+of the largest sum are a secret if they have at least ``RUN`` characters of two kinds and
+the log-likelihood ratio of the two sides is at least ``LIMIT`` in all and ``PER_CHAR`` a
+character.  Random strings of one kind of letters alone are told apart from words of
+unseen languages by no model here and are not found."""
 
 from __future__ import annotations
 
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,17 +35,17 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 _PARTS = re.compile(r"[A-Za-z0-9+]+")
 RUN = 8
-LIMIT, PER_CHAR = 8.0, 0.6
+LIMIT, PER_CHAR = 5.5, 0.45
 JOIN, DROP = 1.0, 6.0  # what a cut between two parts costs; the loss that ends a stretch of parts
 FIT_ROWS = 40_000
 _CACHE = 100_000
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-# The alphabets of random strings.
+# The alphabets of the drawn labelled strings.
 ALPHABETS = (_DIGIT + "abcdef", _DIGIT + "ABCDEF", _LOWER + _DIGIT, _UPPER + _DIGIT, _UPPER + "234567",
              _LOWER + _UPPER, _LOWER + _UPPER + _DIGIT, _LOWER + _UPPER + _DIGIT + "+")
-_ALPHABETS = [(a, set(a)) for a in ALPHABETS]
-END = 1 / 25  # the chance that a random string ends
-STAY, TURN = 0.8, 0.05  # the chances that the kind of character stays, or turns into another one (twice from lower to upper, as in camelCase)
+DRAWN = 1_000  # labelled strings of an alphabet, of 8 to 48 characters, drawn from a fixed seed
+EVIDENCE = (20_000, 5_000)  # how often a context must be seen for half of the weight: two characters, one
+FORMS = 2  # of so many ordinary runs one identifier is made
 
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
 
@@ -85,6 +88,30 @@ def samples(text: str) -> tuple[list[str], list[str]]:
     return secret, [p for _, s in _outside(text, spans) for p in _PARTS.findall(s)]
 
 
+def identifiers(runs: list[str]) -> list[str]:
+    """Labelled identifiers, one for each ``FORMS`` ordinary runs: two neighbours in camel case,
+    a number of one to four digits behind or between, capitals, a bare number or hour."""
+    plain = [r for r in runs if r.isalpha() and len(r) < 16]
+    out = []
+    for a, b in zip(plain[::FORMS], plain[1::FORMS], strict=False):
+        n = zlib.crc32(f"{a}{b}".encode())
+        number = str(n % 10 ** (1 + n % 4))
+        out.append((a.lower() + b.capitalize(), a.capitalize() + b.capitalize() + number, a.lower() + number, a.lower() + number + b.lower(),
+                    a.lower() + number + b.capitalize(), a.upper(), a.upper() + number, number, f"{n % 100:02d}T{n // 100 % 100:02d}")[n // 10_000 % 9])
+    return out
+
+
+def labelled_random() -> list[tuple[int, str]]:
+    """(alphabet, string) of drawn strings, the same in every worker."""
+    rng = np.random.default_rng(20240611)
+    out = []
+    for k, alphabet in enumerate(ALPHABETS):
+        sizes = rng.integers(8, 49, DRAWN)
+        drawn = "".join(np.array(list(alphabet))[rng.integers(0, len(alphabet), sizes.sum())])
+        out += [(k, drawn[e - n:e]) for n, e in zip(sizes.tolist(), np.cumsum(sizes).tolist(), strict=True)]
+    return out
+
+
 def _steps(s: str):
     """(two characters before, character) of a string, its end included."""
     t = f"  {s} "
@@ -95,14 +122,39 @@ def _kind(c: str) -> str:
     return "l" if c in _LOWER else "u" if c in _UPPER else "d" if c in _DIGIT else "e" if c == " " else "+"
 
 
+class Chain:
+    """A second-order Markov model of characters that backs off."""
+
+    def __init__(self, size: int):
+        self.size = size  # of the alphabet, and the end
+        self.n: Counter = Counter()
+
+    def add(self, step: str, k: int = 1) -> None:
+        for g in (step, step[1:], step[2:]):
+            self.n[g] += k
+            self.n[g[:-1], len(g)] += k
+
+    def chance(self, step: str) -> float:
+        n, p = self.n, 1 / self.size
+        if among := n["", 1]:
+            p = (n[step[2:]] + p) / (among + 1)
+        for g, half in ((step[1:], EVIDENCE[1]), (step, EVIDENCE[0])):
+            among = n[g[:-1], len(g)]
+            p = (n[g] + half * p) / (among + half)
+        return p
+
+
 class Model:
     def __init__(self, counts: list[tuple[bool, str, int]]):
-        random, before = Counter(), Counter()
+        # a random string belongs to the smallest alphabet that holds it; found ones of other characters to the last
+        self.random = [Chain(len(a) + 1) for a in (*ALPHABETS, ALPHABETS[-1] + "/_=-.")]
+        for k, s in labelled_random():
+            for g in _steps(s):
+                self.random[k].add(g)
         letters, kinds = Counter(), Counter()
         for secret, step, k in counts:
             if secret:
-                random[step] += k
-                before[step[:2]] += k
+                self._found(step, k)
                 continue
             kinds[_kind(step[1]), _kind(step[2])] += k
             kinds[_kind(step[1])] += k
@@ -112,27 +164,27 @@ class Model:
                     letters[g] += k
                     letters[g[:-1], ""] += k
         self.able = bool(kinds)
-        self._random = [random, before]
         self._letters, self._kinds = letters, kinds
         self.ordinary = C.Recent(lambda g: math.log(self._ordinary(g)), _CACHE)
+        self.steps = C.Recent(lambda g: np.log([c.chance(g) for c in self.random]), _CACHE // 4)
         self.part = C.Recent(self._part, 20_000)
 
-    def _secret(self, g: str) -> float:
-        n, before = self._random
-        return n[g] / before[g[:2]] if before[g[:2]] else 0.0
+    def _found(self, step: str, k: int) -> None:
+        kinds = set(step) - {" "}
+        at = next((i for i, a in enumerate(ALPHABETS) if kinds <= set(a)), len(ALPHABETS))
+        self.random[at].add(step, k)
 
     def _part(self, s: str) -> float:
-        """The log-likelihood ratio: the best of the known alphabets and the trained random model."""
-        steps, kinds = _steps(s), set(s)
-        chance = max([-math.log(len(a)) for a, have in _ALPHABETS if kinds <= have] or [-math.log(64)])
-        random = len(s) * (chance + math.log(1 - END)) + math.log(END / len(ALPHABETS))
-        trained = sum(math.log(0.9 * p + 0.1 / 64) for p in map(self._secret, steps))
-        return max(random, trained) - sum(self.ordinary[g] for g in steps)
+        """The log-likelihood ratio: random strings, the mean over the alphabets, against ordinary ones."""
+        steps = _steps(s)
+        each = np.sum([self.steps[g] for g in steps], axis=0)
+        best = each.max()
+        return float(best + math.log(np.exp(each - best).mean())) - sum(self.ordinary[g] for g in steps)
 
     def _ordinary(self, g: str) -> float:
         a, b = _kind(g[1]), _kind(g[2])
         n = self._kinds
-        turn = 0.5 * n[a, b] / max(1, n[a]) + 0.5 * (STAY if a == b else 0.3 if a == "e" else 2 * TURN if a + b == "lu" else TURN)
+        turn = (n[a, b] + 1) / (n[a] + 5)
         if b in "lu":
             t, p, seen = g.lower(), 0.0, 0.0
             for part, share in ((t, 0.7), (t[1:], 0.15), (t[2:], 0.1)):
@@ -178,7 +230,10 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> list[tuple[bool, str, int]]:
     (all if there are no more), each distinct string once, so that copies of one do not
     make it ordinary.  At most 2 * 66 ** 3 counts, whatever the corpus."""
     def strings(b: pa.RecordBatch):
-        found = {(secret, s) for t in b.column("text").to_pylist() for secret, x in zip((True, False), samples(t), strict=True) for s in x}
+        found = set()
+        for t in b.column("text").to_pylist():
+            secret, runs = samples(t)
+            found |= {(True, s) for s in secret} | {(False, s) for s in (*runs, *identifiers(runs))}
         yield {"secret": [x[0] for x in found], "s": [x[1] for x in found]}
 
     def count(b: pa.RecordBatch):
