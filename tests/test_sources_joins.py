@@ -144,3 +144,18 @@ def test_line_coverage_by_bitmaps(spark):
     ok = {(f, t) for f, t, v in tests if v}
     want = {f: len({n for a, t, n in hits if a == f and (a, t) in ok}) for f in [*range(6), 9]}
     assert {r.function_id: r.covered for r in got.collect()} == want
+
+
+def test_release_deletes_stage_tables_but_those_to_keep(spark, tmp_path):
+    from testsieve import session
+
+    at = session.mark()
+    first = session.stored(spark.range(5), "first")
+    kept = session.stored(first, "kept")
+    path = kept.inputFiles()[0].split("/part-")[0].removeprefix("file://").removeprefix("file:")
+    name = next(p for p in session._made[at:] if p.endswith(path.rsplit("/", 1)[1]))
+    assert session.release(spark, at, keep=(name,)) == 1
+    assert kept.count() == 5 and session._made[at:] == [name]
+    with pytest.raises(Exception, match="(?i)not exist|not found|no such"):
+        first.count()
+    assert session.release(spark, at) == 1

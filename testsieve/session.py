@@ -84,10 +84,31 @@ def checkpointed(df):
     return df.checkpoint(eager=True)
 
 
+_made: list[str] = []  # run paths of this process, in order
+
+
 def run_path(spark: SparkSession, name: str) -> str:
     """A location of this call alone under the shared checkpoint folder: two sessions,
     or two runs of one query, never write to the same place."""
-    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    _made.append(scratch_path(spark, f"{name}-{uuid.uuid4().hex}"))
+    return _made[-1]
+
+
+def mark() -> int:
+    """The run paths made so far, for ``release``."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> int:
+    """Deletes what lies at the run paths made since ``mark()`` gave ``since``, but for those in
+    ``keep``; returns their number.  For when the results that read them are written
+    or no longer wanted: stage tables otherwise stay until the shared folder is cleared."""
+    paths = [p for p in _made[since:] if p not in keep]
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _made[since:] = [p for p in _made[since:] if p in keep]
+    return len(paths)
 
 
 def stored(df, name: str):
