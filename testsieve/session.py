@@ -99,6 +99,11 @@ def mark() -> int:
     return len(_made)
 
 
+def made(since: int = 0) -> list[str]:
+    """The run paths made since then, the latest last."""
+    return _made[since:]
+
+
 def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> int:
     """Deletes what lies at the run paths made since ``mark()`` gave ``since``, but for those in
     ``keep``; returns their number.  For when the results that read them are written
