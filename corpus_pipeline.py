@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from testsieve import session
 from testsieve.llm import common as C
 from testsieve.llm import decontamination, language, near_duplicates, piece_encoding, secret_spans
 from testsieve.session import ship_package
@@ -67,5 +68,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        before = session.mark()
         docs = C.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        # nothing reads the tables that the stage has made on its way; its own output is the last
+        session.release(spark, before, keep=tuple(session.made(before)[-1:]))
     return docs

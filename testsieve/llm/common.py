@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from testsieve.session import scratch_path
+from testsieve.session import run_path
 
 U64 = np.uint64
 SLICE = 512
@@ -28,7 +28,7 @@ _PLACE = np.random.default_rng(5).integers(0, 2**64, 64, dtype=U64) | U64(1)
 
 def run_folder(spark: SparkSession, name: str) -> str:
     """A folder of this run alone, under the shared folder of ``spark.checkpoint.dir``."""
-    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    return run_path(spark, name)
 
 
 def bounded_batches(spark: SparkSession) -> None:
