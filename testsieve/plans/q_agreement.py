@@ -34,16 +34,20 @@ best AS (SELECT task_id, cluster_id AS solution_id, 'cluster' AS source FROM rk
 """
 
 
-def frames(spark, sf):
-    sols, tests, ex = A.solutions_v(spark, sf), A.tests_v(spark, sf), A.exec_v(spark, sf)
+# tasks whose number ends in 0 or 5 pass nothing: they have no cluster
+AG_SOME_SQL = AG_SQL.replace("bool_and(ok) AS passed", "bool_and(ok) AND CAST(task_id AS BIGINT) % 5 <> 0 AS passed", 1)
+
+
+def frames(spark, sf, ex=None):
+    sols, tests, ex = A.solutions_v(spark, sf), A.tests_v(spark, sf), A.exec_v(spark, sf) if ex is None else ex
     sfreq, tfreq = AG.sol_freq(sols), AG.test_freq(tests)
     pairs = AG.passed_pairs(ex, tfreq)
     expanded = AG.expand_pairs(pairs, sfreq, tfreq)
     return sols, ex, sfreq, tfreq, pairs, expanded
 
 
-def clusters(spark, sf, mode="plain"):
-    *_, expanded = frames(spark, sf)
+def clusters(spark, sf, mode="plain", ex=None):
+    *_, expanded = frames(spark, sf, ex)
     return AG.consensus_score(AG.consensus_clusters(expanded), mode)
 
 
@@ -106,6 +110,25 @@ def q_best_solution(spark, sf):
     return best(spark, sf).select("task_id", "solution_id", "source")
 
 
+@query("best_solution_of_failing_tasks", AG_SOME_SQL + "SELECT task_id, solution_id, source FROM best")
+def q_best_solution_of_failing_tasks(spark, sf):
+    ex = A.exec_v(spark, sf).withColumn("passed", F.col("passed") & (F.col("task_id").cast("long") % 5 != 0))
+    ranked = AG.rank_clusters(clusters(spark, sf, ex=ex))
+    return AG.best_solution(ranked, A.solutions_v(spark, sf)).select("task_id", "solution_id", "source")
+
+
+@query("fingerprint_conflicts", AG_SQL + """
+, m AS (SELECT task_id, cluster_id, count(*) AS members FROM mb GROUP BY task_id, cluster_id),
+c AS (SELECT mb.task_id, mb.cluster_id, ex.test_id, count(*) AS passers FROM ex JOIN mb ON mb.task_id = ex.task_id AND mb.solution_id = ex.solution_id GROUP BY ALL)
+SELECT count(*) AS checked, count(*) FILTER (WHERE passers <> members) AS conflicts FROM c JOIN m ON m.task_id = c.task_id AND m.cluster_id = c.cluster_id""")
+def q_fingerprint_conflicts(spark, sf):
+    *_, expanded = frames(spark, sf)
+    checked = AG.cluster_members(expanded).join(expanded, ["task_id", "solution_id"]).select("task_id", "cluster_id", "test_id").distinct()
+    conflicts = AG.fingerprint_conflicts(expanded).withColumn("conflict", F.lit(1))
+    return checked.join(conflicts, ["task_id", "cluster_id", "test_id"], "left").agg(
+        F.count(F.lit(1)).alias("checked"), F.count("conflict").alias("conflicts"))
+
+
 @query("one_shot", AG_SQL + "SELECT task_id, solution_id FROM os")
 def q_one_shot(spark, sf):
     return AG.one_shot(A.solutions_v(spark, sf))
