@@ -347,6 +347,49 @@ def test_language(spark, docs, empty):
     assert len(none) == docs.count() and {r.lang_pred for r in none} == {"und"}
 
 
+def test_language_model_equals_a_plain_version():
+    import math
+    import re
+
+    rng = random.Random(13)
+    for _ in range(20):
+        langs = ["aa", "bb", "cc"][:rng.randint(1, 3)]
+        word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7)))
+        wc = [(w, lang, rng.randint(1, 20)) for lang in langs for w in {word() for _ in range(25)}]
+        gc = [(g, lang, rng.randint(1, 50)) for lang in langs for g in {rng.choice([w[i:i + n] for w in (" ab ", " bcé ", " dead ") for n in range(1, 6) for i in range(4) if len(w[i:i + n]) == n])
+                                                                        for _ in range(30)}]
+        m = L.Model(langs, wc, gc)
+
+        def logs(counts, kind):
+            held = {}
+            for g, lang, n in counts:
+                held.setdefault(g, dict.fromkeys(langs, 0))[lang] += n
+            out = {}
+            for g, by in held.items():
+                same = [x for x in held if kind(x) == kind(g)]
+                out[g] = {x: math.log(n + L.SMOOTH) - math.log(sum(held[s][x] for s in same) + L.SMOOTH * (len(same) + 1)) for x, n in by.items()}
+            return out
+
+        words, grams = logs(wc, lambda w: 0), logs(gc, len)
+        for _ in range(30):
+            text = " ".join(rng.choice([rng.choice(wc)[0], word(), word() + "1", "!", "ZZ"]) for _ in range(rng.randint(0, 8)))
+            total = dict.fromkeys(langs, 0.0)
+            for w in re.findall(r"[^\W\d_]+", text.lower()):
+                if w in words:
+                    found = [words[w]]
+                else:
+                    parts = ([f" {w} "[i:i + n] for i in range(len(w) + 3 - n)] if n > 1 else list(w) for n in range(5, 0, -1))
+                    found = next((f for p in parts if (f := [grams[g] for g in p if g in grams])), [dict.fromkeys(langs, 0.0)])
+                for x in langs:
+                    total[x] += sum(f[x] for f in found) / len(found)
+            lang, score = m.predict(text)
+            if not re.search(r"[^\W\d_]", text):
+                assert (lang, score) == ("und", 0.0)
+                continue
+            best = max(total.values())
+            assert abs(total[lang] - best) < 1e-9 and abs(score - 1 / sum(math.exp(v - best) for v in total.values())) < 1e-9
+
+
 def test_language_fit_shares_by_language_and_counts_copies_once(spark, monkeypatch):
     name = lambda p, i: p + "abcdefghij"[i // 100] + "abcdefghij"[i // 10 % 10] + "abcdefghij"[i % 10]
     rows = [(" ".join(name("gross", (i + k) % 300) for k in range(3)), "aa") for i in range(600)] + [(f"{name('klein', i)} {name('klein', i + 1)}", "bb") for i in range(100)]

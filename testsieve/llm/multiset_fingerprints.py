@@ -150,7 +150,9 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has the last half of the text's code points replaced by as many
     of the next document's (or all it has).  Null texts are empty; the next document
-    of a table's only row is that row; other columns are ignored."""
+    of a table's only row is that row; rows of one id follow each other by a hash of
+    their texts; a very long text is one row's work and is held a few times over; other
+    columns are ignored; an empty table stays empty."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
