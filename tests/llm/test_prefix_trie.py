@@ -101,3 +101,22 @@ def test_pieces_of_ids_in_order(monkeypatch):
     r = T.Range(np.arange(20, 30), [b"a" * 16] * 10, np.ones(10, np.int64))
     pieces = [x for cols in r.rows(0) if len(cols["kind"]) and cols["kind"][0] == 2 for x in zip(cols["no"], cols["ids"], strict=True)]
     assert [n for n, _ in pieces] == [0, 1, 2, 3] and ",".join(x for _, x in pieces) == ",".join(map(str, range(20, 30)))
+
+
+def test_nodes_with_their_last_turns(spark):
+    rng = random.Random(6)
+    rows = []
+    for c in rng.sample(range(-40, 100), 60):
+        rows += conversation(c, [rng.choice(["one", "two words", "", None, "x y"]) for _ in range(rng.randint(1, 6))], rng.random() < 0.2)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = T.with_turns(T.prefix_trie(df), df).collect()
+    seen = {(r.conv_id, r.depth): (r.role, r.text) for r in got}
+    assert set(seen) == set(brute(rows)) and len(got) == len(seen)
+    own = defaultdict(list)
+    for c, turn, role, text, *_ in rows:
+        own[c].append((turn is not None, turn or 0, digest((role or "", text or "")), (role or "", text or "")))
+    own = {c: [t[3] for t in sorted(v)] for c, v in own.items()}
+    for (c, d), last in seen.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        made = own.get(c - (c % 20 if c >= 0 else -(-c % 20)), [])[:h] + own[c][h:]
+        assert last == (made[d - 1] if d else (None, None))

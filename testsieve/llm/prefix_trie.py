@@ -39,15 +39,22 @@ SCHEMA = ("kind int, task int, no long, key binary, parent_key binary, ids strin
           "n_convs long, n_children long, n_leaves long, saved_tokens long, words long, ends_sha256 string, first boolean, last boolean")
 
 
+def _role_and_text() -> tuple:
+    return tuple(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
+
+
+def _digest(role, text):
+    return F.substring(F.sha2(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text), 256), 1, 32)
+
+
 def turns_of(conversations: DataFrame) -> DataFrame:
     """``conv_id, turn, role, text`` rows to ``conv_id, turns``: an array of (turn, digest in
     hex, words) by turn, null first; equal turn numbers go by the digest.
 
     Null role or text is empty.  Rows without conv_id belong to no conversation and are
     left out; other columns are ignored."""
-    role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
-    turn = F.struct(F.col("turn").alias("turn"),
-                    F.substring(F.sha2(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text), 256), 1, 32).alias("digest"),
+    role, text = _role_and_text()
+    turn = F.struct(F.col("turn").alias("turn"), _digest(role, text).alias("digest"),
                     F.regexp_count(text, F.lit(WORD)).cast("long").alias("words"))
     return (conversations.where(F.col("conv_id").isNotNull())
             .select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t"))
@@ -69,6 +76,24 @@ def rebuilt(conversations: DataFrame, every: int = 20, most: int = 3) -> DataFra
                     F.transform("t", lambda x: x["words"]).alias("words")))
 
 
+def with_turns(nodes: DataFrame, conversations: DataFrame, every: int = 20, most: int = 3) -> DataFrame:
+    """``nodes`` of the rebuilt conversations with ``role`` and ``text`` of their last turn (null
+    for the root), which is a turn of the node's own conversation or of the one that it
+    was rebuilt from."""
+    role, text = _role_and_text()
+    numbered = conversations.where(F.col("conv_id").isNotNull()).select(
+        F.col("conv_id").cast("long").alias("of"), role.alias("role"), text.alias("text"),
+        F.row_number().over(Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), _digest(role, text))).alias("nth"))
+    sizes = conversations.groupBy(F.col("conv_id").cast("long").alias("base")).agg(F.least(F.count(F.lit(1)), F.lit(most)).alias("size"))
+    h = F.crc32(F.col("conv_id").cast("string")) % (most + 1)
+    given = F.least(h, F.coalesce("size", F.lit(0)))
+    placed = (nodes.withColumn("base", F.col("conv_id") - F.col("conv_id") % every).join(sizes, "base", "left").withColumn("given", given)
+              .withColumn("of", F.when(F.col("depth") <= F.col("given"), F.col("base")).otherwise(F.col("conv_id")))
+              .withColumn("nth", F.when(F.col("depth") <= F.col("given"), F.col("depth")).otherwise(F.col("depth") - F.col("given") + h)))
+    return placed.join(numbered, (placed["of"] == numbered["of"]) & (placed["nth"] == numbered["nth"]) & (F.col("depth") > 0), "left").select(
+        *nodes.columns, "role", "text")
+
+
 class Range:
     """Sorted conversations of one range and the prefixes that are new at each."""
 
