@@ -45,8 +45,11 @@ def _lowered(text: str) -> str:
     with no sign in one, whose small letters have one, do not.  Special tokens and
     capitals whose small form depends on their place stay too."""
     low = text.lower()
-    if low.isascii() and text.isascii():
+    try:
+        text.encode("latin-1")  # of these characters every text is composed, in capitals and small letters
         return low if "<|" not in text else text
+    except UnicodeEncodeError:
+        pass
     if any(x in text for x in _AS_IS) or not (is_normalized("NFC", text) and is_normalized("NFC", low)):
         return text
     return low
