@@ -608,6 +608,15 @@ def test_html_region_is_the_best_of_all(monkeypatch):
         assert text in regions | ({""} if high <= 1e-9 else set()), (page, text, regions)
 
 
+def test_html_lists_and_tables_without_an_article():
+    page = ("<body><nav><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul></nav><div><h1>Head line</h1><p>" + "Words of the text. " * 9 + "</p><ul><li>first item"
+            " of the text</li><li>second item of it</li></ul><table><tr><td>one cell</td><td>another cell</td></tr></table><figure><figcaption>what the picture shows</figcaption></figure>"
+            "<p>The last words.</p></div><footer><a href=z>About</a> us</footer>")
+    text = H.Scorer([]).extract(page)
+    assert text.split("\n") == ["Head line", " ".join(["Words of the text."] * 9), "first item of the text", "second item of it", "one cell", "another cell",
+                                "what the picture shows", "The last words."]
+
+
 def test_html_parts_of_class_names():
     para, much = "<p>" + "Words of the text that stay. " * 9 + "</p>", "<p>other words, which are many too, of this part</p>"
     scorer = H.Scorer([])

@@ -42,7 +42,7 @@ BLOCKS = CONTAINERS.removesuffix(" a") + " p h1 h2 h3 h4 h5 h6 pre hr caption le
 PRIOR = {
     5.0: "article main",
     1.5: "content post entry story text body articlebody maincontent",
-    -1.5: "header li a table figcaption caption",
+    -1.5: "header a",
     -12.0: ("nav footer aside menu sidebar ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion "
            "cookie cookies consent notice notices comment comments reply replies respond disqus newsletter subscribe signup login "
            "breadcrumb breadcrumbs pagination pager share sharing social related recommended popup modal copyright widget toolbar masthead "
