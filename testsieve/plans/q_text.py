@@ -46,6 +46,11 @@ resp_v AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN text ELSE 'Solution:' || chr(
   || '(2) == 2' || chr(10) || 'print(' || nm || '(3))' || chr(10) || '```' END AS resp FROM code_v)
 """.replace('\\"', '"')
 
+def sql_text(s: str) -> str:
+    """A string of letters and line ends as SQL."""
+    return "'" + s.replace("\n", "' || chr(10) || '") + "'"
+
+
 STRIP = r"regexp_replace({x}, '\A\s+|\s+\z', '', 'g')"
 
 
@@ -146,11 +151,10 @@ def q_function_signature(spark, sf):
     return code_v(spark, sf).select("doc_id", T.function_signature(F.col("resp")).alias("signature"))
 
 
-@query("import_statements", CODE_SQL + r"""
+@query("import_statements", CODE_SQL + f"""
 SELECT DISTINCT import_line FROM (
-  SELECT unnest(list_concat(regexp_extract_all(resp, '(?m)^\s*import\s+[a-zA-Z_][a-zA-Z0-9_]*(?:\s+as\s+[a-zA-Z_][a-zA-Z0-9_]*)?', 0),
-                            regexp_extract_all(resp, '(?m)^\s*from\s+[a-zA-Z_][a-zA-Z0-9_]*\s+import\s+[a-zA-Z_][a-zA-Z0-9_]*', 0),
-                            ['import matplotlib as plt', 'import numpy as np', 'import pandas as pd'])) AS import_line
+  SELECT unnest(list_concat(regexp_extract_all(resp, '{T.IMPORT_PLAIN}', 0), regexp_extract_all(resp, '{T.IMPORT_FROM}', 0),
+                            [{", ".join(map(sql_text, T.IMPORT_TAIL))}])) AS import_line
   FROM resp_v)""")
 def q_import_statements(spark, sf):
     return X.import_statements(code_v(spark, sf), "resp")
@@ -217,9 +221,7 @@ def q_normalize_key(spark, sf):
 
 
 @query("prepend_header", CODE_SQL + rf"""
-SELECT doc_id, 'from typing import *' || chr(10) || 'import math' || chr(10) || 'from heapq import *' || chr(10)
-  || 'import itertools' || chr(10) || 'import re' || chr(10) || 'import typing' || chr(10) || 'import heapq' || chr(10)
-  || '_str=str' || chr(10) || 'import re' || chr(10)
+SELECT doc_id, {sql_text(T.IMPORT_HEADER)}
   || array_to_string(list_transform(regexp_extract_all(resp, '(?s)```python\s*(.*?)```', 1), lambda b: {strip('b')}), chr(10))
   AS solution FROM resp_v""")
 def q_prepend_header(spark, sf):
