@@ -93,34 +93,27 @@ def threshold_sweep(scores: DataFrame, thresholds: Sequence[float], ns: Sequence
                     by: Sequence[str] = ("function_id",), test_key: str = "test_idx",
                     truth: str = "y_true") -> DataFrame:
     """Selection metrics for every (threshold, N) pair in one pass over the
-    scores plus one pass over the (small) top-max(N) rows.  No cross join:
-    per-threshold counts come from conditional sums over the full table, the
-    top-N fill-ups from the top-max(N) rows, unpivoted and equi-joined on t."""
-    t_col, yp = F.col(truth), F.col("y_prob")
-    full = scores.agg(
-        F.count(F.lit(1)).alias("n_all"), _sum_if(t_col == 1).alias("valid_all"),
-        *[_sum_if(yp >= t).alias(f"a{i}") for i, t in enumerate(thresholds)],
-        *[_sum_if((yp >= t) & (t_col == 1)).alias(f"v{i}") for i, t in enumerate(thresholds)])
-    above = full.select("n_all", "valid_all", F.inline(F.array(*[
-        F.struct(F.lit(float(t)).alias("threshold"), F.col(f"a{i}").alias("n_above"), F.col(f"v{i}").alias("tp_above"))
-        for i, t in enumerate(thresholds)])))
-    max_n = max(ns)
-    top = sel.top_n(scores, max_n, by, [yp.desc(), F.col(test_key).asc()], "_rank")
-    extra = top.agg(
-        *[_sum_if((F.col("_rank") <= n) & (yp < t)).alias(f"e{i}_{j}") for i, t in enumerate(thresholds) for j, n in enumerate(ns)],
-        *[_sum_if((F.col("_rank") <= n) & (yp < t) & (t_col == 1)).alias(f"w{i}_{j}") for i, t in enumerate(thresholds) for j, n in enumerate(ns)])
-    fill = extra.select(F.inline(F.array(*[
-        F.struct(F.lit(float(t)).alias("threshold"), F.lit(int(n)).alias("top_n"),
-                 F.col(f"e{i}_{j}").alias("n_extra"), F.col(f"w{i}_{j}").alias("tp_extra"))
-        for i, t in enumerate(thresholds) for j, n in enumerate(ns)])))
-    m = above.join(fill, "threshold")
-    tp = F.col("tp_above") + F.col("tp_extra")
-    selected = F.col("n_above") + F.col("n_extra")
-    fp = selected - tp
-    fn = F.col("valid_all") - tp
-    return m.select("threshold", "top_n", selected.cast("bigint").alias("selected"), tp.cast("bigint").alias("tp"),
-                    fp.cast("bigint").alias("fp"), fn.cast("bigint").alias("fn"),
-                    (F.col("n_all") - F.col("valid_all") - fp).cast("bigint").alias("tn"),
+    scores plus one pass over the (small) top-max(N) rows.
+
+    Both become counts by the number of thresholds that a score reaches (and by rank):
+    a table of at most (thresholds + 1) x (max(N) + 1) cells, from which every
+    pair's counts are sums.  No join of scores with parameters."""
+    levels, yp = sorted(float(t) for t in thresholds), F.col("y_prob")
+    reached = sum((F.coalesce((yp >= t).cast("int"), F.lit(0)) for t in levels), F.lit(0))
+    counts = [F.count(F.lit(1)).alias("n"), _sum_if(F.col(truth) == 1).alias("v")]
+    full = scores.groupBy(reached.alias("reached")).agg(*counts).withColumn("rank", F.lit(None).cast("int"))
+    top = sel.top_n(scores, max(ns), by, [yp.desc(), F.col(test_key).asc()], "rank").groupBy("rank", reached.alias("reached")).agg(*counts)
+    cells = full.unionByName(top).agg(F.collect_list(F.struct("rank", "reached", "n", "v")).alias("cells"))
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(t)).alias("threshold"), F.lit(int(n)).alias("top_n"))
+                      for i, t in enumerate(levels) for n in ns])
+    m = cells.select("cells", F.inline(pairs))
+    total = lambda field, cond: F.aggregate(F.filter("cells", cond), F.lit(0).cast("bigint"), lambda a, x: a + x[field])
+    kept = lambda x: F.when(x["rank"].isNull(), x["reached"] > F.col("i")).otherwise((x["rank"] <= F.col("top_n")) & (x["reached"] <= F.col("i")))
+    m = m.select("threshold", "top_n", total("n", kept).alias("selected"), total("v", kept).alias("tp"),
+                 total("n", lambda x: x["rank"].isNull()).alias("_all"), total("v", lambda x: x["rank"].isNull()).alias("_valid"))
+    tp, selected = F.col("tp"), F.col("selected")
+    fp, fn = selected - tp, F.col("_valid") - tp
+    return m.select("threshold", "top_n", selected, tp, fp.alias("fp"), fn.alias("fn"), (F.col("_all") - F.col("_valid") - fp).alias("tn"),
                     F.round(safe_div(tp, selected), 3).alias("valid_ratio"), *prf(tp, fp, fn))
 
 
