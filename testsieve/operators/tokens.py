@@ -68,21 +68,22 @@ def test_spans(responses: DataFrame, tokens: str = "tokens", tests: str = "tests
         at = F.array_position(F.transform("_pieces", lambda x: F.contains(x, F.lit(marker))), True).cast("int")
         start = F.when(at > 0, F.length(F.array_join(F.slice("_pieces", F.lit(1), at), "")))
     # an empty text (in white space only) is at once where the search begins
-    locate = lambda part, after: F.when(F.length(part) == 0, after).otherwise(F.call_function("locate", part, F.col("_text"), after + 1) - 1)
+    locate = lambda part, text, after: F.when(F.length(part) == 0, after).otherwise(F.call_function("locate", part, text, after + 1) - 1)
     empty = F.array().cast("array<struct<test_idx:bigint,input_start:int,input_end:int,output_start:int,output_end:int>>")
 
     def step(state, test):
         i, o = _squeezed(test["input_text"], strip_ws), _squeezed(test["output_text"], strip_ws)
-        i_at = locate(i, state["cursor"])
+        i_at = locate(i, state["text"], state["cursor"])
         i_end = i_at + F.length(i)
-        o_at = locate(o, i_end)
+        o_at = locate(o, state["text"], i_end)
         found = F.struct(test["test_idx"].cast("bigint").alias("test_idx"), i_at.alias("input_start"), i_end.alias("input_end"),
                          o_at.alias("output_start"), (o_at + F.length(o)).alias("output_end"))
         here = (i_at >= 0) & (o_at >= i_end)
-        return F.struct(F.when(here, o_at + F.length(o)).otherwise(state["cursor"]).alias("cursor"),
+        return F.struct(state["text"].alias("text"), F.when(here, o_at + F.length(o)).otherwise(state["cursor"]).alias("cursor"),
                         F.when(here, F.concat(state["spans"], F.array(found))).otherwise(state["spans"]).alias("spans"))
 
-    first = F.struct(start.cast("int").alias("cursor"), empty.alias("spans"))
+    # the text travels in the state: as a column of the row it would be built anew wherever a lambda names it
+    first = F.struct(F.col("_text").alias("text"), start.cast("int").alias("cursor"), empty.alias("spans"))
     return df.withColumn(out, F.aggregate(tests, first, step, lambda s: s["spans"])).drop("_text")
 
 
