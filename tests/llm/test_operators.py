@@ -70,6 +70,23 @@ def test_piece_encoding_equals_the_library(spark, docs, empty):
     assert P.round_trip(empty, PIECES).count() == 0
 
 
+def test_the_ids_of_a_text_are_decoded():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    m, seen = P.PieceModel(PIECES), []
+    m.cache["▁two"] = tuple(sp.encode("three"))  # other ids decode to another text
+    n, ids_hash, text_hash, ids = m.digest("one two 中😀")
+    assert ids == sp.encode("one") + sp.encode("three") + sp.encode("one two 中😀", add_eos=True)[len(sp.encode("one two")):] and n == len(ids)
+    assert ids_hash == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    assert text_hash == hashlib.sha256("one three 中😀".encode()).hexdigest()
+    m.decode = lambda x: seen.append(x) or "back"
+    for t in odd_texts():
+        assert m.digest(t)[2] == hashlib.sha256(b"back").hexdigest()
+        if "▁two" not in m.chunks(t or ""):
+            assert seen[-1] == sp.encode(t or "", add_eos=True)  # the whole text's, the end id too
+
+
 def test_arrow_sequences_hold_the_library_s_ids(spark, docs, empty):
     from tokenizers import Tokenizer
 

@@ -14,12 +14,14 @@ become byte pieces).  Each chunk is encoded by itself:
 
 A sequence whose neighbours are all compatible is the one that merging the whole
 text gives, so the result is exact, ties among equal scores (leftmost first)
-included.  Chunks recur, so workers keep a bounded table of encoded chunks."""
+included.  Chunks recur, so workers keep a bounded table of encoded chunks.  The whole
+text's ids are decoded by the library's ``decode(ids)``."""
 
 from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -33,7 +35,6 @@ MARK = "▁"
 CACHE = 600_000  # chunks, and pairs of pieces, kept by a worker: at most about 200 MB
 CACHE_CHARS = 48
 NEVER = float("-inf")
-UNKNOWN = " ⁇ ".encode()
 
 
 class PieceModel:
@@ -47,18 +48,13 @@ class PieceModel:
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.ids = {self.text[i]: i for i in plain}
         self.score = {self.text[i]: sp.get_score(i) for i in plain}
-        self.hidden = {i for i in range(n) if sp.is_control(i)}
-        self.unknown = sp.unk_id()
-        self.byte_value = {i: int(self.text[i][3:5], 16) for i in range(n) if sp.is_byte(i)}
-        self.byte_id = {v: i for i, v in self.byte_value.items()}
+        self.byte_id = {int(self.text[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         if len(self.byte_id) != 256 or any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("needs a model with byte pieces and marks only at the front of pieces")
         self.chars = {c for p in self.ids for c in p}
-        self.raw = [b"" if i in self.hidden else UNKNOWN if i == self.unknown else
-                    bytes((self.byte_value[i],)) if i in self.byte_value else p.encode() for i, p in enumerate(self.text)]
+        self.library = sp
         self.size = [len(p) for p in self.text]
         self.shown = [str(i) for i in range(n)]
-        self.odd: dict[str, str] = {}  # at most the surrogates
         # only pieces that merging their own characters gives can occur in a result
         self.auto = ahocorasick.Automaton()
         for p, i in self.ids.items():
@@ -131,32 +127,20 @@ class PieceModel:
         """Ids of a text, the end id last."""
         return [i for c in self.chunks(text or "") for i in self.chunk_ids(c)] + [self.eos]
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return b"".join([self.raw[i] for i in ids])
-
     def decode(self, ids: list[int]) -> str:
-        """The text of ids: marks become spaces, but for one at the front."""
-        return self._text(self._bytes(ids))
-
-    @staticmethod
-    def _text(joined: bytes) -> str:
-        return joined.decode("utf-8", "replace").removeprefix(MARK).replace(MARK, " ")
-
-    def _chunk(self, c: str) -> str:
-        """The ids of a chunk in decimal, joined by spaces.  What they decode to is the chunk, since
-        a chunk holds all bytes of its characters; others (half a surrogate pair) are noted."""
-        ids = self.chunk_ids(c)
-        if c[-1] not in self.chars and (back := self._bytes(ids).decode("utf-8", "replace")) != c:
-            self.odd[c] = back
-        shown = self.shown
-        return " ".join([shown[i] for i in ids])
-
-    def digest(self, text: str | None) -> tuple[int, str, str, str]:
-        """Number of ids, hash of the ids, hash of the decoded text, and the ids in decimal."""
-        known, make, chunks = self.cache, self._chunk, self.chunks(text or "")
-        listed = " ".join([known[c] if len(c) <= CACHE_CHARS else make(c) for c in chunks] + [self.shown[self.eos]])
-        back = "".join([self.odd.get(c, c) for c in chunks] if self.odd else chunks).removeprefix(MARK).replace(MARK, " ")
-        return listed.count(" ") + 1, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), listed
+        """The text of ids, by the library."""
+        return self.library.decode(ids)
+
+    def _chunk(self, c: str) -> tuple[int, ...]:
+        return tuple(self.chunk_ids(c))
+
+    def digest(self, text: str | None) -> tuple[int, str, str, list[int]]:
+        """Number of ids, hash of the ids in decimal, hash of the text that they decode to, and the ids."""
+        known, make, shown = self.cache, self._chunk, self.shown
+        ids = list(chain.from_iterable([known[c] if len(c) <= CACHE_CHARS else make(c) for c in self.chunks(text or "")]))
+        ids.append(self.eos)
+        listed = " ".join([shown[i] for i in ids])
+        return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest(), ids
 
 
 def model(path: str, chunks: int = CACHE) -> PieceModel:
@@ -187,7 +171,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, with_ids: bool = False, chunks: int = CACHE) -> DataFrame:
     """``doc_id, text`` to ``doc_id, n_tokens, ids_sha256, decoded_sha256`` (and ``ids``):
-    the texts are encoded and decoded again in one pass (one row per input row;
+    the texts are encoded and their ids decoded in one pass (one row per input row;
     null is the empty text; other columns are ignored; an empty table stays empty).
     ``chunks``: entries of a worker's tables; fewer take less memory and more time."""
     def rows(b: pa.RecordBatch):
@@ -196,7 +180,7 @@ def round_trip(docs: DataFrame, path: str, with_ids: bool = False, chunks: int =
         out = {"doc_id": b.column("doc_id"), "n_tokens": [g[0] for g in got], "ids_sha256": [g[1] for g in got],
                "decoded_sha256": [g[2] for g in got]}
         if with_ids:
-            out["ids"] = [np.array(g[3].split(), np.int32) for g in got]
+            out["ids"] = [np.array(g[3], np.int32) for g in got]
         yield out
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
