@@ -1,7 +1,10 @@
+import hashlib
+
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from testsieve.llm import common as C
-from testsieve.llm import secret_spans
+from testsieve.llm import piece_encoding, secret_spans
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -59,3 +62,21 @@ def test_stages_keep_columns_of_any_name(spark, tmp_path, repeated):
         rows = at.collect()
         assert all(list(r[5:]) == extra for r in rows) and {r.text for r in rows} == {t[1] for t in table}
     assert corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).count() == len(rows)
+
+
+def test_the_last_stage_decodes_its_ids(spark, monkeypatch):
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    m, rows, seen = piece_encoding.PieceModel(path), [], []
+    monkeypatch.setattr(m, "decode", lambda ids: seen.append(ids) or "back", raising=False)
+    monkeypatch.setattr(piece_encoding, "model", lambda *_: m)
+    monkeypatch.setattr(C, "map_rows", lambda df, fn, schema: rows.append(fn))
+    texts = ["one two", None, "Ünï  cödé 中文\n"]
+    corpus_pipeline.encode_pieces(spark, spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), "")
+    (got,) = rows[0](pa.RecordBatch.from_pydict({"doc_id": [0, 1, 2], "text": texts}))
+    want = [sp.encode(t or "", add_eos=True) for t in texts]
+    assert seen == want == [x.tolist() for x in got["ids"]]
+    assert got["decoded_sha256"] == [hashlib.sha256(b"back").hexdigest()] * 3
