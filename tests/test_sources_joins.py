@@ -2,6 +2,7 @@
 hot keys, line bitmaps."""
 
 import json
+import os
 import random
 import threading
 from collections import Counter
@@ -95,6 +96,35 @@ def test_problems_and_generated_code_from_files(spark, tmp_path):
     assert [tuple(r) for r in R.scan_generated_code(spark, str(g)).collect()] == [("1", "b")]
 
 
+@pytest.mark.parametrize("apart", [1, 10**12])
+def test_written_lines_are_in_files_of_bounded_size(spark, tmp_path, monkeypatch, apart):
+    from testsieve.plans import q_sources as Q
+
+    monkeypatch.setattr(Q, "FILE_BYTES", 20_000, raising=False)
+    ids = [None, None, *(10**15 + i * apart for i in range(4000))]
+    rows = [(i, json.dumps({"task_id": f"t{k % 7}", "v": k, "text": "x" * (k % 90)})) for k, i in enumerate(ids)]
+    random.Random(4).shuffle(rows)
+    path = Q._jsonl(spark, "lines", spark.createDataFrame(rows, "doc_id long, value string").repartition(5), "doc_id")
+    files = sorted(os.listdir(path.removeprefix("file:")))
+    files = [f"{path.removeprefix('file:')}/{f}" for f in files if f.startswith("part-")]
+    sizes = [os.path.getsize(f) for f in files]
+    assert max(sizes) < 30_000 and len(set(sizes)) > 5
+    read = [json.loads(x)["v"] for f in files for x in open(f) if x.endswith("}\n")]
+    assert sorted(read[:2]) == [0, 1] and read[2:] == list(range(2, len(ids)))  # rows without id come first
+    good, bad = R.scan_jsonl_tasks(spark, path, StructType.fromDDL("task_id string, v int"))
+    assert {r.task_id: r.v for r in good.collect()} == {f"t{k % 7}": k for k in range(len(ids))}
+    assert bad.count() == sum(i % 50 == 7 for i in ids if i is not None)
+
+
+@pytest.mark.parametrize("rows", [0, 1, 3])
+def test_few_lines_are_written_and_read(spark, rows):
+    from testsieve.plans import q_sources as Q
+
+    path = Q._jsonl(spark, "lines", spark.createDataFrame([(None if i == 2 else i, json.dumps({"task_id": str(i)})) for i in range(rows)],
+                                                         "doc_id long, value string"), "doc_id")
+    assert sorted(r.task_id for r in R.scan_jsonl_tasks(spark, path, StructType.fromDDL("task_id string"))[0].collect()) == [str(i) for i in range(rows)]
+
+
 @pytest.fixture
 def many_partitions(spark):
     old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold",

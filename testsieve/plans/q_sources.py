@@ -6,6 +6,7 @@ and read back.  All folders are new for each run, under the shared checkpoint fo
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType as T_
 
@@ -36,15 +37,33 @@ def q_scan_generations(spark, sf):
                     F.explode("testcases").alias("testcase"))
 
 
+FILE_BYTES = 64 << 20  # of lines in a file, about
+
+
+def _file_starts(lines, order):
+    """Values of ``order`` at which a next file begins: each file holds twice the lines of the
+    one before, up to half of all or the lines of FILE_BYTES, and the last one what is left."""
+    size = lines.agg(F.sum(F.octet_length("value"))).first()[0] or 1
+    most = min(0.5, FILE_BYTES / size)
+    share = most / 16
+    at = [share]
+    while at[-1] < 1:
+        share = min(2 * share, most)
+        at.append(at[-1] + share)
+    return sorted(set(lines.approxQuantile(order, at[:-1], most / 64))) or [0.0]  # no rows: any value will do
+
+
 def _jsonl(spark, name, lines, order):
     """The path of files that hold ``lines`` (``value``) in ``order``: ranges of it that double in
-    length, so the files are of unequal size; a broken line before every 50th, a blank one
-    before every 60th."""
+    length up to a bound, so the files are of unequal size and none grows with the table; a broken
+    line before every 50th, a blank one before every 60th."""
     path = run_path(spark, name)
     broken = F.when(F.pmod(order, F.lit(50)) == 7, F.concat(F.substring("value", 1, 12), F.lit("\n"))).otherwise("")
     blank = F.when(F.pmod(order, F.lit(60)) == 9, F.lit(" \n")).otherwise("")
-    size = F.floor(F.log2(F.col(order) + 2))
-    (lines.withColumn("_size", size).repartitionByRange(6, "_size").sortWithinPartitions("_size", order)
+    starts = _file_starts(lines, order)
+    bins = Bucketizer(splits=[float("-inf"), *starts, float("inf")], inputCol=order, outputCol="_bin", handleInvalid="keep")
+    file = F.when(F.col(order).isNull(), 0).otherwise(F.col("_bin").cast("int"))
+    (bins.transform(lines).withColumn("_file", file).repartitionById(len(starts) + 1, "_file").sortWithinPartitions(order)
      .select(F.concat(broken, blank, "value").alias("value")).write.text(path))
     return path
 
