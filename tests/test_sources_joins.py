@@ -116,6 +116,26 @@ def test_written_lines_are_in_files_of_bounded_size(spark, tmp_path, monkeypatch
     assert bad.count() == sum(i % 50 == 7 for i in ids if i is not None)
 
 
+def test_generated_code_is_read_from_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    from testsieve import session
+    from testsieve.plans import q_sources as Q
+
+    monkeypatch.setattr(Q, "FILE_BYTES", 20_000, raising=False)
+    ids = [None, *range(1000, 1600)]
+    docs = [(i, f"w{k} text" if k % 5 else f"w{k} ```\nfenced {k}\n```") for k, i in enumerate(ids)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    before = session.mark()
+    got = {r.task_id: r.code for r in Q.q_scan_generated_code(spark, str(tmp_path)).collect()}
+    (path,) = session.made(before)
+    sizes = [os.path.getsize(f"{path.removeprefix('file:')}/{f}") for f in os.listdir(path.removeprefix("file:")) if f.startswith("part-")]
+    assert max(sizes) < 30_000 and sum(sizes) > 150_000
+    want = {}
+    for k, i in enumerate(ids):
+        if i is not None and (i % 3 or i % 4 == 1 or k % 5 == 0):
+            want[f"t{i % 40}"] = f"fenced {k}" if i % 3 == 0 and i % 4 != 1 else "class Helper"
+    assert set(got) == set(want) and all(got[t].startswith(want[t]) for t in want)
+
+
 @pytest.mark.parametrize("rows", [0, 1, 3])
 def test_few_lines_are_written_and_read(spark, rows):
     from testsieve.plans import q_sources as Q
