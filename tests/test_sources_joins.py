@@ -136,6 +136,33 @@ def test_generated_code_is_read_from_files_of_bounded_size(spark, tmp_path, monk
     assert set(got) == set(want) and all(got[t].startswith(want[t]) for t in want)
 
 
+@pytest.mark.parametrize("table", ["long texts last", "one id", "no id", "neighbours of one double"])
+def test_generated_code_files_are_bounded_in_bytes(spark, tmp_path, monkeypatch, table):
+    from testsieve import session
+    from testsieve.plans import q_sources as Q
+
+    monkeypatch.setattr(Q, "FILE_BYTES", 20_000, raising=False)
+    n = 1200
+    ids = {"long texts last": range(n), "one id": [601 if 300 <= k < 900 else k for k in range(n)],
+           "no id": [None if k < 500 else k for k in range(n)], "neighbours of one double": [2**60 + k for k in range(n)]}[table]
+    # the text of an id depends on the id alone, so whichever of its rows comes last
+    word = lambda i: "w" + "".join(chr(97 + int(x)) for x in str(i or 0))
+    docs = [(i, word(i) + " text" * (1000 if table == "long texts last" and i >= 1140 else 0)) for i in ids]
+    spark.createDataFrame(random.Random(3).sample(docs, n), "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    before = session.mark()
+    got = {r.task_id: r.code for r in Q.q_scan_generated_code(spark, str(tmp_path)).collect()}
+    folder = session.made(before)[0].removeprefix("file:")
+    files = [f"{folder}/{f}" for f in sorted(os.listdir(folder)) if f.startswith("part-")]
+    if table != "neighbours of one double":  # those may share a file, and keep their order
+        assert max(map(os.path.getsize, files)) < 50_000
+    lines = [json.loads(x) for f in files for x in open(f) if x.endswith("}\n")]
+    assert Counter(r.get("task_id") for r in lines) == Counter(None if i is None else f"t{i % 40}" for i in ids)
+    tasks = [r["task_id"] for r in lines if "task_id" in r]
+    assert tasks == [f"t{i % 40}" for i in sorted(i for i in ids if i is not None)]
+    want = {f"t{i % 40}": i for i in sorted(i for i in ids if i is not None) if i % 3 or i % 4 == 1}
+    assert set(got) == set(want) and all(f'"""{word(want[t])} docs' in c for t, c in got.items())
+
+
 @pytest.mark.parametrize("rows", [0, 1, 3])
 def test_few_lines_are_written_and_read(spark, rows):
     from testsieve.plans import q_sources as Q

@@ -6,6 +6,8 @@ and read back.  All folders are new for each run, under the shared checkpoint fo
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType as T_
@@ -40,30 +42,44 @@ def q_scan_generations(spark, sf):
 FILE_BYTES = 64 << 20  # of lines in a file, about
 
 
+NONE = float("-inf")  # stands for a null in the order
+
+
 def _file_starts(lines, order):
-    """Values of ``order`` at which a next file begins: each file holds twice the lines of the
-    one before, up to half of all or the lines of FILE_BYTES, and the last one what is left."""
-    size = lines.agg(F.sum(F.octet_length("value"))).first()[0] or 1
-    most = min(0.5, FILE_BYTES / size)
+    """Values of ``order`` at which a next file begins: each file holds twice the bytes of the
+    one before, up to half of all or FILE_BYTES, and the last one what is left.  Where one value
+    has more, several files begin at it.  A line counts once for each quarter of the mean length."""
+    n, size = lines.agg(F.count(F.lit(1)), F.sum(F.octet_length("value"))).first()
+    unit = max(1, (size or 0) // (4 * max(n, 1)))
+    weighted = lines.select(order, F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("value") / unit).cast("int"))))
+    most = min(0.5, FILE_BYTES / ((size or 0) + n * unit + 1))
     share = most / 16
     at = [share]
     while at[-1] < 1:
         share = min(2 * share, most)
         at.append(at[-1] + share)
-    return sorted(set(lines.approxQuantile(order, at[:-1], most / 64))) or [0.0]  # no rows: any value will do
+    return sorted(weighted.approxQuantile(order, at[:-1], most / 64))
 
 
 def _jsonl(spark, name, lines, order):
     """The path of files that hold ``lines`` (``value``) in ``order``: ranges of it that double in
-    length up to a bound, so the files are of unequal size and none grows with the table; a broken
-    line before every 50th, a blank one before every 60th."""
+    bytes up to a bound, so the files are of unequal size and none grows with the table; a broken
+    line before every 50th, a blank one before every 60th.  Lines of one value of ``order`` are
+    dealt over the files that begin at it."""
     path = run_path(spark, name)
     broken = F.when(F.pmod(order, F.lit(50)) == 7, F.concat(F.substring("value", 1, 12), F.lit("\n"))).otherwise("")
     blank = F.when(F.pmod(order, F.lit(60)) == 9, F.lit(" \n")).otherwise("")
-    starts = _file_starts(lines, order)
-    bins = Bucketizer(splits=[float("-inf"), *starts, float("inf")], inputCol=order, outputCol="_bin", handleInvalid="keep")
-    file = F.when(F.col(order).isNull(), 0).otherwise(F.col("_bin").cast("int"))
-    (bins.transform(lines).withColumn("_file", file).repartitionById(len(starts) + 1, "_file").sortWithinPartitions(order)
+    lines = lines.withColumn("_at", F.coalesce(F.col(order).cast("double"), F.lit(NONE)))
+    starts = _file_starts(lines, "_at")
+    values = [NONE, *(sorted(set(starts) - {NONE}) or [0.0])]  # no rows: any value will do
+    last = [bisect_right(starts, v) for v in values]
+    # whole numbers from 2 ** 53 on can share a double, and must not change places
+    several = [max(1, e - bisect_left(starts, v)) if v == NONE or abs(v) < 2**53 else 1 for v, e in zip(values, last, strict=True)]
+    bins = Bucketizer(splits=[*values, float("inf")], inputCol="_at", outputCol="_bin")
+    here = F.col("_bin").cast("int")
+    back = F.when(F.col("_at") == F.get(F.lit(values), here), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.get(F.lit(several), here))).otherwise(0)
+    (bins.transform(lines).withColumn("_file", (F.get(F.lit(last), here) - back).cast("int"))
+     .repartitionById(len(starts) + 1, "_file").sortWithinPartitions(order)
      .select(F.concat(broken, blank, "value").alias("value")).write.text(path))
     return path
 
